@@ -122,7 +122,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     )
     lo, width = bounds["lo"], (bounds["hi"] - bounds["lo"]) / bins
     bin_of = F.least(F.floor((F.col("x") - lo) / width).cast("int"), F.lit(bins - 1))
-    counts = values.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = values.select(bin_of.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     return all_bins(counts, bins, lo, width)
 
 

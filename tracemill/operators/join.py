@@ -89,9 +89,10 @@ def request_usage_correlation(requests: DataFrame, samples: DataFrame) -> DataFr
             ]
         )
     ).scalar()
+    tasks = tasks.select("*", *[(F.col(f"{c}_mean") - centre[c]).alias(f"{c}_off") for c in columns])
 
     def spread(x: str, y: str):
-        between = (F.col(f"{x}_mean") - centre[x]) * (F.col(f"{y}_mean") - centre[y])
+        between = F.col(f"{x}_off") * F.col(f"{y}_off")
         within = F.col(f"{x}_var") if x == y else F.lit(0.0)
         return F.sum(F.col("pairs") * (between + within))
 

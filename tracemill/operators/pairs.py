@@ -152,7 +152,8 @@ def pair_histogram(
     bin_of = F.least(F.call_function("div", offset, span).cast("int"), F.lit(bins - 1))
     counts = (
         event_pairs(light)
-        .groupBy(bin_of.alias("bin"))
+        .select(bin_of.alias("bin"))
+        .groupBy("bin")
         .agg(F.count(F.lit(1)).cast(WIDEST).alias("count"))
     )
     if found:
