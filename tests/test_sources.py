@@ -11,9 +11,9 @@ from trace_files import job_rows, task_rows, write_part
 from tracemill.functions import hour_bucket, pct, ratio, to_number, zero_if_missing
 from tracemill.operators.clean import fill_missing, require_fields, require_nonempty, valid_time
 from tracemill.sources.catalog import TABLES, mandatory_fields, table_schema
-from tracemill.sources.replay import event_replay, replay_order
+from tracemill.sources.replay import event_replay, replay_order, write_replay
 from tracemill.sources.tables import POSITION, read_table, write_table
-from tracemill.sources.topics import decode_events, encode_events, event_schema, route_events, write_topic
+from tracemill.sources.topics import decode_events, encode_events, event_schema, route_events
 
 
 def test_catalogue():
@@ -147,7 +147,7 @@ def test_routing_by_job(tables):
 
 def test_topic_files_keep_time_order(spark, tables, tmp_path):
     path = str(tmp_path / "topics")
-    write_topic(event_replay(*tables), path=path)
+    write_replay(*tables, path=path)
     for file in (tmp_path / "topics").rglob("*.txt"):
         times = [json.loads(line)["time"] for line in file.read_text().splitlines()]
         assert times == sorted(times) and len({t % 12 for t in times}) == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.clean import positive, require_fields
@@ -59,52 +59,45 @@ def join_request_usage(
 
 def request_usage_correlation(requests: DataFrame, samples: DataFrame) -> DataFrame:
     """Pearson correlations over the many-to-many join of requests and samples,
-    computed from per-task moments.
+    computed from sums per task.
 
-    Within a task every request meets every sample, so the joined rows of a task
-    have no covariance of their own: the total is the spread between task means,
-    weighted by the number of pairs. Each side is aggregated per task before the
-    only join, which is then one row to one row.
+    Each side is aggregated per task before the only join, which is then one row to
+    one row: a request value counts once for every sample of its task and the other
+    way round, and the sum of products of a task is the product of its sums. Values
+    are taken relative to those of one row, so that sums of squares keep their digits.
     """
     measures = {"cpu": ("cpu_request", "cpu_usage"), "memory": ("memory_request", "memory_usage")}
 
-    def moments(df: DataFrame, side: int, count: str) -> DataFrame:
-        cols = [pair[side] for pair in measures.values()]
-        return df.groupBy(*TASK).agg(
+    def sums(df: DataFrame, side: int, count: str) -> DataFrame:
+        columns = [pair[side] for pair in measures.values()]
+        origin = df.select(F.struct(*columns)).limit(1).scalar()
+        near = df.select(*TASK, *[(F.col(c) - origin[c]).alias(c) for c in columns])
+        return near.groupBy(*TASK).agg(
             F.count(F.lit(1)).alias(count),
-            *[F.avg(c).alias(f"{c}_mean") for c in cols],
-            *[F.var_pop(c).alias(f"{c}_var") for c in cols],
-            *[F.min(c).alias(f"{c}_min") for c in cols],
-            *[F.max(c).alias(f"{c}_max") for c in cols],
+            *[F.sum(c).alias(c) for c in columns],
+            *[F.sum(F.col(c) * F.col(c)).alias(f"{c}_squares") for c in columns],
+            *[F.min(c).alias(f"{c}_min") for c in columns],
+            *[F.max(c).alias(f"{c}_max") for c in columns],
         )
 
-    tasks = moments(requests, 0, "n").join(moments(samples, 1, "m"), TASK)
-    tasks = tasks.withColumn("pairs", F.col("n").cast("double") * F.col("m"))
-    columns = [c for pair in measures.values() for c in pair]
-    centre = tasks.select(
-        F.struct(
-            *[
-                F.try_divide(F.sum(F.col("pairs") * F.col(f"{c}_mean")), F.sum("pairs")).alias(c)
-                for c in columns
-            ]
-        )
-    ).scalar()
-    tasks = tasks.select("*", *[(F.col(f"{c}_mean") - centre[c]).alias(f"{c}_off") for c in columns])
+    tasks = sums(requests, 0, "n").join(sums(samples, 1, "m"), TASK)
+    n, m = F.col("n"), F.col("m")
+    # The number of pairs is a decimal, since the product of two hot counts passes 64 bits.
+    pairs = F.coalesce(F.sum(n.cast("decimal(19,0)") * m), F.lit(0)).cast("decimal(38,0)")
 
-    def spread(x: str, y: str):
-        between = F.col(f"{x}_off") * F.col(f"{y}_off")
-        within = F.col(f"{x}_var") if x == y else F.lit(0.0)
-        return F.sum(F.col("pairs") * (between + within))
+    def correlation(x: str, y: str) -> Column:
+        def mean(total: Column) -> Column:
+            return F.try_divide(F.sum(total), pairs.cast("double"))
 
-    def correlation(x: str, y: str):
+        x_mean, y_mean = mean(m * F.col(x)), mean(n * F.col(y))
+        x_var = mean(m * F.col(f"{x}_squares")) - x_mean * x_mean
+        y_var = mean(n * F.col(f"{y}_squares")) - y_mean * y_mean
+        covariance = mean(F.col(x) * F.col(y)) - x_mean * y_mean
         varies = (F.min(f"{x}_min") < F.max(f"{x}_max")) & (F.min(f"{y}_min") < F.max(f"{y}_max"))
-        return F.when(varies, F.try_divide(spread(x, y), F.sqrt(spread(x, x)) * F.sqrt(spread(y, y))))
+        return F.when(varies, F.try_divide(covariance, F.sqrt(x_var) * F.sqrt(y_var)))
 
     return tasks.agg(
-        # Decimal, since the product of two hot counts passes 64 bits.
-        F.coalesce(F.sum(F.col("n").cast("decimal(19,0)") * F.col("m")), F.lit(0))
-        .cast("decimal(38,0)")
-        .alias("pairs"),
+        pairs.alias("pairs"),
         *[correlation(x, y).alias(f"{name}_correlation") for name, (x, y) in measures.items()],
     )
 

@@ -106,7 +106,15 @@ def longest_pairs(
     extreme = F.when(F.col("is_start"), F.col("t")).otherwise(-F.col("t"))
     rank = F.row_number().over(Window.partitionBy("key", "is_start").orderBy("extreme"))
     few = few.withColumn("extreme", extreme).withColumn("rank", rank).filter(F.col("rank") <= n)
-    pairs = event_pairs(few)
+    # At most n starts and n ends per key, so the lists are short.
+    sides = few.groupBy("key").agg(
+        F.collect_list(F.when(F.col("is_start"), F.col("t"))).alias("starts"),
+        F.collect_list(F.when(~F.col("is_start"), F.col("t"))).alias("ends"),
+    )
+    pairs = sides.select("key", "ends", F.explode("starts").alias("s")).select(
+        "key", "s", F.explode("ends").alias("e")
+    )
+    pairs = pairs.select("key", (F.col("e") - F.col("s")).alias("elapsed"))
     if above is not None:
         pairs = pairs.filter(F.col("elapsed") > above)
     return pairs.orderBy(F.desc("elapsed"), "key").limit(n)

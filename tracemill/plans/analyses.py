@@ -31,6 +31,7 @@ from tracemill.operators.join import (
 from tracemill.operators.order import sorted_by
 from tracemill.operators.sequence import adjacent_pairs
 from tracemill.operators.skew import MAX_ROWS
+from tracemill.session import materialize
 from tracemill.sources.catalog import EVICT, FINISH, MACHINE_ADD, MACHINE_REMOVE, SCHEDULE, SUBMIT
 
 EVENT = ["time", "job_id", "event_type"]
@@ -213,6 +214,7 @@ def _mean_row(totals: DataFrame, mean: str) -> DataFrame:
 
 
 def _outliers(events: DataFrame, totals: DataFrame, name: str) -> DataFrame:
+    totals = materialize(totals, "pair-totals")
     threshold = pr.pair_mean(totals).select(F.col("mean") * OUTLIER_FACTOR * 1e6).scalar()
     longest = pr.longest_pairs(events, totals, LISTED, above=threshold)
     return longest.select(F.col("key").alias("job_id"), seconds("elapsed").alias(name))
@@ -269,7 +271,7 @@ def duration_histogram(
 ) -> DataFrame:
     """Histogram of job durations in seconds."""
     events, totals = _job_pairs(job_events, SCHEDULE, FINISH, first_only, trace_only)
-    return pr.pair_histogram(events, totals, bins)
+    return pr.pair_histogram(events, materialize(totals, "pair-totals"), bins)
 
 
 def long_jobs(

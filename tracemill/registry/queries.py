@@ -41,7 +41,7 @@ from tracemill.plans import analyses as an
 from tracemill.session import shared_folder
 from tracemill.sources.adapters import Trace, trace_of
 from tracemill.sources.catalog import SCHEDULE, SUBMIT, TASK_TOPIC, table_schema
-from tracemill.sources.replay import event_replay, replay_order, union_events
+from tracemill.sources.replay import event_replay, replay_order, union_events, write_replay
 from tracemill.sources.tables import POSITION, read_table, write_table
 from tracemill.sources.topics import (
     decode_events,
@@ -49,7 +49,6 @@ from tracemill.sources.topics import (
     event_schema,
     read_topic,
     route_events,
-    write_topic,
 )
 from tracemill.streaming import jobs, sinks
 from tracemill.streaming import windows as win
@@ -183,7 +182,7 @@ def _staged_topic(spark: SparkSession, folder: str) -> str:
     """The replay feed written as a topic in the shared folder."""
     t = trace_of(spark, folder)
     path = shared_folder(spark, "topics")
-    write_topic(event_replay(t.job_events, t.task_events, TIE), path=path)
+    write_replay(t.job_events, t.task_events, TIE, path=path)
     return path
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.clean import fill_missing, valid_time
 from tracemill.sources.catalog import table_schema
 from tracemill.sources.tables import POSITION
-from tracemill.sources.topics import route_events
+from tracemill.sources.topics import route_events, write_topic
 
 RANK = "topic_rank"
 
@@ -34,15 +34,40 @@ def replay_order(
     return union_events(job_events, task_events).orderBy("time", RANK, *tie)
 
 
+def _feed(job_events: DataFrame, task_events: DataFrame) -> DataFrame:
+    """Both tables with missing fields filled and events without a time dropped."""
+    return union_events(
+        *[
+            valid_time(fill_missing(df, table_schema(name)))
+            for name, df in (("job_events", job_events), ("task_events", task_events))
+        ]
+    )
+
+
+def _routed(feed: DataFrame, tie: Sequence[str]) -> DataFrame:
+    """(topic, partition, key, value, sent, rank and tie columns); ``sent`` is the event's time."""
+    return route_events(feed.withColumn("sent", F.col("time")), keep=["sent", RANK, *tie])
+
+
 def event_replay(
     job_events: DataFrame, task_events: DataFrame, tie: Sequence[str] = POSITION
 ) -> DataFrame:
-    """(topic, partition, key, value, time) of every event in replay order, missing
-    fields filled and events without a time dropped."""
-    filled = [
-        valid_time(fill_missing(df, table_schema(name)))
-        for name, df in (("job_events", job_events), ("task_events", task_events))
-    ]
-    ordered = replay_order(*filled, tie).withColumn("event_time", F.col("time"))
-    routed = route_events(ordered.drop(RANK), keep=["event_time", *tie])
-    return routed.select("topic", "partition", "key", "value", F.col("event_time").alias("time"))
+    """(topic, partition, key, value, time) of every event in replay order."""
+    ordered = _feed(job_events, task_events).orderBy("time", RANK, *tie)
+    return _routed(ordered, tie).select(
+        "topic", "partition", "key", "value", F.col("sent").alias("time")
+    )
+
+
+def write_replay(
+    job_events: DataFrame, task_events: DataFrame, tie: Sequence[str] = POSITION, **sink: str
+) -> None:
+    """Write the replay feed to its topics; ``sink`` as for ``write_topic``.
+
+    Each task holds a range of time and writes every topic partition in replay
+    order. Ranges are written side by side, so a reader puts them in order by event
+    time and lateness, as it must anyway across partitions.
+    """
+    ranges = _feed(job_events, task_events).repartitionByRange("time", RANK, *tie)
+    routed = _routed(ranges, tie).sortWithinPartitions("topic", "partition", "sent", *tie)
+    write_topic(routed, **sink)

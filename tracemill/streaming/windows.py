@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,61 +36,86 @@ def flatten_window(df: DataFrame) -> DataFrame:
     )
 
 
+# Aggregates of a window by name: the kind and the column it is taken over.
+Aggregates = dict[str, tuple[str, str]]
+
+
+def _aggregate(kind: str, column: str) -> Column:
+    return {"sum": F.sum, "avg": F.avg, "count": F.count}[kind](
+        F.lit(1) if column == "*" else column
+    )
+
+
 def hopping(
     df: DataFrame,
     keys: Sequence[str],
-    aggs: Sequence[Column],
+    aggregates: Aggregates,
     duration: str = LONG_WINDOW,
     slide: str = SLIDE,
     lateness: str | None = LATENESS,
 ) -> DataFrame:
-    """Aggregates per overlapping window and key."""
+    """Sums, averages and counts per overlapping window and key.
+
+    A stream keeps state per window. A static table is first reduced to one row per
+    slide and key, so that only these rows, not the events, are copied into every
+    window that covers them.
+    """
     window = F.window(TIME, duration, slide).alias("window")
-    return flatten_window(with_lateness(df, lateness).groupBy(window, *keys).agg(*aggs))
+    whole_slides = pd.Timedelta(duration) % pd.Timedelta(slide) == pd.Timedelta(0)
+    if df.isStreaming or not whole_slides:
+        grouped = with_lateness(df, lateness).groupBy(window, *keys)
+        aggs = [_aggregate(*agg).alias(name) for name, agg in aggregates.items()]
+        return flatten_window(grouped.agg(*aggs))
+
+    columns = {c for kind, c in aggregates.values() if kind != "count"}
+    panes = df.groupBy(F.window(TIME, slide).alias("pane"), *keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in columns],
+        *[F.count(c).alias(f"_count_{c}") for c in columns],
+    )
+
+    def merged(kind: str, column: str) -> Column:
+        if kind == "count":
+            return F.sum("_rows" if column == "*" else f"_count_{column}")
+        total = F.sum(f"_sum_{column}")
+        return total if kind == "sum" else F.try_divide(total, F.sum(f"_count_{column}"))
+
+    grouped = panes.withColumn(TIME, F.col("pane.start")).groupBy(window, *keys)
+    return flatten_window(grouped.agg(*[merged(*a).alias(name) for name, a in aggregates.items()]))
 
 
 def tumbling(
     df: DataFrame,
     keys: Sequence[str],
-    aggs: Sequence[Column],
+    aggregates: Aggregates,
     duration: str = SHORT_WINDOW,
     lateness: str | None = LATENESS,
 ) -> DataFrame:
-    """Aggregates per window and key, windows end to end."""
-    window = F.window(TIME, duration).alias("window")
-    return flatten_window(with_lateness(df, lateness).groupBy(window, *keys).agg(*aggs))
+    """Sums, averages and counts per window and key, windows end to end."""
+    grouped = with_lateness(df, lateness).groupBy(F.window(TIME, duration).alias("window"), *keys)
+    return flatten_window(grouped.agg(*[_aggregate(*a).alias(n) for n, a in aggregates.items()]))
 
 
 def machine_usage(df: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """Requested CPU and memory per machine, in total and per task, in hopping windows."""
-    return hopping(
-        df,
-        ["machine_id"],
-        [
-            F.sum("cpu_request").alias("total_cpu_usage"),
-            F.sum("memory_request").alias("total_memory_usage"),
-            F.avg("cpu_request").alias("avg_cpu_request_per_task"),
-            F.avg("memory_request").alias("avg_memory_request_per_task"),
-        ],
-        lateness=lateness,
-    )
+    aggregates = {
+        "total_cpu_usage": ("sum", "cpu_request"),
+        "total_memory_usage": ("sum", "memory_request"),
+        "avg_cpu_request_per_task": ("avg", "cpu_request"),
+        "avg_memory_request_per_task": ("avg", "memory_request"),
+    }
+    return hopping(df, ["machine_id"], aggregates, lateness=lateness)
 
 
 def event_counts(df: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """Events per user and event type in hopping windows."""
-    return hopping(
-        df, ["user", "event_type"], [F.count(F.lit(1)).alias("event_count")], lateness=lateness
-    )
+    return hopping(df, ["user", "event_type"], {"event_count": ("count", "*")}, lateness=lateness)
 
 
 def machine_totals(df: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """Requested CPU and memory per machine in tumbling windows."""
-    return tumbling(
-        df,
-        ["machine_id"],
-        [
-            F.sum("cpu_request").alias("total_cpu_usage"),
-            F.sum("memory_request").alias("total_memory_usage"),
-        ],
-        lateness=lateness,
-    )
+    aggregates = {
+        "total_cpu_usage": ("sum", "cpu_request"),
+        "total_memory_usage": ("sum", "memory_request"),
+    }
+    return tumbling(df, ["machine_id"], aggregates, lateness=lateness)
