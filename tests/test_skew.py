@@ -7,6 +7,7 @@ import random
 import pytest
 
 from tracemill.operators import pairs as pr
+from tracemill.operators import skew
 from tracemill.operators.aggregate import histogram
 from tracemill.operators.join import request_usage_correlation
 from tracemill.operators.sequence import adjacent_pairs
@@ -54,6 +55,15 @@ def test_adjacent_pairs(spark, shape, max_rows):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_adjacent(events, 0, 1)
 
 
+@pytest.mark.parametrize("shape", list(shapes()))
+def test_adjacent_pairs_with_hot_groups_found_in_a_sample(spark, shape, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLED", 8)
+    events = shapes()[shape]
+    df = spark.createDataFrame(events, EVENTS).repartition(5)
+    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["carried"], max_rows=40)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_adjacent(events, 0, 1)
+
+
 def test_rows_without_key_or_time(spark):
     events = [(None, 1, 1, 0, 0.1), (None, 2, 2, 1, 0.2), (None, 9, 3, 0, 0.3), (None, 10, 4, 1, 0.4),
               (1, None, 5, 0, 0.5), (1, 3, 6, 1, 0.6)]

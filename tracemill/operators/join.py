@@ -94,7 +94,8 @@ def request_usage_correlation(requests: DataFrame, samples: DataFrame) -> DataFr
         y_var = mean(n * F.col(f"{y}_squares")) - y_mean * y_mean
         covariance = mean(F.col(x) * F.col(y)) - x_mean * y_mean
         varies = (F.min(f"{x}_min") < F.max(f"{x}_max")) & (F.min(f"{y}_min") < F.max(f"{y}_max"))
-        return F.when(varies, F.try_divide(covariance, F.sqrt(x_var) * F.sqrt(y_var)))
+        spread = F.sqrt(F.greatest(x_var, F.lit(0.0))) * F.sqrt(F.greatest(y_var, F.lit(0.0)))
+        return F.when(varies, F.try_divide(covariance, spread))
 
     return tasks.agg(
         pairs.alias("pairs"),

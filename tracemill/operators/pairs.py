@@ -43,14 +43,23 @@ def pair_events(
     return rows
 
 
-def event_pairs(events: DataFrame) -> DataFrame:
+def event_pairs(events: DataFrame, first_only: bool = False) -> DataFrame:
     """(key, elapsed) in microseconds for every start and every end of a key.
 
     A key with many of both yields their product; elapsed is negative where an
-    end precedes a start."""
-    starts = events.filter("is_start").select("key", F.col("t").alias("s"))
-    ends = events.filter("not is_start").select("key", F.col("t").alias("e"))
-    return starts.join(ends, "key").select("key", (F.col("e") - F.col("s")).alias("elapsed"))
+    end precedes a start. ``first_only`` takes each key's first start and first
+    end, which needs one aggregate and no join."""
+    if first_only:
+        first = events.groupBy("key").agg(
+            F.min(F.when(F.col("is_start"), F.col("t"))).alias("s"),
+            F.min(F.when(~F.col("is_start"), F.col("t"))).alias("e"),
+        )
+        pairs = require_fields(first, ["s", "e"])
+    else:
+        starts = events.filter("is_start").select("key", F.col("t").alias("s"))
+        ends = events.filter("not is_start").select("key", F.col("t").alias("e"))
+        pairs = starts.join(ends, "key")
+    return pairs.select("key", (F.col("e") - F.col("s")).alias("elapsed"))
 
 
 def pair_totals(events: DataFrame) -> DataFrame:

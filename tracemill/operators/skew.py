@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A group above this many rows is sliced.
-MAX_ROWS = 5_000_000
+MAX_ROWS = 10_000_000
+# Hot groups are found in a sample that holds about this many rows of each.
+SAMPLED = 1_000
 # Bound of every broadcast list of hot groups. A group left out of a full list
 # holds less than 1/20,000 of the rows.
 MAX_GROUPS = 20_000
 # Equal-width slices are uneven, so aim below the limit.
 HEADROOM = 4
-# Rounds of slicing: two by spans of time, one by instants, two within an instant.
-ROUNDS = 5
-INSTANT_ROUND = 2
 
 
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -37,12 +36,14 @@ def _is(df: DataFrame, col: str, kind: type) -> bool:
     return isinstance(df.schema[col].dataType, kind)
 
 
-def _span(name: str, value: Column, cells: Column) -> Column:
-    """Index of the equal-width span the value falls into. Rounding to double is
-    monotone, so spans keep the order of the values; NULL sorts first."""
-    lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")
+def _span(value: Column, cells: Column) -> Column:
+    """Index of the equal-width span between the group's ``_lo`` and ``_hi`` the value
+    falls into. Rounding to double is monotone, so spans keep the order of the values,
+    also of those outside the range of the sample; NULL sorts first."""
+    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
     share = F.try_divide(value.cast("double") - lo, hi - lo)
-    return F.when(value.isNull(), -1).otherwise(F.coalesce(F.floor(share * cells), F.lit(0)))
+    within = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.when(value.isNull(), -1).otherwise(F.floor(within * cells))
 
 
 def slice_hot_groups(
@@ -53,28 +54,31 @@ def slice_hot_groups(
     Returns the rows and the names of the slice columns added, which are NULL for
     groups that fit one task. Sorting by them agrees with sorting by (time, tie).
 
-    A hot group is cut into equal spans of time, a span still too full once more
-    and then into instants; an instant that is itself hot is cut along the first
-    tie column if that is a number. Every round starts with one count per group,
-    and the search ends when no group is hot: data without hot keys costs one count.
+    A hot group is cut into equal spans of time, a span still too full once more and
+    then into its instants, and an instant that is itself hot along the first tie
+    column if that is a number. Before each cut the hot groups are counted in a
+    sample; it decides only where to cut, so it cannot change a result. Without hot
+    groups the rows are returned as they are.
     """
-    by_tie = bool(tie) and _is(df, tie[0], T.NumericType)
-    cut = {"time": time, "tie": tie[0]} if by_tie else {"time": time}
+    cuts = [(time, _span), (time, _span)]
+    if _is(df, time, T.IntegralType):
+        cuts.append((time, lambda value, cells: value.cast("long")))
+        if tie and _is(df, tie[0], T.NumericType):
+            cuts += [(tie[0], _span), (tie[0], _span)]
+
+    fraction = min(1.0, SAMPLED / max_rows)
     levels: list[str] = []
-    for round_number in range(ROUNDS):
+    for number, (column, place) in enumerate(cuts):
         rows = df.filter(F.col(levels[-1]).isNotNull()) if levels else df
-        varies = {name: F.col(f"_{name}_lo") < F.col(f"_{name}_hi") for name in cut}
-        can_cut = F.lit(False)
-        for condition in varies.values():
-            can_cut = can_cut | condition
+        counts = rows.sample(fraction, seed=0) if fraction < 1 else rows
         hot = (
-            rows.groupBy(*part, *levels)
+            counts.groupBy(*part, *levels)
             .agg(
                 F.count(F.lit(1)).alias("_n"),
-                *[F.min(c).alias(f"_{name}_lo") for name, c in cut.items()],
-                *[F.max(c).alias(f"_{name}_hi") for name, c in cut.items()],
+                F.min(column).alias("_lo"),
+                F.max(column).alias("_hi"),
             )
-            .filter((F.col("_n") > max_rows) & can_cut)
+            .filter(F.col("_n") > max_rows * fraction)
             .orderBy(F.desc("_n"))
             .limit(MAX_GROUPS)
         )
@@ -82,15 +86,11 @@ def slice_hot_groups(
         if not found:
             break
         hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-        cells = F.ceil(F.col("_n") * HEADROOM / max_rows)
-        by_instant = round_number >= INSTANT_ROUND and _is(df, time, T.IntegralType)
-        place = df[time].cast("long") if by_instant else _span("time", df[time], cells)
-        if by_tie:
-            place = F.when(varies["time"], place).otherwise(_span("tie", df[tie[0]], cells))
-        level = f"_slice{round_number}"
+        cells = F.ceil(F.col("_n") * HEADROOM / (max_rows * fraction))
+        level = f"_slice{number}"
         df = df.join(hot, same(df, hot, [*part, *levels]), "left").select(
             *[df[c] for c in df.columns],
-            F.when(F.col("_n").isNotNull(), place).cast("long").alias(level),
+            F.when(F.col("_n").isNotNull(), place(df[column], cells)).cast("long").alias(level),
         )
         levels.append(level)
     return df, levels

@@ -39,7 +39,7 @@ from tracemill.operators.order import first_n, sorted_by
 from tracemill.operators.sequence import above_mean, adjacent_pairs
 from tracemill.plans import analyses as an
 from tracemill.session import shared_folder
-from tracemill.sources.adapters import Trace, trace_of
+from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import SCHEDULE, SUBMIT, TASK_TOPIC, table_schema
 from tracemill.sources.replay import event_replay, replay_order, union_events, write_replay
 from tracemill.sources.tables import POSITION, read_table, write_table
@@ -79,7 +79,7 @@ def rounded(df: DataFrame, digits: int = DIGITS, **columns: int) -> DataFrame:
 
 
 def _trace(make: Callable[[Trace], DataFrame], **digits: int) -> Query:
-    return lambda spark, folder: rounded(make(trace_of(spark, folder)), **digits)
+    return lambda spark, folder: rounded(make(Trace(spark, folder)), **digits)
 
 
 def _table(name: str, make: Callable[[DataFrame], DataFrame], **digits: int) -> Query:
@@ -101,7 +101,7 @@ def _scan(name: str) -> Query:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         path = shared_folder(spark, name)
-        write_table(getattr(trace_of(spark, folder), name), name, path)
+        write_table(getattr(Trace(spark, folder), name), name, path)
         scanned = read_table(spark, name, path, glob="*.csv.gz", position=True)
         return rounded(scanned.drop(*POSITION))
 
@@ -174,13 +174,13 @@ def _metrics(t: Trace) -> DataFrame:
     return sinks.to_metrics(win.machine_totals(win.with_event_time(t.task_events)))
 
 
-def _pairs(t: Trace, start: int, end: int, first_only: bool = False) -> DataFrame:
-    return pr.pair_events(t.job_events, start, end, first_only=first_only)
+def _pairs(t: Trace, start: int, end: int) -> DataFrame:
+    return pr.pair_events(t.job_events, start, end)
 
 
 def _staged_topic(spark: SparkSession, folder: str) -> str:
     """The replay feed written as a topic in the shared folder."""
-    t = trace_of(spark, folder)
+    t = Trace(spark, folder)
     path = shared_folder(spark, "topics")
     write_replay(t.job_events, t.task_events, TIE, path=path)
     return path
@@ -266,7 +266,7 @@ def all_queries() -> dict[str, Query]:
             lambda t: join_request_usage(_requests(t), _samples(t), first_only=True)
         ),
         "event_pairs": _trace(
-            lambda t: pr.event_pairs(_pairs(t, SUBMIT, SCHEDULE, first_only=True)).select(
+            lambda t: pr.event_pairs(_pairs(t, SUBMIT, SCHEDULE), first_only=True).select(
                 F.col("key").alias("job_id"), seconds("elapsed").alias("elapsed_seconds")
             )
         ),

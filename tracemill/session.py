@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "tracemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +24,9 @@ def build_session(app: str = "tracemill", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": UTC,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Window state on local disk rather than in the executors' heap.
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         **conf,
     }
     for key, value in settings.items():

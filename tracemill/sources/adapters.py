@@ -5,86 +5,87 @@ Holds for a session in UTC, since the table's times carry no zone.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.sources.catalog import TABLES
+
 # Event types of the table as event codes.
-JOB_CODES = "case event_type when 'signup' then 0 when 'click' then 1 when 'error' then 2 when 'purchase' then 4 else 5 end"
-MACHINE_CODES = "case event_type when 'signup' then 0 when 'error' then 1 else 2 end"
+JOB_CODES = {"signup": 0, "click": 1, "error": 2, "purchase": 4}
+OTHER_JOB_CODE = 5
+MACHINE_CODES = {"signup": 0, "error": 1}
+OTHER_MACHINE_CODE = 2
 USAGE_PERIOD = 300_000_000  # microseconds
 
 
-@dataclass(frozen=True)
+def _code(codes: dict[str, int], other: int) -> Column:
+    cases = " ".join(f"when '{name}' then {code}L" for name, code in codes.items())
+    return F.expr(f"case event_type {cases} else {other}L end")
+
+
 class Trace:
     """Trace tables derived from one ``events`` table; ``event_id`` is the tie-break of all."""
 
-    job_events: DataFrame
-    task_events: DataFrame
-    machine_events: DataFrame
-    task_usage: DataFrame
-
-
-def trace_of(spark: SparkSession, folder: str) -> Trace:
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    time = F.unix_micros(F.col("ts").cast("timestamp"))
-    job_id = F.col("event_id") - F.col("event_id") % 5
-    task_index = F.col("event_id") % 2
-    machine_id = F.when(F.col("event_type") != "view", F.col("user_id"))
-    kind = F.expr(JOB_CODES).cast("long")
-    user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
-    scheduling_class = F.when(F.col("event_id") % 13 != 0, F.col("user_id") % 4)
-    cpu = F.col("value") / 500
-    memory = F.get_json_object("props", "$.k").cast("double") / 100
-    nothing = F.lit(None)
-
-    job_events = events.select(
-        time.alias("time"),
-        nothing.cast("long").alias("missing_info"),
-        job_id.alias("job_id"),
-        kind.alias("event_type"),
-        user.alias("user"),
-        scheduling_class.alias("scheduling_class"),
-        F.concat(F.lit("job-"), job_id.cast("string")).alias("job_name"),
-        nothing.cast("string").alias("logical_job_name"),
-        "event_id",
-    )
-    task_events = events.select(
-        time.alias("time"),
-        nothing.cast("long").alias("missing_info"),
-        job_id.alias("job_id"),
-        task_index.alias("task_index"),
-        machine_id.alias("machine_id"),
-        kind.alias("event_type"),
-        user.alias("user"),
-        scheduling_class.alias("scheduling_class"),
-        (F.col("user_id") % 12).alias("priority"),
-        cpu.alias("cpu_request"),
-        memory.alias("memory_request"),
-        nothing.cast("double").alias("disk_space_request"),
-        (F.col("event_id") % 3 == 0).alias("different_machines_restriction"),
-        "event_id",
-    )
-    machine_events = events.select(
-        time.alias("time"),
-        F.col("user_id").alias("machine_id"),
-        F.expr(MACHINE_CODES).cast("long").alias("event_type"),
-        F.concat(F.lit("platform-"), (F.col("user_id") % 3).cast("string")).alias("platform_id"),
-        F.when(F.col("event_id") % 17 != 0, (F.col("user_id") % 4 + 1) * F.lit(0.25)).alias("cpus"),
-        memory.alias("memory"),
-        "event_id",
-    )
-    start_time = time - time % USAGE_PERIOD
-    task_usage = events.select(
-        start_time.alias("start_time"),
-        (start_time + USAGE_PERIOD).alias("end_time"),
-        job_id.alias("job_id"),
-        task_index.alias("task_index"),
-        machine_id.alias("machine_id"),
-        cpu.alias("cpu_rate"),
-        memory.alias("canonical_memory_usage"),
-        kind.alias("event_type"),
-        "event_id",
-    )
-    return Trace(job_events, task_events, machine_events, task_usage)
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.events = spark.read.parquet(f"{folder}/events.parquet")
+
+    def _columns(self) -> dict[str, Column]:
+        user_id = F.col("user_id")
+        return {
+            "time": F.expr("unix_micros(cast(ts as timestamp))"),
+            "missing_info": F.lit(None).cast("long"),
+            "job_id": F.expr("event_id - event_id % 5"),
+            "task_index": F.expr("event_id % 2"),
+            "machine_id": F.expr("case when event_type <> 'view' then user_id end"),
+            "event_type": _code(JOB_CODES, OTHER_JOB_CODE),
+            "user": F.expr("'user-' || user_id"),
+            "scheduling_class": F.expr("case when event_id % 13 <> 0 then user_id % 4 end"),
+            "priority": user_id % 12,
+            "job_name": F.expr("'job-' || (event_id - event_id % 5)"),
+            "logical_job_name": F.lit(None).cast("string"),
+            "cpu_request": F.expr("value / 500"),
+            "memory_request": F.expr("cast(get_json_object(props, '$.k') as double) / 100"),
+            "disk_space_request": F.lit(None).cast("double"),
+            "different_machines_restriction": F.expr("event_id % 3 = 0"),
+            "event_id": F.col("event_id"),
+        }
+
+    def _select(self, names: list[str], **other: Column) -> DataFrame:
+        columns = {**self._columns(), **other}
+        return self.events.select(*[columns[n].alias(n) for n in names])
+
+    @cached_property
+    def job_events(self) -> DataFrame:
+        return self._select([f for f, *_ in TABLES["job_events"]] + ["event_id"])
+
+    @cached_property
+    def task_events(self) -> DataFrame:
+        return self._select([f for f, *_ in TABLES["task_events"]] + ["event_id"])
+
+    @cached_property
+    def machine_events(self) -> DataFrame:
+        return self._select(
+            [f for f, *_ in TABLES["machine_events"]] + ["event_id"],
+            machine_id=F.col("user_id"),
+            event_type=_code(MACHINE_CODES, OTHER_MACHINE_CODE),
+            platform_id=F.expr("'platform-' || (user_id % 3)"),
+            cpus=F.expr("case when event_id % 17 <> 0 then (user_id % 4 + 1) * 0.25D end"),
+            memory=self._columns()["memory_request"],
+        )
+
+    @cached_property
+    def task_usage(self) -> DataFrame:
+        time = self._columns()["time"]
+        start_time = time - time % USAGE_PERIOD
+        return self._select(
+            [
+                "start_time", "end_time", "job_id", "task_index", "machine_id",
+                "cpu_rate", "canonical_memory_usage", "event_type", "event_id",
+            ],
+            start_time=start_time,
+            end_time=start_time + USAGE_PERIOD,
+            cpu_rate=self._columns()["cpu_request"],
+            canonical_memory_usage=self._columns()["memory_request"],
+        )
