@@ -7,6 +7,10 @@ import re
 import pytest
 
 import __spark_entry__ as spark_entry
+from tracemill.operators.pairs import pair_events, pair_totals
+from tracemill.plans.analyses import scheduling_latency
+from tracemill.sources.adapters import Trace
+from tracemill.sources.tables import read_table
 
 FOLDER = "/root/testdata/sf0.001"
 STREAMS = {"read_topic", "resource_usage_stream", "event_counts_stream", "machine_metrics_stream"}
@@ -54,3 +58,27 @@ def test_eviction_probability_is_one_aggregate(spark):
 @pytest.mark.parametrize("name", ["distribution", "job_locality", "peak_usage", "hopping_usage"])
 def test_rows_are_aggregated_before_they_move(spark, name):
     assert re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*HashAggregate\([^\n]*partial_", plan(spark, name))
+
+
+def test_first_groups_are_cut_down_before_they_move(spark):
+    """Only the longest candidates of a key leave each task."""
+    text = plan(spark, "long_jobs")
+    assert re.search(r"Exchange hashpartitioning\(key[^\n]*\n[^\n]*WindowGroupLimit[^\n]*Partial", text)
+
+
+def test_tables_bucketed_by_job_need_no_shuffle(spark):
+    events = Trace(spark, FOLDER).job_events
+    events.write.mode("overwrite").bucketBy(8, "job_id").saveAsTable("job_events_by_job")
+    totals = pair_totals(pair_events(spark.table("job_events_by_job"), 1, 4))
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert totals.count() == pair_totals(pair_events(events, 1, 4)).count()
+    spark.sql("drop table job_events_by_job")
+
+
+def test_event_filters_reach_a_parquet_copy(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    Trace(spark, FOLDER).job_events.drop("event_id").write.parquet(path)
+    text = scheduling_latency(read_table(spark, "job_events", path, fmt="parquet"))
+    text = text._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*In\(event_type, \[0,1\]\)", text)
+    assert re.search(r"ReadSchema: struct<time:bigint,job_id:bigint,event_type:bigint>", text)

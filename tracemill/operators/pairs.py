@@ -143,19 +143,26 @@ def pair_histogram(
     by a running count of its ends, looked up at every start shifted by the edge.
     Counts are decimals, since the product of two hot counts passes 64 bits.
     """
-    one_value = F.col("lo") == F.col("hi")
+    one_value = F.col("min") == F.col("max")
     half = F.when(one_value, 500_000).otherwise(0)  # half a second on either side
+    # A pair lies in bin i or above if its elapsed time is at least edge i.
+    edge = lambda i: F.ceil(i * F.col("span") / bins + F.col("lo")).cast("long")
     bounds = (
-        totals.agg(F.min("shortest").alias("lo"), F.max("longest").alias("hi"))
+        totals.agg(F.min("shortest").alias("min"), F.max("longest").alias("max"))
+        .select(
+            (F.col("min") - half).cast(WIDE).alias("lo"), (F.col("max") + half).cast(WIDE).alias("hi")
+        )
+        .select("lo", (F.col("hi") - F.col("lo")).cast(WIDE).alias("span"))
         .select(
             F.struct(
-                (F.col("lo") - half).cast(WIDE).alias("lo"),
-                (F.col("hi") + half).cast(WIDE).alias("hi"),
+                "lo",
+                "span",
+                F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), edge).alias("edges"),
             )
         )
         .scalar()
     )
-    lo, span = bounds["lo"], (bounds["hi"] - bounds["lo"]).cast(WIDE)
+    lo, span = bounds["lo"], bounds["span"]
 
     heavy = totals.filter(F.col("pairs") > bins * (F.col("start_n") + F.col("end_n")))
     found = heavy.limit(max_broadcast + 1).collect()
@@ -175,37 +182,45 @@ def pair_histogram(
     )
     if found:
         dense = events.join(heavy, "key", "left_semi") if few else events
-        counts = counts.unionByName(_heavy_bins(dense, heavy, bins, lo, span, slice_rows))
+        counts = counts.unionByName(_heavy_bins(dense, heavy, bins, bounds["edges"], slice_rows))
         counts = counts.groupBy("bin").agg(F.sum("count").cast(WIDEST).alias("count"))
     width = seconds(span.cast("double")) / bins
     return all_bins(counts, bins, seconds(lo.cast("double")), width)
 
 
 def _heavy_bins(
-    events: DataFrame, heavy: DataFrame, bins: int, lo: Column, span: Column, slice_rows: int
+    events: DataFrame, heavy: DataFrame, bins: int, edges: Column, slice_rows: int
 ) -> DataFrame:
     """(bin, count) over all pairs of the keys whose totals are in ``heavy``."""
     # Copies at one instant become one weighted row before rows move by key.
-    rows = events.groupBy("key", "is_start", "t").agg(F.count(F.lit(1)).cast(WIDE).alias("weight"))
-    rows = rows.join(heavy, "key")
-    # An end is one row with i = 0; a start is one row per inner edge i, shifted by it.
-    edge = F.ceil(F.col("i") * span / bins + lo).cast("long")
-    i = F.when(F.col("is_start"), F.sequence(F.lit(1), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("i", F.explode(i)).withColumn(
-        "at", F.when(F.col("i") > 0, F.col("t") + edge).otherwise(F.col("t"))
-    )
+    rows = events.groupBy("key", "is_start", "t").agg(F.count(F.lit(1)).alias("weight"))
     # Slices of the key's span of end times, as many as its rows ask for.
     first, last = F.col("end_min").cast("double"), F.col("end_max").cast("double")
+    slices = F.ceil((F.col("start_n") * bins + F.col("end_n")) / slice_rows).cast("long")
+    rows = rows.join(heavy, "key").withColumn("slices", slices)
     share = F.coalesce(F.try_divide(F.col("at") - first, last - first), F.lit(0.0))
-    slices = F.ceil((F.col("start_n") * bins + F.col("end_n")) / slice_rows)
-    place = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * slices).cast("long")
-    # Its own shuffle, so that a hot key leaves the join's partitioning by key.
-    rows = rows.select("key", place.alias("slice"), "at", "i", "weight").repartition("key", "slice")
+    place = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.col("slices"))
 
-    ends = F.when(F.col("i") == 0, F.col("weight")).otherwise(0)
-    in_slice = rows.groupBy("key", "slice").agg(F.sum(ends).cast(WIDE).alias("in_slice"))
-    up_to = F.sum("in_slice").over(Window.partitionBy("key").orderBy("slice"))
-    before = in_slice.select("key", "slice", (up_to - F.col("in_slice")).alias("earlier"))
+    # An end stands at its time with i = 0, a start once per inner edge i, shifted by it.
+    ends = rows.filter(~F.col("is_start")).select("*", F.col("t").alias("at"), F.lit(0).alias("i"))
+    probes = (
+        rows.filter("is_start")
+        .select("*", F.posexplode(edges).alias("edge", "shift"))
+        .select("*", (F.col("t") + F.col("shift")).alias("at"), (F.col("edge") + 1).alias("i"))
+    )
+    ends, probes = (
+        side.select("key", place.cast("long").alias("slice"), "at", "i", "weight")
+        for side in (ends, probes)
+    )
+
+    # Ends in earlier slices, for every slice of a key.
+    in_slice = ends.groupBy("key", "slice").agg(F.sum("weight").alias("in_slice"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), slices)).alias("slice")
+    in_slice = heavy.select("key", each).join(in_slice, ["key", "slice"], "left")
+    up_to = F.sum("in_slice").over(
+        Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = in_slice.select("key", "slice", F.coalesce(up_to, F.lit(0)).alias("earlier"))
 
     # At one instant probes come first: an end at the edge itself is not below it.
     running = (
@@ -213,19 +228,25 @@ def _heavy_bins(
         .orderBy("at", F.col("i") == 0)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    end_weight = F.when(F.col("i") == 0, F.col("weight")).otherwise(0)
     below = (
-        rows.withColumn("within", F.sum(ends).over(running))
+        # Its own shuffle, so that a hot key leaves the join's partitioning by key.
+        ends.unionByName(probes)
+        .repartition("key", "slice")
+        .withColumn("within", F.sum(end_weight).over(running))
         .filter(F.col("i") > 0)
         .join(before, ["key", "slice"])
         .groupBy("i")
         .agg(
-            F.sum(F.col("weight") * (F.col("earlier") + F.col("within"))).cast(WIDEST).alias("below"),
+            F.sum(F.col("weight").cast(WIDE) * (F.col("earlier") + F.col("within")))
+            .cast(WIDEST)
+            .alias("below")
         )
     )
     everything = heavy.agg(F.sum("pairs")).scalar()
 
-    edges = events.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("i"))
-    edges = edges.join(F.broadcast(below), "i", "left").select(  # one row per edge
+    cumulative = events.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("i"))
+    cumulative = cumulative.join(F.broadcast(below), "i", "left").select(  # one row per edge
         "i",
         F.when(F.col("i") == bins, everything)
         .otherwise(F.coalesce("below", F.lit(0)))
@@ -233,6 +254,6 @@ def _heavy_bins(
         .alias("below"),
     )
     up_to_next = F.lead("below").over(Window.orderBy("i"))
-    return edges.select(
+    return cumulative.select(
         F.col("i").alias("bin"), (up_to_next - F.col("below")).cast(WIDEST).alias("count")
     ).filter(F.col("bin") < bins)

@@ -7,33 +7,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-UTC = "UTC"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Settings the results or the scale of the analyses depend on.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    # Window state on local disk rather than in the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def build_session(app: str = "tracemill", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the analyses are tuned for.
+    """A session with the settings above.
 
-    On a cluster the master, memory and shuffle parallelism come from
-    spark-submit; only settings that change results or plans are fixed here.
+    On a cluster the master, memory and shuffle parallelism come from spark-submit.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": UTC,
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Window state on local disk rather than in the executors' heap.
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        **conf,
-    }
-    for key, value in settings.items():
+    for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the same settings."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
