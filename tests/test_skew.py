@@ -19,7 +19,7 @@ EVENTS = "part long, time long, seq long, event_type long, carried double"
 def brute_adjacent(events, a, b):
     out = []
     for part in {e[0] for e in events}:
-        ordered = sorted((e for e in events if e[0] == part and e[1] is not None), key=lambda e: e[1:4])
+        ordered = sorted((e for e in events if e[0] == part and e[1] is not None), key=lambda e: e[1:5])
         for x, y in zip(ordered, ordered[1:]):
             if x[3] == a and y[3] == b:
                 out.append((part, x[4], x[1], y[1] - x[1]))
@@ -64,6 +64,18 @@ def test_adjacent_pairs_with_hot_groups_found_in_a_sample(spark, shape, monkeypa
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_adjacent(events, 0, 1)
 
 
+@pytest.mark.parametrize("max_rows", [3, 10**6])
+def test_copies_without_tie_break(spark, max_rows):
+    """Copies of an event at one instant begin or end one pair, not several."""
+    events = [(1, 5, 0, 0, 0.1)] * 50 + [(1, 5, 0, 0, 0.2)] * 50 + [(1, 5, 0, 1, 0.3)] * 50 + [(1, 9, 0, 1, 0.4)] * 50
+    events += [(1, 20, 0, 0, None)] * 30 + [(1, 20, 0, 0, 0.5), (1, 30, 0, 1, 0.6)]
+    df = spark.createDataFrame(events, EVENTS).repartition(5)
+    got = adjacent_pairs(df, "part", 0, 1, carry=["carried"], max_rows=max_rows)
+    assert sorted(map(tuple, got.collect())) == [(1, 0.2, 5, 0), (1, 0.5, 20, 10)]
+    bare = adjacent_pairs(df, "part", 0, 1, max_rows=max_rows)
+    assert sorted(map(tuple, bare.collect())) == [(1, 5, 0), (1, 20, 10)]
+
+
 def test_rows_without_key_or_time(spark):
     events = [(None, 1, 1, 0, 0.1), (None, 2, 2, 1, 0.2), (None, 9, 3, 0, 0.3), (None, 10, 4, 1, 0.4),
               (1, None, 5, 0, 0.5), (1, 3, 6, 1, 0.6)]

@@ -23,20 +23,29 @@ def adjacent_pairs(
 ) -> DataFrame:
     """Events of type ``a`` directly followed by one of type ``b`` in their partition.
 
-    Rows are ordered by time, then the ``tie`` columns, then the event type; any
-    event in between cancels a pair. The result has the partition columns, the
-    ``carry`` columns of the first event, its ``time`` and ``elapsed``, the time to
-    the second. Rows without a time are left out.
+    Rows are ordered by time, then the ``tie`` columns, the event type and the
+    ``carry`` columns; any event in between cancels a pair. The result has the
+    partition columns, the ``carry`` columns of the first event, its ``time`` and
+    ``elapsed``, the time to the second. Rows without a time are left out.
 
     One shuffle by partition and a sort within it. A partition above ``max_rows``
     is sorted in slices, and pairs that straddle slices are found from the first
     and last row of each slice.
     """
     part = [part] if isinstance(part, str) else list(part)
-    order = [time, *tie, kind]
-    kept = list(dict.fromkeys([*part, *order, *carry]))
-    rows = df.select(*kept).filter(F.col(time).isNotNull())
+    place = list(dict.fromkeys([time, *tie, kind]))
+    carry = [c for c in dict.fromkeys(carry) if c not in (*part, *place)]
+    order = [*place, *carry]
+    rows = df.select(*dict.fromkeys([*part, *order])).filter(F.col(time).isNotNull())
     rows, slices = slice_hot_groups(rows, part, time, tie, max_rows)
+    if slices and carry and a != b:
+        # Of events alike in all but the carried columns only the last can begin a pair.
+        # Merging them in the scan stage keeps copies out of the shuffle.
+        last = F.max(F.struct(*carry)).alias("_last")
+        rows = rows.groupBy(*dict.fromkeys([*part, *slices, *place])).agg(last)
+        rows = rows.select(*[c for c in rows.columns if c != "_last"], "_last.*")
+    elif slices and a != b:
+        rows = rows.distinct()
 
     window = Window.partitionBy(*part, *slices).orderBy(*order)
     followed = rows.select(
@@ -44,27 +53,24 @@ def adjacent_pairs(
     )
 
     def pairs(frame: DataFrame) -> DataFrame:
+        first = [c for c in dict.fromkeys([*carry, time]) if c not in part]
+        elapsed = (F.col("_time") - F.col(time)).alias("elapsed")
         return frame.filter((F.col(kind) == a) & (F.col("_kind") == b)).select(
-            *part,
-            *[c for c in dict.fromkeys([*carry, time]) if c not in part],
-            (F.col("_time") - F.col(time)).alias("elapsed"),
+            *part, *first, elapsed
         )
 
     if not slices:
         return pairs(followed)
 
-    # One row per slice: its first event, and its last with the carried columns.
-    whole = F.struct(*dict.fromkeys([*order, *carry]))
     edges = (
         rows.filter(F.col(slices[0]).isNotNull())
         .groupBy(*part, *slices)
-        .agg(F.min(F.struct(*order)).alias("_first"), F.max(whole).alias("_last"))
+        .agg(F.min(F.struct(*order)).alias("_first"), F.max(F.struct(*order)).alias("_last"))
     )
     across = Window.partitionBy(*part).orderBy(*slices)
-    outer = [c for c in dict.fromkeys([*order, *carry]) if c not in part]
     straddling = edges.select(
         *part,
-        *[F.col(f"_last.{c}").alias(c) for c in outer],
+        *[F.col(f"_last.{c}").alias(c) for c in order if c not in part],
         F.lead(f"_first.{kind}").over(across).alias("_kind"),
         F.lead(f"_first.{time}").over(across).alias("_time"),
     )

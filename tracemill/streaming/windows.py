@@ -67,7 +67,7 @@ def hopping(
         aggs = [_aggregate(*agg).alias(name) for name, agg in aggregates.items()]
         return flatten_window(grouped.agg(*aggs))
 
-    columns = {c for kind, c in aggregates.values() if kind != "count"}
+    columns = dict.fromkeys(c for _, c in aggregates.values() if c != "*")
     panes = df.groupBy(F.window(TIME, slide).alias("pane"), *keys).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(f"_sum_{c}") for c in columns],
