@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import MAX_ROWS, slice_hot_groups
+from tracemill.operators.skew import MAX_ROWS, SPAN_CUTS, slice_hot_groups
 
 
 def adjacent_pairs(
@@ -38,14 +38,12 @@ def adjacent_pairs(
     order = [*place, *carry]
     rows = df.select(*dict.fromkeys([*part, *order])).filter(F.col(time).isNotNull())
     rows, slices = slice_hot_groups(rows, part, time, tie, max_rows)
-    if slices and carry and a != b:
-        # Of events alike in all but the carried columns only the last can begin a pair.
-        # Merging them in the scan stage keeps copies out of the shuffle.
-        last = F.max(F.struct(*carry)).alias("_last")
-        rows = rows.groupBy(*dict.fromkeys([*part, *slices, *place])).agg(last)
-        rows = rows.select(*[c for c in rows.columns if c != "_last"], "_last.*")
-    elif slices and a != b:
-        rows = rows.distinct()
+    if len(slices) > SPAN_CUTS and a != b:
+        # There are hot instants, perhaps of copies. Of events alike in all but the carried
+        # columns only the last can begin a pair; the others need not be shuffled.
+        last = F.max(F.struct(F.lit(0), *carry)).alias("_last")
+        alike = list(dict.fromkeys([*part, *slices, *place]))
+        rows = rows.groupBy(*alike).agg(last).select(*alike, *[f"_last.{c}" for c in carry])
 
     window = Window.partitionBy(*part, *slices).orderBy(*order)
     followed = rows.select(

@@ -22,6 +22,8 @@ SAMPLED = 1_000
 MAX_GROUPS = 20_000
 # Equal-width slices are uneven, so aim below the limit.
 HEADROOM = 4
+# Cuts by spans of time before a group is cut into its instants.
+SPAN_CUTS = 2
 
 
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -60,7 +62,7 @@ def slice_hot_groups(
     sample; it decides only where to cut, so it cannot change a result. Without hot
     groups the rows are returned as they are.
     """
-    cuts = [(time, _span), (time, _span)]
+    cuts = [(time, _span)] * SPAN_CUTS
     if _is(df, time, T.IntegralType):
         cuts.append((time, lambda value, cells: value.cast("long")))
         if tie and _is(df, tie[0], T.NumericType):
