@@ -76,6 +76,17 @@ def test_copies_without_tie_break(spark, max_rows):
     assert sorted(map(tuple, bare.collect())) == [(1, 5, 0), (1, 20, 10)]
 
 
+@pytest.mark.parametrize("max_rows", [3, 10**6])
+def test_ordering_columns_can_be_carried(spark, max_rows):
+    events = shapes()["hot instant in a hot key"]
+    df = spark.createDataFrame(events, EVENTS)
+    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["seq", "part", "carried"], max_rows=max_rows)
+    assert got.columns == ["part", "seq", "carried", "time", "elapsed"]
+    first = {e[2]: e for e in events}
+    assert all((r.part, r.time, r.carried) == (first[r.seq][0], first[r.seq][1], first[r.seq][4]) for r in got.collect())
+    assert got.count() == len(brute_adjacent(events, 0, 1))
+
+
 def test_rows_without_key_or_time(spark):
     events = [(None, 1, 1, 0, 0.1), (None, 2, 2, 1, 0.2), (None, 9, 3, 0, 0.3), (None, 10, 4, 1, 0.4),
               (1, None, 5, 0, 0.5), (1, 3, 6, 1, 0.6)]

@@ -34,16 +34,17 @@ def adjacent_pairs(
     """
     part = [part] if isinstance(part, str) else list(part)
     place = list(dict.fromkeys([time, *tie, kind]))
-    carry = [c for c in dict.fromkeys(carry) if c not in (*part, *place)]
-    order = [*place, *carry]
+    shown = [c for c in dict.fromkeys([*carry, time]) if c not in part]
+    extra = [c for c in shown if c not in place]
+    order = [*place, *extra]
     rows = df.select(*dict.fromkeys([*part, *order])).filter(F.col(time).isNotNull())
     rows, slices = slice_hot_groups(rows, part, time, tie, max_rows)
     if len(slices) > SPAN_CUTS and a != b:
         # There are hot instants, perhaps of copies. Of events alike in all but the carried
         # columns only the last can begin a pair; the others need not be shuffled.
-        last = F.max(F.struct(F.lit(0), *carry)).alias("_last")
+        last = F.max(F.struct(F.lit(0), *extra)).alias("_last")
         alike = list(dict.fromkeys([*part, *slices, *place]))
-        rows = rows.groupBy(*alike).agg(last).select(*alike, *[f"_last.{c}" for c in carry])
+        rows = rows.groupBy(*alike).agg(last).select(*alike, *[f"_last.{c}" for c in extra])
 
     window = Window.partitionBy(*part, *slices).orderBy(*order)
     followed = rows.select(
@@ -51,10 +52,9 @@ def adjacent_pairs(
     )
 
     def pairs(frame: DataFrame) -> DataFrame:
-        first = [c for c in dict.fromkeys([*carry, time]) if c not in part]
         elapsed = (F.col("_time") - F.col(time)).alias("elapsed")
         return frame.filter((F.col(kind) == a) & (F.col("_kind") == b)).select(
-            *part, *first, elapsed
+            *part, *shown, elapsed
         )
 
     if not slices:
