@@ -18,6 +18,8 @@ OTHER_JOB_CODE = 5
 MACHINE_CODES = {"signup": 0, "error": 1}
 OTHER_MACHINE_CODE = 2
 USAGE_PERIOD = 300_000_000  # microseconds
+# The number in {"k": n}; several times cheaper than parsing the one-field object.
+PROPS_K = r'"k":\s*(-?[0-9.]+)'
 
 
 def _code(codes: dict[str, int], other: int) -> Column:
@@ -46,7 +48,7 @@ class Trace:
             "job_name": F.expr("'job-' || (event_id - event_id % 5)"),
             "logical_job_name": F.lit(None).cast("string"),
             "cpu_request": F.expr("value / 500"),
-            "memory_request": F.expr("cast(get_json_object(props, '$.k') as double) / 100"),
+            "memory_request": F.regexp_extract("props", PROPS_K, 1).try_cast("double") / 100,
             "disk_space_request": F.lit(None).cast("double"),
             "different_machines_restriction": F.expr("event_id % 3 = 0"),
             "event_id": F.col("event_id"),

@@ -46,6 +46,10 @@ def _aggregate(kind: str, column: str) -> Column:
     )
 
 
+def _interval(length: pd.Timedelta) -> Column:
+    return F.make_dt_interval(secs=F.lit(length.total_seconds()))
+
+
 def hopping(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,19 +64,27 @@ def hopping(
     slide and key, so that only these rows, not the events, are copied into every
     window that covers them.
     """
-    window = F.window(TIME, duration, slide).alias("window")
-    whole_slides = pd.Timedelta(duration) % pd.Timedelta(slide) == pd.Timedelta(0)
-    if df.isStreaming or not whole_slides:
+    length, step = pd.Timedelta(duration), pd.Timedelta(slide)
+    if df.isStreaming or length % step != pd.Timedelta(0):
+        window = F.window(TIME, duration, slide).alias("window")
         grouped = with_lateness(df, lateness).groupBy(window, *keys)
         aggs = [_aggregate(*agg).alias(name) for name, agg in aggregates.items()]
         return flatten_window(grouped.agg(*aggs))
 
     columns = dict.fromkeys(c for _, c in aggregates.values() if c != "*")
-    panes = df.groupBy(F.window(TIME, slide).alias("pane"), *keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(c).alias(f"_sum_{c}") for c in columns],
-        *[F.count(c).alias(f"_count_{c}") for c in columns],
+    panes = (
+        df.withColumn("_pane", F.window(TIME, slide))
+        .groupBy(F.col("_pane.start").alias("_pane"), *keys)
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(c).alias(f"_sum_{c}") for c in columns],
+            *[F.count(c).alias(f"_count_{c}") for c in columns],
+        )
     )
+    if keys:
+        # A key has one row per slide at most, so all of them fit one task; the copies
+        # for overlapping windows are then made and merged where they are.
+        panes = panes.repartition(*keys)
 
     def merged(kind: str, column: str) -> Column:
         if kind == "count":
@@ -80,8 +92,12 @@ def hopping(
         total = F.sum(f"_sum_{column}")
         return total if kind == "sum" else F.try_divide(total, F.sum(f"_count_{column}"))
 
-    grouped = panes.withColumn(TIME, F.col("pane.start")).groupBy(window, *keys)
-    return flatten_window(grouped.agg(*[merged(*a).alias(name) for name, a in aggregates.items()]))
+    earliest = F.col("_pane") - _interval(length - step)
+    starts = F.sequence(earliest, F.col("_pane"), _interval(step))
+    grouped = panes.withColumn("window_start", F.explode(starts)).groupBy("window_start", *keys)
+    totals = grouped.agg(*[merged(*agg).alias(name) for name, agg in aggregates.items()])
+    end = F.col("window_start") + _interval(length)
+    return totals.select("window_start", end.alias("window_end"), *keys, *aggregates)
 
 
 def tumbling(
