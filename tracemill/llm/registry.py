@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.common import table
 from tracemill.llm.decontaminate import op2_benchmark_decontamination
+from tracemill.llm.license_scan import op1_license_scan
+from tracemill.llm.quality_rules import op7_quality_rules
+from tracemill.llm.secret_scan import op5_secret_scan
 from tracemill.llm.substring_dedup import op10_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +26,10 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": _over_documents(op1_license_scan),
         "op2_benchmark_decontamination": _decontamination,
+        "op5_secret_scan": _over_documents(op5_secret_scan),
+        "op7_quality_rules": _over_documents(op7_quality_rules),
         "op10_substring_dedup": _over_documents(op10_substring_dedup),
     }
 
