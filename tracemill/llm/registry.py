@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tracemill.llm.common import table
 from tracemill.llm.decontaminate import op2_benchmark_decontamination
 from tracemill.llm.license_scan import op1_license_scan
+from tracemill.llm.mix_sources import ORACLE_SQL as MIX_SQL
+from tracemill.llm.mix_sources import op8_mix_sources
+from tracemill.llm.pseudonyms import op9_pii_pseudonyms
 from tracemill.llm.quality_rules import op7_quality_rules
 from tracemill.llm.secret_scan import op5_secret_scan
 from tracemill.llm.substring_dedup import op10_substring_dedup
@@ -30,9 +33,11 @@ def all_queries() -> dict[str, Query]:
         "op2_benchmark_decontamination": _decontamination,
         "op5_secret_scan": _over_documents(op5_secret_scan),
         "op7_quality_rules": _over_documents(op7_quality_rules),
+        "op8_mix_sources": _over_documents(op8_mix_sources),
+        "op9_pii_pseudonyms": _over_documents(op9_pii_pseudonyms),
         "op10_substring_dedup": _over_documents(op10_substring_dedup),
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op8_mix_sources": MIX_SQL}

@@ -106,7 +106,7 @@ def _statistics(bare: Column, k: Column) -> Column:
     classes = F.regexp_replace(bare, "[+/_-]", "")
     for pattern, sign in (("[0-9]", "0"), ("[A-Z]", "A"), ("[a-z]", "a")):
         classes = F.regexp_replace(classes, pattern, sign)
-    changes = (F.greatest(F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1, F.lit(0)) / (n - 1)
+    changes = F.greatest(F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1, F.lit(0)) / (n - 1)
     return F.struct(
         _sum(F.transform(counts, lambda c: c * c)).alias("squares"),
         F.filter(rank, lambda x: x.isNotNull()).alias("rank"),
