@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.common import table
 from tracemill.llm.decontaminate import op2_benchmark_decontamination
+from tracemill.llm.jaccard_join import op6_jaccard_join
 from tracemill.llm.license_scan import op1_license_scan
 from tracemill.llm.mix_sources import ORACLE_SQL as MIX_SQL
 from tracemill.llm.mix_sources import op8_mix_sources
@@ -32,6 +33,7 @@ def all_queries() -> dict[str, Query]:
         "op1_license_scan": _over_documents(op1_license_scan),
         "op2_benchmark_decontamination": _decontamination,
         "op5_secret_scan": _over_documents(op5_secret_scan),
+        "op6_jaccard_join": _over_documents(op6_jaccard_join),
         "op7_quality_rules": _over_documents(op7_quality_rules),
         "op8_mix_sources": _over_documents(op8_mix_sources),
         "op9_pii_pseudonyms": _over_documents(op9_pii_pseudonyms),
