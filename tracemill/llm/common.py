@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def words(text: Column, separator: str = SPACE) -> Column:
     return F.filter(F.split(text, separator), lambda w: w != F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it.
+
+    Unlike a column of its own, it also stays one when a filter is pushed below it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of long texts may hold."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import NOT_WORD, fresh, whole_text
-from tracemill.llm.quality_rules import _pairwise, window_hashes
+from tracemill.llm.quality_rules import pairwise, window_hashes
 
 # The phrases of the contract.
 BASE_PHRASES = [
@@ -112,8 +112,8 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
         F.array_remove(F.split(F.lower(whole_text(text)), NOT_WORD), "").alias(words),
     )
     spans = spans.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
-    spans = spans.withColumn("pairs", _pairwise(F.col(hashes), F.col(hashes), 1, lambda a, b: F.xxhash64(a, b)))
-    fours = _pairwise(F.col("pairs"), F.col("pairs"), 2, lambda a, b: F.xxhash64(a, b))
+    spans = spans.withColumn("pairs", pairwise(F.col(hashes), 1, lambda a, b: F.xxhash64(a, b)))
+    fours = pairwise(F.col("pairs"), 2, lambda a, b: F.xxhash64(a, b))
     runs = F.concat(F.array(F.lit(0).cast("long")), F.col("pairs"), fours)
     spans = spans.select(row, "key", words, F.size(words).cast("long").alias("n_words"), runs.alias("runs_of"))
     votes = spans.select(row, "key", "n_words", words, F.posexplode_outer("runs_of").alias("nth", "run"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh
+from tracemill.llm.common import fresh, let
 
 KEY = "tracemill-demo-key"  # pass your own
 ROUNDS = 10
@@ -38,11 +38,6 @@ CYCLE = 146_097  # days in 400 years
 DAYS = (189, 773)  # their product is CYCLE
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _hashed(*parts: Column) -> Column:
     """60 bits that follow from the parts."""
     digest = F.sha2(F.concat_ws("|", *parts), 256)
@@ -74,7 +69,7 @@ def permute_digits(digits: Column, tweak: Column) -> Column:
     a = F.substring(digits, F.lit(1), left)
     b = F.substring(digits, left + 1, n - left)
     pair = feistel(a, b, power(left), power(n - left), F.concat_ws("|", tweak, n.cast("string")))
-    return _let(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), n - left, "0")))
+    return let(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), n - left, "0")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -95,19 +90,19 @@ def _card(m: Column, key: Column) -> Column:
     def permuted(d: Column) -> Column:
         body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), F.concat_ws("|", key, F.lit("card")))
         check = lambda p: F.pmod(10 - F.pmod(_luhn(F.concat(p, F.lit("0"))), F.lit(10)), F.lit(10))
-        whole = _let(body, lambda p: F.concat(p, check(p).cast("string")))
+        whole = let(body, lambda p: F.concat(p, check(p).cast("string")))
         return F.when(_luhn(d) % 10 == 0, _in_format(m, whole))
 
-    return _let(_digits(m), permuted)
+    return let(_digits(m), permuted)
 
 
 def _phone(m: Column, key: Column) -> Column:
     def permuted(d: Column) -> Column:
         code = F.substring(d, F.lit(1), F.length(d) - 10)
         own = permute_digits(F.right(d, F.lit(10)), F.concat_ws("|", key, F.lit("phone")))
-        return _let(F.concat(code, own), lambda whole: _in_format(m, whole))
+        return let(F.concat(code, own), lambda whole: _in_format(m, whole))
 
-    return _let(_digits(m), permuted)
+    return let(_digits(m), permuted)
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -121,7 +116,7 @@ def _ssn(m: Column, key: Column) -> Column:
         number = n + 1 + F.when(n >= 665, 1).otherwise(0)
         return F.format_string("%03d-%02d-%04d", number, F.pmod(p["a"], F.lit(99)) + 1, p["b"] + 1)
 
-    return F.when(valid, _let(pair, shown))
+    return F.when(valid, let(pair, shown))
 
 
 def _date(m: Column, key: Column) -> Column:
@@ -133,11 +128,11 @@ def _date(m: Column, key: Column) -> Column:
         at = F.pmod(n, F.lit(CYCLE))
         a, b = (F.lit(x) for x in DAYS)
         pair = feistel(F.floor(at / DAYS[1]), F.pmod(at, b), a, b, F.concat_ws("|", key, F.lit("date")))
-        moved = _let(pair, lambda p: (n - at + p["a"] * DAYS[1] + p["b"]).cast("int"))
+        moved = let(pair, lambda p: (n - at + p["a"] * DAYS[1] + p["b"]).cast("int"))
         out = F.date_add(F.to_date(F.lit("1800-01-01")), moved)
         return F.when(iso, F.date_format(out, "yyyy-MM-dd")).otherwise(F.date_format(out, "dd/MM/yyyy"))
 
-    return _let(day, lambda n: F.when(n.isNotNull(), permuted(n)))
+    return let(day, lambda n: F.when(n.isNotNull(), permuted(n)))
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -148,9 +143,9 @@ def _ip(m: Column, key: Column) -> Column:
         bound = F.lit(65536)
         pair = feistel(F.get(p, 0) * 256 + F.get(p, 1), F.get(p, 2) * 256 + F.get(p, 3), bound, bound, F.concat_ws("|", key, F.lit("ip")))
         shown = lambda q: F.concat_ws(".", *[x.cast("string") for v in (q["a"], q["b"]) for x in (F.floor(v / 256), F.pmod(v, F.lit(256)))])
-        return F.when(valid, _let(pair, shown))
+        return F.when(valid, let(pair, shown))
 
-    return _let(parts, permuted)
+    return let(parts, permuted)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -170,7 +165,7 @@ def pseudonym(m: Column, key: Column) -> Column:
     ]
     out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("new")))
     for kind, test, make in kinds:
-        out = out.when(test, _let(make(m, key), lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), v.alias("new"))))
+        out = out.when(test, let(make(m, key), lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), v.alias("new"))))
     return out
 
 

@@ -12,10 +12,12 @@ the references; no row is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SPACE, fresh, whole_text
+from tracemill.llm.common import SPACE, let, whole_text
 
 # Frequent function words by language.
 COMMON = {
@@ -36,87 +38,118 @@ def _length_without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def _pairwise(array: Column, other: Column, distance: int, f) -> Column:
-    """``f`` of each element of ``array`` and the one ``distance`` later in ``other``."""
-    n = F.greatest(F.size(array) - F.lit(distance), F.lit(0))
-    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(other, F.lit(1 + distance), n), f)
+def pairwise(array: Column, distance: int, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of each element and the one ``distance`` later."""
+
+    def pairs(a: Column) -> Column:
+        n = F.greatest(F.size(a) - F.lit(distance), F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + distance), n), f)
+
+    return let(array, pairs)
 
 
 def window_hashes(hashes: Column, width: int) -> Column:
     """Hashes of ``width`` consecutive elements (a power of two), by doubling."""
     done = 1
     while done < width:
-        hashes = _pairwise(hashes, hashes, done, lambda a, b: F.xxhash64(a, b))
+        hashes = pairwise(hashes, done, lambda a, b: F.xxhash64(a, b))
         done *= 2
     return hashes
 
 
-def _histograms(docs: DataFrame, text: str, lang: str, names: dict[str, str]) -> DataFrame:
-    """``docs`` with its words, language, and both histograms in the columns ``names``."""
-    t = F.col(names["text"])
-    known = F.when(F.col(lang).isin(list(COMMON)), F.col(lang)).otherwise(F.lit("other"))
-    common = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    out = docs.withColumn(names["text"], whole_text(text)).withColumn(names["lang"], known)
-    out = out.withColumn(names["words"], F.array_remove(F.split(t, SPACE), ""))
-    out = out.withColumn(names["inside"], F.length(F.array_join(names["words"], "")).cast("long"))
-    letters = _length_without(t, r"[^\p{L}\p{M}]+")
-    upper = _length_without(t, r"[^\p{Lu}]+")
-    digits = _length_without(t, r"[^0-9]+")
-    symbols = _length_without(t, f"[^{SYMBOLS}]+")
-    out = out.withColumn(names["marks"], F.array(letters, upper, digits, symbols))
-    a, b, c, d = (F.get(F.col(names["marks"]), i) for i in range(4))
-    space = F.length(t).cast("long") - F.col(names["inside"])
-    out = out.withColumn(names["characters"], F.array(a - b, b, c, d, space, F.col(names["inside"]) - a - c - d))
-    out = out.withColumn(names["common"], F.try_element_at(common, F.col(names["lang"])))
-    used = F.filter(
-        F.transform(F.col(names["words"]), F.lower), lambda w: F.array_contains(F.col(names["common"]), w)
-    )
-    out = out.withColumn(names["used"], F.when(F.col(names["common"]).isNotNull(), used))
-    counts = F.transform(names["common"], lambda c: F.size(F.filter(F.col(names["used"]), lambda w: w == c)).cast("long"))
-    rest = F.array((F.size(names["words"]) - F.size(names["used"])).cast("long"))
-    return out.withColumn(names["vocabulary"], F.concat(counts, rest))
+def _known(lang: Column) -> Column:
+    return F.when(lang.isin(list(COMMON)), lang).otherwise(F.lit("other"))
+
+
+def _histograms(t: Column, w: Column, lang: Column) -> Column:
+    """Of a text and its words: letters and marks by class, and words by common word, as counts."""
+    inside = F.length(F.array_join(w, "")).cast("long")
+    counted = F.struct(
+        inside.alias("inside"), (F.length(t) - inside).alias("space"),
+        _length_without(t, r"[^\p{L}\p{M}]+").alias("letters"), _length_without(t, r"[^\p{Lu}]+").alias("upper"),
+        _length_without(t, r"[^0-9]+").alias("digits"), _length_without(t, f"[^{SYMBOLS}]+").alias("symbols"),
+    )
+
+    def characters(c: Column) -> Column:
+        rest = c["inside"] - c["letters"] - c["digits"] - c["symbols"]
+        return F.array(c["letters"] - c["upper"], c["upper"], c["digits"], c["symbols"], c["space"], rest)
+
+    def vocabulary(common: list[str]) -> Column:
+        # Commas and capitals are of no matter to a common word that is looked for.
+        used = F.filter(w, lambda x: F.lower(x).isin(common))
+        count = lambda u: F.array(*[F.size(F.filter(u, lambda x: F.lower(x) == c)).cast("long") for c in common])
+        return let(used, lambda u: F.concat(count(u), F.array((F.size(w) - F.size(u)).cast("long"))))
+
+    by_word = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for name, common in COMMON.items():
+        by_word = by_word.when(lang == name, vocabulary(common))
+    return let(
+        counted,
+        lambda c: F.struct(
+            c["inside"].alias("inside"), c["symbols"].alias("symbols"),
+            characters(c).alias("characters"), by_word.alias("vocabulary"),
+        ),
+    )
 
 
 def _distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of a histogram of counts to one of shares; null if either is empty."""
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
 
     def term(x: Column, y: Column) -> Column:
         half = (x + y) / 2
         part = lambda v: F.when(v > 0, v * F.log2(v / half)).otherwise(0.0)
         return part(x) + part(y)
 
-    terms = F.zip_with(p, q, lambda x, y: term(x / total, y))
-    divergence = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
-    return F.when(total > 0, F.sqrt(F.greatest(F.least(divergence, F.lit(1.0)), F.lit(0.0))))
+    def distance(total: Column) -> Column:
+        terms = F.zip_with(p, q, lambda x, y: term(x / total, y))
+        divergence = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
+        return F.when(total > 0, F.sqrt(F.greatest(F.least(divergence, F.lit(1.0)), F.lit(0.0))))
 
+    return let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), distance)
 
-def _names() -> dict[str, str]:
-    parts = "text lang words inside marks characters common used vocabulary hashes sorted places".split()
-    return {p: fresh(p) for p in parts}
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list, list]]:
     """Shares of character classes and common words by language, over documents of 20 words or more."""
-    n = _names()
-    rows = _histograms(docs, text, lang, n).where(F.size(n["words"]) >= MIN_WORDS)
+    t = whole_text(text)
+    own = let(_words(t), lambda w: F.when(F.size(w) >= MIN_WORDS, _histograms(t, w, F.col(lang))))
+    rows = docs.select(_known(F.col(lang)).alias("lang"), own.alias("own"))
     width = max(map(len, COMMON.values())) + 1
-    sums = [F.sum(F.get(F.col(n["characters"]), i)).alias(f"c{i}") for i in range(6)]
-    sums += [F.sum(F.get(F.col(n["vocabulary"]), i)).alias(f"w{i}") for i in range(width)]
+    sums = [F.sum(F.get("own.characters", i)).alias(f"c{i}") for i in range(6)]
+    sums += [F.sum(F.get("own.vocabulary", i)).alias(f"w{i}") for i in range(width)]
 
     def shares(values: list) -> list[float]:
-        total = sum(values)
-        return [v / total for v in values] if total else []
+        total = sum(v or 0 for v in values)
+        return [(v or 0) / total for v in values] if total else []
 
     found = {}
-    for row in rows.groupBy(n["lang"]).agg(*sums).collect():  # a row a language listed above, and one for the others
-        counted = [row[f"w{i}"] or 0 for i in range(len(COMMON[row[0]]) + 1)] if row[0] in COMMON else []
-        found[row[0]] = shares([row[f"c{i}"] for i in range(6)]), shares(counted)
+    for row in rows.groupBy("lang").agg(*sums).collect():  # a row a language listed above, and one for the others
+        counted = [row[f"w{i}"] for i in range(len(COMMON[row["lang"]]) + 1)] if row["lang"] in COMMON else []
+        found[row["lang"]] = shares([row[f"c{i}"] for i in range(6)]), shares(counted)
     return found
 
 
+def _repeated_words(words: Column) -> Column:
+    """Words in windows of ``REPEAT`` words that are in the text twice or more."""
+    hashes = window_hashes(F.transform(words, lambda x: F.xxhash64(x)), REPEAT)
+    twice = lambda s: pairwise(
+        s, 1, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))
+    )
+    places = lambda h: F.sort_array(
+        F.array_distinct(F.flatten(twice(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))))
+    )
+    covered = lambda p: F.aggregate(
+        pairwise(p, 1, lambda a, b: F.least(b - a, F.lit(REPEAT))), F.lit(REPEAT), lambda x, y: x + y
+    )
+    count = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(places(h), covered)).otherwise(0)
+    return let(hashes, count).cast("long")
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``quality``: a struct of the measures, both distances and the verdict.
+    """``docs`` with ``quality``: measures and distances, base_failed and kept.
 
     Words are divided by ASCII white space. A document fails the base rules with fewer than
     20 words, or if more than 30 % of its words lie in 8-word windows that occur twice or
@@ -129,48 +162,42 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
     common reference. An empty table gives an empty one.
     """
     references = language_references(docs, text, lang)
-    n = _names()
-    kept = [c for c in docs.columns if c != "quality"]
-    out = _histograms(docs.select(*kept), text, lang, n)
-    w, t = F.col(n["words"]), F.col(n["text"])
-    n_words = F.size(w).cast("long")
-
-    out = out.withColumn(n["hashes"], window_hashes(F.transform(w, lambda x: F.xxhash64(x)), REPEAT))
-    h = F.col(n["hashes"])
-    repeats = F.size(F.array_distinct(h)) < F.size(h)
-    out = out.withColumn(n["sorted"], F.when(repeats, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    s = F.col(n["sorted"])
-    twice = _pairwise(s, s, 1, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    out = out.withColumn(n["places"], F.when(s.isNotNull(), F.sort_array(F.array_distinct(F.flatten(twice)))))
-    p = F.col(n["places"])
-    covered = F.aggregate(_pairwise(p, p, 1, lambda a, b: F.least(b - a, F.lit(REPEAT))), F.lit(0), lambda x, y: x + y) + REPEAT
-    n_repeat = F.when(p.isNotNull(), covered).otherwise(F.lit(0)).cast("long")
-
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_dup_lines = (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
     def reference(i: int) -> Column:
-        pairs = [x for k, v in references.items() if v[i] for x in (F.lit(k), F.array(*map(F.lit, v[i])))]
-        return F.try_element_at(F.create_map(*pairs), F.col(n["lang"])) if pairs else F.lit(None).cast("array<double>")
-
-    by_class = F.when(F.length(t) >= GUARD_CHARS, _distance(F.col(n["characters"]), reference(0)))
-    by_word = F.when(n_words >= GUARD_WORDS, _distance(F.col(n["vocabulary"]), reference(1)))
-    out = out.select(
-        *kept,
-        F.struct(
-            n_words.alias("n_words"), F.col(n["inside"]).alias("word_chars"), F.get(F.col(n["marks"]), 3).alias("n_symbols"),
-            n_dup_lines.alias("n_dup_lines"), n_repeat.alias("n_repeat_words"),
+        out = F.when(F.lit(False), F.array().cast("array<double>"))
+        for name, own in references.items():
+            if own[i]:
+                out = out.when(_known(F.col(lang)) == name, F.array(*map(F.lit, own[i])))
+        return out
+
+    def measured(t: Column, w: Column, h: Column) -> Column:
+        n_words = F.size(w).cast("long")
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        n_dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+        by_class = F.when(F.length(t) >= GUARD_CHARS, _distance(h["characters"], reference(0)))
+        by_word = F.when(n_words >= GUARD_WORDS, _distance(h["vocabulary"], reference(1)))
+        return F.struct(
+            n_words.alias("n_words"), h["inside"].alias("word_chars"), h["symbols"].alias("n_symbols"),
+            n_dup_lines.alias("n_dup_lines"), _repeated_words(w).alias("n_repeat_words"),
             by_class.alias("character_distance"), by_word.alias("word_distance"),
-        ).alias("quality"),
-    )
-    q = F.col("quality")
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
-    far = F.coalesce(q["character_distance"] > MAX_CHARACTER_DISTANCE, F.lit(False))
-    far = far | F.coalesce(q["word_distance"] > MAX_WORD_DISTANCE, F.lit(False))
-    return out.withColumn("quality", q.withField("base_failed", failed).withField("kept", ~failed & ~far))
+        )
+
+    def judged(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
+        far = F.coalesce(q["character_distance"] > MAX_CHARACTER_DISTANCE, F.lit(False))
+        far = far | F.coalesce(q["word_distance"] > MAX_WORD_DISTANCE, F.lit(False))
+        return F.struct(q.alias("measures"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+
+    t = whole_text(text)
+    found = let(_words(t), lambda w: let(_histograms(t, w, F.col(lang)), lambda h: let(measured(t, w, h), judged)))
+    kept = [c for c in docs.columns if c != "quality"]
+    return docs.select(*kept, found.alias("quality"))
 
 
 def op7_quality_rules(docs: DataFrame) -> DataFrame:
     measured = quality_rules(docs.select("doc_id", "text", "lang"))
-    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept character_distance word_distance"
-    return measured.select("doc_id", *[f"quality.{c}" for c in names.split()])
+    base = "n_words word_chars n_symbols n_dup_lines n_repeat_words"
+    return measured.select(
+        "doc_id", *[f"quality.measures.{c}" for c in base.split()], "quality.base_failed", "quality.kept",
+        "quality.measures.character_distance", "quality.measures.word_distance",
+    )

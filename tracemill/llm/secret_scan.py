@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh, joined_sha256, staged, whole_text
+from tracemill.llm.common import fresh, joined_sha256, let, staged, whole_text
 
 # Fixed patterns of the contract; the letters of a key word are in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,14 +66,9 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def token_chances(token: Column) -> Column:
     """For a candidate: encoding, chance under randomness, and chance under ordinary text."""
-    return _let(F.regexp_replace(token, "=+$", ""), _of_bare)
+    return let(F.regexp_replace(token, "=+$", ""), _of_bare)
 
 
 def _of_bare(bare: Column) -> Column:
@@ -91,9 +86,9 @@ def _of_bare(bare: Column) -> Column:
             alphabet.alias("alphabet"), F.length(alphabet).cast("double").alias("size"), share.alias("share"),
             text.alias("text"), F.split(text, "").alias("letters"), F.length(text).cast("double").alias("n"),
         )
-        return _let(known, lambda k: _let(_statistics(bare, k), lambda x: _chances(name, k, x)))
+        return let(known, lambda k: let(_statistics(bare, k), lambda x: _chances(name, k, x)))
 
-    return _let(encoding, of_encoding)
+    return let(encoding, of_encoding)
 
 
 def _statistics(bare: Column, k: Column) -> Column:
@@ -127,13 +122,13 @@ def _chances(encoding: Column, k: Column, x: Column) -> Column:
     power = F.greatest(_sum(F.transform(rank, lambda a: a * a)), F.lit(1e-9))
     serial = _sum(F.zip_with(leading, following, lambda a, b: a * b)) / power
     z_serial = F.abs(serial) * F.sqrt(n)
-    two_sided = lambda z: F.least(2 * _let(z, _upper_tail), F.lit(1.0))
-    half = -(F.ln(_let(z_chi, _upper_tail)) + F.ln(two_sided(z_runs)) + F.ln(two_sided(z_serial)))
-    random = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+    two_sided = lambda z: F.least(2 * let(z, _upper_tail), F.lit(1.0))
+    half = -(F.ln(let(z_chi, _upper_tail)) + F.ln(two_sided(z_runs)) + F.ln(two_sided(z_serial)))
+    random = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
     # Ordinary text: inside the alphabet, with so few equal pairs, and so many changes of class.
     pairs, equal = n * (n - 1) / 2, (squares - n) / 2
-    p_pairs = _let((pairs * TEXT_PAIRS - equal - 0.5) / F.sqrt(pairs * TEXT_PAIRS), _upper_tail)
+    p_pairs = let((pairs * TEXT_PAIRS - equal - 0.5) / F.sqrt(pairs * TEXT_PAIRS), _upper_tail)
     excess = F.greatest(x["changes"], F.lit(TEXT_CHANGES))
     rest = F.when(excess < 1, (1 - excess) * F.ln((1 - excess) / (1 - TEXT_CHANGES))).otherwise(0.0)
     distance = excess * F.ln(excess / TEXT_CHANGES) + rest
@@ -180,7 +175,7 @@ def is_secret(token: Column, steps: dict[int, int]) -> Column:
         return F.lit(False)
     least = F.try_element_at(F.create_map(*[F.lit(x) for kv in steps.items() for x in kv]), _length_class(token))
     secret = lambda p: (p["encoding"] != "decimal") & (p["random"] >= REGULAR) & (_step(p["ordinary"]) >= least)
-    return F.coalesce(_let(token_chances(token), secret), F.lit(False))
+    return F.coalesce(let(token_chances(token), secret), F.lit(False))
 
 
 def _matches(text: Column, kind: int, pattern: str, keep: int, group: int = 0) -> Column:
