@@ -7,11 +7,10 @@ import random
 import pytest
 
 from tracemill.operators import pairs as pr
-from tracemill.operators import skew
 from tracemill.operators.aggregate import histogram
 from tracemill.operators.join import request_usage_correlation
 from tracemill.operators.sequence import adjacent_pairs
-from tracemill.operators.skew import slice_hot_groups
+from tracemill.operators.skew import SLICE, ordered_slices
 
 EVENTS = "part long, time long, seq long, event_type long, carried double"
 
@@ -46,72 +45,82 @@ def shapes():
     }
 
 
-@pytest.mark.parametrize("shape", list(shapes()))
-@pytest.mark.parametrize("max_rows", [3, 40, 10**6])
-def test_adjacent_pairs(spark, shape, max_rows):
-    events = shapes()[shape]
-    df = spark.createDataFrame(events, EVENTS).repartition(5)
-    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["carried"], max_rows=max_rows)
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_adjacent(events, 0, 1)
+@pytest.fixture(params=[2, 31])
+def ranges(spark, request):
+    """Few and many slices; without merging of small ones, so that they stay as many."""
+    conf = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("shape", list(shapes()))
-def test_adjacent_pairs_with_hot_groups_found_in_a_sample(spark, shape, monkeypatch):
-    monkeypatch.setattr(skew, "SAMPLED", 8)
+def test_adjacent_pairs(spark, shape, ranges):
     events = shapes()[shape]
     df = spark.createDataFrame(events, EVENTS).repartition(5)
-    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["carried"], max_rows=40)
+    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["carried"])
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_adjacent(events, 0, 1)
 
 
-@pytest.mark.parametrize("max_rows", [3, 10**6])
-def test_copies_without_tie_break(spark, max_rows):
+def test_copies_without_tie_break(spark, ranges):
     """Copies of an event at one instant begin or end one pair, not several."""
     events = [(1, 5, 0, 0, 0.1)] * 50 + [(1, 5, 0, 0, 0.2)] * 50 + [(1, 5, 0, 1, 0.3)] * 50 + [(1, 9, 0, 1, 0.4)] * 50
     events += [(1, 20, 0, 0, None)] * 30 + [(1, 20, 0, 0, 0.5), (1, 30, 0, 1, 0.6)]
     df = spark.createDataFrame(events, EVENTS).repartition(5)
-    got = adjacent_pairs(df, "part", 0, 1, carry=["carried"], max_rows=max_rows)
+    got = adjacent_pairs(df, "part", 0, 1, carry=["carried"])
     assert sorted(map(tuple, got.collect())) == [(1, 0.2, 5, 0), (1, 0.5, 20, 10)]
-    bare = adjacent_pairs(df, "part", 0, 1, max_rows=max_rows)
+    bare = adjacent_pairs(df, "part", 0, 1)
     assert sorted(map(tuple, bare.collect())) == [(1, 5, 0), (1, 20, 10)]
 
 
-@pytest.mark.parametrize("max_rows", [3, 10**6])
-def test_ordering_columns_can_be_carried(spark, max_rows):
+def test_ordering_columns_can_be_carried(spark, ranges):
     events = shapes()["hot instant in a hot key"]
     df = spark.createDataFrame(events, EVENTS)
-    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["seq", "part", "carried"], max_rows=max_rows)
+    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], carry=["seq", "part", "carried"])
     assert got.columns == ["part", "seq", "carried", "time", "elapsed"]
     first = {e[2]: e for e in events}
     assert all((r.part, r.time, r.carried) == (first[r.seq][0], first[r.seq][1], first[r.seq][4]) for r in got.collect())
     assert got.count() == len(brute_adjacent(events, 0, 1))
 
 
-def test_rows_without_key_or_time(spark):
+def test_rows_without_key_or_time(spark, ranges):
     events = [(None, 1, 1, 0, 0.1), (None, 2, 2, 1, 0.2), (None, 9, 3, 0, 0.3), (None, 10, 4, 1, 0.4),
               (1, None, 5, 0, 0.5), (1, 3, 6, 1, 0.6)]
     df = spark.createDataFrame(events, EVENTS)
-    for max_rows in (1, 100):
-        got = adjacent_pairs(df, "part", 0, 1, tie=["seq"], max_rows=max_rows)
-        assert sorted(r.elapsed for r in got.collect()) == [1, 1]
+    got = adjacent_pairs(df, "part", 0, 1, tie=["seq"])
+    assert sorted(r.elapsed for r in got.collect()) == [1, 1]
 
 
-def test_slices_are_small_and_ordered(spark):
-    events = shapes()["hot instant in a hot key"]
-    df = spark.createDataFrame(events, EVENTS)
-    sliced, levels = slice_hot_groups(df, ["part"], "time", ["seq"], max_rows=20)
-    sizes = sliced.groupBy("part", *levels).count().agg({"count": "max"}).first()[0]
-    assert sizes <= 20
-    hot = [r for r in sliced.collect() if r.part == 1]
-    key = lambda r: [(-(10**30) if r[c] is None else r[c]) for c in levels]
-    by_time = sorted(hot, key=lambda r: (r.time, r.seq))
-    assert [key(r) for r in by_time] == sorted(key(r) for r in hot)
+def sizes(sliced) -> list[int]:
+    return [r["count"] for r in sliced.groupBy("part", SLICE).count().collect()]
 
 
-def test_no_slices_without_hot_groups(spark):
-    df = spark.createDataFrame(shapes()["cold"], EVENTS)
-    sliced, levels = slice_hot_groups(df, ["part"], "time", ["seq"])
-    assert levels == [] and sliced.columns == df.columns
+def test_slices_are_small_and_ordered(spark, ranges):
+    """One instant with text ties, two hot keys, and a hot key beside a long range of time."""
+    rows = [(1, 0, f"part-{i % 7:05d}", i) for i in range(4000)]
+    rows += [(k, t, "p", t) for k in (2, 3) for t in range(2000)]
+    rows += [(4, 10**15 + i, "p", i) for i in range(2000)] + [(5, 0, "p", 0), (5, 2**62, "p", 1)]
+    df = spark.createDataFrame(rows, "part long, time long, file string, seq long")
+    sliced = ordered_slices(df, ["part"], ["time", "file", "seq"])
+    assert max(sizes(sliced)) <= 2.5 * len(rows) / ranges
+    for part in range(1, 6):
+        own = sorted((tuple(r) for r in sliced.filter(f"part = {part}").collect()))
+        numbers = [r[-1] for r in own]
+        assert numbers == sorted(numbers)
+
+
+def test_hot_keys_of_a_histogram_are_in_small_slices(spark, ranges):
+    """A hot job whose times are short beside the global range."""
+    rows = [(1, i, kind) for i in range(3000) for kind in (1, 4)] + [(2, 0, 1), (2, 10**15, 4)]
+    events = pair_frame(spark, rows)
+    got = pr.pair_histogram(events, pr.pair_totals(events))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(key" in plan and "Broadcast" not in plan.split("rangepartitioning(key")[0].split("Union")[-1]
+    counts = [r["count"] for r in got.orderBy("bin").collect()]
+    assert counts[0] == 9_000_000 and counts[-1] == 1 and sum(counts) == 9_000_001
 
 
 def job_events(seed=3):
@@ -156,8 +165,10 @@ def test_longest_pairs(spark, n):
     assert got == sorted(pairs, key=lambda p: (-p[1], p[0]))[:n]
 
 
-@pytest.mark.parametrize(("slice_rows", "max_broadcast"), [(7, 1000), (1000, 0), (10**6, 1)])
-def test_pair_histogram(spark, slice_rows, max_broadcast):
+@pytest.mark.parametrize("formed", [0, 8, 10**6])
+def test_pair_histogram(spark, ranges, formed, monkeypatch):
+    """All keys counted, some, and none."""
+    monkeypatch.setattr(pr, "FORMED", formed)
     rows, bins = job_events(), 50
     elapsed = [e for _, e in brute_pairs(rows, 1, 4)]
     lo, span = min(elapsed), max(elapsed) - min(elapsed)
@@ -165,7 +176,7 @@ def test_pair_histogram(spark, slice_rows, max_broadcast):
     for e in elapsed:
         want[min((e - lo) * bins // span, bins - 1)] += 1
     events = pair_frame(spark, rows)
-    got = pr.pair_histogram(events, pr.pair_totals(events), bins, slice_rows, max_broadcast)
+    got = pr.pair_histogram(events, pr.pair_totals(events), bins)
     assert [r["count"] for r in got.orderBy("bin").collect()] == want
 
 
@@ -196,3 +207,14 @@ def test_correlation_of_many_to_many_join(spark):
     assert got.pairs == len(joined)
     assert got.cpu_correlation == pytest.approx(joined.cpu_request.corr(joined.cpu_usage), abs=1e-12)
     assert got.memory_correlation is None  # constant requests
+
+
+def test_correlation_with_an_outlier(spark):
+    """One value far from the others, in the first row, leaves the correlation its digits."""
+    rng = random.Random(6)
+    values = [(i, 0, 1e6 + rng.random(), 1 + rng.random()) for i in range(300)]
+    r = spark.createDataFrame([(999, 0, 1e-9, 1.0), *values], "job_id long, task_index long, cpu_request double, memory_request double")
+    s = spark.createDataFrame([(i, 0, c + rng.random() / 10, m) for i, _, c, m in values], "job_id long, task_index long, cpu_usage double, memory_usage double")
+    joined = r.join(s, ["job_id", "task_index"]).toPandas()
+    got = request_usage_correlation(r, s).first()
+    assert got.cpu_correlation == pytest.approx(joined.cpu_request.corr(joined.cpu_usage), abs=1e-6)

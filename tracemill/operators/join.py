@@ -42,14 +42,13 @@ def task_samples(task_usage: DataFrame) -> DataFrame:
 
 
 def join_request_usage(
-    task_events: DataFrame, task_usage: DataFrame, first_only: bool = False
+    task_events: DataFrame, task_usage: DataFrame, first_only: bool = True
 ) -> DataFrame:
-    """Each request of a task next to each of its usage samples.
+    """The first request of a task next to each of its usage samples, one row per sample.
 
-    By default every event of a task meets every sample, so a task with many of
-    both yields their product. ``first_only`` takes the request from the task's
-    first event and yields one row per sample. For the correlations alone use
-    ``request_usage_correlation``, which never forms the rows.
+    With ``first_only=False`` every request of a task meets every sample, so a task
+    with many of both yields their product. For the correlations over all of these
+    use ``request_usage_correlation``, which never forms the rows.
     """
     requests = task_requests(task_events, first_only)
     return requests.join(task_samples(task_usage), TASK).select(
@@ -64,13 +63,13 @@ def request_usage_correlation(requests: DataFrame, samples: DataFrame) -> DataFr
     Each side is aggregated per task before the only join, which is then one row to
     one row: a request value counts once for every sample of its task and the other
     way round, and the sum of products of a task is the product of its sums. Values
-    are taken relative to those of one row, so that sums of squares keep their digits.
+    are taken relative to their side's mean, so that sums of squares keep their digits.
     """
     measures = {"cpu": ("cpu_request", "cpu_usage"), "memory": ("memory_request", "memory_usage")}
 
     def sums(df: DataFrame, side: int, count: str) -> DataFrame:
         columns = [pair[side] for pair in measures.values()]
-        origin = df.select(F.struct(*columns)).limit(1).scalar()
+        origin = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
         near = df.select(*TASK, *[(F.col(c) - origin[c]).alias(c) for c in columns])
         return near.groupBy(*TASK).agg(
             F.count(F.lit(1)).alias(count),

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from tracemill.functions import seconds
 from tracemill.operators.aggregate import all_bins
 from tracemill.operators.clean import events_in, require_fields
-from tracemill.operators.skew import MAX_GROUPS
+from tracemill.operators.skew import SLICE, ordered_slices
 
 # Wide enough for counts and 64-bit times, and for the product of a count and a sum of times.
 WIDE = "decimal(20,0)"
 WIDEST = "decimal(38,0)"
-# Rows in one slice of a key's running count.
-SLICE_ROWS = 1_000_000
+# A key with more pairs per event than this is counted without forming its pairs.
+FORMED = 8
+# Groups over which the events of such a key spread when they meet its totals.
+SALTS = 64
 
 
 def pair_events(
@@ -43,12 +45,13 @@ def pair_events(
     return rows
 
 
-def event_pairs(events: DataFrame, first_only: bool = False) -> DataFrame:
-    """(key, elapsed) in microseconds for every start and every end of a key.
+def event_pairs(events: DataFrame, first_only: bool = True) -> DataFrame:
+    """(key, elapsed) in microseconds for the first start and the first end of a key.
 
-    A key with many of both yields their product; elapsed is negative where an
-    end precedes a start. ``first_only`` takes each key's first start and first
-    end, which needs one aggregate and no join."""
+    One aggregate and no join; elapsed is negative where the end precedes the start.
+    With ``first_only=False`` every start meets every end, and a key with many of both
+    yields their product: for counts, totals or bins of all pairs use the functions
+    below, which do not form them."""
     if first_only:
         first = events.groupBy("key").agg(
             F.min(F.when(F.col("is_start"), F.col("t"))).alias("s"),
@@ -79,7 +82,11 @@ def pair_totals(events: DataFrame) -> DataFrame:
 
     sides = events.groupBy("key").agg(*side(True, "start"), *side(False, "end"))
     total = F.col("start_n") * F.col("end_sum") - F.col("end_n") * F.col("start_sum")
-    return sides.filter((F.col("start_n") > 0) & (F.col("end_n") > 0)).select(
+    # Names all aggregates, so that whoever uses the totals shares one shuffle of them.
+    both = F.col("start_sum").isNotNull() & F.col("end_sum").isNotNull()
+    for name in ("start_min", "start_max", "end_min", "end_max"):
+        both = both & F.col(name).isNotNull()
+    return sides.filter(both & (F.col("start_n") > 0) & (F.col("end_n") > 0)).select(
         "key",
         "start_n",
         "end_n",
@@ -129,18 +136,12 @@ def longest_pairs(
     return pairs.orderBy(F.desc("elapsed"), "key").limit(n)
 
 
-def pair_histogram(
-    events: DataFrame,
-    totals: DataFrame,
-    bins: int = 50,
-    slice_rows: int = SLICE_ROWS,
-    max_broadcast: int = MAX_GROUPS,
-) -> DataFrame:
+def pair_histogram(events: DataFrame, totals: DataFrame, bins: int = 50) -> DataFrame:
     """Histogram of the elapsed seconds of all pairs in ``bins`` equal-width bins.
 
-    Keys with up to ``bins`` pairs per event are paired directly, which is linear
-    in the events. For a key with more, the pairs below each inner edge are counted
-    by a running count of its ends, looked up at every start shifted by the edge.
+    Pairs of keys with few per event are formed, which is linear in the events. For the
+    others, the pairs below each inner edge are counted by a running count of the key's
+    ends, looked up at every start shifted by the edge. Both are always part of the plan.
     Counts are decimals, since the product of two hot counts passes 64 bits.
     """
     one_value = F.col("min") == F.col("max")
@@ -164,88 +165,69 @@ def pair_histogram(
     )
     lo, span = bounds["lo"], bounds["span"]
 
-    heavy = totals.filter(F.col("pairs") > bins * (F.col("start_n") + F.col("end_n")))
-    found = heavy.limit(max_broadcast + 1).collect()
-    few = len(found) <= max_broadcast
-    if found and few:
-        heavy = F.broadcast(totals.sparkSession.createDataFrame(found, heavy.schema))
-    light = events.join(heavy, "key", "left_anti") if found else events
+    # Keys to be counted, in copies that a hot key's events spread over.
+    dense = totals.filter(F.col("pairs") > FORMED * (F.col("start_n") + F.col("end_n")))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    marked = events.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).join(
+        dense.select("key", "end_n", "end_min", "end_max", salt), ["key", "salt"], "left"
+    )
+    formed = event_pairs(marked.filter(F.col("end_n").isNull()), first_only=False)
 
     # Whole-number division: a rounded quotient could reach the next bin.
     offset = (F.col("elapsed").cast(WIDE) - lo) * bins
     bin_of = F.least(F.call_function("div", offset, span).cast("int"), F.lit(bins - 1))
-    counts = (
-        event_pairs(light)
-        .select(bin_of.alias("bin"))
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).cast(WIDEST).alias("count"))
-    )
-    if found:
-        dense = events.join(heavy, "key", "left_semi") if few else events
-        counts = counts.unionByName(_heavy_bins(dense, heavy, bins, bounds["edges"], slice_rows))
-        counts = counts.groupBy("bin").agg(F.sum("count").cast(WIDEST).alias("count"))
+    counts = formed.select(bin_of.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).cast(WIDEST).alias("count"))
+    everything = dense.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast(WIDEST)).scalar()
+    below = _pairs_below(marked.filter(F.col("end_n").isNotNull()), bounds["edges"])
+    counts = counts.unionByName(_between(below, bins, everything))
+    counts = counts.groupBy("bin").agg(F.sum("count").cast(WIDEST).alias("count"))
     width = seconds(span.cast("double")) / bins
     return all_bins(counts, bins, seconds(lo.cast("double")), width)
 
 
-def _heavy_bins(
-    events: DataFrame, heavy: DataFrame, bins: int, edges: Column, slice_rows: int
-) -> DataFrame:
-    """(bin, count) over all pairs of the keys whose totals are in ``heavy``."""
-    # Copies at one instant become one weighted row before rows move by key.
-    rows = events.groupBy("key", "is_start", "t").agg(F.count(F.lit(1)).alias("weight"))
-    # Slices of the key's span of end times, as many as its rows ask for.
-    first, last = F.col("end_min").cast("double"), F.col("end_max").cast("double")
-    slices = F.ceil((F.col("start_n") * bins + F.col("end_n")) / slice_rows).cast("long")
-    rows = rows.join(heavy, "key").withColumn("slices", slices)
-    share = F.coalesce(F.try_divide(F.col("at") - first, last - first), F.lit(0.0))
-    place = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * F.col("slices"))
-
-    # An end stands at its time with i = 0, a start once per inner edge i, shifted by it.
-    ends = rows.filter(~F.col("is_start")).select("*", F.col("t").alias("at"), F.lit(0).alias("i"))
+def _pairs_below(events: DataFrame, edges: Column) -> DataFrame:
+    """(i, below): pairs with less elapsed time than edge i, over keys marked with their totals."""
+    ends = events.filter(~F.col("is_start")).select("key", F.col("t").alias("at"), F.lit(0).alias("i"))
     probes = (
-        rows.filter("is_start")
-        .select("*", F.posexplode(edges).alias("edge", "shift"))
-        .select("*", (F.col("t") + F.col("shift")).alias("at"), (F.col("edge") + 1).alias("i"))
-    )
-    ends, probes = (
-        side.select("key", place.cast("long").alias("slice"), "at", "i", "weight")
-        for side in (ends, probes)
-    )
-
-    # Ends in earlier slices, for every slice of a key.
-    in_slice = ends.groupBy("key", "slice").agg(F.sum("weight").alias("in_slice"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), slices)).alias("slice")
-    in_slice = heavy.select("key", each).join(in_slice, ["key", "slice"], "left")
-    up_to = F.sum("in_slice").over(
-        Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        events.filter("is_start")
+        .select("key", "t", "end_n", "end_min", "end_max", F.posexplode(edges).alias("edge", "shift"))
+        .select("key", (F.col("t") + F.col("shift")).alias("at"), (F.col("edge") + 1).alias("i"), "end_n", "end_min", "end_max")
     )
-    before = in_slice.select("key", "slice", F.coalesce(up_to, F.lit(0)).alias("earlier"))
-
-    # At one instant probes come first: an end at the edge itself is not below it.
-    running = (
-        Window.partitionBy("key", "slice")
-        .orderBy("at", F.col("i") == 0)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A start shifted beyond the key's last end has all ends below it, one before the first has none.
+    beyond = probes.filter(F.col("at") > F.col("end_max")).groupBy("i").agg(F.sum(F.col("end_n")).cast(WIDEST).alias("below"))
+    within = probes.filter((F.col("at") > F.col("end_min")) & (F.col("at") <= F.col("end_max"))).select("key", "at", "i")
+
+    # Copies at one place become one weighted row before they move. At one instant starts
+    # come first: an end at the edge itself is not below it.
+    rows = ends.unionByName(within).groupBy("key", "at", "i").agg(F.count(F.lit(1)).alias("weight"))
+    rows = rows.withColumn("is_end", F.col("i") == 0)
+    rows = ordered_slices(rows, ["key"], ["at", "is_end", "i"])
+    running = Window.partitionBy("key", SLICE).orderBy("at", "is_end", "i")
+    running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends_so_far = F.sum(F.when(F.col("is_end"), F.col("weight")).otherwise(0)).over(running)
+    # Per slice of a key and edge: starts, and the ends of the slice below them.
+    slices = (
+        rows.withColumn("so_far", ends_so_far)
+        .groupBy("key", SLICE, "i")
+        .agg(
+            F.sum(F.col("weight").cast(WIDE)).cast(WIDE).alias("weight"),
+            F.sum((F.col("weight").cast(WIDE) * F.col("so_far")).cast(WIDEST)).cast(WIDEST).alias("inside"),
+        )
     )
-    end_weight = F.when(F.col("i") == 0, F.col("weight")).otherwise(0)
-    below = (
-        # Its own shuffle, so that a hot key leaves the join's partitioning by key.
-        ends.unionByName(probes)
-        .repartition("key", "slice")
-        .withColumn("within", F.sum(end_weight).over(running))
+    before = Window.partitionBy("key").orderBy(SLICE).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = F.sum(F.when(F.col("i") == 0, F.col("weight"))).over(before)
+    counted = (
+        slices.withColumn("earlier", F.coalesce(earlier, F.lit(0)).cast(WIDE))
         .filter(F.col("i") > 0)
-        .join(before, ["key", "slice"])
         .groupBy("i")
-        .agg(
-            F.sum(F.col("weight").cast(WIDE) * (F.col("earlier") + F.col("within")))
-            .cast(WIDEST)
-            .alias("below")
-        )
+        .agg(F.sum((F.col("inside") + F.col("weight") * F.col("earlier")).cast(WIDEST)).cast(WIDEST).alias("below"))
     )
-    everything = heavy.agg(F.sum("pairs")).scalar()
+    return counted.unionByName(beyond).groupBy("i").agg(F.sum("below").cast(WIDEST).alias("below"))
+
 
-    cumulative = events.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("i"))
+def _between(below: DataFrame, bins: int, everything: Column) -> DataFrame:
+    """(bin, count) from the pairs below each edge."""
+    cumulative = below.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("i"))
     cumulative = cumulative.join(F.broadcast(below), "i", "left").select(  # one row per edge
         "i",
         F.when(F.col("i") == bins, everything)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.skew import MAX_ROWS, SPAN_CUTS, slice_hot_groups
+from tracemill.operators.skew import SLICE, ordered_slices
 
 
 def adjacent_pairs(
@@ -19,7 +19,6 @@ def adjacent_pairs(
     tie: Sequence[str] = (),
     kind: str = "event_type",
     carry: Sequence[str] = (),
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Events of type ``a`` directly followed by one of type ``b`` in their partition.
 
@@ -28,9 +27,8 @@ def adjacent_pairs(
     partition columns, the ``carry`` columns of the first event, its ``time`` and
     ``elapsed``, the time to the second. Rows without a time are left out.
 
-    One shuffle by partition and a sort within it. A partition above ``max_rows``
-    is sorted in slices, and pairs that straddle slices are found from the first
-    and last row of each slice.
+    Rows are sorted in slices of their order, whatever the size of a partition or of
+    an instant; pairs that straddle slices come from the first and last row of each.
     """
     part = [part] if isinstance(part, str) else list(part)
     place = list(dict.fromkeys([time, *tie, kind]))
@@ -38,41 +36,38 @@ def adjacent_pairs(
     extra = [c for c in shown if c not in place]
     order = [*place, *extra]
     rows = df.select(*dict.fromkeys([*part, *order])).filter(F.col(time).isNotNull())
-    rows, slices = slice_hot_groups(rows, part, time, tie, max_rows)
-    if len(slices) > SPAN_CUTS and a != b:
-        # There are hot instants, perhaps of copies. Of events alike in all but the carried
-        # columns only the last can begin a pair; the others need not be shuffled.
+    if not tie and a != b:
+        # Of events alike in all but the carried columns only the last can begin a pair,
+        # so copies merge before they move.
         last = F.max(F.struct(F.lit(0), *extra)).alias("_last")
-        alike = list(dict.fromkeys([*part, *slices, *place]))
+        alike = list(dict.fromkeys([*part, *place]))
         rows = rows.groupBy(*alike).agg(last).select(*alike, *[f"_last.{c}" for c in extra])
 
-    window = Window.partitionBy(*part, *slices).orderBy(*order)
-    followed = rows.select(
-        "*", F.lead(kind).over(window).alias("_kind"), F.lead(time).over(window).alias("_time")
+    inside = Window.partitionBy(*part, SLICE).orderBy(*order)
+    seen = ordered_slices(rows, part, [c for c in order if c not in part]).select(
+        "*",
+        F.lead(kind).over(inside).alias("_kind"),
+        F.lead(time).over(inside).alias("_time"),
+        F.row_number().over(inside).alias("_number"),
     )
-
-    def pairs(frame: DataFrame) -> DataFrame:
-        elapsed = (F.col("_time") - F.col(time)).alias("elapsed")
-        return frame.filter((F.col(kind) == a) & (F.col("_kind") == b)).select(
-            *part, *shown, elapsed
-        )
-
-    if not slices:
-        return pairs(followed)
-
-    edges = (
-        rows.filter(F.col(slices[0]).isNotNull())
-        .groupBy(*part, *slices)
-        .agg(F.min(F.struct(*order)).alias("_first"), F.max(F.struct(*order)).alias("_last"))
+    # A pair within a slice is done; the ends of a slice go on as rows of their own.
+    pair = F.coalesce((F.col(kind) == a) & (F.col("_kind") == b), F.lit(False))
+    last = F.col("_time").isNull()
+    roles = F.filter(
+        F.array(F.when(pair, F.lit("pair")), F.when(last | (F.col("_number") == 1), F.lit("end"))),
+        lambda role: role.isNotNull(),
     )
-    across = Window.partitionBy(*part).orderBy(*slices)
-    straddling = edges.select(
-        *part,
-        *[F.col(f"_last.{c}").alias(c) for c in order if c not in part],
-        F.lead(f"_first.{kind}").over(across).alias("_kind"),
-        F.lead(f"_first.{time}").over(across).alias("_time"),
+    few = seen.withColumn("_last", last).withColumn("_role", F.explode(roles))
+    apart = F.when(F.col("_role") == "pair", F.col(SLICE))
+    across = Window.partitionBy(*part, "_role", apart).orderBy(SLICE, *order)
+    followed = few.select(
+        *part, *shown, "_role", "_last",
+        F.when(F.col("_role") == "pair", F.col("_time")).otherwise(F.lead(time).over(across)).alias("_time"),
+        ((F.col(kind) == a) & (F.lead(kind).over(across) == b)).alias("_straddles"),
+    )
+    return followed.filter((F.col("_role") == "pair") | (F.col("_last") & F.col("_straddles"))).select(
+        *part, *shown, (F.col("_time") - F.col(time)).alias("elapsed")
     )
-    return pairs(followed).unionByName(pairs(straddling))
 
 
 def above_mean(df: DataFrame, col: str, k: float = 2, mean: Column | None = None) -> DataFrame:

@@ -1,98 +1,24 @@
-"""Order-preserving slices of groups too large for one task.
+"""Slices of ordered groups: no group has to fit one task.
 
-A window over a key sorts the whole key in one task. ``slice_hot_groups`` gives
-the rows of a hot key slice columns that follow the row order, so the window can
-run per slice and only one row per slice has to be looked at across slices.
+A window over a key sorts the whole key in one task. Here rows are first dealt out by
+ranges of key and order together, so a hot key, a hot instant and ties in any column
+spread over as many tasks as they need. What crosses a slice is found from the first and
+last row of each slice of a key, a few rows per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A group above this many rows is sliced.
-MAX_ROWS = 10_000_000
-# Hot groups are found in a sample that holds about this many rows of each.
-SAMPLED = 1_000
-# Bound of every broadcast list of hot groups. A group left out of a full list
-# holds less than 1/20,000 of the rows.
-MAX_GROUPS = 20_000
-# Equal-width slices are uneven, so aim below the limit.
-HEADROOM = 4
-# Cuts by spans of time before a group is cut into its instants.
-SPAN_CUTS = 2
+SLICE = "_slice"
 
 
-def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on ``keys`` in which NULL equals NULL, as in grouping."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & a[k].eqNullSafe(b[k])
-    return condition
+def ordered_slices(df: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with ``_slice``, a number that rises along ``order`` within each ``part``.
 
-
-def _is(df: DataFrame, col: str, kind: type) -> bool:
-    return isinstance(df.schema[col].dataType, kind)
-
-
-def _span(value: Column, cells: Column) -> Column:
-    """Index of the equal-width span between the group's ``_lo`` and ``_hi`` the value
-    falls into. Rounding to double is monotone, so spans keep the order of the values,
-    also of those outside the range of the sample; NULL sorts first."""
-    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
-    share = F.try_divide(value.cast("double") - lo, hi - lo)
-    within = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return F.when(value.isNull(), -1).otherwise(F.floor(within * cells))
-
-
-def slice_hot_groups(
-    df: DataFrame, part: Sequence[str], time: str, tie: Sequence[str] = (), max_rows: int = MAX_ROWS
-) -> tuple[DataFrame, list[str]]:
-    """Slice every group of ``part`` above ``max_rows`` along (time, tie).
-
-    Returns the rows and the names of the slice columns added, which are NULL for
-    groups that fit one task. Sorting by them agrees with sorting by (time, tie).
-
-    A hot group is cut into equal spans of time, a span still too full once more and
-    then into its instants, and an instant that is itself hot along the first tie
-    column if that is a number. Before each cut the hot groups are counted in a
-    sample; it decides only where to cut, so it cannot change a result. Without hot
-    groups the rows are returned as they are.
+    Rows that agree in all of these columns are in one slice; nothing else has to be.
     """
-    cuts = [(time, _span)] * SPAN_CUTS
-    if _is(df, time, T.IntegralType):
-        cuts.append((time, lambda value, cells: value.cast("long")))
-        if tie and _is(df, tie[0], T.NumericType):
-            cuts += [(tie[0], _span), (tie[0], _span)]
-
-    fraction = min(1.0, SAMPLED / max_rows)
-    levels: list[str] = []
-    for number, (column, place) in enumerate(cuts):
-        rows = df.filter(F.col(levels[-1]).isNotNull()) if levels else df
-        counts = rows.sample(fraction, seed=0) if fraction < 1 else rows
-        hot = (
-            counts.groupBy(*part, *levels)
-            .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.min(column).alias("_lo"),
-                F.max(column).alias("_hi"),
-            )
-            .filter(F.col("_n") > max_rows * fraction)
-            .orderBy(F.desc("_n"))
-            .limit(MAX_GROUPS)
-        )
-        found = hot.collect()  # MAX_GROUPS narrow rows at most, whatever the input
-        if not found:
-            break
-        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-        cells = F.ceil(F.col("_n") * HEADROOM / (max_rows * fraction))
-        level = f"_slice{number}"
-        df = df.join(hot, same(df, hot, [*part, *levels]), "left").select(
-            *[df[c] for c in df.columns],
-            F.when(F.col("_n").isNotNull(), place(df[column], cells)).cast("long").alias(level),
-        )
-        levels.append(level)
-    return df, levels
+    return df.repartitionByRange(*part, *order).withColumn(SLICE, F.spark_partition_id())

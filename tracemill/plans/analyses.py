@@ -30,8 +30,6 @@ from tracemill.operators.join import (
 )
 from tracemill.operators.order import sorted_by
 from tracemill.operators.sequence import adjacent_pairs
-from tracemill.operators.skew import MAX_ROWS
-from tracemill.session import materialize
 from tracemill.sources.catalog import EVICT, FINISH, MACHINE_ADD, MACHINE_REMOVE, SCHEDULE, SUBMIT
 
 EVENT = ["time", "job_id", "event_type"]
@@ -165,7 +163,6 @@ def power_lost(
     machine_events: DataFrame,
     tie: Sequence[str] = (),
     trace_only: bool = False,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """CPU-hours lost to downtime, CPU-hours available, and the percentage.
 
@@ -178,7 +175,7 @@ def power_lost(
         rows = within_trace(rows)
     rows = rows.withColumn("capacity", zero_if_missing("cpus"))
     downtime = adjacent_pairs(
-        rows, "machine_id", MACHINE_REMOVE, MACHINE_ADD, tie=tie, carry=["capacity"], max_rows=max_rows
+        rows, "machine_id", MACHINE_REMOVE, MACHINE_ADD, tie=tie, carry=["capacity"]
     )
     lost = downtime.agg(
         F.coalesce(F.sum(F.col("capacity") * seconds("elapsed") / 3600), F.lit(0.0)).alias(
@@ -214,7 +211,6 @@ def _mean_row(totals: DataFrame, mean: str) -> DataFrame:
 
 
 def _outliers(events: DataFrame, totals: DataFrame, name: str) -> DataFrame:
-    totals = materialize(totals, "pair-totals")
     threshold = pr.pair_mean(totals).select(F.col("mean") * OUTLIER_FACTOR * 1e6).scalar()
     longest = pr.longest_pairs(events, totals, LISTED, above=threshold)
     return longest.select(F.col("key").alias("job_id"), seconds("elapsed").alias(name))
@@ -241,7 +237,6 @@ def latency_by_hour(
     tie: Sequence[str] = (),
     per_job: bool = False,
     trace_only: bool = False,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Mean gap per hour between a SUBMIT and a SCHEDULE directly after it.
 
@@ -253,7 +248,7 @@ def latency_by_hour(
         rows = within_trace(rows)
     rows = rows.withColumn("hour", hour_bucket("time"))
     part = ["hour", "job_id"] if per_job else ["hour"]
-    gaps = adjacent_pairs(rows, part, SUBMIT, SCHEDULE, tie=tie, max_rows=max_rows)
+    gaps = adjacent_pairs(rows, part, SUBMIT, SCHEDULE, tie=tie)
     means = agg.mean_by(gaps, "hour", "elapsed")
     return means.select("hour", seconds("mean").alias("mean_latency_seconds"))
 
@@ -271,7 +266,7 @@ def duration_histogram(
 ) -> DataFrame:
     """Histogram of job durations in seconds."""
     events, totals = _job_pairs(job_events, SCHEDULE, FINISH, first_only, trace_only)
-    return pr.pair_histogram(events, materialize(totals, "pair-totals"), bins)
+    return pr.pair_histogram(events, totals, bins)
 
 
 def long_jobs(
