@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trace_files import job_rows, task_rows, write_part
 from tracemill.functions import hour_bucket, pct, ratio, to_number, zero_if_missing
 from tracemill.operators.clean import fill_missing, require_fields, require_nonempty, valid_time
+from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import TABLES, mandatory_fields, table_schema
 from tracemill.sources.replay import event_replay, replay_order, write_replay
 from tracemill.sources.tables import POSITION, read_table, write_table
@@ -145,9 +146,37 @@ def test_routing_by_job(tables):
     assert {(r.key, r.partition) for r in routed} == {("1", 1), ("2", 2), ("3", 3)}
 
 
-def test_topic_files_keep_time_order(spark, tables, tmp_path):
-    path = str(tmp_path / "topics")
-    write_replay(*tables, path=path)
-    for file in (tmp_path / "topics").rglob("*.txt"):
-        times = [json.loads(line)["time"] for line in file.read_text().splitlines()]
-        assert times == sorted(times) and len({t % 12 for t in times}) == 1
+def test_topic_files_follow_time(spark, tables, tmp_path):
+    """Files hold ranges of time, and their modification times follow."""
+    path = tmp_path / "topics"
+    write_replay(*tables, files=4, path=str(path))
+    for topic in ("job-events", "task-events"):
+        files = sorted((path / f"topic={topic}").glob("part-*"), key=lambda f: f.stat().st_mtime)
+        assert [f.name for f in files] == sorted(f.name for f in files) and len(files) > 1
+        times = [json.loads(line)["time"] for f in files for line in f.read_text().splitlines()]
+        assert times == sorted(times)
+
+
+def test_events_without_a_time(spark):
+    """They are filled and lead the feed, or are dropped."""
+    jobs = spark.createDataFrame([(None, 1, 0), (5, 2, 0)], "time long, job_id long, event_type long")
+    tasks = spark.createDataFrame([(3, 2, 0, 1), (None, 2, 1, 1)], "time long, job_id long, task_index long, event_type long")
+    feed = event_replay(jobs, tasks, []).collect()
+    assert [r.time for r in feed] == [0, 0, 3, 5]
+    assert [r.time for r in event_replay(jobs, tasks, [], drop_untimed=True).collect()] == [3, 5]
+
+
+def test_json_numbers(spark, tmp_path):
+    """An exponent is part of a number."""
+    rows = [(i, "2024-01-01 00:00:00", 1, "view", 1.0, p) for i, p in enumerate(['{"k": 1e-3}', '{"k": -2.5E2}', "{}", "no"])]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.memory_request for r in Trace(spark, str(tmp_path)).task_events.collect()}
+    assert got == {0: 1e-5, 1: -2.5, 2: None, 3: None}
+
+
+def test_equal_part_names_in_two_folders(spark, tmp_path):
+    for name in ("a", "b"):
+        write_part(tmp_path / name, [[i, "", 1, 0, "u", 0, "", ""] for i in range(3)])
+    df = read_table(spark, "job_events", [str(tmp_path / "a"), str(tmp_path / "b")], position=True)
+    assert df.select("source_file").distinct().count() == 2

@@ -7,10 +7,13 @@ import os
 
 import pytest
 
+from tracemill.registry.queries import staged_topic
+from tracemill.session import shared_folder
+from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import TASK_TOPIC
 from tracemill.sources.topics import read_topic
 from tracemill.streaming import jobs, sinks
-from tracemill.streaming.windows import event_counts, machine_usage, with_event_time
+from tracemill.streaming.windows import event_counts, hopping, machine_totals, machine_usage, with_event_time
 
 MINUTE = 60_000_000
 KEYS = ["window_start", "window_end", "machine_id"]
@@ -78,7 +81,7 @@ def test_no_watermark_keeps_late_events(spark, tmp_path):
 
 
 def test_stream_equals_static_table(spark, tmp_path):
-    events = [task(m, m % 3, m / 8) for m in range(40)]
+    events = [task(m, m % 3, m / 8) for m in range(1, 41)]
     root = put(tmp_path / "t", TASK_TOPIC, [events[i : i + 10] for i in range(0, 40, 10)])
     got, _ = usage(spark, root)
     static = spark.createDataFrame(events)
@@ -120,6 +123,94 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
     assert totals(got)[(8, 1)] == 4.75
 
 
+MARKERS = [task(0, 1, 5.0) | {"time": 0}, task(0, 1, 5.0) | {"time": 2**63 - 1}]
+
+
+def test_marker_times(spark, tmp_path):
+    """Times before and after the trace are no windows and move no watermark."""
+    batches = [[*FIRST, *MARKERS], [task(12, 1, 1.0)], [task(13, 1, 1.0)]]
+    got, query = usage(spark, put(tmp_path / "t", TASK_TOPIC, batches))
+    assert totals(got)[(12, 1)] == 2.0 and totals(got)[(9, 1)] == 2.75
+    assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 0
+    static = with_event_time(spark.createDataFrame([*FIRST, *MARKERS]), trace_only=True)
+    assert machine_totals(static).count() == 2 and machine_usage(static).count() == 6
+    metrics = jobs.machine_metrics_stream(spark, fmt="text", path=str(tmp_path / "t"), maxFilesPerTrigger="1")
+    run(sinks.metrics_sink(metrics, f"{tmp_path}/m"), tmp_path, "m")
+    assert spark.read.parquet(f"{tmp_path}/m").agg({"window_end": "max"}).first()[0].minute == 14
+
+
+def test_bounded_batches_lose_nothing(spark):
+    """The staged topic has many files, and no batch is behind the watermark."""
+    folder = "/root/testdata/sf0.001"
+    path = staged_topic(spark, folder)
+    windows = jobs.resource_usage_stream(spark, fmt="text", path=path, maxFilesPerTrigger="1")
+    out = shared_folder(spark, "updates")
+    query = sinks.start(sinks.batch_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True)
+    query.awaitTermination()
+    assert len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) >= 5
+    assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 0
+    got = sinks.latest_updates(spark.read.parquet(out), KEYS)
+    want = machine_usage(with_event_time(Trace(spark, folder).task_events.fillna(0, ["machine_id"])))
+    assert got.count() == want.count()
+
+
+@pytest.mark.parametrize("duration", ["5 minutes", "interval 5 minutes", "INTERVAL 300 seconds"])
+def test_durations_as_spark_takes_them(spark, duration):
+    df = with_event_time(spark.createDataFrame([(0, 1), (MINUTE, 1)], "time long, machine_id long"))
+    got = hopping(df, ["machine_id"], {"n": ("count", "*")}, duration=duration, slide="1 minute")
+    assert got.count() == 6 and got.agg({"n": "max"}).first()[0] == 2
+    odd = hopping(df, ["machine_id"], {"n": ("count", "*")}, duration="5 minutes", slide="2 minutes")
+    assert odd.agg({"n": "sum"}).first()[0] >= 4
+
+
+def test_metric_range_reads_the_newest_hours(spark, tmp_path):
+    batches = [[task(m, 1, m / 8)] for m in (10, 70, 130, 190, 191)]
+    windows = jobs.machine_metrics_stream(spark, fmt="text", path=put(tmp_path / "t", TASK_TOPIC, batches), maxFilesPerTrigger="1")
+    run(sinks.metrics_sink(windows, f"{tmp_path}/m"), tmp_path, "m")
+    series = spark.read.parquet(f"{tmp_path}/m")
+    recent = sinks.metric_range(series, "total_cpu_usage")
+    assert [r.value for r in recent.orderBy("window_end").collect()] == [190 / 8, 191 / 8]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert sum(sinks.HOUR in line for line in plan.splitlines() if "PartitionFilters" in line) >= 2
+    sinks.compact_metrics(spark, f"{tmp_path}/m", f"{tmp_path}/compact")
+    again = sinks.metric_range(spark.read.parquet(f"{tmp_path}/compact"), "total_cpu_usage")
+    assert again.count() == 2
+
+
+def test_push_evaluates_a_batch_once(spark, tmp_path):
+    """What is pushed is what was written."""
+    pushed = {}
+    windows = jobs.machine_metrics_stream(spark, fmt="text", path=put(tmp_path / "t", TASK_TOPIC, [FIRST]))
+    writer = sinks.metrics_sink(windows, f"{tmp_path}/m", push=lambda df, i: pushed.update({i: (sorted(map(tuple, df.collect())), df.inputFiles())}))
+    run(writer, tmp_path, "m")
+    rows, files = pushed[0]
+    assert files and all("/m/batch_id=0/" in f for f in files)
+    assert rows == sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/m").select("job", "metric", "machine_id", "value", "window_end").collect())
+
+
+def test_finite_streams_all_finish(spark, tmp_path):
+    """The first to end does not cut the others short; a failing one does, and is raised."""
+    small = put(tmp_path / "a", TASK_TOPIC, [FIRST])
+    large = put(tmp_path / "b", TASK_TOPIC, [[task(m, 1, 1.0)] for m in range(10, 16)])
+    outs = []
+    for i, root in enumerate((small, large)):
+        windows = jobs.resource_usage_stream(spark, fmt="text", path=root, maxFilesPerTrigger="1")
+        outs.append(sinks.start(sinks.batch_sink(windows, f"{root}/out"), f"{root}/c", available_now=True))
+    sinks.run_streams(spark, outs)
+    got = sinks.latest_updates(spark.read.parquet(f"{large}/out"), KEYS)
+    assert totals(got)[(11, 1)] == 5.0 and not any(q.isActive for q in outs)
+
+    def fail(df, i):
+        raise ValueError("no gateway")
+
+    windows = jobs.machine_metrics_stream(spark, fmt="text", path=small)
+    endless = sinks.start(sinks.console_sink(jobs.resource_usage_stream(spark, fmt="text", path=large)), f"{large}/e")
+    failing = sinks.start(sinks.metrics_sink(windows, f"{small}/m", push=fail), f"{small}/f")
+    with pytest.raises(Exception, match="no gateway"):
+        sinks.run_streams(spark, [endless, failing])
+    assert not endless.isActive
+
+
 def test_streams_run_together(spark, tmp_path):
     root = put(tmp_path / "t", TASK_TOPIC, [FIRST])
     put(tmp_path / "t" / "j", "job-events", [[{"time": MINUTE, "job_id": 1, "user": "u", "event_type": 0}]])

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the results or the scale of the analyses depend on.
 SETTINGS = {
@@ -40,24 +39,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder:
-    on a cluster, executors could not see it.
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``, or below
+    the warehouse where that is unset; all executors see either. It goes when the session's
+    JVM ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="tracemill-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written once to the shared folder and read back.
-
-    For results much smaller than their input that a query uses several times, where
-    Spark would otherwise run the input through again for each use."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

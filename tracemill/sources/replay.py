@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.clean import fill_missing, valid_time
-from tracemill.sources.catalog import table_schema
+from tracemill.sources.catalog import JOB_TOPIC, TASK_TOPIC, table_schema
 from tracemill.sources.tables import POSITION
-from tracemill.sources.topics import route_events, write_topic
+from tracemill.sources.topics import date_in_order, route_events, write_topic
 
 RANK = "topic_rank"
 
@@ -34,14 +34,16 @@ def replay_order(
     return union_events(job_events, task_events).orderBy("time", RANK, *tie)
 
 
-def _feed(job_events: DataFrame, task_events: DataFrame) -> DataFrame:
-    """Both tables with missing fields filled and events without a time dropped."""
-    return union_events(
-        *[
-            valid_time(fill_missing(df, table_schema(name)))
-            for name, df in (("job_events", job_events), ("task_events", task_events))
-        ]
-    )
+def _feed(job_events: DataFrame, task_events: DataFrame, drop_untimed: bool = False) -> DataFrame:
+    """Both tables with missing fields filled.
+
+    An event without a time is filled like any other field: it gets time 0 and stands at
+    the head of the feed. ``drop_untimed`` drops it before that."""
+
+    def filled(name: str, df: DataFrame) -> DataFrame:
+        return fill_missing(valid_time(df) if drop_untimed else df, table_schema(name))
+
+    return union_events(filled("job_events", job_events), filled("task_events", task_events))
 
 
 def _routed(feed: DataFrame, tie: Sequence[str]) -> DataFrame:
@@ -50,24 +52,49 @@ def _routed(feed: DataFrame, tie: Sequence[str]) -> DataFrame:
 
 
 def event_replay(
-    job_events: DataFrame, task_events: DataFrame, tie: Sequence[str] = POSITION
+    job_events: DataFrame, task_events: DataFrame, tie: Sequence[str] = POSITION, drop_untimed: bool = False
 ) -> DataFrame:
     """(topic, partition, key, value, time) of every event in replay order."""
-    ordered = _feed(job_events, task_events).orderBy("time", RANK, *tie)
+    ordered = _feed(job_events, task_events, drop_untimed).orderBy("time", RANK, *tie)
     return _routed(ordered, tie).select(
         "topic", "partition", "key", "value", F.col("sent").alias("time")
     )
 
 
 def write_replay(
-    job_events: DataFrame, task_events: DataFrame, tie: Sequence[str] = POSITION, **sink: str
+    job_events: DataFrame,
+    task_events: DataFrame,
+    tie: Sequence[str] = POSITION,
+    files: int | None = None,
+    spans: int = 1,
+    drop_untimed: bool = False,
+    **sink: str,
 ) -> None:
     """Write the replay feed to its topics; ``sink`` as for ``write_topic``.
 
-    Each task holds a range of time and writes every topic partition in replay
-    order. Ranges are written side by side, so a reader puts them in order by event
-    time and lateness, as it must anyway across partitions.
+    As files, every task writes one range of time, for each topic a file in replay order,
+    and the files' modification times follow their ranges. A stream takes files by that
+    time, so with any number of files a batch no event is behind the watermark of the
+    batches before. ``files`` is the number of ranges, by default as many as the shuffle
+    has.
+
+    On Kafka a task appends its range to every topic partition beside other tasks, so
+    ``spans`` ranges of time with about as many events each are written one after the
+    other; a bounded stream is complete if each is shorter than its lateness.
     """
-    ranges = _feed(job_events, task_events).repartitionByRange("time", RANK, *tie)
-    routed = _routed(ranges, tie).sortWithinPartitions("topic", "partition", "sent", *tie)
-    write_topic(routed, **sink)
+    feed = _feed(job_events, task_events, drop_untimed)
+    order = ["time", RANK, *tie]
+    if sink.get("fmt") == "kafka":
+        cuts = feed.approxQuantile("time", [i / spans for i in range(1, spans)], 0.001) if spans > 1 else []
+        bounds = [None, *sorted(set(cuts)), None]
+        for lo, hi in zip(bounds, bounds[1:]):
+            span = feed if lo is None else feed.filter(F.col("time") >= lo)
+            span = span if hi is None else span.filter(F.col("time") < hi)
+            routed = _routed(span.repartitionByRange(*order), tie)
+            write_topic(routed.sortWithinPartitions("topic", "partition", "sent", *tie), **sink)
+        return
+    ranges = feed.repartitionByRange(files, *order) if files else feed.repartitionByRange(*order)
+    routed = _routed(ranges, tie).sortWithinPartitions("topic", "sent", RANK, *tie)
+    write_topic(routed, by=["topic"], **sink)
+    for topic in (JOB_TOPIC, TASK_TOPIC):
+        date_in_order(feed.sparkSession, f"{sink['path']}/topic={topic}")

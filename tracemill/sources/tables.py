@@ -43,7 +43,7 @@ def read_table(
     columns = [F.col(f.name).try_cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema]
     if position:
         columns += [
-            F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("source_block"),
             F.monotonically_increasing_id().alias("seq"),
         ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,13 +84,34 @@ def route_events(
 
 
 def write_topic(
-    df: DataFrame, fmt: str = "text", path: str | None = None, servers: str | None = None, **options: str
+    df: DataFrame,
+    fmt: str = "text",
+    path: str | None = None,
+    servers: str | None = None,
+    by: Sequence[str] = ("topic", "partition"),
+    **options: str,
 ) -> None:
-    """Write routed events to Kafka, or as lines of JSON below ``topic=/partition=`` folders."""
+    """Write routed events to Kafka, or as lines of JSON below folders for ``by``."""
     if fmt == "kafka":
         columns = ["topic", "partition", "key", "value"]
         writer = df.select(*columns).write.format("kafka").option("kafka.bootstrap.servers", servers)
         writer.options(**options).save()
     else:
-        writer = df.select("topic", "partition", "value").write.partitionBy("topic", "partition")
+        writer = df.select(*by, "value").write.partitionBy(*by)
         writer.options(**options).text(path)
+
+
+def date_in_order(spark: SparkSession, folder: str) -> None:
+    """Give the part files of a folder modification times that rise with their names,
+    the order in which a file stream takes them. Touches no data."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.isFile()), key=lambda f: f.getName())
+    newest = max((fs.getFileStatus(f).getModificationTime() for f in files), default=0)
+    for i, file in enumerate(files):
+        fs.setTimes(file, newest - 1000 * (len(files) - 1 - i), -1)
+    times = [fs.getFileStatus(f).getModificationTime() for f in files]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise OSError(f"{folder}: its store keeps no modification times; read it in one batch")

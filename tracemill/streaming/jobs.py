@@ -1,4 +1,7 @@
-"""The streaming jobs: topic to decoded events to windows."""
+"""The streaming jobs: topic to decoded events to windows.
+
+Marker times before and after the trace are left out unless ``trace_only`` is false.
+"""
 
 from __future__ import annotations
 
@@ -19,25 +22,25 @@ METRIC_FIELDS = ["time", "job_id", "machine_id", "cpu_request", "memory_request"
 
 
 def resource_usage_stream(
-    spark: SparkSession, lateness: str | None = LATENESS, **source: str
+    spark: SparkSession, lateness: str | None = LATENESS, trace_only: bool = True, **source: str
 ) -> DataFrame:
     """Requested resources per machine in hopping windows, from the task topic."""
     events = decode_events(read_topic(spark, TASK_TOPIC, **source), event_schema("task_events"))
-    return machine_usage(with_event_time(events), lateness)
+    return machine_usage(with_event_time(events, trace_only=trace_only), lateness)
 
 
 def event_counts_stream(
-    spark: SparkSession, lateness: str | None = LATENESS, **source: str
+    spark: SparkSession, lateness: str | None = LATENESS, trace_only: bool = True, **source: str
 ) -> DataFrame:
     """Events per user and type in hopping windows, from the job topic."""
     events = decode_events(read_topic(spark, JOB_TOPIC, **source), event_schema("job_events"))
-    return event_counts(with_event_time(events), lateness)
+    return event_counts(with_event_time(events, trace_only=trace_only), lateness)
 
 
 def machine_metrics_stream(
-    spark: SparkSession, lateness: str | None = LATENESS, **source: str
+    spark: SparkSession, lateness: str | None = LATENESS, trace_only: bool = True, **source: str
 ) -> DataFrame:
     """Requested resources per machine in tumbling windows, from the task topic."""
     schema = event_schema("task_events", METRIC_FIELDS)
     events = decode_events(read_topic(spark, TASK_TOPIC, **source), schema)
-    return machine_totals(with_event_time(events), lateness)
+    return machine_totals(with_event_time(events, trace_only=trace_only), lateness)

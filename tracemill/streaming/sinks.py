@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 METRIC_JOB = "spark_job_metrics"
 METRICS = ["total_cpu_usage", "total_memory_usage"]
 RANGE_MINUTES = 5
+# Partition column of the metric series: the hour in which a window ends.
+HOUR = "end_hour"
 
 
 def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -70,39 +73,70 @@ def newest_gauges(metrics: DataFrame) -> DataFrame:
 def metrics_sink(
     df: DataFrame, path: str, job: str = METRIC_JOB, push: Callable[[DataFrame, int], None] | None = None
 ) -> DataStreamWriter:
-    """Write the gauges of each batch as Parquet, one folder per batch and metric.
+    """Write the gauges of each batch as Parquet, by batch, metric and hour of the window's end.
 
     A batch run again replaces itself. ``push`` may also hand each batch's gauges
-    to another system; it receives a DataFrame, not collected rows.
+    to another system; it receives the rows just written, as a DataFrame.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         gauges = newest_gauges(to_metrics(batch, job=job))
-        writer = gauges.write.mode("overwrite").partitionBy("metric")
-        writer.parquet(f"{path}/batch_id={batch_id}")
+        out = f"{path}/batch_id={batch_id}"
+        gauges.withColumn(HOUR, _hour_of("window_end")).write.mode("overwrite").partitionBy("metric", HOUR).parquet(out)
         if push:
-            push(gauges, batch_id)
+            schema = gauges.withColumn(HOUR, F.lit("")).schema
+            push(batch.sparkSession.read.schema(schema).parquet(out).select(*gauges.columns), batch_id)
 
     return df.writeStream.outputMode("update").foreachBatch(write)
 
 
+def compact_metrics(spark: SparkSession, path: str, out: str) -> None:
+    """The batches that ``metrics_sink`` wrote as one folder for each metric and hour, in few files."""
+    written = spark.read.parquet(path)
+    written.repartition("metric", HOUR).write.partitionBy("metric", HOUR).parquet(out)
+
+
+def _hour_of(time: str) -> Column:
+    return F.date_format(time, "yyyy-MM-dd-HH")
+
+
 def metric_range(
     df: DataFrame, metric: str, minutes: int = RANGE_MINUTES, job: str | None = METRIC_JOB
 ) -> DataFrame:
-    """The samples of one metric of a job whose window ends in the last minutes recorded."""
+    """The samples of one metric of a job whose window ends in the last minutes recorded.
+
+    Of a series by hour, only the newest hours are read."""
     series = df.filter(F.col("metric") == metric)
     if job:
         series = series.filter(F.col("job") == job)
-    newest = series.agg(F.max("window_end")).scalar()
-    return series.filter(F.col("window_end") >= newest - F.expr(f"interval {minutes} minutes"))
+    back = F.expr(f"interval {minutes} minutes")
+    recent = series
+    if HOUR in df.columns:
+        last_hour = series.agg(F.max(HOUR)).scalar()
+        recent = series.filter(F.col(HOUR) == last_hour)
+    newest = recent.agg(F.max("window_end")).scalar()
+    if HOUR in df.columns:
+        first = F.to_timestamp(last_hour, "yyyy-MM-dd-HH") - back
+        series = series.filter(F.col(HOUR) >= F.date_format(first, "yyyy-MM-dd-HH"))
+    return series.filter(F.col("window_end") >= newest - back)
 
 
 def run_streams(
     spark: SparkSession, queries: Sequence[StreamingQuery], timeout: float | None = None
 ) -> None:
-    """Wait until one of the streams ends, then stop the others. An error in one is raised."""
+    """Run the streams until all have ended, or the timeout in seconds. When one fails, or
+    at the timeout, the others are stopped; the failure is raised."""
+    until = None if timeout is None else time.monotonic() + timeout
     try:
-        spark.streams.awaitAnyTermination(timeout)
+        for query in queries:
+            while query.isActive and not any(q.exception() for q in queries):
+                left = None if until is None else until - time.monotonic()
+                if left is not None and left <= 0:
+                    return
+                query.awaitTermination(min(1.0, left) if left is not None else 1.0)
+        for query in queries:
+            if query.exception():
+                raise query.exception()
     finally:
         for query in queries:
             query.stop()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import event_time
+from tracemill.operators.clean import within_trace
 
 TIME = "event_time"
 # Window length and slide, and how late an event may come.
@@ -18,8 +20,11 @@ SHORT_WINDOW = "1 minute"
 LATENESS = "5 minutes"
 
 
-def with_event_time(df: DataFrame, time: str = "time") -> DataFrame:
-    return df.withColumn(TIME, event_time(time))
+def with_event_time(df: DataFrame, time: str = "time", trace_only: bool = False) -> DataFrame:
+    """The rows with their time as a timestamp. ``trace_only`` leaves out the marker times
+    before and after the trace: the latter has no window, and would push a watermark past
+    every event."""
+    return (within_trace(df, time) if trace_only else df).withColumn(TIME, event_time(time))
 
 
 def with_lateness(df: DataFrame, lateness: str | None = LATENESS, time: str = TIME) -> DataFrame:
@@ -46,8 +51,15 @@ def _aggregate(kind: str, column: str) -> Column:
     )
 
 
-def _interval(length: pd.Timedelta) -> Column:
-    return F.make_dt_interval(secs=F.lit(length.total_seconds()))
+def _interval(length: str) -> Column:
+    """A duration as ``F.window`` takes it, with or without the word."""
+    return F.expr("interval " + re.sub(r"(?i)^\s*interval\s+", "", length))
+
+
+def _whole_slides(df: DataFrame, duration: str, slide: str) -> bool:
+    """Whether slides fill a window; intervals are read by Spark, without a job."""
+    length, step = df.sparkSession.sql("select 1").select(_interval(duration), _interval(slide)).first()
+    return length % step == datetime.timedelta(0)
 
 
 def hopping(
@@ -64,8 +76,7 @@ def hopping(
     slide and key, so that only these rows, not the events, are copied into every
     window that covers them.
     """
-    length, step = pd.Timedelta(duration), pd.Timedelta(slide)
-    if df.isStreaming or length % step != pd.Timedelta(0):
+    if df.isStreaming or not _whole_slides(df, duration, slide):
         window = F.window(TIME, duration, slide).alias("window")
         grouped = with_lateness(df, lateness).groupBy(window, *keys)
         aggs = [_aggregate(*agg).alias(name) for name, agg in aggregates.items()]
@@ -81,10 +92,6 @@ def hopping(
             *[F.count(c).alias(f"_count_{c}") for c in columns],
         )
     )
-    if keys:
-        # A key has one row per slide at most, so all of them fit one task; the copies
-        # for overlapping windows are then made and merged where they are.
-        panes = panes.repartition(*keys)
 
     def merged(kind: str, column: str) -> Column:
         if kind == "count":
@@ -92,11 +99,11 @@ def hopping(
         total = F.sum(f"_sum_{column}")
         return total if kind == "sum" else F.try_divide(total, F.sum(f"_count_{column}"))
 
-    earliest = F.col("_pane") - _interval(length - step)
-    starts = F.sequence(earliest, F.col("_pane"), _interval(step))
+    earliest = F.col("_pane") - (_interval(duration) - _interval(slide))
+    starts = F.sequence(earliest, F.col("_pane"), _interval(slide))
     grouped = panes.withColumn("window_start", F.explode(starts)).groupBy("window_start", *keys)
     totals = grouped.agg(*[merged(*agg).alias(name) for name, agg in aggregates.items()])
-    end = F.col("window_start") + _interval(length)
+    end = F.col("window_start") + _interval(duration)
     return totals.select("window_start", end.alias("window_end"), *keys, *aggregates)
 
 
