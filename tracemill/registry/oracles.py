@@ -30,20 +30,34 @@ machine_events as (
     cast(json_extract_string(props, '$.k') as double) / 100 as memory, event_id
   from events),
 task_usage as (
-  select time - time % 300000000 as start_time, job_id, task_index, machine_id,
-    cpu_request as cpu_rate, memory_request as canonical_memory_usage, event_type, event_id
-  from task_events)
+  select t.time - t.time % 300000000 as start_time, t.time - t.time % 300000000 + 300000000 as end_time,
+    t.job_id, t.task_index, t.machine_id,
+    k / 100 as cpu_rate, value / 500 as canonical_memory_usage, value / 250 as assigned_memory_usage,
+    cast(null as double) as unmapped_page_cache, k / 50 as total_page_cache, value / 400 as maximum_memory_usage,
+    user_id / 8 as disk_io_time, k / 200 as local_disk_space_usage, k / 25 as maximum_cpu_rate,
+    user_id / 4 as maximum_disk_io_time, cast(null as double) as cycles_per_instruction,
+    cast(null as double) as memory_accesses_per_instruction, 1e0 as sample_portion,
+    event_id % 2 = 0 as aggregation_type, k / 400 as sampled_cpu_usage, event_id
+  from (select *, cast(json_extract_string(props, '$.k') as double) as k from events) join task_events t using (event_id))
 """
 
 UNION = """, all_events as (
-  select event_id, 0 as topic_rank, time, job_id, null::bigint as task_index,
-    null::bigint as machine_id, event_type, user, scheduling_class, job_name,
-    null::double as cpu_request, null::double as memory_request from job_events
-  union all
-  select event_id, 1, time, job_id, task_index, machine_id, event_type, user, scheduling_class,
-    null, cpu_request, memory_request from task_events)
+  select *, 0 as topic_rank from job_events union all by name select *, 1 as topic_rank from task_events)
 """
 
+# The fields of a record after missing ones are filled; a job's record has no task fields.
+RECORD = """time, coalesce(missing_info, 0) as missing_info, job_id, task_index,
+  case topic_rank when 1 then coalesce(machine_id, 0) end as machine_id, event_type, user,
+  coalesce(scheduling_class, 0) as scheduling_class, priority,
+  round(cpu_request, 9) as cpu_request, round(memory_request, 9) as memory_request,
+  case topic_rank when 1 then coalesce(disk_space_request, 0) end as disk_space_request,
+  different_machines_restriction"""
+JOB_FIELDS = """case topic_rank when 0 then coalesce(job_name, 'unknown') end as job_name,
+  case topic_rank when 0 then 'unknown' end as logical_job_name"""
+ROUTED = """case topic_rank when 0 then 'job-events' else 'task-events' end as topic,
+  cast(time % 12 as integer) as partition, cast(job_id as varchar) as key"""
+SHOWN = "* replace (round(cpu_request, 9) as cpu_request, round(memory_request, 9) as memory_request)"
+
 # Windows by start: the minute of the event, and for hopping windows the four before it.
 MINUTES = """, hops as (select g from range(5) t(g)),
 timed as (
@@ -97,6 +111,24 @@ def _pairs(start: int, end: int, first_only: bool = False) -> str:
     )
 
 
+PAIR_TOTALS = """select job_id, count(*) as pairs, cast(sum(elapsed) as bigint) as total,
+  min(elapsed) as shortest, max(elapsed) as longest from pairs group by all"""
+
+DURATIONS = """, b as (select min(elapsed) as lo, max(elapsed) - min(elapsed) as span from pairs),
+c as (
+  select least((elapsed - lo) * 50 // span, 49) as bin, count(*) as n from pairs, b group by all)
+select cast(g as integer) as bin, round(lo / 1e6 + g * (span / 1e6 / 50), 7) as bin_start,
+  round(lo / 1e6 + (g + 1) * (span / 1e6 / 50), 7) as bin_end, coalesce(n, 0) as count
+from range(50) t(g) cross join b left join c on g = bin"""
+
+# Every event as one of three jobs.
+FEW_JOBS = """, few as (select user_id % 3 as job_id, j.time, j.event_type from events e join job_events j using (event_id)),
+pairs as (
+  select s.job_id, e.time - s.time as elapsed
+  from few s join few e on s.job_id = e.job_id and s.event_type = {start} and e.event_type = {end})
+"""
+
+
 def _mean(name: str) -> str:
     return f"""select count(*) as pairs, round(avg(elapsed) / 1e6, 9) as {name},
   round(avg(elapsed) / 1e6 * 2, 9) as threshold_seconds from pairs"""
@@ -129,13 +161,13 @@ from machines
 
 REQUESTS = """, requests as (
   select time, job_id, task_index, cpu_request, memory_request from task_events
-  where event_type in (0, 1) and cpu_request > 0 and memory_request > 0),
+  where cpu_request > 0 and memory_request > 0),
 first_requests as (
   select job_id, task_index, cpu_request, memory_request from requests
   qualify row_number() over (partition by job_id, task_index order by time, cpu_request, memory_request) = 1),
 samples as (
   select job_id, task_index, cpu_rate as cpu_usage, canonical_memory_usage as memory_usage from task_usage
-  where event_type in (4, 5) and cpu_rate > 0 and canonical_memory_usage > 0)
+  where cpu_rate > 0 and canonical_memory_usage > 0)
 """
 
 
@@ -207,16 +239,17 @@ def all_oracles() -> dict[str, str]:
         "decode_json_props": "select cast(json_extract_string(props, '$.k') as bigint) as k from events",
         "encode_events": TRACE
         + f"select cast(job_id as varchar) as key, {JOB_JSON} as value, event_id from job_events",
-        "route_events": TRACE
-        + UNION
-        + """select case topic_rank when 0 then 'job-events' else 'task-events' end as topic,
-  cast(time % 12 as integer) as partition, cast(job_id as varchar) as key, event_id,
-  cast(time as varchar) as time, cast(task_index as varchar) as task_index,
-  case topic_rank when 1 then cast(coalesce(machine_id, 0) as varchar) end as machine_id, user, job_name
-from all_events""",
-        "read_topic": TRACE
-        + """select time, job_id, task_index, coalesce(machine_id, 0) as machine_id, user,
-  round(cpu_request, 9) as cpu_request from task_events""",
+        "scan_task_usage": _scan(
+            "task_usage",
+            "* exclude (event_id) replace (" + ", ".join(
+                f"round({c}, 9) as {c}" for c in
+                """cpu_rate canonical_memory_usage assigned_memory_usage total_page_cache maximum_memory_usage disk_io_time
+                local_disk_space_usage maximum_cpu_rate maximum_disk_io_time sampled_cpu_usage""".split()
+            ) + ")",
+        ),
+        "scan_places": "select count(*) as rows, count(*) as places, 0::bigint as out_of_order from events",
+        "route_events": TRACE + UNION + f"select {ROUTED}, event_id, {RECORD}, {JOB_FIELDS} from all_events",
+        "read_topic": TRACE + UNION + f"select {RECORD} from all_events where topic_rank = 1",
         "metric_range": _windows("task_events")
         + MACHINE_TOTALS
         + """select 'spark_job_metrics' as job, 'total_cpu_usage' as metric,
@@ -265,9 +298,8 @@ from lineitem where l_discount > 0 and l_tax > 0""",
 from first_requests join samples using (job_id, task_index)""",
         "event_pairs": _pairs(0, 1, first_only=True)
         + "select job_id, round(elapsed / 1e6, 9) as elapsed_seconds from pairs",
-        "event_pair_totals": _pairs(0, 1)
-        + """select job_id, count(*) as pairs, cast(sum(elapsed) as bigint) as total,
-  min(elapsed) as shortest, max(elapsed) as longest from pairs group by all""",
+        "pair_totals_hot": TRACE + FEW_JOBS.format(start=0, end=1) + PAIR_TOTALS,
+        "event_pair_totals": _pairs(0, 1) + PAIR_TOTALS,
         "scalar_row": """select (select count(*) from orders) as orders,
   (select round(max(l_quantity), 9) from lineitem) as max_quantity""",
         "distribution": "select l_returnflag, l_linestatus, count(*) as count from lineitem group by all",
@@ -297,6 +329,12 @@ c as (
 select cast(g as integer) as bin, round(lo + g * width, 9) as bin_start,
   round(lo + (g + 1) * width, 9) as bin_end, coalesce(n, 0) as count
 from range(50) t(g) cross join b left join c on g = bin""",
+        "adjacent_pairs_hot": TRACE
+        + """, neighbours as (
+  select *, lead(event_type) over w as next_type, lead(time) over w as next_time
+  from machine_events window w as (order by time, platform_id, event_id))
+select 1 as "all", machine_id, round(cpus, 9) as cpus, time, next_time - time as elapsed
+from neighbours where event_type = 1 and next_type = 0""",
         "adjacent_pairs": _neighbours("machine_id", "machine_events")
         + """select machine_id, time, round(cpus, 9) as cpus, next_time - time as elapsed
 from neighbours where event_type = 1 and next_type = 0""",
@@ -305,26 +343,17 @@ where value > 2 * (select avg(value) from events)""",
         "top_outliers": """select event_id, round(value, 9) as value from events
 where value > 2 * (select avg(value) from events) order by value desc, event_id limit 10""",
         "sorted_by": "select c_nationkey, count(*) as count from customer group by all",
-        "union_events": TRACE
-        + UNION
-        + """select event_id, topic_rank, time, job_id, task_index, machine_id, event_type, user, job_name,
-  round(cpu_request, 9) as cpu_request from all_events""",
-        "replay_order": TRACE
-        + UNION
-        + "select time, topic_rank, event_id, job_id, task_index from all_events",
-        "event_replay": TRACE
-        + UNION
-        + """select case topic_rank when 0 then 'job-events' else 'task-events' end as topic,
-  cast(time % 12 as integer) as partition, cast(job_id as varchar) as key, time, task_index,
-  case topic_rank when 1 then coalesce(machine_id, 0) end as machine_id, event_type, user,
-  coalesce(scheduling_class, 0) as scheduling_class, round(cpu_request, 9) as cpu_request,
-  round(memory_request, 9) as memory_request from all_events""",
+        "union_events": TRACE + UNION + f"select {SHOWN} from all_events",
+        "replay_order": TRACE + UNION + f"select {SHOWN} from all_events",
+        "replay_order_check": "select 2 * count(*) as rows, 0::bigint as out_of_order, 0::bigint as overlaps from events",
+        "event_replay": TRACE + UNION + f"select {ROUTED}, {RECORD}, {JOB_FIELDS} from all_events",
         "hopping_usage": _windows("task_events") + HOPPING_USAGE,
         "tumbling_usage": _windows("task_events")
         + MACHINE_TOTALS
         + """select window_start, window_end, machine_id, round(total_cpu_usage, 9) as total_cpu_usage,
   round(total_memory_usage, 9) as total_memory_usage from totals""",
         "hopping_event_counts": _windows("job_events") + HOPPING_COUNTS,
+        "event_counts_stream_no_watermark": _windows("job_events") + HOPPING_COUNTS,
         "resource_usage_stream": _windows("filled") + HOPPING_USAGE,
         "event_counts_stream": _windows("job_events") + HOPPING_COUNTS,
         "machine_metrics_stream": _windows("filled")
@@ -385,12 +414,7 @@ select round(lost, 9) as lost_cpu_hours, round(total, 9) as total_cpu_hours,
         "latency_by_hour": _latency_by_hour("hour"),
         "latency_by_hour_per_job": _latency_by_hour("hour, job_id"),
         "job_durations": _pairs(1, 4) + _mean("mean_duration_seconds"),
-        "duration_histogram": _pairs(1, 4)
-        + """, b as (select min(elapsed) as lo, max(elapsed) - min(elapsed) as span from pairs),
-c as (
-  select least((elapsed - lo) * 50 // span, 49) as bin, count(*) as n from pairs, b group by all)
-select cast(g as integer) as bin, round(lo / 1e6 + g * (span / 1e6 / 50), 9) as bin_start,
-  round(lo / 1e6 + (g + 1) * (span / 1e6 / 50), 9) as bin_end, coalesce(n, 0) as count
-from range(50) t(g) cross join b left join c on g = bin""",
+        "duration_histogram": _pairs(1, 4) + DURATIONS,
+        "duration_histogram_hot": TRACE + FEW_JOBS.format(start=1, end=4) + DURATIONS,
         "long_jobs": _pairs(1, 4) + _outliers("duration_seconds"),
     }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,28 +86,33 @@ def _table(name: str, make: Callable[[DataFrame], DataFrame], **digits: int) ->
     return lambda spark, folder: rounded(make(table(spark, folder, name)), **digits)
 
 
-# Requests from SUBMIT and SCHEDULE events and usage from the other kinds, so that
-# the two sides of the derived tables are different rows.
-def _requests(t: Trace) -> DataFrame:
-    return events_in(t.task_events, [0, 1])
-
-
-def _samples(t: Trace) -> DataFrame:
-    return events_in(t.task_usage, [4, 5])
-
-
 def _scan(name: str) -> Query:
-    """A trace table written as gzip CSV parts and scanned back, with its place in the input."""
+    """A trace table written as gzip CSV parts and scanned back."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         path = shared_folder(spark, name)
         write_table(getattr(Trace(spark, folder), name), name, path)
-        scanned = read_table(spark, name, path, glob="*.csv.gz", position=True)
-        return rounded(scanned.drop(*POSITION))
+        return rounded(read_table(spark, name, path, glob="*.csv.gz"))
 
     return run
 
 
+def _scan_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows written in order of their job and time: places told apart, and neighbours out of order."""
+    path = shared_folder(spark, "scan-places")
+    order = ["job_id", "time"]
+    events = Trace(spark, folder).job_events.repartitionByRange(8, *order).sortWithinPartitions(*order)
+    write_table(events, "job_events", path)
+    scanned = read_table(spark, "job_events", path, glob="*.csv.gz", position=True)
+    after = F.lag(F.struct(*order)).over(Window.partitionBy("source_file").orderBy(*POSITION))
+    seen = scanned.withColumn("before", after)
+    return seen.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct(*POSITION).alias("places"),
+        F.count_if(F.col("before") > F.struct(*order)).alias("out_of_order"),
+    )
+
+
 def _text_of(df: DataFrame, blank: Column) -> DataFrame:
     """Every field as text, blank where ``blank`` holds."""
     return df.select(
@@ -140,34 +145,51 @@ def _fields(t: Trace) -> DataFrame:
     )
 
 
+def _decoded(feed: DataFrame, keep: list[str]) -> DataFrame:
+    """Routed records with every field of their values; a job's record has no task fields."""
+    fields = {f.name: f for name in ("task_events", "job_events") for f in event_schema(name)}
+    schema = T.StructType([fields[n] for n in fields])
+    return feed.withColumn("e", F.from_json("value", schema)).select(
+        "topic", "partition", "key", *keep, *[f"e.{n}" for n in fields if n not in keep]
+    )
+
+
 def _routed(t: Trace) -> DataFrame:
     jobs_, tasks = (
         fill_missing(df, table_schema(name))
         for name, df in (("job_events", t.job_events), ("task_events", t.task_events))
     )
     union = union_events(jobs_, tasks).drop("topic_rank")
-    routed = route_events(union, keep=["event_id"])
-    field = {
-        n: F.get_json_object("value", f"$.{n}").alias(n)
-        for n in ("time", "task_index", "machine_id", "user", "job_name")
-    }
-    return routed.select("topic", "partition", "key", "event_id", *field.values())
+    return _decoded(route_events(union, keep=["event_id"]), ["event_id"])
 
 
-def _union(t: Trace) -> DataFrame:
-    return union_events(t.job_events, t.task_events).select(
-        "event_id", "topic_rank", "time", "job_id", "task_index", "machine_id", "event_type",
-        "user", "job_name", "cpu_request",
-    )
+def _replayed(t: Trace) -> DataFrame:
+    return _decoded(event_replay(t.job_events, t.task_events, TIE), ["time"])
 
 
-def _replayed(t: Trace) -> DataFrame:
-    feed = event_replay(t.job_events, t.task_events, TIE)
-    decoded = F.from_json("value", event_schema("task_events"))
-    return feed.withColumn("e", decoded).select(
-        "topic", "partition", "key", "time", "e.task_index", "e.machine_id", "e.event_type",
-        "e.user", "e.scheduling_class", "e.cpu_request", "e.memory_request",
+def _replay_order_check(t: Trace) -> DataFrame:
+    """Rows of the replay order, neighbours out of order within a task, and tasks that overlap."""
+    order = ["time", "topic_rank", "event_id"]
+    ordered = replay_order(t.job_events, t.task_events, TIE).select(
+        *order, F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("nth")
     )
+    before = F.lag(F.struct(*order)).over(Window.partitionBy("task").orderBy("nth"))
+    tasks = ordered.withColumn("before", before).groupBy("task").agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("before") > F.struct(*order)).alias("out_of_order"),
+        F.min(F.struct(*order)).alias("first"),
+        F.max(F.struct(*order)).alias("last"),
+    )
+    overlaps = F.col("first") < F.lag("last").over(Window.orderBy("task"))  # a row a task
+    return tasks.withColumn("overlaps", overlaps).agg(
+        F.sum("rows").alias("rows"), F.sum("out_of_order").alias("out_of_order"),
+        F.count_if("overlaps").alias("overlaps"),
+    )
+
+
+def _few_jobs(t: Trace) -> DataFrame:
+    """All events as those of three jobs."""
+    return t.job_events.withColumn("job_id", F.regexp_extract("user", r"(\d+)$", 1).cast("long") % 3)
 
 
 def _metrics(t: Trace) -> DataFrame:
@@ -178,48 +200,54 @@ def _pairs(t: Trace, start: int, end: int) -> DataFrame:
     return pr.pair_events(t.job_events, start, end)
 
 
-def _staged_topic(spark: SparkSession, folder: str) -> str:
-    """The replay feed written as a topic in the shared folder."""
-    t = Trace(spark, folder)
-    path = shared_folder(spark, "topics")
-    write_replay(t.job_events, t.task_events, TIE, path=path)
-    return path
+# Ranges of time in a staged topic, and how many a batch takes: at least five batches.
+FILES, FILES_A_BATCH = 12, "2"
+_STAGED: dict[tuple[str, str], str] = {}
 
 
-def _streamed(stream: Callable[..., DataFrame], keys: list[str]) -> Query:
-    """A streaming job run over the whole topic, and the last update of each window."""
+def staged_topic(spark: SparkSession, folder: str) -> str:
+    """The replay feed written as topics in the shared folder, once for a session and folder."""
+    known = (spark.sparkContext.applicationId, folder)
+    if known not in _STAGED:
+        t = Trace(spark, folder)
+        path = shared_folder(spark, "topics")
+        write_replay(t.job_events, t.task_events, TIE, files=FILES, path=path)
+        _STAGED[known] = path
+    return _STAGED[known]
+
+
+def _streamed(stream: Callable[..., DataFrame], keys: list[str], **options: str | None) -> Query:
+    """A streaming job run over the whole topic in bounded batches, and the last update of each window."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        path = _staged_topic(spark, folder)
-        out = f"{path}/updates"
-        windows = stream(spark, fmt="text", path=path)
-        query = sinks.start(sinks.batch_sink(windows, out), f"{path}/checkpoint", available_now=True)
-        query.awaitTermination()
+        windows = stream(spark, fmt="text", path=staged_topic(spark, folder), maxFilesPerTrigger=FILES_A_BATCH, **options)
+        out = shared_folder(spark, "updates")
+        query = sinks.start(sinks.batch_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True)
+        sinks.run_streams(spark, [query])
         return rounded(sinks.latest_updates(spark.read.parquet(out), ["window_start", "window_end", *keys]))
 
     return run
 
 
 def _metrics_stream(spark: SparkSession, folder: str) -> DataFrame:
-    path = _staged_topic(spark, folder)
-    out = f"{path}/metrics"
-    windows = jobs.machine_metrics_stream(spark, fmt="text", path=path)
-    query = sinks.start(sinks.metrics_sink(windows, out), f"{path}/checkpoint", available_now=True)
-    query.awaitTermination()
+    path = staged_topic(spark, folder)
+    windows = jobs.machine_metrics_stream(spark, fmt="text", path=path, maxFilesPerTrigger=FILES_A_BATCH)
+    out = shared_folder(spark, "metrics")
+    query = sinks.start(sinks.metrics_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True)
+    sinks.run_streams(spark, [query])
     return rounded(sinks.newest_gauges(spark.read.parquet(out)))
 
 
 def _read_topic(spark: SparkSession, folder: str) -> DataFrame:
     """The decoded task topic, appended to a table by a stream."""
-    path = _staged_topic(spark, folder)
-    out = f"{path}/decoded"
     events = decode_events(
-        read_topic(spark, TASK_TOPIC, fmt="text", path=path), event_schema("task_events")
+        read_topic(spark, TASK_TOPIC, fmt="text", path=staged_topic(spark, folder), maxFilesPerTrigger=FILES_A_BATCH),
+        event_schema("task_events"),
     )
+    out = shared_folder(spark, "decoded")
     writer = events.writeStream.format("parquet").option("path", out)
-    sinks.start(writer, f"{path}/checkpoint", available_now=True).awaitTermination()
-    decoded = spark.read.schema(event_schema("task_events")).parquet(out)
-    return rounded(decoded.select("time", "job_id", "task_index", "machine_id", "user", "cpu_request"))
+    sinks.run_streams(spark, [sinks.start(writer, shared_folder(spark, "checkpoint"), available_now=True)])
+    return rounded(spark.read.schema(event_schema("task_events")).parquet(out))
 
 
 def all_queries() -> dict[str, Query]:
@@ -228,6 +256,8 @@ def all_queries() -> dict[str, Query]:
         "scan_job_events": _scan("job_events"),
         "scan_task_events": _scan("task_events"),
         "scan_machine_events": _scan("machine_events"),
+        "scan_task_usage": _scan("task_usage"),
+        "scan_places": _scan_places,
         "decode_json_props": _table(
             "events", lambda df: decode_events(df, PROPS, value="props")
         ),
@@ -263,13 +293,18 @@ def all_queries() -> dict[str, Query]:
             )
         ),
         "request_usage_join": _trace(
-            lambda t: join_request_usage(_requests(t), _samples(t), first_only=True)
+            lambda t: join_request_usage(t.task_events, t.task_usage)
         ),
         "event_pairs": _trace(
-            lambda t: pr.event_pairs(_pairs(t, SUBMIT, SCHEDULE), first_only=True).select(
+            lambda t: pr.event_pairs(_pairs(t, SUBMIT, SCHEDULE)).select(
                 F.col("key").alias("job_id"), seconds("elapsed").alias("elapsed_seconds")
             )
         ),
+        "pair_totals_hot": _trace(
+            lambda t: pr.pair_totals(pr.pair_events(_few_jobs(t), SUBMIT, SCHEDULE)).select(
+                F.col("key").alias("job_id"), "pairs", "total", "shortest", "longest"
+            )
+        ),
         "event_pair_totals": _trace(
             lambda t: pr.pair_totals(_pairs(t, SUBMIT, SCHEDULE)).select(
                 F.col("key").alias("job_id"), "pairs", "total", "shortest", "longest"
@@ -304,6 +339,11 @@ def all_queries() -> dict[str, Query]:
         "adjacent_pairs": _trace(
             lambda t: adjacent_pairs(t.machine_events, "machine_id", 1, 0, tie=TIE, carry=["cpus"])
         ),
+        "adjacent_pairs_hot": _trace(
+            lambda t: adjacent_pairs(
+                t.machine_events.withColumn("all", F.lit(1)), "all", 1, 0, tie=["platform_id", *TIE], carry=["machine_id", "cpus"]
+            )
+        ),
         "above_mean": _table("events", lambda df: above_mean(df, "value").select("event_id", "value")),
         "top_outliers": _table(
             "events",
@@ -315,12 +355,9 @@ def all_queries() -> dict[str, Query]:
             "customer", lambda df: sorted_by(agg.distribution(df, "c_nationkey"), "c_nationkey")
         ),
         # Merged feed
-        "union_events": _trace(_union),
-        "replay_order": _trace(
-            lambda t: replay_order(t.job_events, t.task_events, TIE).select(
-                "time", "topic_rank", "event_id", "job_id", "task_index"
-            )
-        ),
+        "union_events": _trace(lambda t: union_events(t.job_events, t.task_events)),
+        "replay_order": _trace(lambda t: replay_order(t.job_events, t.task_events, TIE)),
+        "replay_order_check": _trace(_replay_order_check),
         "event_replay": _trace(_replayed),
         # Windows
         "hopping_usage": _trace(lambda t: win.machine_usage(win.with_event_time(t.task_events))),
@@ -329,6 +366,7 @@ def all_queries() -> dict[str, Query]:
         # The same windows as streams over the replayed topics
         "resource_usage_stream": _streamed(jobs.resource_usage_stream, ["machine_id"]),
         "event_counts_stream": _streamed(jobs.event_counts_stream, ["user", "event_type"]),
+        "event_counts_stream_no_watermark": _streamed(jobs.event_counts_stream, ["user", "event_type"], lateness=None),
         "machine_metrics_stream": _metrics_stream,
         # Analyses
         "machines_by_cpu": _trace(lambda t: an.machines_by_cpu(t.machine_events)),
@@ -342,9 +380,9 @@ def all_queries() -> dict[str, Query]:
             lambda t: an.eviction_probability(t.task_events, keep_zero=True)
         ),
         "job_locality": _trace(lambda t: an.job_locality(t.task_events)),
-        "request_vs_usage": _trace(lambda t: an.request_vs_usage(_requests(t), _samples(t))),
+        "request_vs_usage": _trace(lambda t: an.request_vs_usage(t.task_events, t.task_usage)),
         "request_vs_usage_first_only": _trace(
-            lambda t: an.request_vs_usage(_requests(t), _samples(t), first_only=True)
+            lambda t: an.request_vs_usage(t.task_events, t.task_usage, first_only=True)
         ),
         "peaks_vs_evictions": _trace(lambda t: an.peaks_vs_evictions(t.task_events, t.task_usage)),
         "peaks_vs_evictions_keep_zero": _trace(
@@ -361,6 +399,7 @@ def all_queries() -> dict[str, Query]:
             lambda t: an.latency_by_hour(t.job_events, tie=TIE, per_job=True)
         ),
         "job_durations": _trace(lambda t: an.job_durations(t.job_events)),
-        "duration_histogram": _trace(lambda t: an.duration_histogram(t.job_events)),
+        "duration_histogram": _trace(lambda t: an.duration_histogram(t.job_events), bin_start=7, bin_end=7),
+        "duration_histogram_hot": _trace(lambda t: an.duration_histogram(_few_jobs(t)), bin_start=7, bin_end=7),
         "long_jobs": _trace(lambda t: an.long_jobs(t.job_events)),
     }
