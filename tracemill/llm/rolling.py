@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 8 << 20  # texts handled together
+BLOCK_BYTES = 4 << 20  # texts handled together
 CHUNK_BYTES = 1 << 20  # bytes with prefix sums at a time
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 STEP = 0xD6E8FEB86659FD93

@@ -5,14 +5,14 @@
    sketches of all tasks merge by ranges of cells, each in its own group.
 2. A second pass keeps the windows whose estimate is two or more. The sketch never
    estimates too low, so no repeated window is lost. Of the kept windows, each task
-   sends the earliest place of each; the grouping by 128-bit window hash finds the
+   sends the earliest place of each; the grouping by 96-bit window hash finds the
    earliest place of all.
 3. A third pass removes the words of every estimated window that is not at the earliest
    place of its word sequence: those estimated too high are their own earliest place.
 
 Nothing here grows with the number of copies: a window is one row per task at most, and
 the group of a window keeps one place. The sketch has at least three cells a window up to
-``MAX_CELLS`` a row, which bounds the broadcast at DEPTH * MAX_CELLS / 8 bytes (128 MB).
+``MAX_CELLS`` a row, which bounds the broadcast at DEPTH * MAX_CELLS / 8 bytes (128 MB), less by compression.
 Beyond about 180 million windows more windows pass the filter and are grouped; the result
 is the same.
 """
@@ -43,12 +43,16 @@ def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 def _pack(places: np.ndarray) -> bytes:
-    """Ascending numbers as compressed gaps."""
-    return zlib.compress(np.diff(places, prepend=0).astype(np.uint32).tobytes(), 1)
+    """Ascending numbers as compressed gaps: a byte each, after a 255 for every 255 in it."""
+    gap = np.diff(places, prepend=0)
+    coded = np.full(int((gap // 255).sum()) + len(gap), 255, np.uint8)
+    coded[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return zlib.compress(coded.tobytes(), 1)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64))
+    coded = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.cumsum(coded, dtype=np.int64)[coded < 255]
 
 
 def _pieces(hashes: np.ndarray, cells: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -76,14 +80,18 @@ def _merge(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             twice[cell[once[cell]]] = True
             once[cell] = True
             twice[_unpack(again)] = True
-    yield pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
+    bits = zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)
+    yield pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "bits": [bits]})
 
 
 class Sketch:
-    """The cells counted twice or more, as one bit each."""
+    """The cells counted twice or more, as one bit each; ``chunks`` has them packed by row and range."""
 
-    def __init__(self, bits: np.ndarray, cells: int):
-        self.bits, self.cells = bits, cells
+    def __init__(self, chunks: list[tuple[int, int, bytes]], cells: int):
+        self.bits, self.cells = np.zeros((DEPTH, cells // 8), np.uint8), cells
+        for row, chunk, packed in chunks:
+            at = chunk * CHUNK // 8
+            self.bits[row, at : at + CHUNK // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
 
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
@@ -94,8 +102,8 @@ class Sketch:
         return out
 
 
-def _sketch(docs: DataFrame, text: str, window: int) -> tuple[np.ndarray, int]:
-    """Bits and cells of the merged sketch."""
+def _sketch(docs: DataFrame, text: str, window: int) -> tuple[list[tuple[int, int, bytes]], int]:
+    """Packed chunks and cells of the merged sketch."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     cells = MIN_CELLS
     while cells < size // 2 and cells < MAX_CELLS:  # a word and its space are six bytes or so
@@ -129,11 +137,8 @@ def _sketch(docs: DataFrame, text: str, window: int) -> tuple[np.ndarray, int]:
         .groupBy("row", "chunk")
         .applyInPandas(_merge, "row int, chunk int, bits binary")
     )
-    bits = np.zeros((DEPTH, cells // 8), np.uint8)
-    for row in merged.toLocalIterator():  # at most DEPTH * MAX_CELLS / 8 bytes
-        at = row["chunk"] * CHUNK // 8
-        bits[row["row"], at : at + CHUNK // 8] = np.frombuffer(row["bits"], np.uint8)
-    return bits, cells
+    # Sparse bits: a fraction of DEPTH * MAX_CELLS / 8 bytes.
+    return [(row["row"], row["chunk"], bytes(row["bits"])) for row in merged.toLocalIterator()], cells
 
 
 def _estimated(block: Block, hashes: np.ndarray, sketch: Sketch, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +180,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             for at in np.array_split(np.flatnonzero(new), max(1, int(new.sum()) >> 17)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[at]) for x in (signed(a), signed(b), doc, pos)], ["a", "b", "place", "pos"]
+                    [pa.array(x[at]) for x in (signed(a), b, doc, pos)], ["a", "b", "place", "pos"]
                 )
 
         for batch in batches:
@@ -187,7 +192,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     continue
                 other = windows(word, window, OTHER_STEP)
                 doc = np.searchsorted(block.first, at, "right") - 1
-                held.append((found[at], other[at], ids[block.lo + doc], (at - block.first[doc]).astype(np.int32)))
+                held.append((found[at], other[at].astype(np.uint32).view(np.int32), ids[block.lo + doc], (at - block.first[doc]).astype(np.int32)))
                 n += len(at)
                 if n >= FLUSH // 2:
                     yield from flush()
@@ -196,7 +201,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     earliest = (
         rows.select("place", "text")
-        .mapInArrow(places, "a long, b long, place long, pos int")
+        .mapInArrow(places, "a long, b int, place long, pos int")
         .groupBy("a", "b")
         .agg(F.min(F.struct("place", "pos")).alias("at"))
         .groupBy(F.col("at.place").alias("place"))
