@@ -66,7 +66,7 @@ def permute_digits(digits: Column, tweak: Column) -> Column:
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    a = F.substring(digits, F.lit(1), left)
+    a = F.coalesce(F.substring(digits, F.lit(1), left).try_cast("long"), F.lit(0))  # none of one digit
     b = F.substring(digits, left + 1, n - left)
     pair = feistel(a, b, power(left), power(n - left), F.concat_ws("|", tweak, n.cast("string")))
     return let(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), n - left, "0")))

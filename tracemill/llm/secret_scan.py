@@ -126,9 +126,11 @@ def _chances(encoding: Column, k: Column, x: Column) -> Column:
     half = -(F.ln(let(z_chi, _upper_tail)) + F.ln(two_sided(z_runs)) + F.ln(two_sided(z_serial)))
     random = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    # Ordinary text: inside the alphabet, with so few equal pairs, and so many changes of class.
+    # Ordinary text: inside the alphabet, with so many changes of class and, given any, so few
+    # equal pairs; letters of one case alone may be a run of words.
     pairs, equal = n * (n - 1) / 2, (squares - n) / 2
     p_pairs = let((pairs * TEXT_PAIRS - equal - 0.5) / F.sqrt(pairs * TEXT_PAIRS), _upper_tail)
+    p_pairs = F.when(x["changes"] > 0, p_pairs).otherwise(1.0)
     excess = F.greatest(x["changes"], F.lit(TEXT_CHANGES))
     rest = F.when(excess < 1, (1 - excess) * F.ln((1 - excess) / (1 - TEXT_CHANGES))).otherwise(0.0)
     distance = excess * F.ln(excess / TEXT_CHANGES) + rest
