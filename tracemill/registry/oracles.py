@@ -247,6 +247,12 @@ def all_oracles() -> dict[str, str]:
                 local_disk_space_usage maximum_cpu_rate maximum_disk_io_time sampled_cpu_usage""".split()
             ) + ")",
         ),
+        "scan_machine_attributes": """select epoch_us(ts) as time, user_id as machine_id,
+  'attribute-' || (event_id % 3) as attribute_name, event_type as attribute_value,
+  event_id % 5 = 0 as attribute_deleted from events""",
+        "scan_task_constraints": """select epoch_us(ts) as time, event_id - event_id % 5 as job_id,
+  event_id % 2 as task_index, event_id % 4 as comparison_operator, 'attribute-' || (event_id % 3) as attribute_name,
+  case when event_id % 7 <> 0 then cast(user_id as varchar) end as attribute_value from events""",
         "scan_places": "select count(*) as rows, count(*) as places, 0::bigint as out_of_order from events",
         "route_events": TRACE + UNION + f"select {ROUTED}, event_id, {RECORD}, {JOB_FIELDS} from all_events",
         "read_topic": TRACE + UNION + f"select {RECORD} from all_events where topic_rank = 1",

@@ -257,6 +257,8 @@ def all_queries() -> dict[str, Query]:
         "scan_task_events": _scan("task_events"),
         "scan_machine_events": _scan("machine_events"),
         "scan_task_usage": _scan("task_usage"),
+        "scan_machine_attributes": _scan("machine_attributes"),
+        "scan_task_constraints": _scan("task_constraints"),
         "scan_places": _scan_places,
         "decode_json_props": _table(
             "events", lambda df: decode_events(df, PROPS, value="props")

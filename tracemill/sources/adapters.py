@@ -101,3 +101,22 @@ class Trace:
             aggregation_type=F.expr("event_id % 2 = 0"),
             sampled_cpu_usage=k / 400,
         )
+
+    @cached_property
+    def machine_attributes(self) -> DataFrame:
+        return self._select(
+            [f for f, *_ in TABLES["machine_attributes"]] + ["event_id"],
+            machine_id=F.col("user_id"),
+            attribute_name=F.expr("'attribute-' || (event_id % 3)"),
+            attribute_value=F.col("event_type"),
+            attribute_deleted=F.expr("event_id % 5 = 0"),
+        )
+
+    @cached_property
+    def task_constraints(self) -> DataFrame:
+        return self._select(
+            [f for f, *_ in TABLES["task_constraints"]] + ["event_id"],
+            comparison_operator=F.expr("event_id % 4"),
+            attribute_name=F.expr("'attribute-' || (event_id % 3)"),
+            attribute_value=F.expr("case when event_id % 7 <> 0 then cast(user_id as string) end"),
+        )
