@@ -1,10 +1,11 @@
 """Quality rules: repetition and length, and divergence from the language.
 
-A document's characters by class, and its words by common word of its language, are two
-histograms. Each is compared with the histogram of all documents of that language by
-Jensen-Shannon distance (base 2, 0 to 1). Short documents are not judged by a histogram
-that they can't fill. Languages without a word list share one reference and have no word
-histogram, so there are at most ``len(COMMON) + 1`` references.
+A document's characters by class, and its words by common word of a language, are two
+histograms. Each is compared by Jensen-Shannon distance (base 2, 0 to 1) with those of all
+documents of each language, and the nearest counts, so a wrong language label does no harm.
+Short documents are not judged by a histogram that they can't fill. Languages without a
+word list share one reference and have no word histogram, so there are at most
+``len(COMMON) + 1`` references.
 
 All is one projection of built-in functions over the text, after an aggregate that finds
 the references; no row is shuffled.
@@ -31,7 +32,7 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words
 REPEAT = 8  # words in a window
 GUARD_WORDS, GUARD_CHARS = 100, 300
-MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30
 
 
 def _length_without(text: Column, pattern: str) -> Column:
@@ -61,8 +62,8 @@ def _known(lang: Column) -> Column:
     return F.when(lang.isin(list(COMMON)), lang).otherwise(F.lit("other"))
 
 
-def _histograms(t: Column, w: Column, lang: Column) -> Column:
-    """Of a text and its words: letters and marks by class, and words by common word, as counts."""
+def _histograms(t: Column, w: Column) -> Column:
+    """Of a text and its words: characters by class, and the common words of any language in it."""
     inside = F.length(F.array_join(w, "")).cast("long")
     counted = F.struct(
         inside.alias("inside"), (F.length(t) - inside).alias("space"),
@@ -74,24 +75,24 @@ def _histograms(t: Column, w: Column, lang: Column) -> Column:
         rest = c["inside"] - c["letters"] - c["digits"] - c["symbols"]
         return F.array(c["letters"] - c["upper"], c["upper"], c["digits"], c["symbols"], c["space"], rest)
 
-    def vocabulary(common: list[str]) -> Column:
-        # Commas and capitals are of no matter to a common word that is looked for.
-        used = F.filter(w, lambda x: F.lower(x).isin(common))
-        count = lambda u: F.array(*[F.size(F.filter(u, lambda x: F.lower(x) == c)).cast("long") for c in common])
-        return let(used, lambda u: F.concat(count(u), F.array((F.size(w) - F.size(u)).cast("long"))))
-
-    by_word = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for name, common in COMMON.items():
-        by_word = by_word.when(lang == name, vocabulary(common))
+    common = sorted({c for own in COMMON.values() for c in own})
+    used = F.filter(F.transform(w, F.lower), lambda x: x.isin(common))
     return let(
         counted,
         lambda c: F.struct(
-            c["inside"].alias("inside"), c["symbols"].alias("symbols"),
-            characters(c).alias("characters"), by_word.alias("vocabulary"),
+            c["inside"].alias("inside"), c["symbols"].alias("symbols"), characters(c).alias("characters"),
+            F.size(w).alias("words"), used.alias("used"),
         ),
     )
 
 
+def _vocabulary(h: Column, lang: str) -> Column:
+    """Counts of the common words of a language, and of all other words."""
+    counts = [F.size(F.filter(h["used"], lambda x: x == c)).cast("long") for c in COMMON[lang]]
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    return let(F.array(*counts), lambda a: F.concat(a, F.array(h["words"] - total(a))))
+
+
 def _distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of a histogram of counts to one of shares; null if either is empty."""
 
@@ -115,7 +116,14 @@ def _words(text: Column) -> Column:
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list, list]]:
     """Shares of character classes and common words by language, over documents of 20 words or more."""
     t = whole_text(text)
-    own = let(_words(t), lambda w: F.when(F.size(w) >= MIN_WORDS, _histograms(t, w, F.col(lang))))
+
+    def counted(h: Column) -> Column:
+        vocabulary = F.when(F.lit(False), F.array().cast("array<bigint>"))
+        for name in COMMON:
+            vocabulary = vocabulary.when(F.col(lang) == name, _vocabulary(h, name))
+        return F.struct(h["characters"].alias("characters"), vocabulary.alias("vocabulary"))
+
+    own = let(_words(t), lambda w: F.when(F.size(w) >= MIN_WORDS, let(_histograms(t, w), counted)))
     rows = docs.select(_known(F.col(lang)).alias("lang"), own.alias("own"))
     width = max(map(len, COMMON.values())) + 1
     sums = [F.sum(F.get("own.characters", i)).alias(f"c{i}") for i in range(6)]
@@ -127,8 +135,8 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
 
     found = {}
     for row in rows.groupBy("lang").agg(*sums).collect():  # a row a language listed above, and one for the others
-        counted = [row[f"w{i}"] for i in range(len(COMMON[row["lang"]]) + 1)] if row["lang"] in COMMON else []
-        found[row["lang"]] = shares([row[f"c{i}"] for i in range(6)]), shares(counted)
+        words = [row[f"w{i}"] for i in range(len(COMMON[row["lang"]]) + 1)] if row["lang"] in COMMON else []
+        found[row["lang"]] = shares([row[f"c{i}"] for i in range(6)]), shares(words)
     return found
 
 
@@ -153,29 +161,26 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
 
     Words are divided by ASCII white space. A document fails the base rules with fewer than
     20 words, or if more than 30 % of its words lie in 8-word windows that occur twice or
-    more in it. It is kept if it passes them and neither histogram is further from its
+    more in it. It is kept if it passes them and neither histogram is further from the nearest
     language than the limits. Documents below the guards have null distances.
 
     Windows within a text are compared by 64-bit hash. A null text is an empty one and is
     not kept. Each row is judged by itself, so repeated rows and ids stay; other columns
-    stay, a column named ``quality`` is replaced. An unknown or null language has the
-    common reference. An empty table gives an empty one.
+    stay, a column named ``quality`` is replaced. Documents of an unknown
+    or null language share one reference. An empty table gives an empty one.
     """
     references = language_references(docs, text, lang)
 
-    def reference(i: int) -> Column:
-        out = F.when(F.lit(False), F.array().cast("array<double>"))
-        for name, own in references.items():
-            if own[i]:
-                out = out.when(_known(F.col(lang)) == name, F.array(*map(F.lit, own[i])))
-        return out
+    def nearest(i: int, histogram: Callable[[str], Column]) -> Column:
+        own = [_distance(histogram(name), F.array(*map(F.lit, r[i]))) for name, r in references.items() if r[i]]
+        return F.array_min(F.array(*own)) if own else F.lit(None).cast("double")
 
     def measured(t: Column, w: Column, h: Column) -> Column:
         n_words = F.size(w).cast("long")
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         n_dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-        by_class = F.when(F.length(t) >= GUARD_CHARS, _distance(h["characters"], reference(0)))
-        by_word = F.when(n_words >= GUARD_WORDS, _distance(h["vocabulary"], reference(1)))
+        by_class = F.when(F.length(t) >= GUARD_CHARS, nearest(0, lambda name: h["characters"]))
+        by_word = F.when(n_words >= GUARD_WORDS, nearest(1, lambda name: _vocabulary(h, name)))
         return F.struct(
             n_words.alias("n_words"), h["inside"].alias("word_chars"), h["symbols"].alias("n_symbols"),
             n_dup_lines.alias("n_dup_lines"), _repeated_words(w).alias("n_repeat_words"),
@@ -189,7 +194,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
         return F.struct(q.alias("measures"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
 
     t = whole_text(text)
-    found = let(_words(t), lambda w: let(_histograms(t, w, F.col(lang)), lambda h: let(measured(t, w, h), judged)))
+    found = let(_words(t), lambda w: let(_histograms(t, w), lambda h: let(measured(t, w, h), judged)))
     kept = [c for c in docs.columns if c != "quality"]
     return docs.select(*kept, found.alias("quality"))
 
