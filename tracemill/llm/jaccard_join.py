@@ -13,10 +13,12 @@ one class from the start, however many they are.
   from above. Pairs that the sizes or the bitmaps rule out go no further.
 * Exact. What is left is decided by intersecting the sorted arrays.
 
-The members of a shared shingle form a tile. They are first compared with the least member
-alone; only those that do not link to it are compared with the others of the tile, if the
-sizes allow it. So a tile of k linked copies costs k comparisons, and a result of the
-links is enough to find the components.
+Sets that share a shingle of their prefixes are in the tile of the least set that has it. Its
+members are first compared with a few of its own alone, the most typical first. What is then
+in one component needs no more comparing. The others meet within the tile, in blocks of
+bounded size, by size and bitmap; only pairs that pass become rows. So a tile of k linked
+copies costs a few times k comparisons, no two sets that share a shingle of their prefixes
+stay uncompared but within a component, and the components are those of all links.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from tracemill.llm.rolling import ASCII_SPACE, Block, WordHasher, mix, signed, w
 
 SHINGLE = 4
 SIMILAR = 85  # per cent
-CELLS, CHUNK = 1 << 22, 1 << 18  # of the frequency sketch
+CELLS, CHUNK = 1 << 24, 1 << 20  # of the frequency sketch
+BLOCK = 4096  # members of a tile that are compared at a time
+LISTED = 1_000_000  # ids that are broadcast at most, 24 MB
 
 
 def _sets(block: Block, word: np.ndarray) -> list[np.ndarray]:
@@ -58,26 +62,26 @@ def _needed(n: int) -> int:
 
 
 def _bitmap(elements: np.ndarray) -> np.ndarray:
-    """Bits flipped by each element; the length is a power of two from half the set's size on."""
+    """Bits flipped by each element; the length is a power of two, at least four times the set's size."""
     bits = 64
-    while bits * 2 < len(elements):
+    while bits < 4 * len(elements):
         bits *= 2
     odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """For each cell of the sketch, the binary logarithm of the shingles counted in it."""
+    """For each cell of the sketch, four times the binary logarithm of the shingles counted in it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, cells = WordHasher(ASCII_SPACE, True), np.zeros(CELLS, np.uint32)
+        hasher, cells = WordHasher(ASCII_SPACE, True), np.zeros(CELLS, np.uint16)
         for batch in batches:
             for block in hasher.blocks(batch.column(0)):
                 found = windows(hasher.hashes(block), SHINGLE)[block.window_starts(SHINGLE)]
                 for part in np.array_split(found, 1 + (len(found) >> 20)):
                     cell = np.sort((mix(part, 3) & np.uint64(CELLS - 1)).astype(np.int64))
                     at, n = np.unique(cell, return_counts=True)
-                    cells[at] += n.astype(np.uint32)
+                    cells[at] = np.minimum(cells[at] + n, 65535)  # a task's count stops there
         for i in range(CELLS // CHUNK):
             part = cells[i * CHUNK : (i + 1) * CHUNK]
             if part.any():
@@ -88,8 +92,8 @@ def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
         total = np.zeros(CHUNK, np.uint64)
         for part in parts:
             for packed in part["counts"]:
-                total += np.frombuffer(zlib.decompress(packed), np.uint32)
-        logs = np.floor(np.log2(total + 1)).astype(np.uint8)
+                total += np.frombuffer(zlib.decompress(packed), np.uint16)
+        logs = np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
         yield pd.DataFrame({"chunk": [key[0]], "logs": [logs.tobytes()]})
 
     merged = docs.select(text).mapInArrow(count, "chunk int, counts binary")
@@ -101,30 +105,33 @@ def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """Per row (id, mark, text): id, mark, n, set, prefix and bitmap; ``set`` identifies the set."""
+    """Per row (id, mark, text): id, mark, n, set, prefix, bitmap and how frequent its elements are;
+    ``set`` identifies the set."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, "text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, logs = WordHasher(ASCII_SPACE, True), shared.value
         for batch in batches:
             for block in hasher.blocks(batch.column(2)):
-                n, name, prefix, bitmap = [], [], [], []
+                n, name, prefix, bitmap, common = [], [], [], [], []
                 for elements in _sets(block, hasher.hashes(block)):
                     order = logs[(mix(elements, 3) & np.uint64(CELLS - 1)).astype(np.int64)]
                     first = len(elements) - _needed(len(elements)) + 1 if len(elements) else 0
                     # A stable sort by frequency keeps the order of the hashes below it.
                     prefix.append(signed(elements[np.argsort(order, kind="stable")[:first]]))
+                    common.append(float(order.mean()) if len(order) else 0.0)
                     n.append(len(elements))
                     own = mix(elements, 5).sum(dtype=np.uint64) + np.uint64(len(elements))
                     name.append(mix(np.array([own], np.uint64)).view(np.int64)[0])
                     bitmap.append(_bitmap(elements))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(block.lo, block.hi - block.lo) for i in range(2)], pa.array(n, pa.int64()),
-                     pa.array(name, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64()))],
-                    ["id", "mark", "n", "set", "prefix", "bitmap"],
+                     pa.array(name, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64())),
+                     pa.array(common, pa.float64())],
+                    ["id", "mark", "n", "set", "prefix", "bitmap", "common"],
                 )
 
-    schema = "id long, mark long, n long, set long, prefix array<long>, bitmap array<long>"
+    schema = "id long, mark long, n long, set long, prefix array<long>, bitmap array<long>, common double"
     return docs.mapInArrow(sign, schema)
 
 
@@ -142,6 +149,21 @@ def _members(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(members, "set long, elements array<long>")
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """Broadcast if there are few enough, else left to a shuffle."""
+    return F.broadcast(ids) if ids.count() <= LISTED else ids
+
+
+def _elements(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The elements of some sets, from the text of one document of each."""
+    of = staged(sets.select("set", F.col("of.id").alias("own"), F.col("of.mark").alias("own_mark")), "wanted")
+    texts = docs.join(_listed(of), F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")))
+    found = staged(_members(texts.select("set", "text")), "elements")
+    if found.groupBy("set").count().where("count > 1").isEmpty():
+        return found
+    return staged(found.dropDuplicates(["set"]), "elements")  # rows that repeat an id and a text
+
+
 def _overlaps(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, x, y) with sorted arrays x and y, those similar enough: a, b."""
 
@@ -161,6 +183,62 @@ def _sizes_fit(x: Column, y: Column) -> Column:
     return 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
 
 
+def _pairs_of_block(own: np.ndarray, name: np.ndarray, part: np.ndarray, n: np.ndarray, bitmaps: list) -> list[tuple[int, int]]:
+    """Of the members of a block (or of two, where ``own`` differs), the pairs of different parts
+    that sizes and bitmaps allow."""
+    order = np.argsort(n, kind="stable")
+    own, name, part, n = own[order], name[order], part[order], n[order]
+    bitmaps = [bitmaps[k] for k in order]
+    words = np.array([len(x) for x in bitmaps])
+    two, out = own.min() != own.max(), []
+    for size in np.unique(words):  # ascending, as the sizes are
+        lo, hi = np.searchsorted(words, [size, size], side="left")[0], np.searchsorted(words, size, side="right")
+        end = np.searchsorted(words, 2 * size, side="right")  # the next band, folded to this one
+        folded = np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in bitmaps[lo:end]])
+        for r in range(lo, hi):
+            last = min(end, int(np.searchsorted(n, n[r] * 100 // SIMILAR, side="right")))
+            at = np.arange(r + 1, last)
+            at = at[(part[at] != part[r]) & ((own[at] != own[r]) if two else True)]
+            if len(at):
+                differ = np.bitwise_count(folded[at - lo] ^ folded[r - lo]).sum(1, dtype=np.int64)
+                both = n[at] + n[r]
+                at = at[(100 + SIMILAR) * (both - differ) >= 2 * SIMILAR * both]
+                out += [(max(name[r], x), min(name[r], x)) for x in name[at]]
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the blocks of rows (tile, i, j, own, set, part, n, bitmap), which lie together."""
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = [table.column(k).to_numpy() for k in range(3)]
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        bounds = np.r_[0, np.flatnonzero(new) + 1, table.num_rows]
+        own, name, part, n = (table.column(k).to_numpy() for k in range(3, 7))
+        bitmap = table.column(7).combine_chunks()
+        values, offsets = bitmap.values.to_numpy().view(np.uint64), bitmap.offsets.to_numpy()
+        for lo, hi in zip(bounds, bounds[1:]):
+            bitmaps = [values[offsets[k] : offsets[k + 1]] for k in range(lo, hi)]
+            found = _pairs_of_block(own[lo:hi], name[lo:hi], part[lo:hi], n[lo:hi], bitmaps)
+            for k in range(0, len(found), 1 << 16):
+                a, b = zip(*found[k : k + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in range(3))
+        keys = [batch.column(k).to_numpy() == last[k] for k in range(3)]
+        begin = int(np.flatnonzero(np.all(keys, axis=0))[0])  # the last block may go on in the next batch
+        if begin == 0 and held and tuple(held[0].column(k)[0].as_py() for k in range(3)) == last:
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, begin))
+        yield from pairs(pa.Table.from_batches(held)) if sum(b.num_rows for b in held) else ()
+        held = [batch.slice(begin)]
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
 def _bits_fit(x: Column, y: Column, n: Column) -> Column:
     """Whether bitmaps of sets with n elements together allow enough overlap."""
     half = lambda v, m: F.zip_with(F.slice(v, F.lit(1), m), F.slice(v, m + 1, m), lambda p, q: p.bitwiseXOR(q))
@@ -171,56 +249,59 @@ def _bits_fit(x: Column, y: Column, n: Column) -> Column:
     return (100 + SIMILAR) * (n - differ) >= 2 * SIMILAR * n
 
 
-def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (id, mark, text): signatures, and links (a, b) between sets that connect what is similar.
-
-    Every pair of similar sets is in one component of the links, and every link is similar.
-    """
+def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, mark, text): signatures, and every set ``a`` that is not the smallest of its component, ``b``."""
     signatures = staged(_signatures(docs), "signatures")
     sets = signatures.where("n > 0").groupBy("set").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"),
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("common").alias("common"),
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("of"),
     )
     sets = staged(sets, "sets")
-    tokens = sets.select(F.explode("prefix").alias("token"), "set", "n")
-    tile = Window.partitionBy("token").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
-    tiles = tokens.withColumn("least", F.first("set").over(tile)).withColumn("least_n", F.first("n").over(tile))
-    tiles = staged(tiles.where(F.col("set") != F.col("least")), "tiles")
+    tokens = sets.select(F.explode("prefix").alias("token"), "set")
+    having = Window.partitionBy("token").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
+    tiles = tokens.select(F.first("set").over(having).alias("tile"), "set").where("tile <> set").distinct()
+    tiles = staged(tiles, "tiles")
+    tiles = tiles.unionByName(tiles.select("tile", F.col("tile").alias("set")).distinct())
+    tiles = staged(tiles.join(sets.select("set", "n", "common"), "set"), "tiles")
+    elements = _elements(docs, sets.join(tiles.select("set").distinct(), "set", "left_semi"))
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and bitmaps allow."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The similar ones of pairs (a, b) with sizes that fit: ruled out by their bitmaps, or intersected."""
         x = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
         y = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-        both = pairs.join(x, "a").join(y, "b")
-        fits = _sizes_fit(F.col("na"), F.col("nb")) & _bits_fit(F.col("ba"), F.col("bb"), F.col("na") + F.col("nb"))
-        return both.where(fits).select("a", "b")
-
-    least = tiles.where(_sizes_fit(F.col("n"), F.col("least_n")))
-    first = staged(bounded(least.select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()), "pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-        of = sets.join(ids, "set", "left_semi").select("set", "of.id", "of.mark")
-        texts = docs.join(of.withColumnsRenamed({"id": "own", "mark": "own_mark"}),
-                          F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")))
-        elements = staged(_members(texts.select("set", "text")).dropDuplicates(["set"]), "elements")
-        x = elements.select(F.col("set").alias("a"), F.col("elements").alias("x"))
-        y = elements.select(F.col("set").alias("b"), F.col("elements").alias("y"))
-        return staged(_overlaps(pairs.join(x, "a").join(y, "b")), "links")
-
-    links = linked(first)
-    # Members that do not link to the least of their tile meet the others of the tile.
-    flagged = tiles.join(links.select(F.col("a").alias("set"), F.col("b").alias("least"), F.lit(True).alias("linked")),
-                         ["set", "least"], "left")
-    flagged = staged(flagged.select("token", "set", "n", F.coalesce("linked", F.lit(False)).alias("linked")), "flagged")
-    alone = flagged.where(~F.col("linked"))
-    others = flagged.select("token", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("linked").alias("lb"))
-    met = alone.select("token", F.col("set").alias("a"), F.col("n").alias("na")).join(others, "token")
-    met = met.where((F.col("lb") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & _sizes_fit(F.col("na"), F.col("nb")))
-    second = staged(bounded(met.select("a", "b").distinct()), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(linked(second))
-    return signatures, links
+        both = pairs.distinct().join(x, "a").join(y, "b")
+        both = both.where(_bits_fit(F.col("ba"), F.col("bb"), F.col("na") + F.col("nb"))).select("a", "b")
+        both = staged(both, "pairs")
+        used = both.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        of = elements.join(_listed(staged(used, "used")), "set", "left_semi")
+        x = of.select(F.col("set").alias("a"), F.col("elements").alias("x"))
+        y = of.select(F.col("set").alias("b"), F.col("elements").alias("y"))
+        return staged(_overlaps(both.join(x, "a").join(y, "b")), "links")
+
+    # The most typical member of each tile, and another, meet the others.
+    chosen = tiles.groupBy("tile").agg(
+        F.array_distinct(F.array(F.max(F.struct("common", "set"))["set"], F.min(F.struct(F.xxhash64("set"), "set"))["set"])).alias("chosen")
+    )
+    meet = tiles.join(chosen.select("tile", F.explode("chosen").alias("one")), "tile").where("set <> one")
+    links = linked(meet.select(F.greatest("set", "one").alias("a"), F.least("set", "one").alias("b")))
+
+    # What lies in different components of a tile meets too.
+    parts = connected_components(links)
+    members = tiles.join(parts.select(F.col("a").alias("set"), F.col("b").alias("part")), "set", "left")
+    members = members.withColumn("part", F.coalesce("part", "set"))
+    sizes = members.groupBy("tile", "part").agg(F.count("*").alias("k"))
+    open_ = sizes.groupBy("tile").agg(F.count("*").alias("parts"), F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(open_.where("parts > 1").select("tile", "blocks"), "tile")
+    own = F.pmod(F.xxhash64("set", F.lit(7)), F.col("blocks")).cast("int")
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "part")
+    members = members.join(sets.select("set", "n", "bitmap"), "set")
+    blocks = members.select("tile", "i", "j", "own", "set", "part", "n", "bitmap").repartition("tile", "i", "j")
+    met = blocks.sortWithinPartitions("tile", "i", "j").mapInArrow(_compared, "a long, b long")
+    more = linked(met)
+    if more.isEmpty():
+        return signatures, parts
+    return signatures, connected_components(parts.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,8 +321,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(
         F.col(key).cast("long").alias("id"), F.xxhash64(whole_text(text)).alias("mark"), whole_text(text).alias("text")
     )
-    signatures, links = similar_links(rows)
-    parts = connected_components(links).select(F.col("a").alias("set"), F.col("b").alias("part"))
+    signatures, parts = components_of_sets(rows)
+    parts = parts.select(F.col("a").alias("set"), F.col("b").alias("part"))
     own = signatures.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("of"))
     own = own.join(parts, "set", "left").withColumn("part", F.coalesce("part", "set"))
     least = own.groupBy("part").agg(F.min("of").alias("least"))
