@@ -280,9 +280,11 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # The most typical member of each tile, and another, meet the others.
     chosen = tiles.groupBy("tile").agg(
-        F.array_distinct(F.array(F.max(F.struct("common", "set"))["set"], F.min(F.struct(F.xxhash64("set"), "set"))["set"])).alias("chosen")
+        F.max(F.struct("common", "set", "n")).alias("typical"), F.min(F.struct(F.xxhash64("set"), "set", "n")).alias("other")
     )
-    meet = tiles.join(chosen.select("tile", F.explode("chosen").alias("one")), "tile").where("set <> one")
+    ones = F.array(*[F.struct(F.col(f"{c}.set").alias("one"), F.col(f"{c}.n").alias("one_n")) for c in ("typical", "other")])
+    meet = tiles.join(chosen.select("tile", F.inline(F.array_distinct(ones))), "tile")
+    meet = meet.where((F.col("set") != F.col("one")) & _sizes_fit(F.col("n"), F.col("one_n")))
     links = linked(meet.select(F.greatest("set", "one").alias("a"), F.least("set", "one").alias("b")))
 
     # What lies in different components of a tile meets too.
