@@ -6,12 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from made import prose
 from tracemill.llm.cotraining import co_train, quality_scores
-from tracemill.llm.toxicity import letter_model, restore, toxicity_scores
+from tracemill.llm.rolling import ASCII_SPACE, WordHasher
+from tracemill.llm.toxicity import Channel, Words, letter_model, restore, toxicity_scores
 
 FOLDER = "/root/testdata/sf0.1"
 INSULTS = ["idiot", "moron", "scum", "loser", "stupid", "worthless"]
@@ -65,6 +67,22 @@ def test_restored_words(toxic):
     assert [restore(w, model) for w in INSULTS] == INSULTS
 
 
+def restored(model, text: str) -> set[str]:
+    block = next(WordHasher(ASCII_SPACE, False).blocks(pa.array([text])))
+    return {w for _, words in Channel(model).restored(block) for w in words.split()}
+
+
+def test_spaced_and_mixed_words(toxic):
+    """Word ends between spaced letters, look-alikes among them, short runs, look-alikes at the end."""
+    model = letter_model(toxic[0])
+    cases = {
+        "you are a l o s e r": "loser", "x l o s 3 r, y": "loser", "w 0 r t h l e s s": "worthless", "1 d 1 0 t": "idiot",
+        "s c u m l o s e r": "loser", "g o": "go", "t 0": "to", "an a$$ a$$!": "ass", "(m0r0n)": "moron", "1d10t!": "idiot",
+    }
+    assert {t: w for t, w in cases.items() if w not in restored(model, t)} == {}
+    assert restored(model, "plain words, all of 1999 (and 2) 3.5") == set()
+
+
 def test_toxicity_edges(spark, toxic):
     docs, labels = toxic
     odd = [(None, "idiot moron"), (900, None), (900, ""), (901, "scum " * 20_000), (902, "x" * 300_000), (902, "x" * 300_000)]

@@ -2,10 +2,11 @@
 
 A disguised word is one that the channel may have changed: letters replaced by look-alikes
 (``1d10t``), set apart (``i.d.i.o.t``, ``i d i o t``), or repeated (``idiooot``). Its
-characters form a lattice: a look-alike stands for one of some letters, a separator for
-nothing, a run of one letter for one or two. Viterbi search finds the likeliest path under
-a letter trigram model counted over all documents. The score is taken from the words and
-the restored words.
+characters form a lattice: a look-alike stands for one of some letters, a separator or
+space for nothing or the end of a word, a run of one letter for one or two. Viterbi search
+finds the likeliest path under a letter trigram model counted over all documents, and the
+likeliest without word ends. In letters set apart by spaces a word may begin at any of them,
+where the model can't tell. The score is taken from the words and all restored words.
 
 Evidence is learned from labelled documents: the words and beginnings of words that
 occur in clearly more toxic documents than others. A document's evidence is calibrated by
@@ -34,6 +35,7 @@ SLOTS, CHUNK = 1 << 22, 1 << 18  # of hashed words and beginnings
 BEGINNINGS = [4, 5, 6, 7, 8]  # bytes
 LEAST_DOCUMENTS, LEAST_ODDS = 5, 2.5
 LONGEST = 40
+CACHED = 80  # characters of a token whose restoration is kept
 
 # Letters that a look-alike may stand for, likelier ones first.
 LOOK_ALIKES = {
@@ -41,6 +43,10 @@ LOOK_ALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c",
 }
 SEPARATORS = ".-_*~'/\\"
+GAPS = SEPARATORS + " \t\n\v\f\r"
+NO_GAPS = str.maketrans("", "", GAPS)
+MARKS = "!("  # look-alikes that are punctuation at the edge of a word
+AROUND = "\"',.;:?)[]{}#%&*"  # punctuation at the edge of a word
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,39 +89,51 @@ def _log_chances(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 20 * pair[None]) / (counts.sum(2)[:, :, None] + 20))
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a disguised token."""
-    columns: list[list[tuple[str, float]]] = []
+def _lattice(token: str) -> Iterator[list[tuple[str, float]]]:
+    """What each part of a token may stand for, with costs; a space ends a word."""
     i = 0
     while i < len(token):
         c, j = token[i], i
-        while j < len(token) and token[j] == c:
+        while j < len(token) and (token[j] in GAPS if c in GAPS else token[j] == c):
             j += 1
-        if c in SEPARATORS or c == " ":
-            columns.append([("", 0.0)])
+        if c in GAPS:
+            yield [("", 0.0), (" ", 0.0)]
         elif c in LOOK_ALIKES:
-            for _ in range(j - i):
-                columns.append([(x, -0.5 * k) for k, x in enumerate(LOOK_ALIKES[c])])
+            own = [(x, -0.5 * k) for k, x in enumerate(LOOK_ALIKES[c])]
+            mark = c in MARKS and (i == 0 or token[i - 1] in GAPS or j == len(token) or token[j] in GAPS)
+            yield from [[*own, (" ", 0.0)] if mark else own] * (j - i)
+        elif c.isascii() and not c.isalnum():
+            yield [(" ", 0.0)]
         elif j - i >= 3:
-            columns.append([(c, 0.0), (c + c, -0.7)])
+            yield [(c, 0.0), (c + c, -0.7)]
         else:
-            columns.append([(c * (j - i), 0.0)])
+            yield [(c * (j - i), 0.0)]
         i = j
-    number = lambda x: ord(x) - 96 if "a" <= x <= "z" else 27
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for column in columns:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (score, text) in paths.items():
+
+
+def restore(token: str, model: np.ndarray) -> str:
+    """The likeliest letters behind a disguised token, with a space between words."""
+    number = lambda x: ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27
+    # Paths share their beginnings, so a token of any length takes space for its length alone.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for column in _lattice(token):
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (p, q), (score, before) in paths.items():
             for letters, cost in column:
                 a, b, total = p, q, score + cost
                 for x in letters:
                     n = number(x)
-                    total += model[a, b, n]
+                    total += model.item(a, b, n)
                     a, b = b, n
                 if (a, b) not in following or following[a, b][0] < total:
-                    following[a, b] = (total, text + letters)
+                    following[a, b] = (total, (before, letters) if letters else before)
         paths = following
-    return max((score + model[p, q, 0], text) for (p, q), (score, text) in paths.items())[1]
+    _, node = max(((score + model[p, q, 0], node) for (p, q), (score, node) in paths.items()), key=lambda x: x[0])
+    out = []
+    while node is not None:
+        node, letters = node
+        out.append(letters)
+    return " ".join("".join(reversed(out)).split())
 
 
 # --- disguised words ------------------------------------------------------------------
@@ -134,6 +152,8 @@ class Channel:
         for c in SEPARATORS:
             kind[ord(c)] = 3
         self.kind = kind
+        self.mark = np.zeros(256, bool)
+        self.mark[[ord(c) for c in MARKS + AROUND + SEPARATORS]] = True
 
     def _signs(self, block: Block) -> np.ndarray:
         """Numbers of the words with a sign of disguise."""
@@ -141,40 +161,64 @@ class Channel:
         kind = self.kind[data]
         a, b, c = kind[:-3], kind[1:-2], kind[2:-1]
         fold = data | 32
-        sign = (a == 2) & (b == 1)
-        sign |= (a == 3) & (b == 1) & (c == 3)
+        sign = (a == 3) & (b == 1) & (c == 3)
         sign |= (a == 1) & (b == 1) & (c == 1) & (fold[:-3] == fold[1:-2]) & (fold[1:-2] == fold[2:-1])
-        at = np.flatnonzero(sign)
+        at = np.concatenate([np.flatnonzero(sign), self._mixed(block)])
         word = np.unique(np.searchsorted(block.start, at, "right") - 1)
         return word[word >= 0]
 
+    def _mixed(self, block: Block) -> np.ndarray:
+        """Beginnings of the words with letters and look-alikes."""
+        kind = self.kind[block.data]
+        word = np.unique(np.searchsorted(block.start, np.flatnonzero(kind == 2), "right") - 1)
+        letters = np.r_[0, np.cumsum(kind == 1, dtype=np.int64)]
+        return block.start[word][letters[block.end[word]] > letters[block.start[word]]]
+
     def _spaced(self, block: Block) -> list[tuple[int, int]]:
-        """Runs of four or more one-letter words of one text: first word and end."""
-        single = (block.end - block.start == 1) & (self.kind[block.data[block.start]] == 1)
+        """Runs of two or more words of one letter or look-alike in one text: first word and end."""
+        length = block.end - block.start
+        single = (length == 1) & np.isin(self.kind[block.data[block.start]], [1, 2])
+        for k in (2, 3):  # one letter or look-alike with punctuation around
+            word = np.flatnonzero(length == k)
+            own = block.data[block.start[word][:, None] + np.arange(k)]
+            core = np.isin(self.kind[own], [1, 2]) & ~self.mark[own]
+            single[word] = (core.sum(1) == 1) & (core | self.mark[own]).all(1)
         edge = np.zeros(len(single) + 1, bool)
         edge[block.first] = True
         begin = np.flatnonzero(single & (edge[:-1] | ~np.r_[False, single[:-1]]))
         end = np.flatnonzero(single & (edge[1:] | ~np.r_[single[1:], False])) + 1
-        long = (end - begin >= 4) & (end - begin <= LONGEST)
+        long = end - begin >= 2
         return list(zip(begin[long].tolist(), end[long].tolist()))
 
+    def _restored(self, token: str) -> tuple[str, str]:
+        """The words behind a token, and its letters as one word."""
+        if token in self.known:
+            return self.known[token]
+        words = restore(token, self.model)
+        both = words, restore(token.translate(NO_GAPS), self.model) if " " in words else words
+        if len(token) <= CACHED:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[token] = both
+        return both
+
     def restored(self, block: Block) -> list[tuple[int, str]]:
-        """Number of the text and the restored word, for every disguised one."""
+        """Number of the text and the restored words, for every disguise."""
         out = []
         spans = [(w, w + 1) for w in self._signs(block).tolist()] + self._spaced(block)
         for lo, hi in spans:
             data = block.data[block.start[lo] : block.end[hi - 1]]
-            if hi - lo == 1 and len(data) > 2 * LONGEST:
-                continue
-            token = data.tobytes().decode("utf-8", "replace").lower().strip("\"',.;:?!()[]{}#%&*")
-            if not token or sum(c.isalpha() for c in token) > LONGEST:
-                continue
-            if token not in self.known:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[token] = restore(token, self.model)
+            token = data.tobytes().decode("utf-8", "replace").lower().strip(AROUND)
             doc = int(np.searchsorted(block.first, lo, "right")) - 1
-            out.append((doc, self.known[token]))
+            core = token.strip(AROUND + MARKS)
+            if (hi - lo == 1 and len(data) > 2 * LONGEST) or sum(c.isalpha() for c in token) > LONGEST:
+                continue
+            for reading in {token, core}:  # a mark at the edge may stand for a letter
+                if reading:
+                    words, whole = self._restored(reading)
+                    out += [(doc, w) for w in {words, whole} if w != core]
+                    if hi - lo > 1:
+                        out += [(doc, whole[i : i + BEGINNINGS[-1]]) for i in range(1, len(whole) - BEGINNINGS[0] + 1)]
         return out
 
 
