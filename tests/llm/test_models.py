@@ -83,6 +83,16 @@ def test_spaced_and_mixed_words(toxic):
     assert restored(model, "plain words, all of 1999 (and 2) 3.5") == set()
 
 
+def test_long_disguises(toxic):
+    """Runs and tokens of any length are restored, and every block of restored words is scored."""
+    model = letter_model(toxic[0])
+    assert {"worthless", "loser"} <= restored(model, " ".join("andofworthlessloserandof" * 20))
+    assert "worthless" in restored(model, "and-of-w0rthless-the." * 20)
+    n = 900_000
+    (_, slots, doc), *_ = Words(model).blocks(pa.array(["m0ron " * n]))
+    assert slots.shape[1] == len(doc) == 2 * n
+
+
 def test_toxicity_edges(spark, toxic):
     docs, labels = toxic
     odd = [(None, "idiot moron"), (900, None), (900, ""), (901, "scum " * 20_000), (902, "x" * 300_000), (902, "x" * 300_000)]

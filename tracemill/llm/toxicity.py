@@ -12,8 +12,7 @@ Evidence is learned from labelled documents: the words and beginnings of words t
 occur in clearly more toxic documents than others. A document's evidence is calibrated by
 a logistic function, on evidence that comes from the other half of the labelled documents.
 
-A run of more than ``LONGEST`` letters is no disguised word to the channel model and is
-scored as it stands; so is all of the text besides.
+Runs and tokens of any length are restored; all of the text is scored as it stands besides.
 """
 
 from __future__ import annotations
@@ -34,7 +33,6 @@ SAMPLE = 20_000  # labelled documents to learn from, at most
 SLOTS, CHUNK = 1 << 22, 1 << 18  # of hashed words and beginnings
 BEGINNINGS = [4, 5, 6, 7, 8]  # bytes
 LEAST_DOCUMENTS, LEAST_ODDS = 5, 2.5
-LONGEST = 40
 CACHED = 80  # characters of a token whose restoration is kept
 
 # Letters that a look-alike may stand for, likelier ones first.
@@ -211,8 +209,6 @@ class Channel:
             token = data.tobytes().decode("utf-8", "replace").lower().strip(AROUND)
             doc = int(np.searchsorted(block.first, lo, "right")) - 1
             core = token.strip(AROUND + MARKS)
-            if (hi - lo == 1 and len(data) > 2 * LONGEST) or sum(c.isalpha() for c in token) > LONGEST:
-                continue
             for reading in {token, core}:  # a mark at the edge may stand for a letter
                 if reading:
                     words, whole = self._restored(reading)
@@ -254,9 +250,11 @@ class Words:
             slots, doc = self._slots(block), block.doc_of_word()
             restored = self.channel.restored(seen)
             if restored:
-                again = next(self.hasher.blocks(pa.array([w for _, w in restored], pa.large_string())))
-                of = np.array([d for d, _ in restored])[again.doc_of_word()]
-                slots, doc = np.concatenate([slots, self._slots(again)], 1), np.concatenate([doc, of])
+                text_of, parts, docs = np.array([d for d, _ in restored]), [slots], [doc]
+                for again in self.hasher.blocks(pa.array([w for _, w in restored], pa.large_string())):
+                    parts.append(self._slots(again))
+                    docs.append(text_of[again.lo : again.hi][again.doc_of_word()])
+                slots, doc = np.concatenate(parts, 1), np.concatenate(docs)
             yield block, slots, doc
 
 
