@@ -164,6 +164,25 @@ def test_divergence(spark):
     assert kept == {i for i, _, _ in clean}
 
 
+def test_a_fifth_language(spark):
+    """Clean text of a language without a word list stays; text of a listed one that has no common words goes."""
+    rng = random.Random(10)
+    common = "the of and to in a is that for it was with on as at by".split()
+    polish = "nie się jest przez tylko może bardzo kiedy wszystko człowiek miasto droga szkoła książka woda".split()
+    english = "people city road school book water house green river window morning children letter garden".split()
+
+    def text(listed: float, others: list[str]) -> str:
+        return " ".join(rng.choice(common if rng.random() < listed else others) for _ in range(150))
+
+    for share in (0.2, 0.4):  # whatever share of the words the listed ones are
+        rows = [(i, text(share, english), "en") for i in range(60)] + [(70, text(share / 4, english), "en")]
+        rows += [(100, text(0, polish), "pl"), (101, text(0, polish), None), (200, text(0, english), "en")]
+        made = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        found = {r["doc_id"]: r["quality"] for r in made.collect()}
+        assert {i for i, q in found.items() if q["kept"]} == {*range(60), 70, 100, 101}
+        assert found[100]["measures"]["word_distance"] is found[101]["measures"]["word_distance"] is None
+
+
 def test_many_near_copies(spark):
     """Copies on either side of the limit, in one group and in two with a bridge."""
     rng = random.Random(12)

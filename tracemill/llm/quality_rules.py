@@ -2,10 +2,14 @@
 
 A document's characters by class, and its words by common word of a language, are two
 histograms. Each is compared by Jensen-Shannon distance (base 2, 0 to 1) with those of all
-documents of each language, and the nearest counts, so a wrong language label does no harm.
+documents of each language, and the nearest counts, so a label of another language listed
+does no harm.
 Short documents are not judged by a histogram that they can't fill. Languages without a
 word list share one reference and have no word histogram, so there are at most
-``len(COMMON) + 1`` references.
+``len(COMMON) + 1`` references, and their documents are not judged by words.
+
+The limit of words is the language's own: the distance of a text that has its common words
+``LEAST_COMMON`` times as often, so it grows with the share of these words in the language.
 
 All is one projection of built-in functions over the text, after an aggregate that finds
 the references; no row is shuffled.
@@ -13,6 +17,7 @@ the references; no row is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +37,8 @@ MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words
 REPEAT = 8  # words in a window
 GUARD_WORDS, GUARD_CHARS = 100, 300
-MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30
+MAX_CHARACTER_DISTANCE = 0.30
+LEAST_COMMON = 0.05  # of the share of common words that a language has
 
 
 def _length_without(text: Column, pattern: str) -> Column:
@@ -109,6 +115,14 @@ def _distance(p: Column, q: Column) -> Column:
     return let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), distance)
 
 
+def _word_limit(shares: list[float]) -> float:
+    """Jensen-Shannon distance of a text that has the common words ``LEAST_COMMON`` times as often."""
+    few = [LEAST_COMMON * x for x in shares[:-1]]
+    few.append(1 - sum(few))
+    part = lambda v, half: v * math.log2(v / half) if v > 0 else 0.0
+    return math.sqrt(sum(part(v, (x + y) / 2) for x, y in zip(few, shares) for v in (x, y)) / 2)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
@@ -161,8 +175,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
 
     Words are divided by ASCII white space. A document fails the base rules with fewer than
     20 words, or if more than 30 % of its words lie in 8-word windows that occur twice or
-    more in it. It is kept if it passes them and neither histogram is further from the nearest
-    language than the limits. Documents below the guards have null distances.
+    more in it. It is kept if it passes them, its characters are no further from the nearest
+    language than the limit, and its words are within the limit of a language. Documents below
+    the guards have null distances; those without a label of a listed language have a null
+    word distance.
 
     Windows within a text are compared by 64-bit hash. A null text is an empty one and is
     not kept. Each row is judged by itself, so repeated rows and ids stay; other columns
@@ -171,27 +187,35 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
     """
     references = language_references(docs, text, lang)
 
-    def nearest(i: int, histogram: Callable[[str], Column]) -> Column:
+    limits = [F.lit(_word_limit(words)) for _, words in references.values() if words]
+
+    def distances(i: int, histogram: Callable[[str], Column]) -> Column:
         own = [_distance(histogram(name), F.array(*map(F.lit, r[i]))) for name, r in references.items() if r[i]]
-        return F.array_min(F.array(*own)) if own else F.lit(None).cast("double")
+        return F.array(*own).cast("array<double>")
+
+    def beyond(own: Column) -> Column:
+        """The least distance, and by how much it is above the limit where that is least."""
+        above = F.zip_with(own, F.array(*limits).cast("array<double>"), lambda x, y: x - y)
+        return F.struct(F.array_min(own).alias("distance"), F.array_min(above).alias("above"))
 
     def measured(t: Column, w: Column, h: Column) -> Column:
         n_words = F.size(w).cast("long")
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         n_dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-        by_class = F.when(F.length(t) >= GUARD_CHARS, nearest(0, lambda name: h["characters"]))
-        by_word = F.when(n_words >= GUARD_WORDS, nearest(1, lambda name: _vocabulary(h, name)))
+        by_class = F.when(F.length(t) >= GUARD_CHARS, F.array_min(distances(0, lambda name: h["characters"])))
+        by_word = F.when((n_words >= GUARD_WORDS) & F.col(lang).isin(list(COMMON)), let(distances(1, lambda name: _vocabulary(h, name)), beyond))
         return F.struct(
             n_words.alias("n_words"), h["inside"].alias("word_chars"), h["symbols"].alias("n_symbols"),
             n_dup_lines.alias("n_dup_lines"), _repeated_words(w).alias("n_repeat_words"),
-            by_class.alias("character_distance"), by_word.alias("word_distance"),
+            by_class.alias("character_distance"), by_word.alias("words"),
         )
 
     def judged(q: Column) -> Column:
         failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED * q["n_words"])
         far = F.coalesce(q["character_distance"] > MAX_CHARACTER_DISTANCE, F.lit(False))
-        far = far | F.coalesce(q["word_distance"] > MAX_WORD_DISTANCE, F.lit(False))
-        return F.struct(q.alias("measures"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+        far = far | F.coalesce(q["words"]["above"] > 0, F.lit(False))
+        measures = q.withField("word_distance", q["words"]["distance"]).dropFields("words")
+        return F.struct(measures.alias("measures"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
 
     t = whole_text(text)
     found = let(_words(t), lambda w: let(_histograms(t, w), lambda h: let(measured(t, w, h), judged)))
