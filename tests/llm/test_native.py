@@ -164,6 +164,18 @@ def test_divergence(spark):
     assert kept == {i for i, _, _ in clean}
 
 
+def test_passages_of_rows_without_an_id(spark):
+    """Each row without an id is a document of its own, and so are different texts with one id."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(prose(rng, 40).split()) for _ in range(4))
+    rows = [(1, a), (None, f"{b} {d}"), (None, f"{a} {c}"), (None, d), (None, d), (None, d), (2, b), (2, f"{c} {b}"), (None, None)]
+    found = repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = " | ".join(r["kept"] for r in found)
+    assert len(found) == len(rows) and [kept.count(x) for x in (a, b, c, d)] == [1, 1, 1, 1]
+    assert {r["n_removed"] for r in found if r["doc_id"] == 1} == {0}
+    assert sorted(r["n_removed"] for r in found if r["doc_id"] == 2) in ([0, 0], [0, 40], [40, 40])
+
+
 def test_a_fifth_language(spark):
     """Clean text of a language without a word list stays; text of a listed one that has no common words goes."""
     rng = random.Random(10)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import small_batches
+from tracemill.llm.common import small_batches, staged
 from tracemill.llm.rolling import ASCII_SPACE, OTHER_STEP, Block, WordHasher, mix, signed, windows
 
 WINDOW = 20
@@ -148,6 +148,27 @@ def _estimated(block: Block, hashes: np.ndarray, sketch: Sketch, window: int) ->
     return starts[sketch.repeated(found[starts])], found
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that order its documents and tell them apart, and their names.
+
+    The id alone if all have one and no two texts share it; a hash of the text and the
+    number of a row without an id are there only if needed, so they cost the shuffle nothing."""
+    hashed = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+    texts = docs.groupBy("id").agg(F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+    without = F.col("id").isNull()
+    found = texts.agg(F.max(without), F.max(~without & (F.col("least") != F.col("most")))).first()
+    last = F.lit((1 << 63) - 1)
+    if not found[0] and not found[1]:
+        return docs.withColumn("place", F.col("id")), ["place"]
+    key = F.lit(-1).cast("long") - hashed  # below zero, so before rows without an id
+    rows = docs.where(~without).withColumn("place", F.col("id")).withColumn("key", key)
+    if not found[0]:
+        return rows, ["place", "key"]
+    others = staged(docs.where(without).withColumn("nth", F.monotonically_increasing_id()), "substring-no-id")
+    others = others.select("id", "text", last.alias("place"), hashed.alias("key"), "nth")
+    return rows.withColumn("nth", F.lit(0).cast("long")).unionByName(others), ["place", "key", "nth"]
+
+
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: its ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` text.
 
@@ -155,16 +176,15 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     same words as a window that starts earlier, in a smaller id or earlier in the same
     document. ``kept`` has the other words, joined by one space.
 
-    A null or empty text has no words. Rows that repeat an id count as one document:
-    windows at the same place of both are the same place, and both stay. A null id comes
-    after all others. Other columns are not looked at. An empty table gives no rows.
+    A null or empty text has no words. Rows with equal ids and texts count as one document
+    and both stay; those with one id and different texts are documents in the order of a
+    hash of the text. Rows without an id come after all others, each a document of its own,
+    also in the order of a hash, so of equal ones one stays. They are written to the shared
+    folder, where each has a number that both passes read. Other columns are not looked at.
+    An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("place"),
-        F.col(text).cast("string").alias("text"),
-    )
+    rows, at = _placed(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(rows, "text", window))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,38 +193,38 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         def flush():
             if not n:
                 return
-            a, b, doc, pos = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((pos, doc, b, a))
-            a, b, doc, pos = a[order], b[order], doc[order], pos[order]
+            a, b, *doc, pos = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((pos, *doc[::-1], b, a))
+            a, b, pos, doc = a[order], b[order], pos[order], [x[order] for x in doc]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            for at in np.array_split(np.flatnonzero(new), max(1, int(new.sum()) >> 17)):
+            for first in np.array_split(np.flatnonzero(new), max(1, int(new.sum()) >> 17)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[at]) for x in (signed(a), b, doc, pos)], ["a", "b", "place", "pos"]
+                    [pa.array(x[first]) for x in (signed(a), b, *doc, pos)], ["a", "b", *at, "pos"]
                 )
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in hasher.blocks(batch.column(1)):
+            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, len(at) + 1)]
+            for block in hasher.blocks(batch.column(0)):
                 word = hasher.hashes(block)
-                at, found = _estimated(block, word, sketch, window)
-                if not len(at):
+                own, found = _estimated(block, word, sketch, window)
+                if not len(own):
                     continue
-                other = windows(word, window, OTHER_STEP)
-                doc = np.searchsorted(block.first, at, "right") - 1
-                held.append((found[at], other[at].astype(np.uint32).view(np.int32), ids[block.lo + doc], (at - block.first[doc]).astype(np.int32)))
-                n += len(at)
+                other = windows(word, window, OTHER_STEP)[own].astype(np.uint32).view(np.int32)
+                doc = np.searchsorted(block.first, own, "right") - 1
+                held.append((found[own], other, *[x[block.lo + doc] for x in ids], (own - block.first[doc]).astype(np.int32)))
+                n += len(own)
                 if n >= FLUSH // 2:
                     yield from flush()
                     held, n = [], 0
         yield from flush()
 
     earliest = (
-        rows.select("place", "text")
-        .mapInArrow(places, "a long, b int, place long, pos int")
+        rows.select("text", *at)
+        .mapInArrow(places, f"a long, b int, {', '.join(f'{c} long' for c in at)}, pos int")
         .groupBy("a", "b")
-        .agg(F.min(F.struct("place", "pos")).alias("at"))
-        .groupBy(F.col("at.place").alias("place"))
+        .agg(F.min(F.struct(*at, "pos")).alias("at"))
+        .groupBy(*[F.col(f"at.{c}").alias(c) for c in at])
         .agg(F.collect_list("at.pos").alias("earliest"))
     )
 
@@ -237,7 +257,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     ["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    return rows.join(earliest, "place", "left").select("id", "text", "earliest").mapInArrow(
+    return rows.join(earliest, at, "left").select("id", "text", "earliest").mapInArrow(
         keep, "doc_id long, n_words long, n_removed long, kept string"
     )
 
