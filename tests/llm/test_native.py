@@ -93,6 +93,20 @@ def test_what_is_no_personal_data(spark):
     assert [r["text"] for r in made] == rows and all(r["pii"] == [] for r in made)
 
 
+def test_numbers_next_to_others(spark):
+    """A number that fails its check hides nothing that it covers, and a card links to its other occurrences."""
+    card, date, phone = "4111 1111 1111 1111", "2024-01-15", "555-123-4567"
+    rows = [f"{card} 12/26", f"{card} 123", f"12345 {card}", f"{card} {card}", f"1112 {card}", f"3 {card} 4", f"{date} {card}"]
+    rows = [card, date, *rows, f"12345 {date}", f"100 {phone}", f"666-12-3456 {card}", "41111 11111 11111 1 77"]
+    found = [tuple(r) for r in pseudonymize(texts(spark, rows)).orderBy("doc_id").select("text", "pii").collect()]
+    linked = [r.replace(card, found[0][0]).replace(date, found[1][0]) for r in rows]
+    at = [*range(10), 11]
+    assert [found[i][0] for i in at] == [linked[i] for i in at]
+    assert [len(p) for _, p in found] == [1, 1, 1, 1, 1, 2, 1, 1, 2, 1, 1, 1, 1]
+    assert found[10][1] == ["phone"] and phone not in found[10][0]
+    assert found[12][1] == ["card"] and found[12][0].endswith(" 77") and luhn(re.sub("[^0-9]", "", found[12][0][:-3]))
+
+
 def poisson(mean: float, u: float) -> int:
     k, p = 0, math.exp(-mean)
     total = p

@@ -34,6 +34,24 @@ DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-
 PHONE = r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ANY = "|".join([EMAIL, DATE, SSN, CARD, PHONE, IP])
+
+# The same with their checks, so that what fails one consumes no text.
+LEAP = "(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+MONTH_DAY = "(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+DAY_MONTH = "(?:(?:0[1-9]|[12][0-9]|3[01])/(?:0[13578]|1[02])|(?:0[1-9]|[12][0-9]|30)/(?:0[469]|11)|(?:0[1-9]|1[0-9]|2[0-8])/02)"
+VALID_DATE = (
+    f"(?<![0-9-])(?:[0-9]{{4}}-{MONTH_DAY}|{LEAP}-02-29)(?![0-9-])"
+    f"|(?<![0-9/])(?:{DAY_MONTH}/[0-9]{{4}}|29/02/{LEAP})(?![0-9/])"
+)
+VALID_SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+NUMBER = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+VALID_IP = rf"(?<![0-9.]){NUMBER}(?:\.{NUMBER}){{3}}(?![0-9]|\.[0-9])"
+# Cards as they are written, and any groups of digits; each from every group on.
+WRITTEN = [
+    "[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}"
+    "|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}"
+]
+GROUPED = [f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in (16, 15, 14, 13, 17, 18, 19)]  # most cards have 16 digits
 CYCLE = 146_097  # days in 400 years
 DAYS = (189, 773)  # their product is CYCLE
 
@@ -156,38 +174,61 @@ def _email(m: Column, key: Column) -> Column:
     return F.concat(F.lit("u"), user, F.lit("@d"), host, F.lit(".example"))
 
 
-def pseudonym(m: Column, key: Column) -> Column:
-    """(kind, pseudonym) of a candidate; null if it fails its check."""
-    whole = lambda p: m.rlike(f"^(?:{p})$")
-    kinds = [
-        ("email", F.contains(m, F.lit("@")), _email), ("date", whole(DATE), _date), ("ssn", whole(SSN), _ssn),
-        ("card", F.length(_digits(m)) >= 13, _card), ("phone", whole(PHONE), _phone), ("ip", whole(IP), _ip),
-    ]
-    out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("new")))
-    for kind, test, make in kinds:
-        out = out.when(test, let(make(m, key), lambda v: F.struct(F.when(v.isNotNull(), kind).alias("kind"), v.alias("new"))))
-    return out
+def _card_pattern(text: Column, bodies: list[str]) -> Column:
+    """A pattern of the cards in a text that pass their check; null if none does."""
+    every = [F.regexp_extract_all(text, F.lit(f"(?<![0-9])(?=({p})(?![0-9]))"), F.lit(1)) for p in bodies]
+    valid = F.filter(F.array_distinct(F.concat(*every)), lambda m: _luhn(_digits(m)) % 10 == 0)
+    either = lambda v: F.concat(F.lit("(?<![0-9])(?:"), F.array_join(v, "|"), F.lit(")(?![0-9])"))
+    return let(valid, lambda v: F.when(F.size(v) > 0, either(v)))
+
+
+# In this order; each consumes what passes its check and leaves the rest to the next.
+KINDS = [
+    ("email", EMAIL, _email), ("date", VALID_DATE, _date), ("ssn", VALID_SSN, _ssn), ("ip", VALID_IP, _ip),
+    ("card", WRITTEN, _card), ("phone", PHONE, _phone), ("card", GROUPED, _card),
+]
+
+
+def _replaced(pieces: Column, kind: str, pattern: str | list[str], make, key: Column) -> Column:
+    """Pieces of a text, (kind, shown), with a kind cut out of those that have none yet."""
+    piece = lambda shown, name: F.struct(name.cast("string").alias("kind"), shown.alias("shown"))
+
+    def cut(text: Column, own: Column) -> Column:
+        made = F.transform(F.regexp_extract_all(text, own, F.lit(0)), lambda m: let(make(m, key), lambda v: piece(
+            F.coalesce(v, m), F.when(v.isNotNull(), F.lit(kind)))))
+        between = F.transform(F.split(text, own, -1), lambda b: piece(b, F.lit(None)))
+        pairs = F.zip_with(between, made, lambda b, m: F.filter(F.array(b, m), lambda x: x.isNotNull()))
+        return F.flatten(pairs)
+
+    def each(p: Column) -> Column:
+        text, same = p["shown"], F.array(p)
+        if isinstance(pattern, str):
+            return F.when(p["kind"].isNull() & text.rlike(pattern), cut(text, F.lit(pattern))).otherwise(same)
+        own = F.when(p["kind"].isNull() & text.rlike(CARD), _card_pattern(text, pattern))
+        return let(own, lambda o: F.when(o.isNotNull(), cut(text, o)).otherwise(same))
+
+    return F.flatten(F.transform(pieces, each))
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with personal data replaced in ``text``, and ``pii``: the kinds replaced, in order.
 
-    What fails its check stays: a number without a Luhn sum, a 31st of June. Each row is
+    What fails its check stays: a number without a Luhn sum, a 31st of June; what lies within
+    or across it is looked for all the same. Cards are tried from every group of digits on,
+    those written in the usual groups first, then all lengths, 16 digits first. Each row is
     judged by itself, so repeated rows and ids stay; other columns stay, a column named
     ``pii`` is replaced. A null text stays null and has no kinds, an empty table stays empty.
     """
     kept = [c for c in docs.columns if c != "pii"]
-    t, found, new = F.col(text), fresh("found"), fresh("new")
-    signs = t.rlike("[0-9@]") & t.rlike(ANY)
-    out = docs.select(*kept, F.when(signs, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias(found))
-    made = F.transform(found, lambda m: pseudonym(m, F.lit(key)))
-    out = out.withColumn(new, made)
-    pieces = F.split(t, ANY, -1)
-    own = F.zip_with(found, new, lambda m, p: F.coalesce(p["new"], m))
-    joined = F.array_join(F.zip_with(pieces, F.concat(own, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    kinds = F.filter(F.transform(new, lambda p: p["kind"]), lambda k: k.isNotNull())
+    t, pieces = F.col(text), fresh("pieces")
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("kind"), t.alias("shown")))
+    out = docs.select(*kept, F.when(t.rlike("[0-9@]") & t.rlike(ANY), whole).alias(pieces))
+    for kind, pattern, make in KINDS:
+        out = out.withColumn(pieces, _replaced(F.col(pieces), kind, pattern, make, F.lit(key)))
+    kinds = F.filter(F.transform(pieces, lambda p: p["kind"]), lambda k: k.isNotNull())
     out = out.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.withColumn(text, F.when(F.col(found).isNotNull(), joined).otherwise(t)).select(*kept, "pii")
+    joined = F.array_join(F.transform(pieces, lambda p: p["shown"]), "")
+    return out.withColumn(text, F.when(F.col(pieces).isNotNull(), joined).otherwise(t)).select(*kept, "pii")
 
 
 def op9_pii_pseudonyms(docs: DataFrame) -> DataFrame:
