@@ -134,6 +134,14 @@ def test_poisson_counts(spark):
     assert rates["a"] > rates["b"] and None in rates
 
 
+def test_rows_without_an_id_draw_by_themselves(spark):
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").cast("string").alias("text"))
+    made = mix_sources(rows, weights={"a": 1}, total=1000)
+    n, texts_, keys = made.agg(F.count("*"), F.countDistinct("text"), F.countDistinct("mix_key")).first()
+    assert abs(n - 1000) < 150 and abs(texts_ - 2000 * (1 - math.exp(-0.5))) < 120 and keys == n
+    assert made.columns == ["doc_id", "source", "text", "copy", "mix_key"]
+
+
 def test_inversion():
     assert [poisson(2.0, u) for u in (0.0, 0.13, 0.14, 0.999)] == [0, 0, 1, 8]
 

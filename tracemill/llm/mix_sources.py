@@ -64,8 +64,8 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", we
     """``docs`` with each row repeated by its draw, in shuffled order, with ``copy`` from 1 on and ``mix_key``.
 
     Rows are ordered by ``mix_key`` within partitions that a hash of it deals out. Rows
-    with equal ids draw equal counts; a null id draws by its source. A null source is a
-    source of its own. Columns stay as they are, ones named ``copy`` or ``mix_key`` are
+    with equal ids draw equal counts; a row without an id draws by a hash of its other columns,
+    so only exact copies without an id draw alike. A null source is a source of its own. Columns stay as they are, ones named ``copy`` or ``mix_key`` are
     replaced; texts are not looked at. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -77,21 +77,23 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", we
     rates = rates.withColumn(mean, F.col("rate") / F.col(parts))
     rates = rates.select(own, parts, _cumulative(F.col(mean)).alias(steps))
     kept = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rows = docs.select(*kept)
+    name = fresh("name")
+    others = F.concat(F.lit("null:"), F.md5(F.to_json(F.struct(*[c for c in kept if c != key]))))
+    rows = docs.select(*kept, F.coalesce(F.col(key).cast("string"), others).alias(name))
     same = rows[source].eqNullSafe(rates[own])
     if rates.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(rates), same)
     else:  # a hot source is in SALTS groups
         rates = rates.withColumn(salt + "r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
         rows = rows.join(rates, rows[source].eqNullSafe(rates[own]) & (rows[salt] == rates[salt + "r"]))
-    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col(source).cast("string"), F.lit(""))))
-    draw = lambda j: F.size(F.filter(steps, lambda c: c <= _unit(F.lit(seed), name, j.cast("string"))))
+    draw = lambda j: F.size(F.filter(steps, lambda c: c <= _unit(F.lit(seed), F.col(name), j.cast("string"))))
     count = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda s, j: s + draw(j))
     drawn = fresh("count")
     rows = rows.withColumn(drawn, count).where(F.col(drawn) > 0)
-    rows = rows.select(*kept, F.explode(F.sequence(F.lit(1), F.col(drawn))).alias("copy"))
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), name, F.col("copy").cast("string"), F.lit("order"))))
+    rows = rows.select(*kept, name, F.explode(F.sequence(F.lit(1), F.col(drawn))).alias("copy"))
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.col(name), F.col("copy").cast("string"), F.lit("order"))))
+    rows = rows.drop(name)
     return rows.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
