@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -127,3 +128,55 @@ def repeated(docs):
         kept = " ".join(w for w, g in zip(own, gone) if not g)
         out[i] = (len(own), sum(gone), sha(kept))
     return out
+
+
+def alignment(docs, folder="/opt/tokenizers"):
+    """Groups by the byte ends that both tokenizers share, links and their counts, pair by pair."""
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_model = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    a_model.encode_special_tokens = True
+    with open(f"{folder}/byte_bpe_50k.json") as file:
+        names = {i: t for t, i in json.load(file)["model"]["vocab"].items()}
+    extra = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+    letters = {chr(b): b for b in range(256) if b not in extra} | {chr(256 + k): b for k, b in enumerate(extra)}
+    b_model = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+
+    def b_bytes(i):
+        return bytes([int(b_model.id_to_piece(i)[3:5], 16)]) if b_model.is_byte(i) else b_model.id_to_piece(i).replace("▁", " ").encode()
+
+    groups = []
+    for _, text in docs:
+        own = []
+        if text:
+            a = a_model.encode(" " + text, add_special_tokens=False).ids
+            b = b_model.encode(text)
+            cut_a = [bytes(letters[c] for c in names[i]) for i in a]
+            cut_b = [b_bytes(i) for i in b]
+            if b"".join(cut_a) == b"".join(cut_b) == b" " + text.encode():
+                x, at, open_b = 0, 0, []
+                ends_a = {end: k for k, end in enumerate(accumulate(map(len, cut_a)))}
+                for k, t in enumerate(cut_b):
+                    at += len(t)
+                    open_b.append(b[k])
+                    if at in ends_a:
+                        y = ends_a[at] + 1
+                        own.append((a[x:y], open_b))
+                        x, open_b = y, []
+        groups.append(own)
+    links = [Counter((i, j) for p, q in own for i in p for j in q) for own in groups]
+    count = Counter(pair for own in links for pair in own)
+    most = defaultdict(int)
+    for (i, _), n in count.items():
+        most[i] = max(most[i], n)
+    out = {}
+    for (doc, _), own, linked in zip(docs, groups, links):
+        shown = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in own)
+        best = sum(n for (i, j), n in linked.items() if count[i, j] == most[i])
+        total = sum(n * count[pair] for pair, n in linked.items())
+        n_a, n_b = sum(len(p) for p, _ in own), sum(len(q) for _, q in own)
+        out[doc] = (n_a, n_b, len(own), sum(linked.values()), best, total, sha(shown) if own else "")
+    return out

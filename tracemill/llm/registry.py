@@ -17,6 +17,7 @@ from tracemill.llm.pseudonyms import op9_pii_pseudonyms
 from tracemill.llm.quality_rules import op7_quality_rules
 from tracemill.llm.secret_scan import op5_secret_scan
 from tracemill.llm.substring_dedup import op10_substring_dedup
+from tracemill.llm.token_alignment import op13_token_alignment
 from tracemill.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,7 @@ def all_queries() -> dict[str, Query]:
         "op8_mix_sources": _over_documents(op8_mix_sources),
         "op9_pii_pseudonyms": _over_documents(op9_pii_pseudonyms),
         "op10_substring_dedup": _over_documents(op10_substring_dedup),
+        "op13_token_alignment": _over_documents(op13_token_alignment),
     }
 
 
