@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.centroid_clusters import ORACLE_SQL as CLUSTERS_SQL
+from tracemill.llm.centroid_clusters import op11_centroid_clusters
 from tracemill.llm.common import table
 from tracemill.llm.cotraining import op4_quality_classifier
 from tracemill.llm.decontaminate import op2_benchmark_decontamination
@@ -47,9 +49,10 @@ def all_queries() -> dict[str, Query]:
         "op8_mix_sources": _over_documents(op8_mix_sources),
         "op9_pii_pseudonyms": _over_documents(op9_pii_pseudonyms),
         "op10_substring_dedup": _over_documents(op10_substring_dedup),
+        "op11_centroid_clusters": lambda spark, folder: op11_centroid_clusters(table(spark, folder, "embeddings")),
         "op13_token_alignment": _over_documents(op13_token_alignment),
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op8_mix_sources": MIX_SQL}
+    return {"op8_mix_sources": MIX_SQL, "op11_centroid_clusters": CLUSTERS_SQL}
