@@ -70,7 +70,7 @@ def secrets(docs):
     return out
 
 
-def similar(docs):
+def similar(docs, least=85):
     """Sizes and components from links between all pairs that share a shingle."""
     sets = {}
     for i, text in docs:
@@ -90,7 +90,7 @@ def similar(docs):
     for i, grams in sets.items():
         shared = Counter(j for g in grams for j in having[g] if j > i)
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(grams) + len(sets[j]) - n):
+            if 100 * n >= least * (len(grams) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in sets}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,52 @@ def drop_staged(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def heavy_keys(many: DataFrame, key: str, share: int = 1000, least: int = 256) -> list:
+    """The keys with more than one in ``share`` of the rows (and ``least`` rows): fewer than ``share`` of them."""
+    counts = many.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    heavy = counts.crossJoin(F.broadcast(total)).where((F.col("n") * share > F.col("total")) & (F.col("n") > least))
+    return [row[0] for row in heavy.select(key).where(F.col(key).isNotNull()).collect()]
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, heavy: list, copies: int = 64) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key. The rows of the ``heavy`` keys are
+    dealt over ``copies`` tasks; their row of ``one`` goes to each."""
+    if not heavy:
+        return many.join(one, key)
+    salt, is_heavy = fresh("salt"), F.col(key).isin(heavy)
+    dealt = F.pmod(F.xxhash64(*many.columns), F.lit(copies)).cast("int")
+    many = many.withColumn(salt, F.when(is_heavy, dealt).otherwise(F.lit(0)))
+    one = one.withColumn(salt, F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))))
+    return many.join(one, [key, salt]).drop(salt)
+
+
+def joined_by_key(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """The same, with the heavy keys counted in ``many``, which should be a table."""
+    return salted_join(many, one, key, heavy_keys(many, key))
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each combination of the first ``keys`` columns, which are long or int and lie together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *new.tolist(), batch.num_rows]
+        if held and any(held[0].column(k)[0].as_py() != int(c[0]) for k, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(bounds, bounds[1:]):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

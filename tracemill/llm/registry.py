@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.bottom_k import op12_minhash_dedup
 from tracemill.llm.centroid_clusters import ORACLE_SQL as CLUSTERS_SQL
 from tracemill.llm.centroid_clusters import op11_centroid_clusters
 from tracemill.llm.common import table
@@ -50,6 +51,7 @@ def all_queries() -> dict[str, Query]:
         "op9_pii_pseudonyms": _over_documents(op9_pii_pseudonyms),
         "op10_substring_dedup": _over_documents(op10_substring_dedup),
         "op11_centroid_clusters": lambda spark, folder: op11_centroid_clusters(table(spark, folder, "embeddings")),
+        "op12_minhash_dedup": _over_documents(op12_minhash_dedup),
         "op13_token_alignment": _over_documents(op13_token_alignment),
     }
 
