@@ -24,7 +24,7 @@ def result(df, last="groups_sha256"):
 def special():
     return [
         "<s> </s> <unk> <|endoftext|> <0x41> <|startoftext|>", "a\x00b", "▁x ▁▁", " lead", "trail ", "tab\there\n\n\nlines\r\n",
-        " " * 1001, "\n" * 777 + "x", "ab" * 3000, "日本語のテキスト、 and 한국어 😀👩‍👩‍👧", "ﬁ ½ é ​﻿", "x", " ",
+        " " * 1001, "x" + " " * 1_000_000, "\n" * 777 + "x", "ab" * 3000, "日本語のテキスト、 and 한국어 😀👩‍👩‍👧", "ﬁ ½ é ​﻿", "x", " ",
         "0123456789" * 30, "ـ" * 200 + "!" * 200, "\x7f\x01 \x85",
     ]
 
@@ -60,3 +60,28 @@ def test_odd_rows(spark):
     assert [f[0] for f in found] == [-1, -1, 3, 3, 4, 4]
     assert found[0][2] == found[0][3] * 3 and found[-1][1:] == (0, 0, 0)
     assert align_tokenizers(docs.where(F.lit(False))).collect() == []
+
+
+def test_both_encoders_agree():
+    """The faster library gives the ids of the other for letters, digits, marks and spaces of all kinds."""
+    from tokenizers import Tokenizer
+
+    from tracemill.llm import token_alignment as own
+
+    with open(f"{own.FOLDER}/{own.FIRST}", "rb") as first, open(f"{own.FOLDER}/{own.SECOND}", "rb") as second:
+        files = first.read(), second.read()
+    faster, slower = own.Tokenizers(*files).encode_a, Tokenizer.from_buffer(files[0])
+    assert "slower" not in faster.__qualname__
+    slower.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 101 == 0)]
+    for c in points:
+        text = f" a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}  {chr(c)}"
+        assert faster(text) == slower.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_long_texts_in_lanes(documents, monkeypatch):
+    from tracemill.llm import token_alignment as own
+
+    rows = [(i, " ".join(f"w{j * 7 % 1013} é日" for j in range(n))) for i, n in enumerate([0, 3, 900, 40, 0, 2500])]
+    monkeypatch.setattr(own, "LANE", 50)
+    assert result(op13_token_alignment(documents(rows))) == brute.alignment(rows)

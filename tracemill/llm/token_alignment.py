@@ -19,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,9 +33,12 @@ from tracemill.llm.common import fresh, small_batches, staged
 
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
+LONG_SPACE = re.compile(r"\s{1000}")
 LISTED = 1 << 20  # pairs that are broadcast
-BLOCK_BYTES = 6 << 20  # texts merged at a time
-ENCODED_BYTES = 1 << 16  # texts encoded at a time
+BLOCK_BYTES = 2 << 20  # texts merged at a time
+LANE = 1024  # tokens after which a long text goes on in a row of its own
+# Fixed value: how a byte-level vocabulary of this kind divides a text before merging.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SMALL = 64  # links of a group that are written out one by one before equal ones are added up
 
 
@@ -53,19 +57,46 @@ class Encoded(NamedTuple):
     first: np.ndarray
 
 
+def _encoder(file: bytes, model: dict, own: dict[int, bytes]) -> Callable[[str], list[int]]:
+    """Encodes a text. A vocabulary whose ids follow its merges, with the usual division into words,
+    goes to the faster of two libraries; both give the same ids."""
+    before, vocab = model["pre_tokenizer"] or {}, model["model"]["vocab"]
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
+    whole: list = []
+
+    def slower(text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        if not whole:
+            whole.append(Tokenizer.from_buffer(file))
+            whole[0].encode_special_tokens = True
+        return whole[0].encode(text, add_special_tokens=False).ids
+
+    ordered = [vocab[m] for m in merges] == list(range(256, 256 + len(merges))) and len(own) >= 256 + len(merges)
+    usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not ordered or not usual or model["normalizer"]:
+        return slower
+
+    import tiktoken
+
+    extra = {t["id"] for t in model["added_tokens"]}
+    ranks = {token: i for i, token in own.items() if i not in extra}
+    faster = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # Its search for the end of white space recurses by character.
+    return lambda text: slower(text) if LONG_SPACE.search(text) else faster(text)
+
+
 class Tokenizers:
     """A byte-level BPE and a piece model with the bytes of their tokens. Made anew in each task."""
 
     def __init__(self, first: bytes, second: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_buffer(first)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=second)
         letters, model = _byte_letters(), json.loads(first)
         own = {i: bytes(letters[c] for c in token) for token, i in model["model"]["vocab"].items() if all(c in letters for c in token)}
+        self.encode_a = _encoder(first, model, own)
         own |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
         self.a_bytes = [own.get(i, b"") for i in range(max(own) + 1)]
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
@@ -81,23 +112,30 @@ class Tokenizers:
         """The tokens of both; none where a text is empty or not the bytes of its tokens."""
         none = np.zeros(0, np.int32)
         a, b = [none] * len(texts), [none] * len(texts)
-        full = [i for i, t in enumerate(texts) if t]
-        lo = 0
-        while lo < len(full):
-            hi, size = lo, 0
-            while hi < len(full) and (hi == lo or size < ENCODED_BYTES):
-                size += len(texts[full[hi]])
-                hi += 1
-            part = [texts[i] for i in full[lo:hi]]
-            found = self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
-            for i, text, x, y in zip(full[lo:hi], part, found, self.b.encode(part, num_threads=1)):
-                whole, x = b" " + text.encode(), x.ids
-                if b"".join(map(self.a_bytes.__getitem__, x)) == whole == b"".join(map(self.b_bytes.__getitem__, y)):
+        for i, text in enumerate(texts):
+            if text:
+                x, y = self.encode_a(" " + text), self.b.encode(text)
+                if b"".join(map(self.a_bytes.__getitem__, x)) == b" " + text.encode() == b"".join(map(self.b_bytes.__getitem__, y)):
                     a[i], b[i] = np.array(x, np.int32), np.array(y, np.int32)
-            lo = hi
         return tuple(Encoded(np.concatenate([none, *s]), np.cumsum([0, *map(len, s)])) for s in (a, b))
 
 
+def lanes(a_end: np.ndarray, a_first: np.ndarray, b_end: np.ndarray, b_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a_first`` and ``b_first`` with long texts cut where tokens of both end, some ``LANE`` tokens apart."""
+    a, b = [a_first], [b_first]
+    for lo, hi in zip(a_first, a_first[1:]):
+        at = lo + LANE
+        while at < hi:
+            other = int(np.searchsorted(b_end, a_end[at - 1]))
+            if b_end[other] == a_end[at - 1]:
+                a.append([at])
+                b.append([other + 1])
+                at += LANE
+            else:
+                at += 1
+    return np.sort(np.concatenate(a)), np.sort(np.concatenate(b))
+
+
 def lockstep(a_end: np.ndarray, a_first: np.ndarray, b_end: np.ndarray, b_first: np.ndarray) -> np.ndarray:
     """The groups of all texts as rows (first a, end of a, first b, end of b), in order.
 
@@ -107,7 +145,8 @@ def lockstep(a_end: np.ndarray, a_first: np.ndarray, b_end: np.ndarray, b_first:
     some = p < a_first[1:]
     # next a, next b, first a of the group, first b of the group, end of the text
     state = np.stack([p, q, p, q, a_first[1:]])[:, some]
-    cuts = [np.zeros((4, 0), np.int64)]
+    state = state.astype(np.int32)
+    cuts = [np.zeros((4, 0), np.int32)]
     while state.shape[1]:
         x, y = a_end[state[0]], b_end[state[1]]
         state[0] += x <= y
@@ -211,7 +250,9 @@ def token_groups(
         own = Tokenizers(*files.value)
         for batch in _blocks(batches):
             a, b = own.encode(batch.column(1).to_pylist())
-            groups = lockstep(np.cumsum(own.a_length[a.ids]), a.first, np.cumsum(own.b_length[b.ids]), b.first)
+            a_end, b_end = np.cumsum(own.a_length[a.ids]), np.cumsum(own.b_length[b.ids])
+            cut_a, cut_b = lanes(a_end, a.first, b_end, b.first)
+            groups = lockstep(a_end, cut_a, b_end, cut_b).astype(np.int64)
             doc = np.searchsorted(a.first, groups[:, 0], "right") - 1
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             links = np.r_[0, np.cumsum((groups[:, 1] - groups[:, 0]) * (groups[:, 3] - groups[:, 2]))]
