@@ -26,8 +26,8 @@ from tracemill.llm.common import fresh, let
 KEY = "tracemill-demo-key"  # pass your own
 ROUNDS = 10
 
-# Fixed patterns of what may be personal data.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# Fixed patterns of what may be personal data. A repeated group is possessive or bounded: any other recurses by turn.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
@@ -46,12 +46,14 @@ VALID_DATE = (
 VALID_SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 NUMBER = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 VALID_IP = rf"(?<![0-9.]){NUMBER}(?:\.{NUMBER}){{3}}(?![0-9]|\.[0-9])"
-# Cards as they are written, and any groups of digits; each from every group on.
+# Cards as they are written, and any groups of digits; each from every group on, up to 19 of them.
 WRITTEN = [
     "[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}"
     "|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}"
 ]
 GROUPED = [f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in (16, 15, 14, 13, 17, 18, 19)]  # most cards have 16 digits
+MOST_GROUPS = 19
+LETTERS = "abcdefghijklmnopqrst"  # the number of groups, from 0 on
 CYCLE = 146_097  # days in 400 years
 DAYS = (189, 773)  # their product is CYCLE
 
@@ -174,12 +176,50 @@ def _email(m: Column, key: Column) -> Column:
     return F.concat(F.lit("u"), user, F.lit("@d"), host, F.lit(".example"))
 
 
-def _card_pattern(text: Column, bodies: list[str]) -> Column:
-    """A pattern of the cards in a text that pass their check; null if none does."""
-    every = [F.regexp_extract_all(text, F.lit(f"(?<![0-9])(?=({p})(?![0-9]))"), F.lit(1)) for p in bodies]
-    valid = F.filter(F.array_distinct(F.concat(*every)), lambda m: _luhn(_digits(m)) % 10 == 0)
-    either = lambda v: F.concat(F.lit("(?<![0-9])(?:"), F.array_join(v, "|"), F.lit(")(?![0-9])"))
-    return let(valid, lambda v: F.when(F.size(v) > 0, either(v)))
+def _groups_of_card(ahead: Column, bodies: list[str]) -> Column:
+    """How many groups of digits make a card that passes its check at the beginning; 0 if none do."""
+    found = F.lit(0)
+    for p in reversed(bodies):
+        m = F.regexp_extract(ahead, f"^({p})(?![0-9])", 1)
+        found = F.when((m != "") & (_luhn(_digits(m)) % 10 == 0), F.size(F.split(m, "[ -]"))).otherwise(found)
+    return F.when(ahead.rlike("^[0-9](?:[ -]?[0-9]){12}"), found).otherwise(0)
+
+
+def _around_cards(text: Column, bodies: list[str]) -> Column:
+    """A text cut around its cards that pass their check: what is between them at even places, cards at odd ones.
+
+    From left to right, at every group of digits, the first of the bodies that passes consumes its groups."""
+
+    def consumed(groups: Column) -> Column:
+        # A letter for each group: a where no card begins, else the number of its groups. One search
+        # then takes the letters from left to right, each with the groups it consumes.
+        first = F.transform(groups, lambda g: F.regexp_extract(g, "^[0-9]{0,20}", 0))
+        short = F.zip_with(first, groups, lambda d, g: F.concat(d, F.when(g.rlike("^[0-9]+[ -]$"), F.right(g, F.lit(1))).otherwise("#")))
+        ahead = lambda s, i: F.array_join(F.slice(s, i + 1, F.lit(MOST_GROUPS)), "")
+        letter = lambda k: F.substring(F.lit(LETTERS), k + 1, F.lit(1))
+        letters = let(short, lambda s: F.array_join(F.transform(s, lambda _, i: letter(_groups_of_card(ahead(s, i), bodies))), ""))
+        taken = F.regexp_extract_all(letters, F.lit("|".join(f"{c}.{{{max(k - 1, 0)}}}" for k, c in enumerate(LETTERS))), F.lit(0))
+        return F.split(F.array_join(F.transform(taken, lambda t: F.concat(F.left(t, F.lit(1)), F.repeat(F.lit("."), F.length(t) - 1))), ""), "")
+
+    def cut(groups: Column, flags: Column, sign: Column) -> Column:
+        def shown(g: Column, i: Column) -> Column:
+            flag = F.get(flags, i)
+
+            def card(k: Column) -> Column:
+                last = F.get(groups, i + k - 1)
+                digits = F.regexp_extract(last, "^[0-9]+", 0)
+                whole = F.concat(F.array_join(F.slice(groups, i + 1, k - 1), ""), digits)
+                return F.concat(sign, whole, sign, F.substr(last, F.length(digits) + 1))
+
+            return F.when(flag == "a", g).when(flag == ".", "").otherwise(let(F.instr(F.lit(LETTERS), flag) - 1, card))
+
+        return F.split(F.array_join(F.transform(groups, shown), ""), sign, -1)
+
+    # No text has a longer run of U+0002 than its own longest.
+    runs = F.transform(F.regexp_extract_all(text, F.lit("\x02++"), F.lit(0)), F.length)
+    sign = F.concat(F.lit("\x01"), F.repeat(F.lit("\x02"), F.coalesce(F.array_max(runs), F.lit(0)) + 1), F.lit("\x01"))
+    groups = F.split(text, "(?<![0-9])(?=[0-9])", -1)
+    return let(groups, lambda g: let(consumed(g), lambda f: let(sign, lambda s: cut(g, f, s))))
 
 
 # In this order; each consumes what passes its check and leaves the rest to the next.
@@ -204,8 +244,9 @@ def _replaced(pieces: Column, kind: str, pattern: str | list[str], make, key: Co
         text, same = p["shown"], F.array(p)
         if isinstance(pattern, str):
             return F.when(p["kind"].isNull() & text.rlike(pattern), cut(text, F.lit(pattern))).otherwise(same)
-        own = F.when(p["kind"].isNull() & text.rlike(CARD), _card_pattern(text, pattern))
-        return let(own, lambda o: F.when(o.isNotNull(), cut(text, o)).otherwise(same))
+        card = lambda m: let(make(m, key), lambda v: piece(F.coalesce(v, m), F.when(v.isNotNull(), F.lit(kind))))
+        parts = F.transform(_around_cards(text, pattern), lambda x, i: F.when(i % 2 == 0, piece(x, F.lit(None))).otherwise(card(x)))
+        return F.when(p["kind"].isNull() & text.rlike(CARD), parts).otherwise(same)
 
     return F.flatten(F.transform(pieces, each))
 
