@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import TABLES, mandatory_fields, table_schema
 from tracemill.sources.replay import event_replay, replay_order, write_replay
 from tracemill.sources.tables import POSITION, read_table, write_table
-from tracemill.sources.topics import decode_events, encode_events, event_schema, route_events
+from tracemill.sources.topics import commit_in_order, decode_events, encode_events, event_schema, read_topic, route_events
 
 
 def test_catalogue():
@@ -146,17 +147,56 @@ def test_routing_by_job(tables):
     assert {(r.key, r.partition) for r in routed} == {("1", 1), ("2", 2), ("3", 3)}
 
 
+def manifest(folder):
+    commits = sorted((folder / "_spark_metadata").glob("[0-9]*"), key=lambda f: int(f.name.split(".")[0]))
+    return [json.loads(line) for line in commits[-1].read_text().splitlines()[1:]]
+
+
 def test_topic_files_follow_time(spark, tables, tmp_path):
-    """Files hold ranges of time, and their modification times follow."""
+    """Files hold ranges of time, and their manifest has them in order."""
     path = tmp_path / "topics"
     write_replay(*tables, files=4, path=str(path))
     for topic in ("job-events", "task-events"):
-        files = sorted((path / f"topic={topic}").glob("part-*"), key=lambda f: f.stat().st_mtime)
-        assert [f.name for f in files] == sorted(f.name for f in files) and len(files) > 1
-        times = [json.loads(line)["time"] for f in files for line in f.read_text().splitlines()]
+        listed = manifest(path / f"topic={topic}")
+        assert len(listed) > 1 and sorted(e["modificationTime"] for e in listed) == [e["modificationTime"] for e in listed]
+        lines = [line for e in listed for line in open(e["path"].removeprefix("file:")).read().splitlines()]
+        times = [json.loads(line)["time"] for line in lines]
         assert times == sorted(times)
 
 
+def order_read(spark, folder, name):
+    """First record of each batch of a stream that takes a file at a time, by batch."""
+    seen = {}
+    df = read_topic(spark, "t", fmt="text", path=str(folder), maxFilesPerTrigger="1")
+    query = df.writeStream.foreachBatch(lambda b, i: seen.update({i: [r.value for r in b.collect()]}))
+    query.option("checkpointLocation", str(folder / name)).trigger(availableNow=True).start().awaitTermination()
+    return [seen[i] for i in sorted(seen)]
+
+
+def test_commits_need_no_modification_times(spark, tmp_path):
+    """The store's times run backwards; files are read as published, those of later commits after, unpublished ones not."""
+    folder = tmp_path / "topic=t"
+    folder.mkdir()
+
+    def put(k):
+        file = folder / f"part-{k:05d}.txt"
+        file.write_text(f"record {k}\n")
+        os.utime(file, (1_600_000_000 - 1000 * k, 1_600_000_000 - 1000 * k))
+
+    for k in range(4):
+        put(k)
+    assert commit_in_order(spark, str(folder)) == 4 and commit_in_order(spark, str(folder)) == 0
+    put(4)
+    assert order_read(spark, tmp_path, "c") == [[f"record {k}"] for k in range(4)]
+    for k in range(5, 18):  # more commits than a compact one takes
+        assert commit_in_order(spark, str(folder)) == 1
+        put(k)
+    assert order_read(spark, tmp_path, "c") == [[f"record {k}"] for k in range(4, 17)]
+    assert order_read(spark, tmp_path, "d") == [[f"record {k}"] for k in range(17)]
+    assert spark.read.text(str(folder)).count() == 17
+    assert commit_in_order(spark, str(tmp_path / "nowhere")) == 0
+
+
 def test_events_without_a_time(spark):
     """They are filled and lead the feed, or are dropped."""
     jobs = spark.createDataFrame([(None, 1, 0), (5, 2, 0)], "time long, job_id long, event_type long")

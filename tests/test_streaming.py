@@ -171,10 +171,23 @@ def test_metric_range_reads_the_newest_hours(spark, tmp_path):
     recent = sinks.metric_range(series, "total_cpu_usage")
     assert [r.value for r in recent.orderBy("window_end").collect()] == [190 / 8, 191 / 8]
     plan = recent._jdf.queryExecution().executedPlan().toString()
-    assert sum(sinks.HOUR in line for line in plan.splitlines() if "PartitionFilters" in line) >= 2
+    assert sum(sinks.HOUR in line for line in plan.splitlines() if "PushedFilters" in line) >= 2
     sinks.compact_metrics(spark, f"{tmp_path}/m", f"{tmp_path}/compact")
     again = sinks.metric_range(spark.read.parquet(f"{tmp_path}/compact"), "total_cpu_usage")
     assert again.count() == 2
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert sum(sinks.HOUR in line for line in plan.splitlines() if "PartitionFilters" in line) >= 2
+
+
+def test_few_metric_files(spark, tmp_path):
+    """A task that has rows writes one file for each metric, however many hours a batch spans."""
+    batches = [[task(60 * h + k, h % 7, 1.0) for h in range(200)] for k in range(2)]
+    windows = jobs.machine_metrics_stream(spark, fmt="text", path=put(tmp_path / "t", TASK_TOPIC, batches), maxFilesPerTrigger="1", lateness=None)
+    run(sinks.metrics_sink(windows, f"{tmp_path}/m"), tmp_path, "m")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for batch in (0, 1):
+        for metric in sinks.METRICS:
+            assert 0 < len(list((tmp_path / "m" / f"batch_id={batch}" / f"metric={metric}").glob("part-*"))) <= tasks
 
 
 def test_push_evaluates_a_batch_once(spark, tmp_path):

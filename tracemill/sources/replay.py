@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.clean import fill_missing, valid_time
 from tracemill.sources.catalog import JOB_TOPIC, TASK_TOPIC, table_schema
 from tracemill.sources.tables import POSITION
-from tracemill.sources.topics import date_in_order, route_events, write_topic
+from tracemill.sources.topics import commit_in_order, route_events, write_topic
 
 RANK = "topic_rank"
 
@@ -73,10 +73,10 @@ def write_replay(
     """Write the replay feed to its topics; ``sink`` as for ``write_topic``.
 
     As files, every task writes one range of time, for each topic a file in replay order,
-    and the files' modification times follow their ranges. A stream takes files by that
-    time, so with any number of files a batch no event is behind the watermark of the
-    batches before. ``files`` is the number of ranges, by default as many as the shuffle
-    has.
+    and a manifest publishes them in the order of their ranges. A stream takes files in that
+    order, so with any number of files a batch no event is behind the watermark of the
+    batches before, on any store. ``files`` is the number of ranges, by default as many as
+    the shuffle has.
 
     On Kafka a task appends its range to every topic partition beside other tasks, so
     ``spans`` ranges of time with about as many events each are written one after the
@@ -97,4 +97,4 @@ def write_replay(
     routed = _routed(ranges, tie).sortWithinPartitions("topic", "sent", RANK, *tie)
     write_topic(routed, by=["topic"], **sink)
     for topic in (JOB_TOPIC, TASK_TOPIC):
-        date_in_order(feed.sparkSession, f"{sink['path']}/topic={topic}")
+        commit_in_order(feed.sparkSession, f"{sink['path']}/topic={topic}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,8 @@ def read_topic(
     """A topic from its earliest record as a stream with a ``value`` column.
 
     ``fmt="kafka"`` needs the Kafka connector on the class path. ``fmt="text"``
-    reads the folder that ``write_topic`` wrote, one JSON record per line.
+    reads the folder that ``write_topic`` wrote, one JSON record per line; a folder with a
+    manifest (``commit_in_order``) in the order of its commits.
     """
     reader = spark.readStream.format(fmt)
     if fmt == "kafka":
@@ -39,7 +42,8 @@ def read_topic(
             "startingOffsets": "earliest",
         }
         return reader.options(**{**defaults, **options}).load()
-    defaults = {"recursiveFileLookup": "true"}
+    # Files that lie in folders by partition, and none that is left out for its age.
+    defaults = {"recursiveFileLookup": "true", "maxFileAge": "36500d"}
     return reader.options(**{**defaults, **options}).load(f"{path}/topic={topic}")
 
 
@@ -101,17 +105,49 @@ def write_topic(
         writer.options(**options).text(path)
 
 
-def date_in_order(spark: SparkSession, folder: str) -> None:
-    """Give the part files of a folder modification times that rise with their names,
-    the order in which a file stream takes them. Touches no data."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+# Name and version of the list of files that Spark's file streams follow, and after
+# how many commits one holds all files.
+MANIFEST, VERSION, COMPACT = "_spark_metadata", "v1", 10
+
+
+def commit_in_order(spark: SparkSession, folder: str) -> int:
+    """Publish the data files of a folder that are in no manifest yet, in order of their names.
+
+    The manifest is the one that Spark's own file sink writes and its file source follows: readers
+    see its files alone, and a stream takes them in the order of the times listed there, which rise
+    with each file. So the order needs no modification times of the store, and a write that failed
+    half-way is not seen. Touches no data; returns the number of files published."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    path = hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
     if not fs.exists(path):
-        return
-    files = sorted((f.getPath() for f in fs.listStatus(path) if f.isFile()), key=lambda f: f.getName())
-    newest = max((fs.getFileStatus(f).getModificationTime() for f in files), default=0)
-    for i, file in enumerate(files):
-        fs.setTimes(file, newest - 1000 * (len(files) - 1 - i), -1)
-    times = [fs.getFileStatus(f).getModificationTime() for f in files]
-    if any(a >= b for a, b in zip(times, times[1:])):
-        raise OSError(f"{folder}: its store keeps no modification times; read it in one batch")
+        return 0
+    log = hadoop.fs.Path(path, MANIFEST)
+    commits = {int(f.getPath().getName().split(".")[0]): f.getPath() for f in fs.listStatus(log)} if fs.exists(log) else {}
+    listed: dict[str, dict] = {}
+    for commit in sorted(commits):
+        stream = fs.open(commits[commit])
+        try:
+            lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+        listed |= {e["path"]: e for e in map(json.loads, filter(None, lines[1:]))}
+    files = sorted((f for f in fs.listStatus(path) if f.isFile()), key=lambda f: f.getPath().getName())
+    new = [f for f in files if not f.getPath().getName().startswith(("_", ".")) and f.getPath().toUri().toString() not in listed]
+    if not new and commits:
+        return 0
+    first = max([e["modificationTime"] for e in listed.values()], default=int(time.time() * 1000)) + 1
+    added = [
+        {"path": f.getPath().toUri().toString(), "size": f.getLen(), "isDir": False, "modificationTime": first + i,
+         "blockReplication": f.getReplication(), "blockSize": f.getBlockSize(), "action": "add"}
+        for i, f in enumerate(new)
+    ]
+    nth = max(commits, default=-1) + 1
+    compact = nth % COMPACT == COMPACT - 1
+    entries = [*(listed.values() if compact else ()), *added]
+    out = fs.create(hadoop.fs.Path(log, f"{nth}.compact" if compact else str(nth)), False)
+    try:
+        out.write("\n".join([VERSION, *map(json.dumps, entries)]).encode())
+    finally:
+        out.close()
+    return len(new)

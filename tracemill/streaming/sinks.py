@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 METRIC_JOB = "spark_job_metrics"
 METRICS = ["total_cpu_usage", "total_memory_usage"]
 RANGE_MINUTES = 5
-# Partition column of the metric series: the hour in which a window ends.
+# The hour in which a window ends; the series is in folders by it once it is compacted.
 HOUR = "end_hour"
 
 
@@ -73,16 +73,18 @@ def newest_gauges(metrics: DataFrame) -> DataFrame:
 def metrics_sink(
     df: DataFrame, path: str, job: str = METRIC_JOB, push: Callable[[DataFrame, int], None] | None = None
 ) -> DataStreamWriter:
-    """Write the gauges of each batch as Parquet, by batch, metric and hour of the window's end.
+    """Write the gauges of each batch as Parquet, by batch and metric, in order of the window's end.
 
-    A batch run again replaces itself. ``push`` may also hand each batch's gauges
+    A task writes at most one file for each metric; ``compact_metrics`` divides the series by
+    hour. A batch run again replaces itself. ``push`` may also hand each batch's gauges
     to another system; it receives the rows just written, as a DataFrame.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         gauges = newest_gauges(to_metrics(batch, job=job))
         out = f"{path}/batch_id={batch_id}"
-        gauges.withColumn(HOUR, _hour_of("window_end")).write.mode("overwrite").partitionBy("metric", HOUR).parquet(out)
+        rows = gauges.withColumn(HOUR, _hour_of("window_end")).sortWithinPartitions("metric", "window_end")
+        rows.write.mode("overwrite").partitionBy("metric").parquet(out)
         if push:
             schema = gauges.withColumn(HOUR, F.lit("")).schema
             push(batch.sparkSession.read.schema(schema).parquet(out).select(*gauges.columns), batch_id)
@@ -105,7 +107,7 @@ def metric_range(
 ) -> DataFrame:
     """The samples of one metric of a job whose window ends in the last minutes recorded.
 
-    Of a series by hour, only the newest hours are read."""
+    Of a series with hours, only the newest are read: folders, or parts of files by their statistics."""
     series = df.filter(F.col("metric") == metric)
     if job:
         series = series.filter(F.col("job") == job)
