@@ -42,6 +42,19 @@ def distinct_per_key(
     return df.groupBy(*_keys(key)).agg(n.alias(alias))
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], value: str, precision: int = 14) -> DataFrame:
+    """Per key a sketch of its distinct values, of at most 2 ^ ``precision`` cells, to be stored and merged.
+
+    With keys such as an hour and a class, distinct counts of any span and set of classes come from
+    the sketches without the rows; they are off by some 1.04 / 2 ^ (``precision`` / 2)."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(value, precision).alias("sketch"))
+
+
+def distinct_of_sketches(sketches: DataFrame, keys: Sequence[str] = (), alias: str = "distinct") -> DataFrame:
+    """Distinct values per key of stored sketches, merged over all other keys."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(alias))
+
+
 def one_or_several(df: DataFrame, key: str, value: str) -> DataFrame:
     """Per key 1 if all its values are the same, 2 if they differ and 0 if it has none.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,57 @@ def fill_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     extra = [c for c in df.columns if c not in schema.fieldNames()]
     return df.select(*[filled(f) for f in schema], *extra)
+
+
+def clean_with_account(
+    df: DataFrame, schema: T.StructType, required: Sequence[str] = (), nonempty: Sequence[str] = ()
+) -> tuple[DataFrame, Observation]:
+    """Rows of text cleaned by the rules above, and what each rule did, counted in the same pass.
+
+    In this order, a row is dropped for the first field of ``nonempty`` that is NULL or blank, then for
+    the first of ``required`` that is NULL or, as a number, malformed. Of the rows kept, malformed
+    numbers and booleans become NULL, and what is missing is filled as by ``fill_missing``. The account
+    is there once the rows have been used; ``account_rows`` shows it. Fields the frame lacks count as
+    missing."""
+    have = set(df.columns)
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
+
+    def blank(name: str) -> Column:
+        return F.coalesce(F.trim(text(name), F.lit(BLANKS)) == "", F.lit(True))
+
+    def malformed(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.StringType):
+            return F.lit(False)
+        return ~blank(field.name) & F.trim(text(field.name), F.lit(BLANKS)).try_cast(field.dataType).isNull()
+
+    by_name = {f.name: f for f in schema}
+    dropped = [("nonempty", c, blank(c)) for c in nonempty]
+    dropped += [("required", c, blank(c) | malformed(by_name[c]) if c in by_name else blank(c)) for c in required]
+    first = F.lit(None).cast("int")
+    for i, (_, _, fails) in reversed(list(enumerate(dropped))):
+        first = F.when(fails, F.lit(i)).otherwise(first)
+    verdict = "_first_rule"
+    kept = F.col(verdict).isNull()
+    counts = {f"dropped|{rule}|{c}": F.count_if(F.col(verdict) == i) for i, (rule, c, _) in enumerate(dropped)}
+    for f in schema:
+        if not isinstance(f.dataType, T.StringType):
+            counts[f"nulled|malformed|{f.name}"] = F.count_if(kept & malformed(f))
+        if not isinstance(f.dataType, T.BooleanType):
+            counts[f"filled|missing|{f.name}"] = F.count_if(kept & (blank(f.name) | malformed(f)))
+    account = Observation()
+    seen = df.withColumn(verdict, first).observe(
+        account, F.count(F.lit(1)).alias("read|all|"), *[c.alias(n) for n, c in counts.items()]
+    )
+    trimmed = [
+        F.trim(F.col(c), F.lit(BLANKS)).alias(c) if c in by_name and not isinstance(by_name[c].dataType, T.StringType) else F.col(c)
+        for c in df.columns
+    ]
+    return fill_missing(seen.filter(kept).select(*trimmed), schema), account
+
+
+def account_rows(spark: SparkSession, account: Observation) -> DataFrame:
+    """An account as rows (action, rule, field, rows); waits until the cleaned rows have been used."""
+    rows = [(*name.split("|"), n) for name, n in account.get.items()]  # a row for each rule and field
+    return spark.createDataFrame(rows, "action string, rule string, field string, rows long")

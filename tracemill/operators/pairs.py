@@ -21,8 +21,9 @@ WIDE = "decimal(20,0)"
 WIDEST = "decimal(38,0)"
 # A key with more pairs per event than this is counted without forming its pairs.
 FORMED = 8
-# Groups over which the events of such a key spread when they meet its totals.
-SALTS = 64
+# A key with more than one in so many of all events is dealt into parts of that size, or of so many
+# events in a small table. There are fewer such keys than ``SHARE``.
+SHARE, PART = 1000, 1000
 
 
 def pair_events(
@@ -59,12 +60,46 @@ def event_pairs(events: DataFrame, first_only: bool = True) -> DataFrame:
         )
         pairs = require_fields(first, ["s", "e"])
     else:
-        starts = events.filter("is_start").select("key", F.col("t").alias("s"))
-        ends = events.filter("not is_start").select("key", F.col("t").alias("e"))
-        pairs = starts.join(ends, "key")
+        pairs = every_pair(events, pair_totals(events))
     return pairs.select("key", (F.col("e") - F.col("s")).alias("elapsed"))
 
 
+def hot_keys(totals: DataFrame, share: int = SHARE, part: int = PART) -> DataFrame:
+    """Keys with more than one in ``share`` of all events that have pairs, fewer than ``share`` rows: key, and the
+    numbers of parts for its starts, its ends and both, in proportion to them."""
+    every = totals.agg(F.sum(F.col("start_n") + F.col("end_n")).alias("every")).scalar()
+    size = F.greatest(every / share, F.lit(part).cast(WIDEST))
+    parts = lambda c: F.ceil(c / size).cast("int")
+    both = F.col("start_n") + F.col("end_n")
+    return totals.filter(both > size).select(
+        "key", parts(F.col("start_n")).alias("start_parts"), parts(F.col("end_n")).alias("end_parts"), parts(both).alias("parts")
+    )
+
+
+def _dealt(parts: str) -> Column:
+    """The part of a row of a hot key, 0 for others. Events of one instant differ by the task that reads them."""
+    return F.pmod(F.xxhash64("t", F.spark_partition_id()), F.coalesce(parts, F.lit(1))).cast("int")
+
+
+def _each(parts: str) -> Column:
+    """A row for every part."""
+    return F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
+
+
+def every_pair(events: DataFrame, totals: DataFrame, share: int = SHARE) -> DataFrame:
+    """(key, s, e): every start of a key with every one of its ends.
+
+    Starts and ends of a hot key are dealt into parts, and each part of the one is copied to all
+    of the other, so no task has more than a ``share`` of either side; a side with few rows is one
+    part, so the other isn't copied."""
+    marked = events.join(F.broadcast(hot_keys(totals, share)), "key", "left")
+    starts = marked.filter("is_start").select("key", F.col("t").alias("s"), _dealt("start_parts").alias("i"), "end_parts")
+    ends = marked.filter("not is_start").select("key", F.col("t").alias("e"), _dealt("end_parts").alias("j"), "start_parts")
+    starts = starts.select("key", "s", "i", _each("end_parts").alias("j"))
+    ends = ends.select("key", "e", _each("start_parts").alias("i"), "j")
+    return starts.join(ends, ["key", "i", "j"]).select("key", "s", "e")
+
+
 def pair_totals(events: DataFrame) -> DataFrame:
     """Per key the number of pairs, and their total, shortest and longest elapsed time.
 
@@ -165,13 +200,13 @@ def pair_histogram(events: DataFrame, totals: DataFrame, bins: int = 50) -> Data
     )
     lo, span = bounds["lo"], bounds["span"]
 
-    # Keys to be counted, in copies that a hot key's events spread over.
+    # Keys to be counted; the totals of a hot one in as many copies as its events have parts.
+    hot = F.broadcast(hot_keys(totals).select("key", "parts"))  # fewer than SHARE rows
     dense = totals.filter(F.col("pairs") > FORMED * (F.col("start_n") + F.col("end_n")))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    marked = events.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).join(
-        dense.select("key", "end_n", "end_min", "end_max", salt), ["key", "salt"], "left"
-    )
-    formed = event_pairs(marked.filter(F.col("end_n").isNull()), first_only=False)
+    of_key = dense.join(hot, "key", "left").select("key", "end_n", "end_min", "end_max", _each("parts").alias("part"))
+    marked = events.join(hot, "key", "left").withColumn("part", _dealt("parts")).drop("parts").join(of_key, ["key", "part"], "left")
+    few = marked.filter(F.col("end_n").isNull()).select("key", "t", "is_start")
+    formed = every_pair(few, totals).select((F.col("e") - F.col("s")).alias("elapsed"))
 
     # Whole-number division: a rounded quotient could reach the next bin.
     offset = (F.col("elapsed").cast(WIDE) - lo) * bins

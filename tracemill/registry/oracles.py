@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tracemill.registry.feed_oracles import feed_oracles
+
 TRACE = """
 with job_events as (
   select epoch_us(ts) as time, cast(null as bigint) as missing_info,
@@ -221,6 +223,11 @@ JOB_JSON = """'{"time":' || time || ',"job_id":' || job_id || ',"event_type":' |
 
 
 def all_oracles() -> dict[str, str]:
+    found = table_oracles()
+    return found | feed_oracles(TRACE, _windows, HOPPING_USAGE, HOPPING_COUNTS, found)
+
+
+def table_oracles() -> dict[str, str]:
     return {
         "scan_job_events": _scan(
             "job_events",

@@ -38,6 +38,7 @@ from tracemill.operators.join import join_counts, join_request_usage, scalar_row
 from tracemill.operators.order import first_n, sorted_by
 from tracemill.operators.sequence import above_mean, adjacent_pairs
 from tracemill.plans import analyses as an
+from tracemill.registry.feeds import feed_queries
 from tracemill.session import shared_folder
 from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import SCHEDULE, SUBMIT, TASK_TOPIC, table_schema
@@ -251,6 +252,10 @@ def _read_topic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
+    return table_queries() | feed_queries(staged_topic, rounded)
+
+
+def table_queries() -> dict[str, Query]:
     return {
         # Sources and sinks
         "scan_job_events": _scan("job_events"),

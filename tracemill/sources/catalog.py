@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fields in file order as (name, format, mandatory).
@@ -78,6 +82,16 @@ TABLES = {
     ),
 }
 
+# How a converted table lies: the columns that deal it into buckets, and its order within.
+LAYOUT = {
+    "job_events": (["job_id"], ["job_id", "time"]),
+    "task_events": (["job_id", "task_index"], ["job_id", "task_index", "time"]),
+    "task_usage": (["job_id", "task_index"], ["job_id", "task_index", "start_time"]),
+    "task_constraints": (["job_id", "task_index"], ["job_id", "task_index", "time"]),
+    "machine_events": (["machine_id"], ["machine_id", "time"]),
+    "machine_attributes": (["machine_id"], ["machine_id", "time"]),
+}
+
 # Ids exceed 32 bits, so every integer is a long.
 FORMATS = {
     "INTEGER": T.LongType(),
@@ -116,3 +130,21 @@ def table_schema(name: str) -> T.StructType:
 
 def mandatory_fields(name: str) -> list[str]:
     return [field for field, _, mandatory in TABLES[name] if mandatory]
+
+
+def coverage(tables: dict[str, DataFrame]) -> DataFrame:
+    """The catalogue held against tables: table, position, field, type, mandatory, and how many of its rows
+    have the field and how many lack it. One pass over each table."""
+
+    def of_table(name: str, df: DataFrame) -> DataFrame:
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f).alias(f) for f, *_ in TABLES[name]])
+        fields = [
+            F.struct(
+                F.lit(i).alias("position"), F.lit(f).alias("field"), F.lit(FORMATS[fmt].simpleString()).alias("type"),
+                F.lit(mandatory).alias("mandatory"), F.col(f).alias("present"), (F.col("rows") - F.col(f)).alias("absent"),
+            )
+            for i, (f, fmt, mandatory) in enumerate(TABLES[name], 1)
+        ]
+        return counts.select(F.lit(name).alias("table"), F.inline(F.array(*fields)))
+
+    return reduce(DataFrame.unionByName, [of_table(name, df) for name, df in tables.items()])

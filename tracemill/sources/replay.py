@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.clean import fill_missing, valid_time
@@ -98,3 +98,37 @@ def write_replay(
     write_topic(routed, by=["topic"], **sink)
     for topic in (JOB_TOPIC, TASK_TOPIC):
         commit_in_order(feed.sparkSession, f"{sink['path']}/topic={topic}")
+
+
+def part_index(spark: SparkSession, path: str, time: str = "time", fmt: str = "parquet") -> DataFrame:
+    """Least and greatest time of each part of a folder: file, least, greatest, rows. One pass over one column."""
+    rows = spark.read.format(fmt).load(path).select(F.col("_metadata.file_path").alias("file"), time)
+    return rows.groupBy("file").agg(
+        F.min(time).alias("least"), F.max(time).alias("greatest"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+def merge_parts(
+    spark: SparkSession, index: DataFrame, order: Sequence[str], time: str = "time", fmt: str = "parquet", spans: int | None = None
+) -> DataFrame:
+    """The rows of parts that are each in order, or nearly, as one table in order of ``order``, which begins
+    with ``time``: a task for each span of time, the spans one after the other.
+
+    A span begins where parts begin, and reads only the parts that overlap it, with its times as a
+    pushed filter. So rows are sorted within a span and move to no other task: what parts in order
+    save is the exchange of all rows. ``spans`` joins spans that follow each other, by default none;
+    the index has a row a part and comes to the driver."""
+    parts = index.select("file", "least", "greatest").filter(F.col("least").isNotNull()).collect()
+    starts = sorted({p["least"] for p in parts})
+    step = -(-len(starts) // spans) if spans else 1
+    bounds = [*starts[::step], None]
+    merged = None
+    for lo, hi in zip(bounds, bounds[1:]):
+        files = sorted(p["file"] for p in parts if p["greatest"] >= lo and (hi is None or p["least"] < hi))
+        span = spark.read.format(fmt).load(files).filter(F.col(time) >= lo)
+        span = span if hi is None else span.filter(F.col(time) < hi)
+        span = span.coalesce(1).sortWithinPartitions(*order)
+        merged = span if merged is None else merged.unionByName(span)
+    if merged is None:
+        raise ValueError("the index has no part with a time")
+    return merged

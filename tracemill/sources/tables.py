@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.sources.catalog import table_schema
+from tracemill.sources.catalog import LAYOUT, table_schema
 
 # Columns that give a row's place in the input: parts in name order, then file order.
 POSITION = ["source_file", "source_block", "seq"]
@@ -57,3 +59,16 @@ def write_table(df: DataFrame, name: str, path: str) -> None:
         for f in table_schema(name)
     ]
     df.select(*columns).write.option("compression", "gzip").csv(path)
+
+
+def convert_table(df: DataFrame, name: str, path: str, buckets: int = 64, table: str | None = None) -> DataFrame:
+    """Write a trace table once as a table in the layout that the catalogue declares, and read it back.
+
+    It is bucketed by the columns that its analyses group and join by, and sorted within a bucket, so
+    these need no exchange. Two tables that are joined need the same ``buckets``; a bucket should
+    hold some hundred MB. ``table`` is its name in the session's catalog."""
+    by, order = LAYOUT[name]
+    table = table or f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *by)  # one file for each bucket
+    rows.write.format("parquet").option("path", path).bucketBy(buckets, *by).sortBy(*order).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -52,6 +52,23 @@ def decode_events(df: DataFrame, schema: T.StructType, value: str = "value") ->
     return df.select(F.from_json(F.col(value).cast("string"), schema).alias("data")).select("data.*")
 
 
+def decode_or_keep(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """The typed fields of JSON records, ``broken`` and ``raw``.
+
+    A record that isn't JSON, doesn't end, or has a field of another type is broken, as is a missing
+    or blank one: its fields are NULL, and ``raw`` is its text. A record without fields is not."""
+    corrupt = "_corrupt"
+    while corrupt in schema.fieldNames():
+        corrupt = f"_{corrupt}"
+    text = F.col(value).cast("string")
+    full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    data = F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    broken = F.col("data").isNull() | F.col(f"data.{corrupt}").isNotNull()
+    rows = df.select(data.alias("data"), text.alias("raw")).withColumn("broken", broken)
+    fields = [F.when(~F.col("broken"), F.col(f"data.{f}")).alias(f) for f in schema.fieldNames()]
+    return rows.select(*fields, "broken", F.when(F.col("broken"), F.col("raw")).alias("raw"))
+
+
 def _json(df: DataFrame, without: list[str]) -> Column:
     return F.to_json(F.struct(*[c for c in df.columns if c not in without]))
 
@@ -111,7 +128,7 @@ MANIFEST, VERSION, COMPACT = "_spark_metadata", "v1", 10
 
 
 def commit_in_order(spark: SparkSession, folder: str) -> int:
-    """Publish the data files of a folder that are in no manifest yet, in order of their names.
+    """Publish the data files below a folder that are in no manifest yet, in order of their paths.
 
     The manifest is the one that Spark's own file sink writes and its file source follows: readers
     see its files alone, and a stream takes them in the order of the times listed there, which rise
@@ -124,7 +141,7 @@ def commit_in_order(spark: SparkSession, folder: str) -> int:
         return 0
     log = hadoop.fs.Path(path, MANIFEST)
     commits = {int(f.getPath().getName().split(".")[0]): f.getPath() for f in fs.listStatus(log)} if fs.exists(log) else {}
-    listed: dict[str, dict] = {}
+    listed: dict[str, dict] = {}  # a row for each file
     for commit in sorted(commits):
         stream = fs.open(commits[commit])
         try:
@@ -132,8 +149,13 @@ def commit_in_order(spark: SparkSession, folder: str) -> int:
         finally:
             stream.close()
         listed |= {e["path"]: e for e in map(json.loads, filter(None, lines[1:]))}
-    files = sorted((f for f in fs.listStatus(path) if f.isFile()), key=lambda f: f.getPath().getName())
-    new = [f for f in files if not f.getPath().getName().startswith(("_", ".")) and f.getPath().toUri().toString() not in listed]
+    files, walk = [], fs.listFiles(path, True)
+    while walk.hasNext():
+        files.append(walk.next())
+    names = {f.getPath().toUri().toString(): f for f in files}
+    top = len(fs.makeQualified(path).toUri().toString())
+    seen = (n for n in sorted(names) if not any(part.startswith(("_", ".")) for part in n[top:].split("/")))
+    new = [names[n] for n in seen if n not in listed]
     if not new and commits:
         return 0
     first = max([e["modificationTime"] for e in listed.values()], default=int(time.time() * 1000)) + 1

@@ -11,6 +11,7 @@ from tracemill.sources.catalog import JOB_TOPIC, TASK_TOPIC
 from tracemill.sources.topics import decode_events, event_schema, read_topic
 from tracemill.streaming.windows import (
     LATENESS,
+    closed_machine_usage,
     event_counts,
     machine_totals,
     machine_usage,
@@ -29,6 +30,14 @@ def resource_usage_stream(
     return machine_usage(with_event_time(events, trace_only=trace_only), lateness)
 
 
+def closed_usage_stream(
+    spark: SparkSession, lateness: str = LATENESS, trace_only: bool = True, **source: str
+) -> DataFrame:
+    """The same windows for append mode, each once when it is closed; state is a row a slide and machine."""
+    events = decode_events(read_topic(spark, TASK_TOPIC, **source), event_schema("task_events"))
+    return closed_machine_usage(with_event_time(events, trace_only=trace_only), lateness)
+
+
 def event_counts_stream(
     spark: SparkSession, lateness: str | None = LATENESS, trace_only: bool = True, **source: str
 ) -> DataFrame:

@@ -37,6 +37,15 @@ def batch_sink(df: DataFrame, path: str, mode: str = "update") -> DataStreamWrit
     return df.writeStream.outputMode(mode).foreachBatch(write)
 
 
+def quarantine_sink(df: DataFrame, path: str) -> DataStreamWriter:
+    """Write the rows of ``decode_or_keep`` as Parquet by batch, the broken ones apart from the others, in one pass."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("broken").parquet(f"{path}/batch_id={batch_id}")
+
+    return df.writeStream.foreachBatch(write)
+
+
 def latest_updates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last update per key among the batches that ``batch_sink`` wrote."""
     values = [c for c in df.columns if c not in (*keys, "batch_id")]

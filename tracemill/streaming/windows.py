@@ -93,20 +93,47 @@ def hopping(
         )
     )
 
-    def merged(kind: str, column: str) -> Column:
-        if kind == "count":
-            return F.sum("_rows" if column == "*" else f"_count_{column}")
-        total = F.sum(f"_sum_{column}")
-        return total if kind == "sum" else F.try_divide(total, F.sum(f"_count_{column}"))
-
     earliest = F.col("_pane") - (_interval(duration) - _interval(slide))
     starts = F.sequence(earliest, F.col("_pane"), _interval(slide))
     grouped = panes.withColumn("window_start", F.explode(starts)).groupBy("window_start", *keys)
-    totals = grouped.agg(*[merged(*agg).alias(name) for name, agg in aggregates.items()])
+    totals = grouped.agg(*[_merged(*agg).alias(name) for name, agg in aggregates.items()])
     end = F.col("window_start") + _interval(duration)
     return totals.select("window_start", end.alias("window_end"), *keys, *aggregates)
 
 
+def chained(
+    df: DataFrame,
+    keys: Sequence[str],
+    aggregates: Aggregates,
+    duration: str = LONG_WINDOW,
+    slide: str = SLIDE,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """The windows of ``hopping`` as two aggregates in a row: slides, and windows of closed slides.
+
+    For streams in append mode: a window comes once, when the watermark has passed it. An event is
+    one row of state, that of its slide, and not one for each window that covers it; the windows
+    hold sums of slides. Slides must fill a window."""
+    if not _whole_slides(df, duration, slide):
+        raise ValueError(f"{slide} doesn't fill {duration}")
+    columns = dict.fromkeys(c for _, c in aggregates.values() if c != "*")
+    slides = with_lateness(df, lateness).groupBy(F.window(TIME, slide).alias("_slide"), *keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in columns],
+        *[F.count(c).alias(f"_count_{c}") for c in columns],
+    )
+    window = F.window(F.window_time("_slide"), duration, slide).alias("window")
+    return flatten_window(slides.groupBy(window, *keys).agg(*[_merged(*a).alias(n) for n, a in aggregates.items()]))
+
+
+def _merged(kind: str, column: str) -> Column:
+    """An aggregate of events from those of their slides."""
+    if kind == "count":
+        return F.sum("_rows" if column == "*" else f"_count_{column}")
+    total = F.sum(f"_sum_{column}")
+    return total if kind == "sum" else F.try_divide(total, F.sum(f"_count_{column}"))
+
+
 def tumbling(
     df: DataFrame,
     keys: Sequence[str],
@@ -119,15 +146,22 @@ def tumbling(
     return flatten_window(grouped.agg(*[_aggregate(*a).alias(n) for n, a in aggregates.items()]))
 
 
+USAGE: Aggregates = {
+    "total_cpu_usage": ("sum", "cpu_request"),
+    "total_memory_usage": ("sum", "memory_request"),
+    "avg_cpu_request_per_task": ("avg", "cpu_request"),
+    "avg_memory_request_per_task": ("avg", "memory_request"),
+}
+
+
 def machine_usage(df: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """Requested CPU and memory per machine, in total and per task, in hopping windows."""
-    aggregates = {
-        "total_cpu_usage": ("sum", "cpu_request"),
-        "total_memory_usage": ("sum", "memory_request"),
-        "avg_cpu_request_per_task": ("avg", "cpu_request"),
-        "avg_memory_request_per_task": ("avg", "memory_request"),
-    }
-    return hopping(df, ["machine_id"], aggregates, lateness=lateness)
+    return hopping(df, ["machine_id"], USAGE, lateness=lateness)
+
+
+def closed_machine_usage(df: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The same, each window once it is closed, by way of slides."""
+    return chained(df, ["machine_id"], USAGE, lateness=lateness)
 
 
 def event_counts(df: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
