@@ -33,7 +33,7 @@ def resource_usage_stream(
 def closed_usage_stream(
     spark: SparkSession, lateness: str = LATENESS, trace_only: bool = True, **source: str
 ) -> DataFrame:
-    """The same windows for append mode, each once when it is closed; state is a row a slide and machine."""
+    """The same windows for append mode, each once when it is closed; an event updates a row of state."""
     events = decode_events(read_topic(spark, TASK_TOPIC, **source), event_schema("task_events"))
     return closed_machine_usage(with_event_time(events, trace_only=trace_only), lateness)
 

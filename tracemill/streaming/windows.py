@@ -111,9 +111,9 @@ def chained(
 ) -> DataFrame:
     """The windows of ``hopping`` as two aggregates in a row: slides, and windows of closed slides.
 
-    For streams in append mode: a window comes once, when the watermark has passed it. An event is
-    one row of state, that of its slide, and not one for each window that covers it; the windows
-    hold sums of slides. Slides must fill a window."""
+    For streams in append mode: a window comes once, when the watermark has passed it. An event
+    updates one row of state, that of its slide, and not one for each window that covers it; these
+    are updated once a slide, when it is closed. Slides must fill a window."""
     if not _whole_slides(df, duration, slide):
         raise ValueError(f"{slide} doesn't fill {duration}")
     columns = dict.fromkeys(c for _, c in aggregates.values() if c != "*")
