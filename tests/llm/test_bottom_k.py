@@ -38,10 +38,11 @@ def test_given_documents(spark):
     assert result(op12_minhash_dedup(docs)) == plain(own)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_spread_groups(documents, monkeypatch, block):
+@pytest.mark.parametrize("block, estimated", [(2048, 8), (16, 8), (16, 0)])
+def test_spread_groups(documents, monkeypatch, block, estimated):
     """Copies of one text with few to many changes, so that the typical one doesn't link with all; short ones too."""
     monkeypatch.setattr(bottom_k, "BLOCK", block)
+    monkeypatch.setattr(bottom_k, "ESTIMATED", estimated)
     rng = random.Random(11)
     rows = []
     for length in (9, 30, 55, 70, 150, 600):

@@ -13,19 +13,18 @@ them, or all if there are fewer. Documents with the same set are one class from
 * Exact. What is left is decided by intersecting the whole sets.
 
 Sets of a list are in the group of the least of them. They first meet the most typical one of
-the group; a group that is one component then is done. Else what is not in the largest component
-of the group meets a few members of that. What still isn't one is compared across: the largest
+the group; a group that is one component then is done. Else it is compared across: the largest
 component is dealt into blocks of bounded size, the others are copied to these and meet each
-other in blocks too. Overlaps within
-a block come from the inverted lists of its sketches, and only pairs that pass the estimate become
-rows. Keys with a large share of the rows are salted, and there are few enough of them to
+other in blocks too. Overlaps within a block come from the inverted lists of its sketches. The
+members of pairs that pass the estimate then meet in the same blocks with their whole sets, all
+overlaps are counted at once, and what connects the members becomes rows, fewer than members. Keys with a large share of the rows are salted, and there are few enough of them to
 broadcast. So a group of k linked copies costs a few times k comparisons, and no two sets that
 share a listed value stay uncompared but within a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,8 @@ SIMILAR = 80  # per cent
 K = 64
 SHARED = 28  # retained values that similar sets share at least, of K
 CELLS = 1 << 20  # of the count of values
-BLOCK = 2048  # sets compared at a time, with as many others
-MET = 4  # sets of its largest part that the others of a group meet first
+BLOCK, ELEMENTS = 2048, 1_000_000  # sets compared at a time, and their elements, with as many others
+ESTIMATED = 8  # pairs a set, above which a block is compared by elements without estimating each
 LISTED = 1_000_000  # ids that are broadcast at most, 24 MB
 
 
@@ -87,7 +86,7 @@ def _listed_values(n: int) -> int:
 
 
 def _inverted(sets: DataFrame) -> DataFrame:
-    """Listed values of the sets: value, set, and how common the values of its sketch are."""
+    """Listed values of the sets: value, set, its size, and how common the values of its sketch are."""
     cell = F.pmod(F.xxhash64("value"), F.lit(CELLS)).cast("int")
     counted = sets.select(F.explode("sketch").alias("value")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.uint8)  # CELLS rows at most
@@ -105,10 +104,10 @@ def _inverted(sets: DataFrame) -> DataFrame:
                 found.append(values.values.to_numpy()[order])
                 times.append(len(order))
                 common.append(float(times_of.mean()))
-            own, common = np.repeat(batch.column(0).to_numpy(), times), np.repeat(np.array(common, np.float32), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(own), pa.array(common)], ["value", "set", "common"])
+            each = [np.repeat(c, times) for c in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(common, np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *map(pa.array, each)], ["value", "set", "n", "common"])
 
-    return sets.select("set", "n", "sketch", cells).mapInArrow(rare, "value long, set long, common float")
+    return sets.select("set", "n", "sketch", cells).mapInArrow(rare, "value long, set long, n long, common float")
 
 
 def _passes(x: np.ndarray, y: np.ndarray) -> bool:
@@ -136,38 +135,56 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(passing, "a long, b long")
 
 
-def _pairs_of_block(own: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Members of different parts that pass, of the same side or of two, where ``own`` differs."""
-    size = len(sketch)
-    values = np.concatenate(sketch)
-    member = np.repeat(np.arange(size), [len(s) for s in sketch])
-    order = np.argsort(values, kind="stable")
-    values, member = values[order], member[order]
-    bounds = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True])
-    overlap = np.zeros((size, size), np.uint8)  # K at most
-    for lo, hi in zip(bounds, bounds[1:]):
-        if hi - lo > 1:
-            overlap[np.ix_(member[lo:hi], member[lo:hi])] += 1
-    kept = np.array([len(s) for s in sketch])
+def _overlaps(values: list[np.ndarray], kind: type) -> np.ndarray:
+    """For each two of some arrays of distinct values, how many they share: from inverted lists."""
+    size = len(values)
+    value, member = np.concatenate(values), np.repeat(np.arange(size), [len(v) for v in values])
+    order = np.argsort(value, kind="stable")
+    value, member = value[order], member[order]
+    bounds = np.flatnonzero(np.r_[True, value[1:] != value[:-1], True])
+    found = np.zeros((size, size), kind)
+    for k in np.flatnonzero(np.diff(bounds) > 1):
+        own = member[bounds[k] : bounds[k + 1]]
+        found[np.ix_(own, own)] += 1
+    return found
+
+
+def _may_link(own: np.ndarray, part: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Members of different parts (and sides, where there are two) whose sizes allow a link."""
     two = own.min() != own.max()
-    for r in range(size - 1):
-        at = np.arange(r + 1, size)
-        fit = 100 * np.minimum(n[at], n[r]) >= SIMILAR * np.maximum(n[at], n[r])
-        fit &= (part[at] != part[r]) & ((own[at] != own[r]) if two else True)
-        whole = (kept[at] < K) & (kept[r] < K)
-        fit &= overlap[r, at] >= np.where(whole, 1, SHARED)
-        for k in at[fit]:
-            if _passes(sketch[r], sketch[k]):
-                yield r, int(k)
+    fit = 100 * np.minimum(n[:, None], n) >= SIMILAR * np.maximum(n[:, None], n)
+    fit &= part[:, None] != part
+    return fit & (own[:, None] != own) if two else fit
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that pass of rows (group, i, j, own, set, part, n, sketch), block by block."""
+    """Of blocks of rows (group, i, j, own, set, part, n, sketch): the members that are in a pair that passes.
+    Where more than ``ESTIMATED`` pairs a member share enough, these pass without an estimate of each."""
     for block in key_runs(batches, 3):
-        own, name, part, n = (block.column(k).to_numpy() for k in range(3, 7))
+        own, part, n = (block.column(k).to_numpy() for k in (3, 5, 6))
         sketch = [s.values.to_numpy().view(np.uint64) for s in block.column(7)]
-        found = np.array(list(_pairs_of_block(own, part, n, sketch)), np.int64).reshape(-1, 2)
-        x, y = name[found[:, 0]], name[found[:, 1]]
+        whole = np.array([len(s) for s in sketch]) < K
+        fit = _may_link(own, part, n)
+        fit &= _overlaps(sketch, np.uint8) >= np.where(whole[:, None] & whole, 1, SHARED)
+        x, y = np.nonzero(np.triu(fit))
+        if len(x) <= ESTIMATED * len(sketch):
+            keep = np.array([_passes(sketch[p], sketch[q]) for p, q in zip(x, y)], bool)
+            x, y = x[keep], y[keep]
+        yield from block.select(range(6)).take(np.unique(np.r_[x, y])).combine_chunks().to_batches()
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks of rows (group, i, j, own, set, part, n, elements): pairs (a, b) that connect what the links do."""
+    for block in key_runs(batches, 3):
+        own, name, part, n = (block.column(k).to_numpy() for k in range(3, 7))
+        both = _overlaps([s.values.to_numpy() for s in block.column(7)], np.uint32)
+        link = _may_link(own, part, n) & (100 * both.astype(np.int64) >= SIMILAR * (n[:, None] + n - both))
+        label, before = np.arange(len(n)), None
+        while before is None or (label != before).any():
+            before = label
+            label = np.minimum(label, np.where(link, label, len(n)).min(axis=1))
+        at = np.flatnonzero(label != np.arange(len(n)))
+        x, y = name[at], name[label[at]]
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
@@ -185,14 +202,10 @@ def _elements(docs: DataFrame, sets: DataFrame) -> DataFrame:
                 own = batch.column(0).slice(block.lo, block.hi - block.lo)
                 yield pa.RecordBatch.from_arrays([own, pa.array(found, pa.list_(pa.int64()))], ["set", "elements"])
 
-    found = texts.select("set", "text").mapInArrow(elements, "set long, elements array<long>")
+    found = staged(texts.select("set", "text").mapInArrow(elements, "set long, elements array<long>"), "bottom-k-elements")
+    again = found.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     # Rows that repeat an id and a text give a set again: the same one.
-    return staged(found.dropDuplicates(["set"]) if _repeats(docs, of) else found, "bottom-k-elements")
-
-
-def _repeats(docs: DataFrame, of: DataFrame) -> bool:
-    rows = docs.join(of, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")), "left_semi")
-    return not rows.groupBy("id", "mark").count().where("count > 1").isEmpty()
+    return found if again < 2 else staged(found.dropDuplicates(["set"]), "bottom-k-elements")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -228,19 +241,21 @@ def _parted(groups: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of the groups that lie in several parts (group, set, part), and of each such group
     the largest part, ``main``, with the blocks that it and the others make."""
     members = groups.join(parts.select(F.col("a").alias("set"), F.col("b").alias("part")), "set", "left")
-    members = staged(members.select("group", "set", F.coalesce("part", "set").alias("part")), "bottom-k-members")
-    blocks = lambda k: F.greatest(F.ceil(k / BLOCK), F.lit(1)).cast("int")
-    largest = members.groupBy("group", "part").agg(F.count("*").alias("k")).groupBy("group").agg(
-        F.count("*").alias("parts"), F.max(F.struct("k", "part")).alias("most"), F.sum("k").alias("all")
+    members = staged(members.select("group", "set", "n", F.coalesce("part", "set").alias("part")), "bottom-k-members")
+    blocks = lambda x: F.greatest(F.ceil(x["k"] / BLOCK), F.ceil(x["size"] / ELEMENTS), F.lit(1)).cast("int")
+    largest = members.groupBy("group", "part").agg(F.count("*").alias("k"), F.sum("n").alias("size")).groupBy("group").agg(
+        F.count("*").alias("parts"), F.max(F.struct("k", "part", "size")).alias("most"), F.sum("k").alias("k"), F.sum("size").alias("size")
     )
+    rest = F.struct((F.col("k") - F.col("most.k")).alias("k"), (F.col("size") - F.col("most.size")).alias("size"))
     largest = largest.where("parts > 1").select(
-        "group", F.col("most.part").alias("main"), blocks(F.col("most.k")).alias("many"), blocks(F.col("all") - F.col("most.k")).alias("few")
+        "group", F.col("most.part").alias("main"), blocks(F.col("most")).alias("many"), blocks(rest).alias("few")
     )
-    return joined_by_key(members, staged(largest, "bottom-k-open"), "group"), largest
+    largest = staged(largest, "bottom-k-open")
+    return joined_by_key(members.drop("n"), largest, "group"), largest
 
 
-def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass, of sets of one group that lie in different parts."""
+def _across(open_: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the sets of a group that lie in different parts as all their links do."""
     # Blocks (i, j): i of the other parts, j of these from 0 on or of the largest part from ``few`` on.
     main, deal = F.col("part") == F.col("main"), lambda k: F.pmod(F.xxhash64("set", F.lit(7)), k).cast("int")
     own = F.when(main, F.col("few") + deal(F.col("many"))).otherwise(deal(F.col("few")))
@@ -248,8 +263,16 @@ def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
     members = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     members = members.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "part")
     members = members.join(sets.select("set", "n", "sketch"), "set")
-    members = members.select("group", "i", "j", "own", "set", "part", "n", "sketch").repartition("group", "i", "j")
-    return members.sortWithinPartitions("group", "i", "j").mapInArrow(_compared, "a long, b long")
+    near = _in_blocks(members, "sketch", _compared, "group long, i int, j int, own int, `set` long, part long")
+    near = staged(near, "bottom-k-near")
+    elements = _elements(docs, sets.join(near.select("set").distinct(), "set", "left_semi"))
+    near = near.join(elements.withColumn("n", F.size("elements").cast("long")), "set")
+    return staged(_in_blocks(near, "elements", _linked_blocks, "a long, b long"), "bottom-k-links")
+
+
+def _in_blocks(members: DataFrame, values: str, compare: Callable, schema: str) -> DataFrame:
+    blocks = members.select("group", "i", "j", "own", "set", "part", "n", values).repartition("group", "i", "j")
+    return blocks.sortWithinPartitions("group", "i", "j").mapInArrow(compare, schema)
 
 
 def components_of_sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,7 +284,7 @@ def components_of_sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     sets = staged(sets, "bottom-k-sets")
     lists = staged(_inverted(sets), "bottom-k-lists")
     least = lists.groupBy("value").agg(F.min("set").alias("group"), F.count("*").alias("k")).where("k > 1").drop("k")
-    groups = joined_by_key(lists, staged(least, "bottom-k-least"), "value").select("group", "set", "common").distinct()
+    groups = joined_by_key(lists, staged(least, "bottom-k-least"), "value").select("group", "set", "n", "common").distinct()
     groups = staged(groups, "bottom-k-groups")
 
     # All of a group meet its most typical set.
@@ -270,22 +293,10 @@ def components_of_sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     links = _verified(_met(staged(meet.select("set", "one").distinct(), "bottom-k-meet"), sets), sets, docs)
     parts = connected_components(links)
 
-    # What is not in the largest part of its group meets a few of that part, then what is left of the other parts.
+    # What then lies in different parts of a group is compared across these.
     open_, largest = _parted(groups, parts)
-    if largest.isEmpty():
-        return sketches, sets, parts
-    open_ = staged(open_, "bottom-k-parted")
-    main = F.col("part") == F.col("main")
-    few = [F.min(F.struct(F.xxhash64("set", F.lit(r)), "set"))["set"] for r in range(MET)]
-    few = open_.where(main).groupBy("group").agg(F.array(*few).alias("few")).select("group", F.explode(F.array_distinct("few")).alias("one"))
-    meet = staged(open_.where(~main).join(few, "group").select("set", "one").distinct(), "bottom-k-meet")
-    links = _verified(_met(meet, sets), sets, docs)
-    if not links.isEmpty():
-        parts = connected_components(parts.unionByName(links))
-        open_, largest = _parted(groups, parts)
-    more = _verified(_across(open_, sets), sets, docs)
-    if not more.isEmpty():
-        parts = connected_components(parts.unionByName(more))
+    if not largest.isEmpty():
+        parts = connected_components(parts.unionByName(_across(open_, sets, docs)))
     return sketches, sets, parts
 
 

@@ -37,10 +37,9 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def heavy_keys(many: DataFrame, key: str, share: int = 1000, least: int = 256) -> list:
     """The keys with more than one in ``share`` of the rows (and ``least`` rows): fewer than ``share`` of them."""
-    counts = many.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    heavy = counts.crossJoin(F.broadcast(total)).where((F.col("n") * share > F.col("total")) & (F.col("n") > least))
-    return [row[0] for row in heavy.select(key).where(F.col(key).isNotNull()).collect()]
+    limit = max(many.count() // share, least)
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return [row[0] for row in counts.where(F.col("n") > limit).select(key).collect()]
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, heavy: list, copies: int = 64) -> DataFrame:

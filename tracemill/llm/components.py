@@ -33,7 +33,8 @@ def _all_stars(edges: DataFrame) -> bool:
     ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
                                           F.struct(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("end"))
     nodes = ends.groupBy("end.node").agg(F.sum("end.below").alias("below"), F.max("end.above").alias("above"))
-    return nodes.where((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") == 1))).isEmpty()
+    moving = (F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") == 1))
+    return not nodes.agg(F.max(moving)).first()[0]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
