@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 import brute
 from made import prose
 from tracemill.llm.jaccard_join import keep_one, near_duplicates
-from tracemill.llm.license_scan import NOTICES, license_spans
+from tracemill.llm.license_scan import license_spans
+from tracemill.llm.license_texts import NOTICES
 from tracemill.llm.mix_sources import mix_sources, source_rates
 from tracemill.llm.pseudonyms import permute_digits, pseudonymize
 from tracemill.llm.quality_rules import quality_rules

@@ -6,65 +6,28 @@ diagonal p - t. Votes are counted by diagonal, neighbouring diagonals of one tem
 merge (an inserted or lost word moves the diagonal), and a merged span counts if enough of
 the template's runs voted. A vote is given only after the words themselves agree.
 
-Phrases vote with runs of 2 words and must agree in full on one diagonal; notices vote
-with runs of 4. A template has at most 64 runs, so its votes are bits of one number. The
-broadcast table of runs is a constant of a few hundred rows.
+Phrases vote with runs of 2 words and must agree in full on one diagonal; notices, and
+templates of the caller's, vote with runs of 4 and may have any length. The runs of up to
+``LISTED`` are broadcast, some 150 bytes each; a larger pack is joined by a shuffle in which
+the commonest runs are salted.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import NOT_WORD, fresh, whole_text
+from tracemill.llm.common import NOT_WORD, fresh, heavy_keys, salted_join, staged, whole_text
+from tracemill.llm.license_texts import BASE_PHRASES, NOTICES, PHRASES
 from tracemill.llm.quality_rules import pairwise, window_hashes
 
-# The phrases of the contract.
-BASE_PHRASES = [
-    ("mit", "mit license"),
-    ("apache", "apache license"),
-    ("gpl", "general public license"),
-]
-# Wording of common public licenses and license lines.
-PHRASES = [
-    ("lgpl", "lesser general public license"),
-    ("agpl", "affero general public license"),
-    ("bsd", "bsd 2 clause license"),
-    ("bsd", "bsd 3 clause license"),
-    ("mpl", "mozilla public license"),
-    ("epl", "eclipse public license"),
-    ("isc", "isc license"),
-    ("cc-by", "creative commons attribution"),
-    ("cc0", "cc0 1 0 universal"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files the software to deal in the software without restriction including without limitation "
-            "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial "
-            "portions of the software"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in "
-               "compliance with the license you may obtain a copy of the license at"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is "
-               "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-            "public license as published by the free software foundation either version"),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the "
-            "implied warranty of merchantability or fitness for a particular purpose"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
-            "that the following conditions are met"),
-    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
-            "following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-            "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
-            "was not distributed with this file you can obtain one at"),
-    ("cc-by", "this work is licensed under a creative commons attribution"),
-]
 PHRASE_RUN, NOTICE_RUN = 2, 4
 NEAR = 3  # diagonals of one template this close merge
 ENOUGH = 0.6  # share of a notice's runs
+LISTED = 100_000  # runs of templates that are broadcast
 DOCUMENT = -1  # the vote of a document for itself
 
 
@@ -72,14 +35,17 @@ def _run_hashes(words, width: int):
     return window_hashes(F.transform(words, lambda w: F.xxhash64(w)), width)
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """The runs of all templates: hash, template, place, words; and per template label, runs and kind."""
+def templates(spark: SparkSession, more: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """The runs of all templates: hash, template, place, words; and per template label, runs and kind.
+
+    ``more`` has (label, text) of templates besides the pack, of at least 4 words."""
     rows = [(label, text, PHRASE_RUN, True) for label, text in BASE_PHRASES]
     rows += [(label, text, PHRASE_RUN, False) for label, text in PHRASES]
     rows += [(label, text, NOTICE_RUN, False) for label, text in NOTICES]
+    rows += [(label, " ".join(re.split(NOT_WORD, text.lower())).strip(), NOTICE_RUN, False) for label, text in more]
     rows = [(i, *row, len(row[1].split()) - row[2] + 1) for i, row in enumerate(rows)]
-    if max(row[-1] for row in rows) > 64:
-        raise ValueError("a template may have 64 runs")
+    if any(row[-1] < 1 for row in rows):
+        raise ValueError("a template needs at least 4 words")
     schema = "template int, label string, words string, width int, base boolean, runs int"
     t = spark.createDataFrame(rows, schema).withColumn("words", F.split("words", " "))
     hashed = F.when(F.col("width") == PHRASE_RUN, _run_hashes(F.col("words"), PHRASE_RUN)).otherwise(
@@ -94,12 +60,16 @@ def templates(spark: SparkSession) -> DataFrame:
     return runs.unionByName(own)
 
 
-def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def license_spans(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", more: Sequence[tuple[str, str]] = (), listed: int = LISTED
+) -> DataFrame:
     """Per row of ``docs``: ``key``, n_words, base places, labels and the spans found.
 
     ``spans`` has (label, first word, end, share of the template's runs, base) of every
     phrase place and every merged span with at least 60 % of a notice. Words are ASCII
     digits and letters and all characters beyond ASCII, compared without regard to case.
+    ``more`` adds templates (label, text) of any length to the pack; at most ``listed`` runs
+    of templates are broadcast.
 
     A null or empty text has no words and no spans. Rows are told apart by their place in
     the scan, so repeated rows, repeated and null keys each keep a row. Other columns are
@@ -119,7 +89,12 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     votes = spans.select(row, "key", "n_words", words, F.posexplode_outer("runs_of").alias("nth", "run"))
     # Never empty, and outer, so that no filter computes the hashes twice. The first element is the document's own vote, then the pairs, then the fours.
     n_pairs = F.greatest(F.col("n_words") - (PHRASE_RUN - 1), F.lit(0))
-    votes = votes.join(F.broadcast(templates(docs.sparkSession)), "run")
+    pack = templates(docs.sparkSession, more)
+    if len(more) == 0 or pack.count() <= listed:
+        votes = votes.join(F.broadcast(pack), "run")
+    else:  # staged, as the numbers of the rows must be the same for both uses
+        votes = staged(votes, "license-runs")
+        votes = salted_join(votes, staged(pack, "license-templates"), "run", heavy_keys(votes, "run"))
     place = F.when(F.col("width") == 0, 0).when(F.col("width") == PHRASE_RUN, F.col("nth") - 1)
     votes = votes.withColumn("place", place.otherwise(F.col("nth") - 1 - n_pairs).cast("int"))
     votes = votes.where(
@@ -130,7 +105,7 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     document = [row, "key", "n_words"]
     kind = ["template", "label", "width", "base", "runs"]
     diagonals = votes.groupBy(*document, *kind, (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("voted"),
+        F.collect_set("at").alias("voted"),
         F.min("place").alias("first"),
         F.max(F.col("place") + F.col("width")).alias("end"),
     )
@@ -139,7 +114,7 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     diagonals = diagonals.withColumn("new", F.when(gap <= near, 0).otherwise(1))
     diagonals = diagonals.withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    share = F.bit_count(F.bit_or("voted")) / F.max("runs")
+    share = F.size(F.array_distinct(F.flatten(F.collect_list("voted")))) / F.max("runs")
     merged = diagonals.groupBy(*document, *kind, "span").agg(
         share.alias("share"), F.min("first").alias("first"), F.max("end").alias("end")
     )
