@@ -9,8 +9,9 @@ The search visits many places at once: texts are cut into stretches that overlap
 pattern less a word, a cursor runs over each, and all cursors of a block of texts move in
 one array operation, each by its own shift.
 
-Patterns are taken in blocks of at most ``max_patterns``, so what is broadcast at once is
-bounded, whatever the size of the benchmark; every block sees every text.
+Patterns are taken in blocks of at most ``max_patterns`` and ``max_bytes``, one search after
+the other, so what is broadcast and held at once is bounded, whatever the size of the
+benchmark; every block sees every text.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import NOT_WORD, fresh, small_batches, words
+from tracemill.llm.common import NOT_WORD, fresh, small_batches, staged, words
 from tracemill.llm.rolling import ASCII_NOT_ALNUM, Block, WordHasher, mix
 
 WINDOW = 13
-MAX_PATTERNS = 500_000
+MAX_PATTERNS, MAX_BYTES = 500_000, 64 << 20  # of a block: some 200 MB in a worker
 SLOTS = 1 << 20  # of the shift table
 STRETCH = 256  # words a cursor runs over
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,9 +107,50 @@ def _windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> Data
     )
 
 
+def _searched(docs: DataFrame, patterns: list, kept: list[str], text: str, every: bool) -> DataFrame:
+    """Columns ``kept`` of ``docs`` with cover (flat starts and ends), items and n_words, from one block of patterns;
+    with ``every``, also rows without an occurrence."""
+    by_length: dict[int, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
+    for row in patterns:
+        by_length[row["words"].count(" ") + 1][row["words"].encode()].append(row["item"])
+    shared = docs.sparkSession.sparkContext.broadcast({k: dict(v) for k, v in by_length.items()})
+    own_text, names = kept.index(text), [f"c{i}" for i in range(len(kept))]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(ASCII_NOT_ALNUM, True)
+        tables = [Patterns(length, p, hasher) for length, p in shared.value.items()]
+        for batch in batches:
+            for block in hasher.blocks(batch.column(own_text)):
+                word, data = hasher.hashes(block), block.data.tobytes()
+                cover = [[] for _ in range(block.hi - block.lo)]
+                item = [set() for _ in cover]
+                for t in tables:
+                    for first, ids in t.search(block, word, data):
+                        doc = int(np.searchsorted(block.first, first, "right")) - 1
+                        at = first - int(block.first[doc])
+                        cover[doc].append((at, at + t.length))
+                        item[doc].update(ids)
+                piece = batch.slice(block.lo, block.hi - block.lo)
+                out = pa.RecordBatch.from_arrays(
+                    [*piece.columns, pa.array([_merged(c) for c in cover], pa.list_(pa.int32())),
+                     pa.array([sorted(i) for i in item], pa.list_(pa.string())), pa.array(block.counts, pa.int64())],
+                    [*names, "cover", "items", "n_words"],
+                )
+                yield out if every else out.filter(pa.array([bool(c) for c in cover], pa.bool_()))
+
+    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
+    return docs.select(*kept).mapInArrow(search, f"{fields}, cover array<int>, items array<string>, n_words long")
+
+
+def _merge_covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        covers = [_merged([s for c in found for s in zip(c[::2], c[1::2])]) for found in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(covers, pa.list_(pa.int32())), batch.column(2)], ["row", "cover", "items"])
+
+
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, max_patterns: int = MAX_PATTERNS,
+    window: int = WINDOW, max_patterns: int = MAX_PATTERNS, max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """``docs`` with ``hits``: n_words, n_hit, items (ids as sorted strings) and contaminated.
 
@@ -119,66 +161,45 @@ def benchmark_hits(
     Each row is judged by itself, so repeated rows and ids stay; its columns stay as they
     are, a column named ``hits`` is replaced. A null or empty text has no words. Items
     without an id or words are no items; items with one id count as one. Either table may
-    be empty.
+    be empty. With several blocks of patterns, the texts are written once with a number for
+    each row, and each block's occurrences before the next block is searched for.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    patterns = _windows(benchmark, item_id, item_text, window)
-    n = patterns.count()
-    parts = max(1, -(-n // max_patterns))
-    patterns = patterns.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(parts)))
+    patterns = staged(_windows(benchmark, item_id, item_text, window), "benchmark-windows")
+    size = patterns.agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // max_patterns), -(-(size["bytes"] or 0) // max_bytes))
+    # By words and item, so that words of very many items are dealt out too.
+    of = F.pmod(F.xxhash64("words", "item"), F.lit(parts))
     kept = [c for c in docs.columns if c != "hits"]
-    ends, items = fresh("cover"), fresh("items")
-    out = docs.select(*kept, F.lit(None).cast("array<int>").alias(ends), F.lit(None).cast("array<string>").alias(items))
-    own_text = kept.index(text)
-
-    for part in range(parts):
-        by_length: dict[int, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        for row in patterns.where(F.col("part") == part).collect():  # about max_patterns rows
-            by_length[row["words"].count(" ") + 1][row["words"].encode()].append(row["item"])
-        shared = spark.sparkContext.broadcast({k: dict(v) for k, v in by_length.items()})
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hasher = WordHasher(ASCII_NOT_ALNUM, True)
-            tables = [Patterns(length, p, hasher) for length, p in shared.value.items()]
-            for batch in batches:
-                for block in hasher.blocks(batch.column(own_text)):
-                    word, data = hasher.hashes(block), block.data.tobytes()
-                    cover = [[] for _ in range(block.hi - block.lo)]
-                    item = [set() for _ in cover]
-                    for t in tables:
-                        for first, ids in t.search(block, word, data):
-                            doc = int(np.searchsorted(block.first, first, "right")) - 1
-                            at = first - int(block.first[doc])
-                            cover[doc].append((at, at + t.length))
-                            item[doc].update(ids)
-                    piece = batch.slice(block.lo, block.hi - block.lo)
-                    was_cover, was_item = piece.column(len(kept)), piece.column(len(kept) + 1)
-                    spans, names = [], []
-                    for i, (new, ids) in enumerate(zip(cover, item)):
-                        old = was_cover[i].as_py() or []
-                        spans.append(_merged(new + list(zip(old[::2], old[1::2]))))
-                        names.append(sorted(ids.union(was_item[i].as_py() or [])))
-                    counts = [[int(x)] for x in block.counts]
-                    yield pa.RecordBatch.from_arrays(
-                        [*piece.columns[: len(kept)], pa.array(spans, pa.list_(pa.int32())),
-                         pa.array(names, pa.list_(pa.string())), pa.array([c[0] for c in counts], pa.int64())],
-                        [*[f"c{i}" for i in range(len(kept))], "cover", "items", "n_words"],
-                    )
-
-        fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-        out = out.mapInArrow(search, f"{fields}, cover array<int>, items array<string>, n_words long")
-        names = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
-        out = out.select(*names, F.col("cover").alias(ends), F.col("items").alias(items), F.col("n_words").alias(fresh("n")))
-        count = out.columns[-1]
-        if part + 1 < parts:
-            out = out.drop(count)
+    if parts == 1:
+        out = _searched(docs, patterns.collect(), kept, text, every=True)
+        out = out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.struct("cover", "items", "n_words").alias("hits"))
+    else:
+        row = fresh("row")
+        given = staged(docs.select(*kept, F.monotonically_increasing_id().alias(row)), "benchmark-texts")
+        found = None
+        for part in range(parts):
+            block = _searched(given, patterns.where(of == part).collect(), [row, text], text, every=False)
+            block = staged(block.select(F.col("c0").alias("row"), "cover", "items"), "benchmark-hits")
+            found = block if found is None else found.unionByName(block)
+        names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+        found = found.groupBy("row").agg(F.collect_list("cover").alias("covers"), names.alias("items"))
+        found = found.mapInArrow(_merge_covers, "row long, cover array<int>, items array<string>").withColumnRenamed("row", row)
+        lowered = words(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER), NOT_WORD)
+        none = F.array().cast("array<int>"), F.array().cast("array<string>")
+        cover, items = fresh("cover"), fresh("items")
+        found = found.select(row, F.col("cover").alias(cover), F.col("items").alias(items))
+        hits = F.struct(
+            F.coalesce(cover, none[0]).alias("cover"), F.coalesce(items, none[1]).alias("items"), F.size(lowered).cast("long").alias("n_words")
+        )
+        out = given.join(found, row, "left").select(*kept, hits.alias("hits"))
+    ends, n_words = F.col("hits.cover"), F.col("hits.n_words")
     pairs = F.sequence(F.lit(0), F.size(ends) - 2, F.lit(2))
     n_hit = F.when(F.size(ends) > 0, F.aggregate(pairs, F.lit(0).cast("long"), lambda s, i: s + F.get(ends, i + 1) - F.get(ends, i)))
     n_hit = F.coalesce(n_hit, F.lit(0).cast("long"))
     hits = F.struct(
-        F.col(count).alias("n_words"), n_hit.alias("n_hit"), F.col(items).alias("items"),
-        ((n_hit > 0) & (20 * n_hit >= F.col(count))).alias("contaminated"),
+        n_words.alias("n_words"), n_hit.alias("n_hit"), F.col("hits.items").alias("items"),
+        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
     )
     return out.select(*kept, hits.alias("hits"))
 
