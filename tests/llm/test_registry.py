@@ -18,7 +18,7 @@ QUERIES, SQL = registry.all_queries(), registry.all_oracles()
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(spark_entry.queries())
     assert len(corpus_pipeline.STAGES) == 5
 

@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.bottom_k import op12_minhash_dedup
-from tracemill.llm.centroid_clusters import ORACLE_SQL as CLUSTERS_SQL
 from tracemill.llm.centroid_clusters import op11_centroid_clusters
 from tracemill.llm.common import table
 from tracemill.llm.cotraining import op4_quality_classifier
 from tracemill.llm.decontaminate import op2_benchmark_decontamination
 from tracemill.llm.jaccard_join import op6_jaccard_join
 from tracemill.llm.license_scan import op1_license_scan
-from tracemill.llm.mix_sources import ORACLE_SQL as MIX_SQL
 from tracemill.llm.mix_sources import op8_mix_sources
+from tracemill.llm.oracles import all_oracles as all_oracles
 from tracemill.llm.pseudonyms import op9_pii_pseudonyms
 from tracemill.llm.quality_rules import op7_quality_rules
 from tracemill.llm.secret_scan import op5_secret_scan
@@ -54,7 +53,3 @@ def all_queries() -> dict[str, Query]:
         "op12_minhash_dedup": _over_documents(op12_minhash_dedup),
         "op13_token_alignment": _over_documents(op13_token_alignment),
     }
-
-
-def all_oracles() -> dict[str, str]:
-    return {"op8_mix_sources": MIX_SQL, "op11_centroid_clusters": CLUSTERS_SQL}
