@@ -13,12 +13,14 @@ one class from the start, however many they are.
   from above. Pairs that the sizes or the bitmaps rule out go no further.
 * Exact. What is left is decided by intersecting the sorted arrays.
 
-Sets that share a shingle of their prefixes are in the tile of the least set that has it. Its
-members are first compared with a few of its own alone, the most typical first. What is then
+Sizes fall into bands of a factor of two. Sets of a band that share a shingle of their prefixes
+are in the tile of the least of them; a set that may link with one of the next band is in that
+too. The members of a tile are first compared with a few of its own alone, the most typical first. What is then
 in one component needs no more comparing. The others meet within the tile, in blocks of
 bounded size, by size and bitmap; only pairs that pass become rows. So a tile of k linked
 copies costs a few times k comparisons, no two sets that share a shingle of their prefixes
-stay uncompared but within a component, and the components are those of all links.
+and may link stay uncompared but within a component, and the components are those of all links.
+Rows of shingles and tiles that very many sets share are dealt out by salt.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh, small_batches, staged, whole_text
+from tracemill.llm.common import fresh, heavy_keys, salted_join, small_batches, staged, whole_text
 from tracemill.llm.components import connected_components
 from tracemill.llm.rolling import ASCII_SPACE, Block, WordHasher, mix, signed, windows
 
@@ -257,45 +259,63 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("of"),
     )
     sets = staged(sets, "sets")
-    tokens = sets.select(F.explode("prefix").alias("token"), "set")
-    having = Window.partitionBy("token").orderBy("set").rowsBetween(Window.unboundedPreceding, 0)
-    tiles = tokens.select(F.first("set").over(having).alias("tile"), "set").where("tile <> set").distinct()
+    # A tile: sets that share a rare shingle and lie in a band of sizes; a set that may have a larger
+    # partner in the next band is in that too.
+    bands = F.array_distinct(F.array(_band(F.col("n")), _band(F.floor(F.col("n") * 100 / SIMILAR))))
+    tokens = sets.select("set", "n", "common", F.explode("prefix").alias("shingle"), bands.alias("bands"))
+    tokens = tokens.select("set", "n", "common", "shingle", F.explode("bands").alias("band"))
+    tokens = tokens.withColumn("token", F.xxhash64("shingle", "band")).drop("shingle")
+    least = tokens.groupBy("token").agg(F.xxhash64(F.min("set"), F.min("band")).alias("tile"), F.count("*").alias("k"))
+    least = staged(least.where("k > 1"), "least")
+    hot = _hot(least, "token", sets.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    tiles = salted_join(tokens, least.select("token", "tile"), "token", hot).select("tile", "set", "n", "common").distinct()
     tiles = staged(tiles, "tiles")
-    tiles = tiles.unionByName(tiles.select("tile", F.col("tile").alias("set")).distinct())
-    tiles = staged(tiles.join(sets.select("set", "n", "common"), "set"), "tiles")
     elements = _elements(docs, sets.join(tiles.select("set").distinct(), "set", "left_semi"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (a, b) with sizes that fit: ruled out by their bitmaps, or intersected."""
+        pairs = staged(pairs.distinct(), "met")
         x = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
         y = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-        both = pairs.distinct().join(x, "a").join(y, "b")
+        heavy = {c: heavy_keys(pairs, c) for c in "ab"}
+        both = salted_join(salted_join(pairs, x, "a", heavy["a"]), y, "b", heavy["b"])
         both = both.where(_bits_fit(F.col("ba"), F.col("bb"), F.col("na") + F.col("nb"))).select("a", "b")
         both = staged(both, "pairs")
         used = both.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         of = elements.join(_listed(staged(used, "used")), "set", "left_semi")
         x = of.select(F.col("set").alias("a"), F.col("elements").alias("x"))
         y = of.select(F.col("set").alias("b"), F.col("elements").alias("y"))
-        return staged(_overlaps(both.join(x, "a").join(y, "b")), "links")
+        return staged(_overlaps(salted_join(salted_join(both, x, "a", heavy["a"]), y, "b", heavy["b"])), "links")
 
     # The most typical member of each tile, and another, meet the others.
     chosen = tiles.groupBy("tile").agg(
-        F.max(F.struct("common", "set", "n")).alias("typical"), F.min(F.struct(F.xxhash64("set"), "set", "n")).alias("other")
+        F.max(F.struct("common", "set", "n")).alias("typical"), F.min(F.struct(F.xxhash64("set"), "set", "n")).alias("other"), F.count("*").alias("k")
     )
+    chosen = staged(chosen, "chosen")
+    hot = _hot(chosen, "tile", tiles.count())
     ones = F.array(*[F.struct(F.col(f"{c}.set").alias("one"), F.col(f"{c}.n").alias("one_n")) for c in ("typical", "other")])
-    meet = tiles.join(chosen.select("tile", F.inline(F.array_distinct(ones))), "tile")
+    meet = salted_join(tiles, chosen.select("tile", ones.alias("ones")), "tile", hot)
+    meet = meet.select("set", "n", F.inline(F.array_distinct("ones")))
     meet = meet.where((F.col("set") != F.col("one")) & _sizes_fit(F.col("n"), F.col("one_n")))
     links = linked(meet.select(F.greatest("set", "one").alias("a"), F.least("set", "one").alias("b")))
 
-    # What lies in different components of a tile meets too.
+    # What lies in different components of a tile meets too: the largest part of a tile is dealt into
+    # blocks, the others are copied to these and to each other's.
     parts = connected_components(links)
     members = tiles.join(parts.select(F.col("a").alias("set"), F.col("b").alias("part")), "set", "left")
-    members = members.withColumn("part", F.coalesce("part", "set"))
-    sizes = members.groupBy("tile", "part").agg(F.count("*").alias("k"))
-    open_ = sizes.groupBy("tile").agg(F.count("*").alias("parts"), F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(open_.where("parts > 1").select("tile", "blocks"), "tile")
-    own = F.pmod(F.xxhash64("set", F.lit(7)), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("tile", "set", F.coalesce("part", "set").alias("part"))
+    sizes = members.groupBy("tile", "part").agg(F.count("*").alias("k")).groupBy("tile").agg(
+        F.count("*").alias("parts"), F.max(F.struct("k", "part")).alias("most"), F.sum("k").alias("k")
+    )
+    blocks = lambda k: F.greatest(F.ceil(k / BLOCK), F.lit(1)).cast("int")
+    open_ = sizes.where("parts > 1").select(
+        "tile", F.col("most.part").alias("main"), blocks(F.col("most.k")).alias("many"), blocks(F.col("k") - F.col("most.k")).alias("few")
+    )
+    members = salted_join(members, staged(open_, "open"), "tile", hot)
+    main, deal = F.col("part") == F.col("main"), lambda k: F.pmod(F.xxhash64("set", F.lit(7)), k).cast("int")
+    own = F.when(main, F.col("few") + deal(F.col("many"))).otherwise(deal(F.col("few")))
+    met = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     members = members.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "part")
     members = members.join(sets.select("set", "n", "bitmap"), "set")
     blocks = members.select("tile", "i", "j", "own", "set", "part", "n", "bitmap").repartition("tile", "i", "j")
@@ -306,6 +326,16 @@ def components_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signatures, connected_components(parts.unionByName(more))
 
 
+def _band(n: Column) -> Column:
+    """The band of a size: sizes up to the next power of two."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) + 1e-9).cast("int")
+
+
+def _hot(counted: DataFrame, key: str, total: int) -> list:
+    """The keys of a table with their numbers of rows, k, that have more than a thousandth of all: less than a thousand."""
+    return [row[0] for row in counted.where(F.col("k") > max(total // 1000, 256)).select(key).collect()]
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key``, n_shingles, component_id, and whether the row ``stays``.
 
