@@ -63,8 +63,8 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", we
                 total: float | None = None, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
     """``docs`` with each row repeated by its draw, in shuffled order, with ``copy`` from 1 on and ``mix_key``.
 
-    Rows are ordered by ``mix_key`` within partitions that a hash of it deals out. Rows
-    with equal ids draw equal counts; a row without an id draws by a hash of its other columns,
+    Rows are ordered by ``mix_key`` within partitions that a hash of it and of the row deals out, so
+    rows that share an id, and equal rows, spread too. Rows with equal ids draw equal counts; a row without an id draws by a hash of its other columns,
     so only exact copies without an id draw alike. A null source is a source of its own. Columns stay as they are, ones named ``copy`` or ``mix_key`` are
     replaced; texts are not looked at. An empty table gives an empty one.
     """
@@ -93,8 +93,10 @@ def mix_sources(docs: DataFrame, source: str = "source", key: str = "doc_id", we
     rows = rows.withColumn(drawn, count).where(F.col(drawn) > 0)
     rows = rows.select(*kept, name, F.explode(F.sequence(F.lit(1), F.col(drawn))).alias("copy"))
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.col(name), F.col("copy").cast("string"), F.lit("order"))))
-    rows = rows.drop(name)
-    return rows.repartition("mix_key").sortWithinPartitions("mix_key")
+    # Rows of one id have one key a copy, so they are dealt out by all their columns, equal ones by the task that reads them.
+    dealt = fresh("dealt")
+    rows = rows.withColumn(dealt, F.xxhash64("mix_key", *[c for c in kept if c != key], F.spark_partition_id())).drop(name)
+    return rows.repartition(dealt).drop(dealt).sortWithinPartitions("mix_key")
 
 
 def op8_mix_sources(docs: DataFrame) -> DataFrame:
