@@ -303,7 +303,7 @@ def components_of_sketches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key``, n_shingles, component_id, and whether the row is ``kept``.
 
-    Two documents link if 100 * intersection >= 80 * union of their sets of distinct 4-word shingles
+    Ids are integers. Two documents link if 100 * intersection >= 80 * union of their sets of distinct 4-word shingles
     (words divided by ASCII white space, A-Z lower-cased; a text of fewer words is one shingle).
     ``component_id`` is the smallest id that links reach, itself included, and ``kept`` holds for the
     row that has it.

@@ -293,7 +293,7 @@ def quality_scores(
     their ids, and from all unlabelled ones, copies counted once; never from one whose
     crc32(id as text) mod 5 is 0. All documents are scored, 1 being good.
 
-    Null metadata are values of their own; a null or empty text has a text view of zeros.
+    Ids are integers. Null metadata are values of their own; a null or empty text has a text view of zeros.
     Each row is scored by itself, so repeated rows and ids stay; a null id is not held
     out. Other columns stay, a column named ``quality`` is replaced. Null labels are not
     used; an id with several labels has the largest, and one with several texts teaches by

@@ -339,7 +339,7 @@ def _hot(counted: DataFrame, key: str, total: int) -> list:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``key``, n_shingles, component_id, and whether the row ``stays``.
 
-    Two documents link if 100 * intersection >= 85 * union of their sets of distinct
+    Ids are integers. Two documents link if 100 * intersection >= 85 * union of their sets of distinct
     4-word shingles (words divided by ASCII white space, A-Z lower-cased; a text of fewer
     words is one shingle). ``component_id`` is the smallest id that links reach, itself
     included. ``stays`` holds for the row with that id.

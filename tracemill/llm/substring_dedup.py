@@ -176,7 +176,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     same words as a window that starts earlier, in a smaller id or earlier in the same
     document. ``kept`` has the other words, joined by one space.
 
-    A null or empty text has no words. Rows with equal ids and texts count as one document
+    Ids are integers. A null or empty text has no words. Rows with equal ids and texts count as one document
     and both stay; those with one id and different texts are documents in the order of a
     hash of the text. Rows without an id come after all others, each a document of its own,
     also in the order of a hash, so of equal ones one stays. They are written to the shared

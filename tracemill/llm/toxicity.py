@@ -271,7 +271,7 @@ def _counted(sample: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     """Per half of the sample, class and slot, the documents with it; and documents by half and class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(model.value), np.zeros((4, SLOTS), np.uint16)
+        words, counts = Words(model.value), np.zeros((4, SLOTS), np.uint32)
         for batch in batches:
             group = batch.column(1).to_numpy()
             for block, slots, doc in words.blocks(batch.column(0)):
@@ -291,16 +291,16 @@ def _counted(sample: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
                     )
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CHUNK, np.uint16)
+        total = np.zeros(CHUNK, np.uint32)
         for part in parts:
             for packed in part["counts"]:
-                total += np.frombuffer(zlib.decompress(packed), np.uint16)
+                total += np.frombuffer(zlib.decompress(packed), np.uint32)
         yield pd.DataFrame({"g": [key[0]], "chunk": [key[1]], "counts": [total.tobytes()]})
 
-    counts = np.zeros((4, SLOTS), np.uint16)
+    counts = np.zeros((4, SLOTS), np.uint32)
     parts = sample.select("text", "g").mapInArrow(count, "g int, chunk int, counts binary")
     for row in parts.groupBy("g", "chunk").applyInPandas(add, "g int, chunk int, counts binary").toLocalIterator():
-        counts[row["g"], row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint16)
+        counts[row["g"], row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint32)
     documents = np.zeros(4)
     for row in sample.groupBy("g").count().collect():
         documents[row["g"]] = row["count"]
@@ -330,6 +330,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return beta
 
 
+def _learned(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Of rows (id, text), those of the labelled ids ``known`` (id, toxic), as text and group ``g``:
+    half and class. One text an id, that with the smallest hash, and one of near copies."""
+    rows = rows.join(F.broadcast(known), "id").withColumn("mark", F.xxhash64("text"))
+    one = F.broadcast(rows.groupBy("id").agg(F.min("mark").alias("mark")))  # a row for each id of the sample at most
+    rows = rows.join(one, ["id", "mark"])
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(ASCII_SPACE, True)
+        for batch in batches:
+            for block in hasher.blocks(batch.column(0)):
+                word = hasher.hashes(block)
+                least = [int(windows(word[a:b], min(8, b - a)).min().view(np.int64)) if b > a else 0 for _, a, b in block.texts()]
+                piece = batch.slice(block.lo, block.hi - block.lo)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(least, pa.int64())], ["text", "g", "least"])
+
+    group = F.pmod(F.xxhash64("id"), F.lit(2)) * 2 + F.when(F.col("toxic") > 0, 1).otherwise(0)
+    learned = rows.select("text", group.cast("int").alias("g")).mapInArrow(copies, "text string, g int, least long")
+    return learned.dropDuplicates(["least"]).drop("least")
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
 ) -> DataFrame:
@@ -339,7 +360,7 @@ def toxicity_scores(
     their ids, and never from one whose crc32(id as text) mod 5 is 0. Near copies among
     them count once. Everything else covers all documents: the letter model and the scores.
 
-    A null or empty text has the score of no evidence. Each row is scored by itself, so
+    Ids are integers. A null or empty text has the score of no evidence. Each row is scored by itself, so
     repeated rows and ids stay; a null id is not held out. Other columns stay, a column
     named ``toxicity`` is replaced. Null labels and labels of unknown documents are not
     used; an id with several labels is toxic if one of them says so. Without labelled
@@ -355,20 +376,9 @@ def toxicity_scores(
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 0))
     known = known.groupBy(id_.alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # a bounded sample, by design
-    rows = docs.select(id_.alias("id"), whole_text(text).alias("text")).join(F.broadcast(known), "id")
-
-    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(ASCII_SPACE, True)
-        for batch in batches:
-            for block in hasher.blocks(batch.column(0)):
-                word = hasher.hashes(block)
-                least = [int(windows(word[a:b], min(8, b - a)).min().view(np.int64)) if b > a else 0 for _, a, b in block.texts()]
-                piece = batch.slice(block.lo, block.hi - block.lo)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(least, pa.int64())], ["text", "g", "least"])
+    rows = docs.select(id_.alias("id"), whole_text(text).alias("text"))
 
-    group = F.pmod(F.xxhash64("id"), F.lit(2)) * 2 + F.when(F.col("toxic") > 0, 1).otherwise(0)
-    learned = rows.select("text", group.cast("int").alias("g")).mapInArrow(copies, "text string, g int, least long")
-    learned = staged(learned.dropDuplicates(["least"]).drop("least"), "toxicity-sample")
+    learned = staged(_learned(rows, known), "toxicity-sample")
     counts, n = _counted(learned, model)
 
     halves = [_weights(counts[2 * h], counts[2 * h + 1], n[2 * h], n[2 * h + 1]) for h in (0, 1)]
