@@ -92,7 +92,11 @@ def every_pair(events: DataFrame, totals: DataFrame, share: int = SHARE) -> Data
     Starts and ends of a hot key are dealt into parts, and each part of the one is copied to all
     of the other, so no task has more than a ``share`` of either side; a side with few rows is one
     part, so the other isn't copied."""
-    marked = events.join(F.broadcast(hot_keys(totals, share)), "key", "left")
+    return _formed(events.join(F.broadcast(hot_keys(totals, share)), "key", "left"))
+
+
+def _formed(marked: DataFrame) -> DataFrame:
+    """The pairs of events with the numbers of parts of their keys."""
     starts = marked.filter("is_start").select("key", F.col("t").alias("s"), _dealt("start_parts").alias("i"), "end_parts")
     ends = marked.filter("not is_start").select("key", F.col("t").alias("e"), _dealt("end_parts").alias("j"), "start_parts")
     starts = starts.select("key", "s", "i", _each("end_parts").alias("j"))
@@ -201,12 +205,11 @@ def pair_histogram(events: DataFrame, totals: DataFrame, bins: int = 50) -> Data
     lo, span = bounds["lo"], bounds["span"]
 
     # Keys to be counted; the totals of a hot one in as many copies as its events have parts.
-    hot = F.broadcast(hot_keys(totals).select("key", "parts"))  # fewer than SHARE rows
+    hot = F.broadcast(hot_keys(totals))  # fewer than SHARE rows
     dense = totals.filter(F.col("pairs") > FORMED * (F.col("start_n") + F.col("end_n")))
     of_key = dense.join(hot, "key", "left").select("key", "end_n", "end_min", "end_max", _each("parts").alias("part"))
-    marked = events.join(hot, "key", "left").withColumn("part", _dealt("parts")).drop("parts").join(of_key, ["key", "part"], "left")
-    few = marked.filter(F.col("end_n").isNull()).select("key", "t", "is_start")
-    formed = every_pair(few, totals).select((F.col("e") - F.col("s")).alias("elapsed"))
+    marked = events.join(hot, "key", "left").withColumn("part", _dealt("parts")).join(of_key, ["key", "part"], "left")
+    formed = _formed(marked.filter(F.col("end_n").isNull())).select((F.col("e") - F.col("s")).alias("elapsed"))
 
     # Whole-number division: a rounded quotient could reach the next bin.
     offset = (F.col("elapsed").cast(WIDE) - lo) * bins
