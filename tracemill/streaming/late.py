@@ -49,7 +49,7 @@ def late_sink(
     """Write updates of windows and late rows of ``windows_and_rows`` as Parquet, by batch and kind.
 
     A late row has ``lost``, the number of its windows that had ended behind the watermark when it
-    came; rows that lost none are not written. A batch run again replaces itself. ``checkpoint`` is
+    came; rows that lost none are not written, nor rows without a time, which are in no window. A batch run again replaces itself. ``checkpoint`` is
     the folder that the stream is started with."""
     length, step = df.sparkSession.sql("select 1").select(_interval(duration), _interval(slide)).first()
     micros, of_row = int(step.total_seconds() * 1e6), int(length / step)
