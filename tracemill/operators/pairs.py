@@ -64,16 +64,21 @@ def event_pairs(events: DataFrame, first_only: bool = True) -> DataFrame:
     return pairs.select("key", (F.col("e") - F.col("s")).alias("elapsed"))
 
 
-def hot_keys(totals: DataFrame, share: int = SHARE, part: int = PART) -> DataFrame:
-    """Keys with more than one in ``share`` of all events that have pairs, fewer than ``share`` rows: key, and the
-    numbers of parts for its starts, its ends and both, in proportion to them."""
+def _parted(totals: DataFrame, share: int = SHARE, part: int = PART) -> DataFrame:
+    """The totals with the numbers of parts of their keys' starts, ends and both: 1 but for hot keys."""
     every = totals.agg(F.sum(F.col("start_n") + F.col("end_n")).alias("every")).scalar()
-    size = F.greatest(every / share, F.lit(part).cast(WIDEST))
-    parts = lambda c: F.ceil(c / size).cast("int")
-    both = F.col("start_n") + F.col("end_n")
-    return totals.filter(both > size).select(
-        "key", parts(F.col("start_n")).alias("start_parts"), parts(F.col("end_n")).alias("end_parts"), parts(both).alias("parts")
-    )
+    parts = lambda c: F.greatest(F.ceil(c / F.col("size")), F.lit(1)).cast("int")
+    sized = totals.withColumn("size", F.greatest(every / share, F.lit(part).cast(WIDEST)))
+    return sized.select(
+        *totals.columns, parts(F.col("start_n")).alias("start_parts"), parts(F.col("end_n")).alias("end_parts"),
+        parts(F.col("start_n") + F.col("end_n")).alias("parts"),
+    )
+
+
+def hot_keys(parted: DataFrame) -> DataFrame:
+    """Keys with more than one in ``SHARE`` of all events that have pairs, fewer than so many rows: key, and the
+    numbers of parts for its starts, its ends and both, in proportion to them."""
+    return parted.filter(F.col("parts") > 1).select("key", "start_parts", "end_parts", "parts")
 
 
 def _dealt(parts: str) -> Column:
@@ -92,7 +97,7 @@ def every_pair(events: DataFrame, totals: DataFrame, share: int = SHARE) -> Data
     Starts and ends of a hot key are dealt into parts, and each part of the one is copied to all
     of the other, so no task has more than a ``share`` of either side; a side with few rows is one
     part, so the other isn't copied."""
-    return _formed(events.join(F.broadcast(hot_keys(totals, share)), "key", "left"))
+    return _formed(events.join(F.broadcast(hot_keys(_parted(totals, share))), "key", "left"))
 
 
 def _formed(marked: DataFrame) -> DataFrame:
@@ -205,9 +210,10 @@ def pair_histogram(events: DataFrame, totals: DataFrame, bins: int = 50) -> Data
     lo, span = bounds["lo"], bounds["span"]
 
     # Keys to be counted; the totals of a hot one in as many copies as its events have parts.
-    hot = F.broadcast(hot_keys(totals))  # fewer than SHARE rows
-    dense = totals.filter(F.col("pairs") > FORMED * (F.col("start_n") + F.col("end_n")))
-    of_key = dense.join(hot, "key", "left").select("key", "end_n", "end_min", "end_max", _each("parts").alias("part"))
+    parted = _parted(totals)
+    hot = F.broadcast(hot_keys(parted))  # fewer than SHARE rows
+    dense = parted.filter(F.col("pairs") > FORMED * (F.col("start_n") + F.col("end_n")))
+    of_key = dense.select("key", "end_n", "end_min", "end_max", _each("parts").alias("part"))
     marked = events.join(hot, "key", "left").withColumn("part", _dealt("parts")).join(of_key, ["key", "part"], "left")
     formed = _formed(marked.filter(F.col("end_n").isNull())).select((F.col("e") - F.col("s")).alias("elapsed"))
 
