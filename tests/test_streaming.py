@@ -244,3 +244,17 @@ def test_streams_run_together(spark, tmp_path):
 def test_kafka_source_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_topic(spark, TASK_TOPIC, servers="broker:9092")
+
+
+def test_console_takes_few_rows_to_the_driver(spark, tmp_path):
+    """The sink gets a few rows of each task and the source is read whole, with the state of all windows."""
+    rows = [{"time": MINUTE, "job_id": 1, "user": f"u{i}", "event_type": 0} for i in range(4000)]
+    root = put(tmp_path / "t", "job-events", [rows])
+    counts = jobs.event_counts_stream(spark, fmt="text", path=root)
+    query = sinks.start(sinks.console_sink(counts), f"{root}/c", available_now=True)
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [p["numInputRows"] for p in progress] == [4000]
+    assert 0 < progress[0]["sink"]["numOutputRows"] <= (sinks.SHOWN + 1) * parts
+    assert progress[0]["stateOperators"][0]["numRowsUpdated"] == 5 * 4000

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 METRIC_JOB = "spark_job_metrics"
 METRICS = ["total_cpu_usage", "total_memory_usage"]
 RANGE_MINUTES = 5
+# Rows that the console shows of an update.
+SHOWN = 20
 # The hour in which a window ends; the series is in folders by it once it is compacted.
 HOUR = "end_hour"
 
@@ -24,8 +27,21 @@ def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = False
 
 
 def console_sink(df: DataFrame, mode: str = "update") -> DataStreamWriter:
-    """Print each update."""
-    return df.writeStream.outputMode(mode).format("console").option("truncate", False)
+    """Print the first rows of each update, as Spark's console shows them.
+
+    That sink takes all the rows it is given to the driver. So each task reads its rows to the end,
+    which keeps the state whole, but hands on only as many as the console can show."""
+
+    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = SHOWN + 1  # by the one more the console tells that there are others
+        for batch in batches:
+            if left:
+                head = batch.slice(0, left)
+                left -= head.num_rows
+                yield head
+
+    few = df.mapInArrow(first_rows, df.schema)
+    return few.writeStream.outputMode(mode).format("console").options(truncate=False, numRows=SHOWN)
 
 
 def batch_sink(df: DataFrame, path: str, mode: str = "update") -> DataStreamWriter:
