@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.operators import pairs as pr
 from tracemill.operators.aggregate import histogram
 from tracemill.operators.join import request_usage_correlation
 from tracemill.operators.sequence import adjacent_pairs
 from tracemill.operators.skew import SLICE, ordered_slices
+from tracemill.registry.queries import all_queries
 
 EVENTS = "part long, time long, seq long, event_type long, carried double"
 
@@ -218,3 +221,16 @@ def test_correlation_with_an_outlier(spark):
     joined = r.join(s, ["job_id", "task_index"]).toPandas()
     got = request_usage_correlation(r, s).first()
     assert got.cpu_correlation == pytest.approx(joined.cpu_request.corr(joined.cpu_usage), abs=1e-6)
+
+
+@pytest.mark.parametrize(("year", "kind"), [(2024, "bigint"), (9999, "decimal(38,0)")])
+def test_totals_of_hot_jobs_beyond_64_bits(spark, tmp_path, year, kind):
+    """A total that fits is a long as in the SQL; one that doesn't is exact as well."""
+    rows = [(3 * i, 3, "signup", "1000-01-01 00:00:00") for i in range(8)] + [(3 * i, 3, "click", f"{year}-01-01 00:00:00") for i in range(8, 16)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string")
+    events.selectExpr("*", "1D as value", "'{}' as props").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = all_queries()["pair_totals_hot"](spark, str(tmp_path))
+    days = (datetime.date(year, 1, 1) - datetime.date(1000, 1, 1)).days
+    (row,) = got.collect()
+    assert dict(got.dtypes)["total"] == kind and dict(got.dtypes)["pairs"] == "bigint"
+    assert row["total"] == 64 * days * 86_400_000_000 and row["pairs"] == 64

@@ -6,7 +6,7 @@ lose their zone, to compare with SQL on the same tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +57,7 @@ from tracemill.streaming import windows as win
 Query = Callable[[SparkSession, str], DataFrame]
 TIE = ["event_id"]
 DIGITS = 9
+LONG_MAX = 2**63 - 1
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
 
@@ -64,10 +65,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = DIGITS, **columns: int) -> DataFrame:
-    """Doubles rounded, decimals as long, timestamps without a zone."""
+def rounded(df: DataFrame, digits: int = DIGITS, wide: Sequence[str] = (), **columns: int) -> DataFrame:
+    """Doubles rounded, decimals as long but for ``wide`` ones, timestamps without a zone."""
 
     def shown(name: str, dtype: str) -> Column:
+        if name in wide:
+            return F.col(name)
         if dtype == "double":
             return F.round(name, columns.get(name, digits)).alias(name)
         if dtype.startswith("decimal"):
@@ -201,6 +204,20 @@ def _pairs(t: Trace, start: int, end: int) -> DataFrame:
     return pr.pair_events(t.job_events, start, end)
 
 
+def _pair_totals(events: Callable[[Trace], DataFrame]) -> Query:
+    """Totals per job. The total over all pairs of a hot job passes 64 bits: a column in which one does stays a decimal."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        totals = pr.pair_totals(pr.pair_events(events(Trace(spark, folder)), SUBMIT, SCHEDULE)).select(
+            F.col("key").alias("job_id"), "pairs", "total", "shortest", "longest"
+        )
+        most = totals.agg(*[F.max(F.abs(c)).alias(c) for c in ("pairs", "total")]).first()
+        wide = [c for c in most.asDict() if (most[c] or 0) > LONG_MAX]
+        return rounded(totals, wide=wide)
+
+    return run
+
+
 # Ranges of time in a staged topic, and how many a batch takes: at least five batches.
 FILES, FILES_A_BATCH = 12, "2"
 _STAGED: dict[tuple[str, str], str] = {}
@@ -307,16 +324,8 @@ def table_queries() -> dict[str, Query]:
                 F.col("key").alias("job_id"), seconds("elapsed").alias("elapsed_seconds")
             )
         ),
-        "pair_totals_hot": _trace(
-            lambda t: pr.pair_totals(pr.pair_events(_few_jobs(t), SUBMIT, SCHEDULE)).select(
-                F.col("key").alias("job_id"), "pairs", "total", "shortest", "longest"
-            )
-        ),
-        "event_pair_totals": _trace(
-            lambda t: pr.pair_totals(_pairs(t, SUBMIT, SCHEDULE)).select(
-                F.col("key").alias("job_id"), "pairs", "total", "shortest", "longest"
-            )
-        ),
+        "pair_totals_hot": _pair_totals(_few_jobs),
+        "event_pair_totals": _pair_totals(lambda t: t.job_events),
         "scalar_row": lambda spark, folder: rounded(
             scalar_row(
                 table(spark, folder, "orders").agg(F.count("*").alias("orders")),
