@@ -11,7 +11,9 @@ from tracemill.operators import aggregate as agg
 from tracemill.operators import pairs as pr
 from tracemill.operators.clean import account_rows, clean_with_account, fill_missing, require_fields, require_nonempty
 from tracemill.plans import analyses as an
+from tracemill.registry import feeds
 from tracemill.registry.feeds import _delayed_topic
+from tracemill.registry.queries import all_queries
 from tracemill.session import shared_folder
 from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import JOB_TOPIC, TASK_TOPIC, table_schema
@@ -206,6 +208,19 @@ def test_merge_of_parts(spark, tmp_path):
         merge_parts(spark, index.filter("rows < 0"), ["time"])
 
 
+def test_merged_spans_have_a_task_each(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id as time").repartitionByRange(4, "time").sortWithinPartitions("time").write.parquet(f"{tmp_path}/p")
+    merged = merge_parts(spark, part_index(spark, f"{tmp_path}/p"), ["time"])
+    seen = merged.select("time", F.spark_partition_id().alias("task")).collect()
+    assert [r.time for r in seen] == list(range(100)) and [r.task for r in seen] == sorted(r.task for r in seen)
+    assert len({r.task for r in seen}) == 4
+    # The query's parts have so many rows, not a share of all.
+    monkeypatch.setattr(feeds, "PART_ROWS", 100)
+    cut = []
+    monkeypatch.setattr(feeds, "merge_parts", lambda s, index, order: cut.append(index.count()) or merge_parts(s, index, order))
+    assert tuple(all_queries()["replay_merged_parts"](spark, FOLDER).first()) == (2000, 0, 0) and cut == [20]
+
+
 # --- converted tables ---
 
 

@@ -22,6 +22,8 @@ from tracemill.sources.topics import commit_in_order, decode_events, decode_or_k
 from tracemill.streaming import jobs, late, sinks, state
 from tracemill.streaming import windows as win
 
+# Events in a part that a query writes, and the least number of parts in each half of a feed.
+PART_ROWS, PARTS = 1_000_000, 6
 BATCHES, DELAY = 12, 3  # of the topic with late rows: files, and by how many a delayed row comes later
 
 
@@ -139,8 +141,9 @@ def _merged_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Parts in order of time, which overlap in pairs, merged: rows, neighbours out of order, and tasks that overlap."""
     t, order = Trace(spark, folder), ["time", "topic_rank", "event_id"]
     feed, path = union_events(t.job_events, t.task_events), shared_folder(spark, "parts")
+    parts = max(PARTS, -(-t.events.count() // PART_ROWS))  # a half has as many rows as there are events
     for half in (0, 1):
-        part = feed.filter(F.pmod("event_id", F.lit(2)) == half).repartitionByRange(6, "time")
+        part = feed.filter(F.pmod("event_id", F.lit(2)) == half).repartitionByRange(parts, "time")
         part.sortWithinPartitions(*order).write.mode("append").parquet(path)
     merged = merge_parts(spark, part_index(spark, path), order)
     seen = merged.select(*order, F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("nth"))

@@ -117,18 +117,20 @@ def merge_parts(
     A span begins where parts begin, and reads only the parts that overlap it, with its times as a
     pushed filter. So rows are sorted within a span and move to no other task: what parts in order
     save is the exchange of all rows. ``spans`` joins spans that follow each other, by default none;
-    the index has a row a part and comes to the driver."""
+    the index has a row a part and comes to the driver. A task holds a span, so parts should have
+    some hundred MB at most."""
     parts = index.select("file", "least", "greatest").filter(F.col("least").isNotNull()).collect()
+    if not parts:
+        raise ValueError("the index has no part with a time")
     starts = sorted({p["least"] for p in parts})
     step = -(-len(starts) // spans) if spans else 1
     bounds = [*starts[::step], None]
-    merged = None
+    schema = spark.read.format(fmt).load(parts[0]["file"]).schema
+    # A union of sides that have one task each is one task too, unless a side has another number: this has none.
+    merged = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
     for lo, hi in zip(bounds, bounds[1:]):
         files = sorted(p["file"] for p in parts if p["greatest"] >= lo and (hi is None or p["least"] < hi))
-        span = spark.read.format(fmt).load(files).filter(F.col(time) >= lo)
+        span = spark.read.schema(schema).format(fmt).load(files).filter(F.col(time) >= lo)
         span = span if hi is None else span.filter(F.col(time) < hi)
-        span = span.coalesce(1).sortWithinPartitions(*order)
-        merged = span if merged is None else merged.unionByName(span)
-    if merged is None:
-        raise ValueError("the index has no part with a time")
+        merged = merged.unionByName(span.coalesce(1).sortWithinPartitions(*order))
     return merged
