@@ -11,14 +11,14 @@ from tracemill.operators import aggregate as agg
 from tracemill.operators import pairs as pr
 from tracemill.operators.clean import account_rows, clean_with_account, fill_missing, require_fields, require_nonempty
 from tracemill.plans import analyses as an
-from tracemill.registry import feeds
+from tracemill.registry import feeds, queries
 from tracemill.registry.feeds import _delayed_topic
 from tracemill.registry.queries import all_queries
 from tracemill.session import shared_folder
 from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import JOB_TOPIC, TASK_TOPIC, table_schema
 from tracemill.sources.replay import merge_parts, part_index
-from tracemill.sources.tables import convert_table
+from tracemill.sources.tables import convert_table, read_table
 from tracemill.sources.topics import decode_events, decode_or_keep, event_schema, read_topic
 from tracemill.streaming import jobs, late, sinks, state
 from tracemill.streaming import windows as win
@@ -221,6 +221,14 @@ def test_merged_spans_have_a_task_each(spark, tmp_path, monkeypatch):
     assert tuple(all_queries()["replay_merged_parts"](spark, FOLDER).first()) == (2000, 0, 0) and cut == [20]
 
 
+def test_scanned_parts_have_so_many_rows(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(queries, "PLACE_ROWS", 50)
+    monkeypatch.setattr(queries, "read_table", lambda *a, **b: parts.append(read_table(*a, **b)) or parts[0])
+    assert tuple(all_queries()["scan_places"](spark, FOLDER).first()) == (1000, 1000, 0)
+    assert max(r["count"] for r in parts[0].groupBy("source_file").count().collect()) < 150
+
+
 # --- converted tables ---
 
 

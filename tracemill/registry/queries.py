@@ -58,6 +58,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 TIE = ["event_id"]
 DIGITS = 9
 LONG_MAX = 2**63 - 1
+# Parts that are scanned for their places: events in each, and least number. A window holds a part, with its file's name a row.
+PLACE_ROWS, PLACE_PARTS = 250_000, 8
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
 
@@ -105,14 +107,17 @@ def _scan_places(spark: SparkSession, folder: str) -> DataFrame:
     """Rows written in order of their job and time: places told apart, and neighbours out of order."""
     path = shared_folder(spark, "scan-places")
     order = ["job_id", "time"]
-    events = Trace(spark, folder).job_events.repartitionByRange(8, *order).sortWithinPartitions(*order)
-    write_table(events, "job_events", path)
+    events = Trace(spark, folder).job_events
+    parts = max(PLACE_PARTS, -(-events.count() // PLACE_ROWS))
+    write_table(events.repartitionByRange(parts, *order, *TIE).sortWithinPartitions(*order), "job_events", path)
     scanned = read_table(spark, "job_events", path, glob="*.csv.gz", position=True)
-    after = F.lag(F.struct(*order)).over(Window.partitionBy("source_file").orderBy(*POSITION))
-    seen = scanned.withColumn("before", after)
+    # Of rows at one place in a file, one after the other in this order, the first is counted.
+    in_file = Window.partitionBy("source_file").orderBy(*POSITION)
+    place = F.struct(*[c for c in POSITION if c != "source_file"])
+    seen = scanned.withColumn("before", F.lag(F.struct(*order)).over(in_file)).withColumn("same", F.lag(place).over(in_file) == place)
     return seen.agg(
         F.count("*").alias("rows"),
-        F.count_distinct(*POSITION).alias("places"),
+        F.count_if(~F.coalesce("same", F.lit(False))).alias("places"),
         F.count_if(F.col("before") > F.struct(*order)).alias("out_of_order"),
     )
 
