@@ -6,7 +6,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from tracemill.registry import queries
 from tracemill.registry.queries import staged_topic
 from tracemill.session import shared_folder
 from tracemill.sources.adapters import Trace
@@ -258,3 +260,13 @@ def test_console_takes_few_rows_to_the_driver(spark, tmp_path):
     assert [p["numInputRows"] for p in progress] == [4000]
     assert 0 < progress[0]["sink"]["numOutputRows"] <= (sinks.SHOWN + 1) * parts
     assert progress[0]["stateOperators"][0]["numRowsUpdated"] == 5 * 4000
+
+
+def test_staged_files_have_so_many_records(spark, monkeypatch):
+    """A task that stages a topic sorts so many records, whatever the table has; the batches stay few."""
+    monkeypatch.setattr(queries, "FILE_ROWS", 100)
+    monkeypatch.setattr(queries, "_STAGED", {})
+    options = queries.bounded_batches(spark, "/root/testdata/sf0.001")
+    lines = spark.read.text(f"{options['path']}/topic={TASK_TOPIC}").groupBy(F.input_file_name().alias("file")).count()
+    counts = [r["count"] for r in lines.collect()]
+    assert len(counts) >= 18 and max(counts) < 150 and options["maxFilesPerTrigger"] == "4"

@@ -92,9 +92,9 @@ def _rule_accounts(spark: SparkSession, folder: str) -> DataFrame:
     return account_rows(spark, account)
 
 
-def _closed_usage(staged: Callable[[SparkSession, str], str], rounded: Callable) -> Callable:
+def _closed_usage(staged: Callable[[SparkSession, str], dict[str, str]], rounded: Callable) -> Callable:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        windows = jobs.closed_usage_stream(spark, fmt="text", path=staged(spark, folder), maxFilesPerTrigger="2")
+        windows = jobs.closed_usage_stream(spark, **staged(spark, folder))
         out = shared_folder(spark, "closed")
         writer = sinks.batch_sink(windows, out, mode="append")
         sinks.run_streams(spark, [sinks.start(writer, shared_folder(spark, "checkpoint"), available_now=True)])
@@ -103,31 +103,33 @@ def _closed_usage(staged: Callable[[SparkSession, str], str], rounded: Callable)
     return run
 
 
-def _open_windows(staged: Callable[[SparkSession, str], str]) -> Callable:
+def _open_windows(staged: Callable[[SparkSession, str], dict[str, str]]) -> Callable:
     """Windows that a stream holds after its last batch, with a watermark and without."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = None
+        streams = {}
         for lateness in (win.LATENESS, None):
-            windows = jobs.event_counts_stream(spark, lateness, fmt="text", path=staged(spark, folder), maxFilesPerTrigger="2")
-            checkpoint = shared_folder(spark, "checkpoint")
-            writer = sinks.batch_sink(windows, shared_folder(spark, "updates"))
-            sinks.run_streams(spark, [sinks.start(writer, checkpoint, available_now=True)])
+            windows = jobs.event_counts_stream(spark, lateness, **staged(spark, folder))
+            writer, checkpoint = sinks.batch_sink(windows, shared_folder(spark, "updates")), shared_folder(spark, "checkpoint")
+            streams[checkpoint] = (lateness is not None, sinks.start(writer, checkpoint, available_now=True))
+        sinks.run_streams(spark, [query for _, query in streams.values()])
+        found = None
+        for checkpoint, (watermark, _) in streams.items():
             held = state.open_windows(spark, checkpoint).agg(
                 F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum("groups"), F.lit(0)).alias("groups")
             )
-            held = held.withColumn("watermark", F.lit(lateness is not None))
+            held = held.withColumn("watermark", F.lit(watermark))
             found = held if found is None else found.unionByName(held)
         return found
 
     return run
 
 
-def _console(staged: Callable[[SparkSession, str], str]) -> Callable:
+def _console(staged: Callable[[SparkSession, str], dict[str, str]]) -> Callable:
     """The console sink run over the topic: rows that it has read."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        counts = jobs.event_counts_stream(spark, fmt="text", path=staged(spark, folder))
+        counts = jobs.event_counts_stream(spark, **staged(spark, folder))
         query = sinks.start(sinks.console_sink(counts), shared_folder(spark, "checkpoint"), available_now=True)
         query.awaitTermination()
         shown = [p for p in query.recentProgress if "Console" in p["sink"]["description"]]
@@ -183,8 +185,8 @@ def _stored_distincts(spark: SparkSession, folder: str) -> DataFrame:
     return exact.join(told, "event_type").select("event_type", "users", near)
 
 
-def feed_queries(staged: Callable[[SparkSession, str], str], rounded: Callable) -> dict[str, Callable]:
-    """``staged`` gives the folder of the staged topic, ``rounded`` the rows as they are compared."""
+def feed_queries(staged: Callable[[SparkSession, str], dict[str, str]], rounded: Callable) -> dict[str, Callable]:
+    """``staged`` gives the options to read the staged topic, ``rounded`` the rows as they are compared."""
     return {
         "late_rows": lambda spark, folder: rounded(_late_rows(spark, folder)),
         "broken_records": _broken_records,

@@ -223,27 +223,38 @@ def _pair_totals(events: Callable[[Trace], DataFrame]) -> Query:
     return run
 
 
-# Ranges of time in a staged topic, and how many a batch takes: at least five batches.
-FILES, FILES_A_BATCH = 12, "2"
-_STAGED: dict[tuple[str, str], str] = {}
+# Ranges of time in a staged topic: records in each, which a task sorts, and least number; and the batches that take them.
+FILE_ROWS, FILES, FILE_BATCHES = 500_000, 12, 6
+_STAGED: dict[tuple[str, str], tuple[str, int]] = {}
 
 
-def staged_topic(spark: SparkSession, folder: str) -> str:
-    """The replay feed written as topics in the shared folder, once for a session and folder."""
+def _staged(spark: SparkSession, folder: str) -> tuple[str, int]:
     known = (spark.sparkContext.applicationId, folder)
     if known not in _STAGED:
         t = Trace(spark, folder)
         path = shared_folder(spark, "topics")
-        write_replay(t.job_events, t.task_events, TIE, files=FILES, path=path)
-        _STAGED[known] = path
+        files = max(FILES, -(-2 * t.events.count() // FILE_ROWS))  # a job and a task record an event
+        write_replay(t.job_events, t.task_events, TIE, files=files, path=path)
+        _STAGED[known] = path, files
     return _STAGED[known]
 
 
+def staged_topic(spark: SparkSession, folder: str) -> str:
+    """The replay feed written as topics in the shared folder, once for a session and folder."""
+    return _staged(spark, folder)[0]
+
+
+def bounded_batches(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Options to read the staged topic in a few batches."""
+    path, files = _staged(spark, folder)
+    return {"fmt": "text", "path": path, "maxFilesPerTrigger": str(-(-files // FILE_BATCHES))}
+
+
 def _streamed(stream: Callable[..., DataFrame], keys: list[str], **options: str | None) -> Query:
     """A streaming job run over the whole topic in bounded batches, and the last update of each window."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        windows = stream(spark, fmt="text", path=staged_topic(spark, folder), maxFilesPerTrigger=FILES_A_BATCH, **options)
+        windows = stream(spark, **bounded_batches(spark, folder), **options)
         out = shared_folder(spark, "updates")
         query = sinks.start(sinks.batch_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True)
         sinks.run_streams(spark, [query])
@@ -253,8 +264,7 @@ def _streamed(stream: Callable[..., DataFrame], keys: list[str], **options: str
 
 
 def _metrics_stream(spark: SparkSession, folder: str) -> DataFrame:
-    path = staged_topic(spark, folder)
-    windows = jobs.machine_metrics_stream(spark, fmt="text", path=path, maxFilesPerTrigger=FILES_A_BATCH)
+    windows = jobs.machine_metrics_stream(spark, **bounded_batches(spark, folder))
     out = shared_folder(spark, "metrics")
     query = sinks.start(sinks.metrics_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True)
     sinks.run_streams(spark, [query])
@@ -264,8 +274,7 @@ def _metrics_stream(spark: SparkSession, folder: str) -> DataFrame:
 def _read_topic(spark: SparkSession, folder: str) -> DataFrame:
     """The decoded task topic, appended to a table by a stream."""
     events = decode_events(
-        read_topic(spark, TASK_TOPIC, fmt="text", path=staged_topic(spark, folder), maxFilesPerTrigger=FILES_A_BATCH),
-        event_schema("task_events"),
+        read_topic(spark, TASK_TOPIC, **bounded_batches(spark, folder)), event_schema("task_events")
     )
     out = shared_folder(spark, "decoded")
     writer = events.writeStream.format("parquet").option("path", out)
@@ -274,7 +283,7 @@ def _read_topic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return table_queries() | feed_queries(staged_topic, rounded)
+    return table_queries() | feed_queries(bounded_batches, rounded)
 
 
 def table_queries() -> dict[str, Query]:
