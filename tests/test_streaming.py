@@ -270,3 +270,22 @@ def test_staged_files_have_so_many_records(spark, monkeypatch):
     lines = spark.read.text(f"{options['path']}/topic={TASK_TOPIC}").groupBy(F.input_file_name().alias("file")).count()
     counts = [r["count"] for r in lines.collect()]
     assert len(counts) >= 18 and max(counts) < 150 and options["maxFilesPerTrigger"] == "4"
+
+
+def test_updates_are_not_sorted(spark):
+    windows = spark.createDataFrame([(1, 2.0, 3, 0), (1, None, 4, 1)], "k long, a double, n long, batch_id int")
+    last = sinks.latest_updates(windows, ["k"])
+    assert "Sort" not in last._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in last.collect()] == [(1, None, 4)]
+
+
+def test_state_without_its_count(spark, tmp_path):
+    rows = {}
+    for name, uncounted in (("counted", None), ("uncounted", spark)):
+        windows = jobs.machine_metrics_stream(spark, fmt="text", path=put(tmp_path / name, TASK_TOPIC, [FIRST]))
+        writer, out = sinks.batch_sink(windows, f"{tmp_path}/{name}/o"), f"{tmp_path}/{name}/c"
+        query = sinks.start(writer, out, available_now=True, uncounted=uncounted)
+        query.awaitTermination()
+        rows[name] = query.recentProgress[0]["stateOperators"][0]["numRowsTotal"], spark.read.parquet(f"{tmp_path}/{name}/o").count()
+    assert rows["counted"][0] > 0 == rows["uncounted"][0] and rows["counted"][1] == rows["uncounted"][1]
+    assert spark.conf.get(sinks.COUNTED) == "true"

@@ -256,7 +256,7 @@ def _streamed(stream: Callable[..., DataFrame], keys: list[str], **options: str
     def run(spark: SparkSession, folder: str) -> DataFrame:
         windows = stream(spark, **bounded_batches(spark, folder), **options)
         out = shared_folder(spark, "updates")
-        query = sinks.start(sinks.batch_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True)
+        query = sinks.start(sinks.batch_sink(windows, out), shared_folder(spark, "checkpoint"), available_now=True, uncounted=spark)
         sinks.run_streams(spark, [query])
         return rounded(sinks.latest_updates(spark.read.parquet(out), ["window_start", "window_end", *keys]))
 

@@ -14,16 +14,31 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 METRIC_JOB = "spark_job_metrics"
 METRICS = ["total_cpu_usage", "total_memory_usage"]
 RANGE_MINUTES = 5
+# Whether the state store keeps the number of its rows.
+COUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 # Rows that the console shows of an update.
 SHOWN = 20
 # The hour in which a window ends; the series is in folders by it once it is compacted.
 HOUR = "end_hour"
 
 
-def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Start a stream with a checkpoint, so that its state survives a restart."""
+def start(
+    writer: DataStreamWriter, checkpoint: str, available_now: bool = False, uncounted: SparkSession | None = None
+) -> StreamingQuery:
+    """Start a stream with a checkpoint, so that its state survives a restart.
+
+    With ``uncounted``, its session, the progress doesn't tell how many rows the state has: to count
+    them, the store looks up each row once more when it is written and when it goes."""
     writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    if uncounted is None:
+        return writer.start()
+    before = uncounted.conf.get(COUNTED, "true")
+    uncounted.conf.set(COUNTED, "false")
+    try:
+        return writer.start()  # takes the settings as they are now
+    finally:
+        uncounted.conf.set(COUNTED, before)
 
 
 def console_sink(df: DataFrame, mode: str = "update") -> DataStreamWriter:
@@ -64,9 +79,9 @@ def quarantine_sink(df: DataFrame, path: str) -> DataStreamWriter:
 
 def latest_updates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last update per key among the batches that ``batch_sink`` wrote."""
+    # A struct of the values would have all rows sorted; numbers one by one are kept in a hash table.
     values = [c for c in df.columns if c not in (*keys, "batch_id")]
-    last = F.max_by(F.struct(*values), "batch_id").alias("last")
-    return df.groupBy(*keys).agg(last).select(*keys, "last.*")
+    return df.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
 def to_metrics(df: DataFrame, metrics: Sequence[str] = METRICS, job: str = METRIC_JOB) -> DataFrame:
