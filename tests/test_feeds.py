@@ -14,7 +14,7 @@ from tracemill.plans import analyses as an
 from tracemill.registry import feeds, queries
 from tracemill.registry.feeds import _delayed_topic
 from tracemill.registry.queries import all_queries
-from tracemill.session import shared_folder
+from tracemill.session import COUNTED, LOGGED, shared_folder
 from tracemill.sources.adapters import Trace
 from tracemill.sources.catalog import JOB_TOPIC, TASK_TOPIC, table_schema
 from tracemill.sources.replay import merge_parts, part_index
@@ -134,6 +134,45 @@ def test_state_can_be_read(spark, tmp_path):
     assert row.rows == 6 and row.bytes > 0 and row.dropped == 0
 
 
+def test_read_state_is_in_files(spark, tmp_path, monkeypatch):
+    """The state of the registered query needs no log of changes to be made again, and is the same as with one."""
+    root = put(tmp_path / "t", TASK_TOPIC, [FIRST, NEWER, NEWEST])
+    held = {}
+    for name, snapshots in (("log", None), ("files", spark)):
+        windows = jobs.resource_usage_stream(spark, fmt="text", path=root, maxFilesPerTrigger="1")
+        writer, checkpoint = sinks.batch_sink(windows, f"{tmp_path}/{name}"), f"{tmp_path}/c-{name}"
+        sinks.start(writer, checkpoint, available_now=True, uncounted=spark, snapshots=snapshots).awaitTermination()
+        logs = list((tmp_path / f"c-{name}").rglob("*.changelog"))
+        assert bool(logs) == (snapshots is None)
+        held[name] = sorted(map(tuple, state.open_windows(spark, checkpoint).collect()))
+    assert held["files"] == held["log"] and len(held["log"]) == 6
+    checkpoints = []
+    monkeypatch.setattr(feeds, "shared_folder", lambda s, purpose: checkpoints.append(str(tmp_path / f"{len(checkpoints)}-{purpose}")) or checkpoints[-1])
+    assert all_queries()["open_windows"](spark, FOLDER).count() == 2
+    saved = [list(tmp_path.glob(f"*-checkpoint/state/**/*.{kind}")) for kind in ("changelog", "zip")]
+    assert saved[0] == [] and saved[1] and spark.conf.get(LOGGED) == "true"
+
+
+def test_state_is_read_without_a_count(spark, tmp_path):
+    """Started with a log and restarted with files, and read either way; the settings are as before."""
+    root = put(tmp_path / "t", TASK_TOPIC, [FIRST, NEWER])
+    for more, snapshots in ((None, None), (NEWEST, spark)):
+        if more:
+            file = tmp_path / "t" / f"topic={TASK_TOPIC}" / "partition=0" / "009.txt"
+            file.write_text("".join(json.dumps(e) + "\n" for e in more))
+        windows = jobs.resource_usage_stream(spark, fmt="text", path=root, maxFilesPerTrigger="1")
+        writer = sinks.batch_sink(windows, f"{tmp_path}/o")
+        sinks.start(writer, f"{tmp_path}/c", available_now=True, snapshots=snapshots).awaitTermination()
+    seen = []
+    load = type(spark.read).load
+    reader = type(spark.read)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(reader, "load", lambda self, *a, **b: seen.append(spark.conf.get(COUNTED)) or load(self, *a, **b))
+        ends = {r.window_end.minute: r.groups for r in state.open_windows(spark, f"{tmp_path}/c").collect()}
+    assert ends == {m: 1 for m in range(31, 37)} and seen == ["false"]
+    assert spark.conf.get(COUNTED) == "true" and spark.conf.get(LOGGED) == "true"
+
+
 # --- broken records ---
 
 

@@ -111,7 +111,8 @@ def _open_windows(staged: Callable[[SparkSession, str], dict[str, str]]) -> Call
         for lateness in (win.LATENESS, None):
             windows = jobs.event_counts_stream(spark, lateness, **staged(spark, folder))
             writer, checkpoint = sinks.batch_sink(windows, shared_folder(spark, "updates")), shared_folder(spark, "checkpoint")
-            streams[checkpoint] = (lateness is not None, sinks.start(writer, checkpoint, available_now=True, uncounted=spark))
+            query = sinks.start(writer, checkpoint, available_now=True, uncounted=spark, snapshots=spark)
+            streams[checkpoint] = (lateness is not None, query)
         sinks.run_streams(spark, [query for _, query in streams.values()])
         found = None
         for checkpoint, (watermark, _) in streams.items():

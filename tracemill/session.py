@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +18,12 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+# Whether the state store keeps the number of its rows, and whether a batch saves a log of its changes to the
+# state or else the store's new files; and what Spark does where they are unset.
+COUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+LOGGED = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+UNSET = {COUNTED: "true", LOGGED: "false"}
+
 
 def build_session(app: str = "tracemill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above.
@@ -38,6 +46,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def switched_off(spark: SparkSession, *switches: str) -> Iterator[None]:
+    """Switches of the state store off for what is started or loaded meanwhile, then as before."""
+    before = {switch: spark.conf.get(switch, UNSET[switch]) for switch in switches}
+    try:
+        for switch in switches:
+            spark.conf.set(switch, "false")
+        yield
+    finally:
+        for switch, value in before.items():
+            spark.conf.set(switch, value)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``, or below
     the warehouse where that is unset; all executors see either. It goes when the session's

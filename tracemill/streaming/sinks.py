@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tracemill.session import COUNTED, LOGGED, switched_off
+
 # Label of the metric job, gauge names, and minutes shown.
 METRIC_JOB = "spark_job_metrics"
 METRICS = ["total_cpu_usage", "total_memory_usage"]
 RANGE_MINUTES = 5
-# Whether the state store keeps the number of its rows.
-COUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 # Rows that the console shows of an update.
 SHOWN = 20
 # The hour in which a window ends; the series is in folders by it once it is compacted.
@@ -23,22 +23,27 @@ HOUR = "end_hour"
 
 
 def start(
-    writer: DataStreamWriter, checkpoint: str, available_now: bool = False, uncounted: SparkSession | None = None
+    writer: DataStreamWriter,
+    checkpoint: str,
+    available_now: bool = False,
+    uncounted: SparkSession | None = None,
+    snapshots: SparkSession | None = None,
 ) -> StreamingQuery:
     """Start a stream with a checkpoint, so that its state survives a restart.
 
     With ``uncounted``, its session, the progress doesn't tell how many rows the state has: to count
-    them, the store looks up each row once more when it is written and when it goes."""
+    them, the store looks up each row once more when it is written and when it goes.
+
+    With ``snapshots``, its session, each batch saves the state's new files and no log of changes.
+    Who reads the state then loads it as it is; of a log, all changes since the last snapshot are
+    made again, those of rows long gone too. For streams of few large batches whose state is read."""
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
-    if uncounted is None:
+    if uncounted is None and snapshots is None:
         return writer.start()
-    before = uncounted.conf.get(COUNTED, "true")
-    uncounted.conf.set(COUNTED, "false")
-    try:
+    switches = [switch for switch, given in ((COUNTED, uncounted), (LOGGED, snapshots)) if given]
+    with switched_off(uncounted or snapshots, *switches):
         return writer.start()  # takes the settings as they are now
-    finally:
-        uncounted.conf.set(COUNTED, before)
 
 
 def console_sink(df: DataFrame, mode: str = "update") -> DataStreamWriter:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracemill.session import COUNTED, switched_off
+
 
 def state_operators(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The stateful operators of a stream: operator, its name and number of partitions."""
@@ -16,8 +18,13 @@ def state_operators(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def open_state(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
-    """The state of one operator after its last batch: ``key`` and ``value`` as structs, a row for each open group."""
-    return spark.read.format("statestore").option("operatorId", operator).load(checkpoint).select("key", "value")
+    """The state of one operator after its last batch: ``key`` and ``value`` as structs, a row for each open group.
+
+    A stream started with ``snapshots`` has it in files; otherwise each task makes the changes since the last
+    snapshot again, one by one."""
+    with switched_off(spark, COUNTED):  # a count would look up each row, or read all of them before
+        found = spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+    return found.select("key", "value")
 
 
 def open_windows(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
