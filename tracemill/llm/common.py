@@ -107,9 +107,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts may hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the bytes that one Arrow batch of long texts may hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
 
 

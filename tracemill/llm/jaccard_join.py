@@ -43,6 +43,13 @@ SIMILAR = 85  # per cent
 CELLS, CHUNK = 1 << 24, 1 << 20  # of the frequency sketch
 BLOCK = 4096  # members of a tile that are compared at a time
 LISTED = 1_000_000  # ids that are broadcast at most, 24 MB
+# Bytes of an Arrow batch, of the texts and of the prefix sums that a worker holds at a time, and shingles
+# counted at a time: beside the sketch, a worker holds little.
+BATCH_BYTES, BLOCK_BYTES, CHUNK_BYTES, COUNTED = 4 << 20, 1 << 20, 1 << 18, 1 << 17
+
+
+def _hasher() -> WordHasher:
+    return WordHasher(ASCII_SPACE, True, BLOCK_BYTES, CHUNK_BYTES)
 
 
 def _sets(block: Block, word: np.ndarray) -> list[np.ndarray]:
@@ -72,24 +79,26 @@ def _bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed chunks of the sketch of some texts."""
+    hasher, cells = _hasher(), np.zeros(CELLS, np.uint16)
+    for batch in batches:
+        for block in hasher.blocks(batch.column(0)):
+            found = windows(hasher.hashes(block), SHINGLE)[block.window_starts(SHINGLE)]
+            for lo in range(0, len(found), COUNTED):
+                cell = (mix(found[lo : lo + COUNTED], 3) & np.uint64(CELLS - 1)).astype(np.int64)
+                at, n = np.unique(cell, return_counts=True)
+                cells[at] = np.minimum(cells[at] + n, 65535)  # a task's count stops there
+    for i in range(CELLS // CHUNK):
+        part = cells[i * CHUNK : (i + 1) * CHUNK]
+        if part.any():
+            packed = zlib.compress(part.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed])], ["chunk", "counts"])
+
+
 def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """For each cell of the sketch, four times the binary logarithm of the shingles counted in it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, cells = WordHasher(ASCII_SPACE, True), np.zeros(CELLS, np.uint16)
-        for batch in batches:
-            for block in hasher.blocks(batch.column(0)):
-                found = windows(hasher.hashes(block), SHINGLE)[block.window_starts(SHINGLE)]
-                for part in np.array_split(found, 1 + (len(found) >> 20)):
-                    cell = np.sort((mix(part, 3) & np.uint64(CELLS - 1)).astype(np.int64))
-                    at, n = np.unique(cell, return_counts=True)
-                    cells[at] = np.minimum(cells[at] + n, 65535)  # a task's count stops there
-        for i in range(CELLS // CHUNK):
-            part = cells[i * CHUNK : (i + 1) * CHUNK]
-            if part.any():
-                packed = zlib.compress(part.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed])], ["chunk", "counts"])
-
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CHUNK, np.uint64)
         for part in parts:
@@ -98,7 +107,7 @@ def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
         logs = np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
         yield pd.DataFrame({"chunk": [key[0]], "logs": [logs.tobytes()]})
 
-    merged = docs.select(text).mapInArrow(count, "chunk int, counts binary")
+    merged = docs.select(text).mapInArrow(_counted, "chunk int, counts binary")
     merged = merged.groupBy("chunk").applyInPandas(add, "chunk int, logs binary")
     logs = np.zeros(CELLS, np.uint8)
     for row in merged.toLocalIterator():  # CELLS bytes
@@ -112,7 +121,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, "text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, logs = WordHasher(ASCII_SPACE, True), shared.value
+        hasher, logs = _hasher(), shared.value
         for batch in batches:
             for block in hasher.blocks(batch.column(2)):
                 n, name, prefix, bitmap, common = [], [], [], [], []
@@ -141,7 +150,7 @@ def _members(docs: DataFrame) -> DataFrame:
     """Per row (set, text): set, and the sorted array of its elements."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(ASCII_SPACE, True)
+        hasher = _hasher()
         for batch in batches:
             for block in hasher.blocks(batch.column(1)):
                 sets = [signed(s) for s in _sets(block, hasher.hashes(block))]
@@ -185,14 +194,14 @@ def _sizes_fit(x: Column, y: Column) -> Column:
     return 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
 
 
-def _pairs_of_block(own: np.ndarray, name: np.ndarray, part: np.ndarray, n: np.ndarray, bitmaps: list) -> list[tuple[int, int]]:
+def _pairs_of_block(own: np.ndarray, name: np.ndarray, part: np.ndarray, n: np.ndarray, bitmaps: list) -> Iterator[np.ndarray]:
     """Of the members of a block (or of two, where ``own`` differs), the pairs of different parts
-    that sizes and bitmaps allow."""
+    that sizes and bitmaps allow, by member: the larger names, the smaller ones."""
     order = np.argsort(n, kind="stable")
     own, name, part, n = own[order], name[order], part[order], n[order]
     bitmaps = [bitmaps[k] for k in order]
     words = np.array([len(x) for x in bitmaps])
-    two, out = own.min() != own.max(), []
+    two = own.min() != own.max()
     for size in np.unique(words):  # ascending, as the sizes are
         lo, hi = np.searchsorted(words, [size, size], side="left")[0], np.searchsorted(words, size, side="right")
         end = np.searchsorted(words, 2 * size, side="right")  # the next band, folded to this one
@@ -205,13 +214,16 @@ def _pairs_of_block(own: np.ndarray, name: np.ndarray, part: np.ndarray, n: np.n
                 differ = np.bitwise_count(folded[at - lo] ^ folded[r - lo]).sum(1, dtype=np.int64)
                 both = n[at] + n[r]
                 at = at[(100 + SIMILAR) * (both - differ) >= 2 * SIMILAR * both]
-                out += [(max(name[r], x), min(name[r], x)) for x in name[at]]
-    return out
+                if len(at):
+                    yield np.stack([np.maximum(name[at], name[r]), np.minimum(name[at], name[r])])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of the blocks of rows (tile, i, j, own, set, part, n, bitmap), which lie together."""
 
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)], ["a", "b"])
+
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = [table.column(k).to_numpy() for k in range(3)]
         new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -221,10 +233,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, offsets = bitmap.values.to_numpy().view(np.uint64), bitmap.offsets.to_numpy()
         for lo, hi in zip(bounds, bounds[1:]):
             bitmaps = [values[offsets[k] : offsets[k + 1]] for k in range(lo, hi)]
-            found = _pairs_of_block(own[lo:hi], name[lo:hi], part[lo:hi], n[lo:hi], bitmaps)
-            for k in range(0, len(found), 1 << 16):
-                a, b = zip(*found[k : k + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found, size = [], 0
+            for of_one in _pairs_of_block(own[lo:hi], name[lo:hi], part[lo:hi], n[lo:hi], bitmaps):
+                found.append(of_one)
+                size += of_one.shape[1]
+                if size >= 1 << 16:  # a block may have millions
+                    yield rows(found)
+                    found, size = [], 0
+            if found:
+                yield rows(found)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -349,7 +366,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     text are the same document, and all of them have the result of it. Other columns are
     not looked at. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     rows = docs.select(
         F.col(key).cast("long").alias("id"), F.xxhash64(whole_text(text)).alias("mark"), whole_text(text).alias("text")
     )

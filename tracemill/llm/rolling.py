@@ -76,16 +76,19 @@ class Block:
 
 
 class WordHasher:
-    """Splits texts at separator bytes and hashes the words. Made anew in each task."""
+    """Splits texts at separator bytes and hashes the words. Made anew in each task.
 
-    def __init__(self, separators: list[int], lower: bool):
+    Smaller blocks and chunks take less memory; the hashes are the same."""
+
+    def __init__(self, separators: list[int], lower: bool, block: int = BLOCK_BYTES, chunk: int = CHUNK_BYTES):
+        self.block, self.chunk = block, chunk
         self.separator = np.zeros(256, bool)
         self.separator[separators] = True
         self.fold = np.arange(256, dtype=np.uint8)
         if lower:
             self.fold[65:91] += 32
         self.letter = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))[self.fold]
-        self._powers(CHUNK_BYTES)
+        self._powers(chunk)
 
     def _powers(self, n: int) -> None:
         inverse = pow(BASE, -1, 1 << 64)
@@ -96,7 +99,7 @@ class WordHasher:
         whole, offsets = text_bytes(column)
         lo = 0
         while lo < len(column):
-            hi = int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, "right")) - 1
+            hi = int(np.searchsorted(offsets, offsets[lo] + self.block, "right")) - 1
             hi = min(max(hi, lo + 1), len(column))
             yield Block(lo, hi, whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], self.separator)
             lo = hi
@@ -107,7 +110,7 @@ class WordHasher:
         lo = 0
         while lo < len(out):
             base = block.start[lo]
-            hi = max(lo + 1, int(np.searchsorted(block.end, base + CHUNK_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(block.end, base + self.chunk, "right")))
             piece = self.letter[block.data[base : block.end[hi - 1]]]
             if len(piece) >= len(self.power):
                 self._powers(len(piece))
