@@ -1,4 +1,5 @@
-"""What a worker of the n-gram Jaccard join holds at a time, and that smaller blocks change no hash."""
+"""What a worker of the n-gram Jaccard join and of the removal of repeated passages holds at a time, and that smaller
+blocks change no hash."""
 
 from __future__ import annotations
 
@@ -6,10 +7,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from made import prose
+from pyspark.sql.classic.dataframe import DataFrame
 
-from tracemill.llm import jaccard_join
+from tracemill.llm import jaccard_join, substring_dedup
 from tracemill.llm.rolling import ASCII_SPACE, WordHasher
 
 
@@ -67,3 +70,67 @@ def test_blocks_and_chunks_change_no_hash():
         return np.concatenate([hasher.hashes(block) for block in hasher.blocks(texts)])
 
     assert (hashes() == hashes(1 << 10, 1 << 6)).all()
+
+
+def test_removal_of_passages_takes_little_beside_the_planes(spark, monkeypatch):
+    """Counting and placing some 2,000,000 windows that all repeat, of 20 MB of text in batches of a few MB."""
+    steps = {}
+
+    def kept(df, step, *args, made=DataFrame.mapInArrow, **named):
+        steps[step.__name__] = step
+        return made(df, step, *args, **named)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", kept)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(1000)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    result = substring_dedup.repeated_windows(docs)
+    n = len(texts) * 981
+
+    def peak(step, rows):
+        batch = pa.record_batch([pa.array(texts * 10), pa.array(range(400), pa.int64())], ["text", "place"])
+        tracemalloc.start()
+        for out in step(batch for _ in range(5)):
+            rows.append(out.num_rows)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    touched, places = [], []
+    assert peak(steps["sketch"], touched) < 80 << 20 and sum(touched) == substring_dedup.DEPTH
+    assert peak(steps["places"], places) < 96 << 20 and sum(places) == n
+    assert [r["n_removed"] for r in result.orderBy("doc_id").collect()] == [0] * 40 + [1000] * 40
+
+
+def test_a_task_that_sends_its_windows_in_several_goes(spark, monkeypatch):
+    """Of one text, more windows than a task holds."""
+    rng = random.Random(6)
+    texts = [prose(rng, 3000), prose(rng, 50), None, ""]
+    rows = list(enumerate(texts * 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(substring_dedup, "FLUSH", 1 << 10)
+    steps = {}
+
+    def kept(df, step, *args, made=DataFrame.mapInArrow, **named):
+        steps[step.__name__] = step
+        return made(df, step, *args, **named)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", kept)
+    substring_dedup.repeated_windows(docs)
+    batch = pa.record_batch([pa.array([t for _, t in rows]), pa.array([i for i, _ in rows], pa.int64())], ["text", "place"])
+    merged = {}
+    for out in steps["sketch"](iter([batch])):
+        for row, chunk, touched, again in zip(*(out.column(k).to_pylist() for k in range(4))):
+            merged.setdefault((row, chunk), []).append({"touched": touched, "again": again})
+    assert all(len(pieces) == 9 for pieces in merged.values())  # 9,036 windows
+    parts = [(*k, next(substring_dedup._merge(k, iter([pd.DataFrame(p)])))["bits"][0]) for k, p in merged.items()]
+    sketch = substring_dedup.Sketch(parts, substring_dedup.MIN_CELLS)
+    hasher = WordHasher(ASCII_SPACE, False)
+    for block in hasher.blocks(batch.column(0)):
+        at, _ = substring_dedup._estimated(block, hasher.hashes(block), sketch, 20)
+        assert len(at) == len(block.window_starts(20)) == 9036
+    first = {}
+    for out in steps["places"](iter([batch])):
+        for a, b, place, pos in zip(*(out.column(k).to_pylist() for k in range(4))):
+            first.setdefault((a, b), []).append((place, pos))
+    assert sorted(min(x) for x in first.values()) == [(0, k) for k in range(2981)] + [(1, k) for k in range(31)]

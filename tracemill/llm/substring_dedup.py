@@ -5,8 +5,9 @@
    sketches of all tasks merge by ranges of cells, each in its own group.
 2. A second pass keeps the windows whose estimate is two or more. The sketch never
    estimates too low, so no repeated window is lost. Of the kept windows, each task
-   sends the earliest place of each; the grouping by 96-bit window hash finds the
-   earliest place of all.
+   sends the earliest place of each, found by parts of the hash; the grouping by 96-bit
+   window hash finds the earliest place of all. Spark has no rows to merge before that
+   exchange, so it sorts them behind it only.
 3. A third pass removes the words of every estimated window that is not at the earliest
    place of its word sequence: those estimated too high are their own earliest place.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,14 @@ WINDOW = 20
 DEPTH = 2
 CHUNK = 1 << 20  # cells merged in one group
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
-FLUSH = 4 << 20  # windows a task holds before it sends their cells or places
+FLUSH = 4 << 20  # windows a task holds before it sends their cells (8 bytes each); half as many places
+PARTS = 16  # of the hash, by which a task sorts the places it holds
+# Bytes of an Arrow batch, of the texts and of the prefix sums that a worker holds at a time.
+BATCH_BYTES, BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20, 1 << 18
+
+
+def _hasher() -> WordHasher:
+    return WordHasher(ASCII_SPACE, False, BLOCK_BYTES, CHUNK_BYTES)
 
 
 def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -55,21 +64,18 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(coded, dtype=np.int64)[coded < 255]
 
 
-def _pieces(hashes: np.ndarray, cells: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """The sketch of some windows: touched cells, and cells touched twice, by range."""
-    for row in range(DEPTH):
-        cell = np.sort(_cells(hashes, row, cells))
-        new = np.ones(len(cell), bool)
-        np.not_equal(cell[1:], cell[:-1], out=new[1:])
-        once = cell[new]
-        again = np.zeros(len(cell), bool)
-        again[1:] = ~new[1:]
-        twice = np.unique(cell[again])
-        bounds = np.arange(0, cells + 1, CHUNK)
-        a, b = np.searchsorted(once, bounds), np.searchsorted(twice, bounds)
-        for i in range(len(bounds) - 1):
-            if a[i] < a[i + 1]:
-                yield row, i, _pack(once[a[i] : a[i + 1]] - bounds[i]), _pack(twice[b[i] : b[i + 1]] - bounds[i])
+def _pieces(touched: np.ndarray, cells: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """The sketch of some windows, of whose cells ``touched`` has a row each, and is sorted:
+    touched cells, and cells touched twice, by range."""
+    bounds = np.arange(0, cells + 1, CHUNK, dtype=np.uint32)  # as the cells are, which else would be copied
+    for row, cell in enumerate(touched):
+        cell.sort()
+        at = np.searchsorted(cell, bounds)
+        for i in np.flatnonzero(at[:-1] < at[1:]).tolist():
+            part = cell[at[i] : at[i + 1]] - bounds[i]
+            new = np.ones(len(part), bool)
+            np.not_equal(part[1:], part[:-1], out=new[1:])
+            yield row, i, _pack(part[new]), _pack(np.unique(part[~new]))
 
 
 def _merge(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,12 +116,11 @@ def _sketch(docs: DataFrame, text: str, window: int) -> tuple[list[tuple[int, in
         cells *= 2
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, n = WordHasher(ASCII_SPACE, False), [], 0
+        hasher, held, n = _hasher(), np.empty((DEPTH, FLUSH), np.uint32), 0
 
         def flush():
-            rows = list(_pieces(np.concatenate(held), cells)) if n else []
-            for i in range(0, len(rows), 64):
-                part = list(zip(*rows[i : i + 64]))
+            for rows in batched(_pieces(held[:, :n], cells), 64):
+                part = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2]), pa.array(part[3])],
                     ["row", "chunk", "touched", "again"],
@@ -124,11 +129,14 @@ def _sketch(docs: DataFrame, text: str, window: int) -> tuple[list[tuple[int, in
         for batch in batches:
             for block in hasher.blocks(batch.column(0)):
                 found = windows(hasher.hashes(block), window)[block.window_starts(window)]
-                held.append(found)
-                n += len(found)
-                if n >= FLUSH:
-                    yield from flush()
-                    held, n = [], 0
+                while len(found):  # those of a very long text may be more than are held
+                    part, found = found[: FLUSH - n], found[FLUSH - n :]
+                    for row in range(DEPTH):
+                        held[row, n : n + len(part)] = _cells(part, row, cells)
+                    n += len(part)
+                    if n == FLUSH:
+                        yield from flush()
+                        n = 0
         yield from flush()
 
     merged = (
@@ -183,22 +191,21 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     folder, where each has a number that both passes read. Other columns are not looked at.
     An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     rows, at = _placed(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(rows, "text", window))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch, held, n = WordHasher(ASCII_SPACE, False), Sketch(*shared.value), [], 0
+        hasher, sketch, held, n = _hasher(), Sketch(*shared.value), [], 0
 
         def flush():
-            if not n:
-                return
-            a, b, *doc, pos = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((pos, *doc[::-1], b, a))
-            a, b, pos, doc = a[order], b[order], pos[order], [x[order] for x in doc]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            for first in np.array_split(np.flatnonzero(new), max(1, int(new.sum()) >> 17)):
+            for k in range(PARTS):
+                part = [np.flatnonzero(piece[0] % np.uint64(PARTS) == k) for piece in held]
+                a, b, *doc, pos = (np.concatenate([x[own] for x, own in zip(column, part)]) for column in zip(*held))
+                order = np.lexsort((pos, *doc[::-1], b, a))
+                first = np.ones(len(a), bool)
+                first[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+                first = order[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[first]) for x in (signed(a), b, *doc, pos)], ["a", "b", *at, "pos"]
                 )
@@ -217,11 +224,13 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 if n >= FLUSH // 2:
                     yield from flush()
                     held, n = [], 0
-        yield from flush()
+        if n:
+            yield from flush()
 
     earliest = (
         rows.select("text", *at)
         .mapInArrow(places, f"a long, b int, {', '.join(f'{c} long' for c in at)}, pos int")
+        .repartition("a", "b")
         .groupBy("a", "b")
         .agg(F.min(F.struct(*at, "pos")).alias("at"))
         .groupBy(*[F.col(f"at.{c}").alias(c) for c in at])
@@ -229,7 +238,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch = WordHasher(ASCII_SPACE, False), Sketch(*shared.value)
+        hasher, sketch = _hasher(), Sketch(*shared.value)
         for batch in batches:
             ids, stay = batch.column(0), batch.column(2)
             for block in hasher.blocks(batch.column(1)):
