@@ -3,6 +3,7 @@ blocks change no hash."""
 
 from __future__ import annotations
 
+import pickle
 import random
 import tracemalloc
 
@@ -124,7 +125,7 @@ def test_a_task_that_sends_its_windows_in_several_goes(spark, monkeypatch):
             merged.setdefault((row, chunk), []).append({"touched": touched, "again": again})
     assert all(len(pieces) == 9 for pieces in merged.values())  # 9,036 windows
     parts = [(*k, next(substring_dedup._merge(k, iter([pd.DataFrame(p)])))["bits"][0]) for k, p in merged.items()]
-    sketch = substring_dedup.Sketch(parts, substring_dedup.MIN_CELLS)
+    sketch = pickle.loads(pickle.dumps(substring_dedup.Sketch(parts, substring_dedup.MIN_CELLS)))
     hasher = WordHasher(ASCII_SPACE, False)
     for block in hasher.blocks(batch.column(0)):
         at, _ = substring_dedup._estimated(block, hasher.hashes(block), sketch, 20)

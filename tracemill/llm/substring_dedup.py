@@ -21,7 +21,7 @@ is the same.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import numpy as np
@@ -91,14 +91,24 @@ def _merge(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 class Sketch:
-    """The cells counted twice or more, as one bit each; ``chunks`` has them packed by row and range."""
+    """The cells counted twice or more, as one bit each; ``chunks`` has them packed by row and range.
 
-    def __init__(self, chunks: list[tuple[int, int, bytes]], cells: int):
+    It is pickled packed, so a worker unpacks it once and then holds nothing but the bits."""
+
+    def __init__(self, chunks: Iterable[tuple[int, int, bytes]], cells: int):
         self.bits, self.cells = np.zeros((DEPTH, cells // 8), np.uint8), cells
         for row, chunk, packed in chunks:
             at = chunk * CHUNK // 8
             self.bits[row, at : at + CHUNK // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
 
+    def __reduce__(self):
+        chunks = [
+            (row, i, zlib.compress(self.bits[row, i * CHUNK // 8 : (i + 1) * CHUNK // 8].tobytes(), 1))
+            for row in range(DEPTH)
+            for i in range(self.cells // CHUNK)
+        ]
+        return Sketch, (chunks, self.cells)
+
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for row in range(DEPTH):
@@ -108,8 +118,8 @@ class Sketch:
         return out
 
 
-def _sketch(docs: DataFrame, text: str, window: int) -> tuple[list[tuple[int, int, bytes]], int]:
-    """Packed chunks and cells of the merged sketch."""
+def _sketch(docs: DataFrame, text: str, window: int) -> Sketch:
+    """The merged sketch."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     cells = MIN_CELLS
     while cells < size // 2 and cells < MAX_CELLS:  # a word and its space are six bytes or so
@@ -145,8 +155,8 @@ def _sketch(docs: DataFrame, text: str, window: int) -> tuple[list[tuple[int, in
         .groupBy("row", "chunk")
         .applyInPandas(_merge, "row int, chunk int, bits binary")
     )
-    # Sparse bits: a fraction of DEPTH * MAX_CELLS / 8 bytes.
-    return [(row["row"], row["chunk"], bytes(row["bits"])) for row in merged.toLocalIterator()], cells
+    # DEPTH * MAX_CELLS / 8 bytes at most; they come packed, one after the other.
+    return Sketch(((row["row"], row["chunk"], row["bits"]) for row in merged.toLocalIterator()), cells)
 
 
 def _estimated(block: Block, hashes: np.ndarray, sketch: Sketch, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +206,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(_sketch(rows, "text", window))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch, held, n = _hasher(), Sketch(*shared.value), [], 0
+        hasher, sketch, held, n = _hasher(), shared.value, [], 0
 
         def flush():
             for k in range(PARTS):
@@ -238,7 +248,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch = _hasher(), Sketch(*shared.value)
+        hasher, sketch = _hasher(), shared.value
         for batch in batches:
             ids, stay = batch.column(0), batch.column(2)
             for block in hasher.blocks(batch.column(1)):
