@@ -10,6 +10,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from made import prose
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -73,8 +74,9 @@ def test_blocks_and_chunks_change_no_hash():
     assert (hashes() == hashes(1 << 10, 1 << 6)).all()
 
 
-def test_removal_of_passages_takes_little_beside_the_planes(spark, monkeypatch):
-    """Counting and placing some 2,000,000 windows that all repeat, of 20 MB of text in batches of a few MB."""
+@pytest.fixture
+def steps(monkeypatch):
+    """By name, the functions that mapInArrow is called with."""
     steps = {}
 
     def kept(df, step, *args, made=DataFrame.mapInArrow, **named):
@@ -82,6 +84,11 @@ def test_removal_of_passages_takes_little_beside_the_planes(spark, monkeypatch):
         return made(df, step, *args, **named)
 
     monkeypatch.setattr(DataFrame, "mapInArrow", kept)
+    return steps
+
+
+def test_removal_of_passages_takes_little_beside_the_planes(spark, steps):
+    """Counting and placing some 2,000,000 windows that all repeat, of 20 MB of text in batches of a few MB."""
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(1000)) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
@@ -103,20 +110,13 @@ def test_removal_of_passages_takes_little_beside_the_planes(spark, monkeypatch):
     assert [r["n_removed"] for r in result.orderBy("doc_id").collect()] == [0] * 40 + [1000] * 40
 
 
-def test_a_task_that_sends_its_windows_in_several_goes(spark, monkeypatch):
+def test_a_task_that_sends_its_windows_in_several_goes(spark, steps, monkeypatch):
     """Of one text, more windows than a task holds."""
     rng = random.Random(6)
     texts = [prose(rng, 3000), prose(rng, 50), None, ""]
     rows = list(enumerate(texts * 3))
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     monkeypatch.setattr(substring_dedup, "FLUSH", 1 << 10)
-    steps = {}
-
-    def kept(df, step, *args, made=DataFrame.mapInArrow, **named):
-        steps[step.__name__] = step
-        return made(df, step, *args, **named)
-
-    monkeypatch.setattr(DataFrame, "mapInArrow", kept)
     substring_dedup.repeated_windows(docs)
     batch = pa.record_batch([pa.array([t for _, t in rows]), pa.array([i for i, _ in rows], pa.int64())], ["text", "place"])
     merged = {}

@@ -6,8 +6,8 @@
 2. A second pass keeps the windows whose estimate is two or more. The sketch never
    estimates too low, so no repeated window is lost. Of the kept windows, each task
    sends the earliest place of each, found by parts of the hash; the grouping by 96-bit
-   window hash finds the earliest place of all. Spark has no rows to merge before that
-   exchange, so it sorts them behind it only.
+   window hash finds the earliest place of all. Rows are sorted behind that exchange only;
+   in front of it there is next to nothing left to merge.
 3. A third pass removes the words of every estimated window that is not at the earliest
    place of its word sequence: those estimated too high are their own earliest place.
 
